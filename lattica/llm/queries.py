@@ -51,3 +51,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.ngram_jaccard import NgramJaccardJoin
 
     return NgramJaccardJoin(size=5, percent=75).classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.decontaminate import Decontaminator
+
+    leaks = Decontaminator(min_match=5, coverage=0.5).leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.drop("tiles")
