@@ -69,3 +69,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     scored = PuToxicity().fit(docs, labels, learn=~held_out).transform(docs.select("doc_id", "text"))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.mix import SourceMix
+
+    return SourceMix().takes(table(spark, sf_dir, "documents")).drop("source")
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
