@@ -80,6 +80,7 @@ def search(block: Block, query_ids: np.ndarray, queries: np.ndarray, best: Best)
     """Fagin's threshold algorithm of every query on one block."""
     n, dims = block.values.shape
     up = queries >= 0
+    before = list(best.rows)
     active = np.arange(len(queries))
     depth = 0
     while len(active) and depth < n:
@@ -89,13 +90,15 @@ def search(block: Block, query_ids: np.ndarray, queries: np.ndarray, best: Best)
             for s in range(0, len(active), 256):
                 part = active[s : s + 256]
                 for q, column in zip(part.tolist(), scores(block.values, queries[part]).T, strict=True):
+                    best.rows[q] = before[q]
                     other = block.ids != query_ids[q]
                     best.offer(q, block.ids[other], column[other])
             return
-        going = []
+        going = []  # rows are offered anew each round, so that none counts twice
         high, low = block.sorted[reach - 1], block.sorted[n - reach]
         for q in active.tolist():
-            seen = np.unique(np.where(up[q], block.order[depth:reach], block.order[n - reach : n - depth]))
+            seen = np.unique(np.where(up[q], block.order[:reach], block.order[n - reach :]))
+            best.rows[q] = before[q]
             fresh = seen[block.ids[seen] != query_ids[q]]
             best.offer(q, block.ids[fresh], scores(block.values[fresh], queries[q : q + 1])[:, 0])
             threshold = int(np.dot(np.where(up[q], high, low).astype(object), queries[q].astype(object)))
