@@ -108,3 +108,36 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.html_text import TemplateRemoval
 
     return TemplateRemoval().transform(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.lm_score import StupidBackoff
+
+    scored = StupidBackoff(order=3, alpha=0.4).score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("score", 4).alias("score"), "n_full")
+
+
+ORACLES["op10_lm_score"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS w1, unnest(generate_series(1, len(ws))) AS i FROM w),
+g AS (SELECT doc_id, i, w1, lag(w1) OVER d AS c1, lag(w1) OVER d || ' ' || w1 AS w2,
+             lag(w1, 2) OVER d || ' ' || lag(w1) OVER d AS c2, lag(w1, 2) OVER d || ' ' || lag(w1) OVER d || ' ' || w1 AS w3
+      FROM t WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+o1 AS (SELECT doc_id, w1 AS k, count(*) AS n FROM g GROUP BY 1, 2), t1 AS (SELECT k, sum(n) AS n FROM o1 GROUP BY 1),
+o2 AS (SELECT doc_id, w2 AS k, count(*) AS n FROM g WHERE i > 1 GROUP BY 1, 2), t2 AS (SELECT k, sum(n) AS n FROM o2 GROUP BY 1),
+o3 AS (SELECT doc_id, w3 AS k, count(*) AS n FROM g WHERE i > 2 GROUP BY 1, 2), t3 AS (SELECT k, sum(n) AS n FROM o3 GROUP BY 1),
+n1 AS (SELECT o1.doc_id, k, t1.n - o1.n AS n FROM o1 JOIN t1 USING (k)),
+n2 AS (SELECT o2.doc_id, k, t2.n - o2.n AS n FROM o2 JOIN t2 USING (k)),
+n3 AS (SELECT o3.doc_id, k, t3.n - o3.n AS n FROM o3 JOIN t3 USING (k)),
+s AS (SELECT g.doc_id, i, a.n AS u, b.n AS b, c.n AS c, x.n AS cb, y.n AS cc, len(w.ws) AS nw FROM g JOIN w USING (doc_id)
+      JOIN n1 a ON a.doc_id = g.doc_id AND a.k = g.w1
+      LEFT JOIN n2 b ON b.doc_id = g.doc_id AND b.k = g.w2 LEFT JOIN n3 c ON c.doc_id = g.doc_id AND c.k = g.w3
+      LEFT JOIN n1 x ON x.doc_id = g.doc_id AND x.k = g.c1 LEFT JOIN n2 y ON y.doc_id = g.doc_id AND y.k = g.c2),
+z AS (SELECT doc_id, CASE WHEN c > 0 THEN 3 WHEN b > 0 THEN 2 ELSE 1 END AS level, least(i, 3) AS top,
+             CASE WHEN c > 0 THEN ln(CAST(c AS DOUBLE) / cc) WHEN b > 0 THEN ln(CAST(b AS DOUBLE) / cb)
+                  ELSE ln(greatest(u, 1)::DOUBLE) - ln(greatest((SELECT count(*) FROM t) - nw, 1)::DOUBLE) END AS v FROM s),
+r AS (SELECT doc_id, sum(v + (top - level) * ln(0.4)) AS score, count(*) FILTER (level = top) AS n_full FROM z GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(score, 0), 4) AS score, CAST(coalesce(n_full, 0) AS BIGINT) AS n_full
+FROM w LEFT JOIN r USING (doc_id)
+"""
