@@ -141,3 +141,23 @@ r AS (SELECT doc_id, sum(v + (top - level) * ln(0.4)) AS score, count(*) FILTER
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(score, 0), 4) AS score, CAST(coalesce(n_full, 0) AS BIGINT) AS n_full
 FROM w LEFT JOIN r USING (doc_id)
 """
+
+
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.shared import cut, new_path
+    from lattica.llm.warc import PageArchive
+
+    archive, path = PageArchive(min_bytes=1000), new_path(spark, "warc")
+    archive.write(table(spark, sf_dir, "pages"), path, cut)
+    return archive.read(spark, path).drop("url")
+
+
+ORACLES["op8_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT html, max(page_id) AS first FROM p WHERE strlen(html) >= 1000 GROUP BY html)
+SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN first IS NOT NULL AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first IS NOT NULL AND page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN g ON p.html = g.html
+"""
