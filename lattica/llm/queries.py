@@ -161,3 +161,34 @@ SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, sha1(p.html) AS
        CASE WHEN first IS NOT NULL AND page_id <> first THEN first END AS refers_to
 FROM p LEFT JOIN g ON p.html = g.html
 """
+
+
+#: Marks of junk text that a revision strips before it counts anew.
+JUNK = "[*#$%&]+"
+
+
+@query
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in, those labelled toxic go, those labelled of low quality are counted anew without junk."""
+    from lattica.llm.shared import new_path
+    from lattica.llm.token_rollup import TokenRollup, quarter_tokens, word_tokens
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rollup = TokenRollup(spark, new_path(spark, "rollup"), {"words-1": word_tokens, "quarter-bytes-1": quarter_tokens})
+    rollup.apply("insert", rollup.changes(docs, 1))
+    gone = docs.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    poor = docs.join(labels.where("quality = 0 AND toxic = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    for _ in range(2):  # a retried batch counts once
+        rollup.apply("toxic", rollup.changes(gone, -1))
+        rollup.apply("revise", rollup.revision(poor, poor.withColumn("text", F.regexp_replace("text", F.lit(JUNK), F.lit("")))))
+    return rollup.totals()
+
+
+ORACLES["op9_token_rollup"] = r"""
+WITH d AS (SELECT source, lang, CASE WHEN p.doc_id IS NULL THEN text ELSE regexp_replace(text, '[*#$%&]+', '', 'g') END AS text
+           FROM documents LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 0 AND toxic = 0) p USING (doc_id)
+           ANTI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) t USING (doc_id)),
+c AS (SELECT source, lang, 'words-1' AS tokenizer, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n FROM d
+      UNION ALL SELECT source, lang, 'quarter-bytes-1', coalesce(ceil(strlen(text) / 4.0), 0) FROM d)
+SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM c GROUP BY 1, 2, 3
+"""
