@@ -149,11 +149,11 @@ class Page:
         root = self.root()
         drop = {e for e, h in self.subtrees().items() if h in template} if template else set()
         kept, block = [False] * len(self.tag), [0] * len(self.tag)
+        kept[0] = root == 0
         for e in range(1, len(self.tag)):
             p = self.parent[e]
             kept[e] = e == root or kept[p] and e not in drop and not self._boilerplate(e, root)
             block[e] = e if self.tag[e] in BLOCK else block[p]
-        kept[0] = root == 0
         blocks: list[tuple[int, list[str]]] = []
         # a block's text ends where another block begins or ends, so runs join while nothing but inline markup lies between
         edges = sorted({b for e in range(1, len(self.tag)) if self.tag[e] in BLOCK for b in (self.begin[e], self.end[e])})

@@ -1,6 +1,6 @@
 """WARC archives as a PySpark Python data source, with revisit records for equal payloads.
 
-``spark.dataSource.register(WarcDataSource)`` makes the format ``warc``.  Reading plans partitions of whole files of
+``register`` makes the format ``warc`` known, ``load`` reads it.  Reading plans partitions of whole files of
 about ``partition_bytes``, takes over filters on the record type and on headers, parses the headers of a record
 first and passes over the rest of one that is not wanted; ``payload=false`` passes over all payloads.  Compressed
 archives hold one gzip member a record with its length in an extra field, so unwanted ones are not inflated beyond
@@ -326,6 +326,16 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
+def load(spark: SparkSession, path: str, **options) -> DataFrame:
+    """All records of an archive that have a type, as the format demands.
+
+    Spark 4.1 keeps the filters last pushed down with a loaded frame, and a later query of that frame without any
+    filter would meet them again; the condition on the type makes every query push its own.
+    """
+    register(spark)
+    return spark.read.format("warc").options(**options).load(path).where(F.col("record_type").isNotNull())
+
+
 class PageArchive:
     """Pages as WARC records; of equal payloads of at least ``min_bytes`` all but the largest id become revisits."""
 
@@ -353,7 +363,6 @@ class PageArchive:
 
         Lengths and digests of responses are those of the payload as read, of revisits those that they state.
         """
-        register(spark)
-        rows = spark.read.format("warc").load(path).where(F.col("record_type").isin("response", "revisit"))
+        rows = load(spark, path).where(F.col("record_type").isin("response", "revisit"))
         page = lambda c: F.expr(f"try_cast(nullif(substring({c}, {len(self.URN) + 1}), '') AS BIGINT)")
         return rows.select(page("record_id").alias("page_id"), F.coalesce(F.octet_length("payload").cast("long"), "payload_length").alias("payload_bytes"), F.coalesce(F.sha1("payload"), "payload_digest").alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"), F.col("target_uri").alias("url"))
