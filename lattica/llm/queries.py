@@ -176,11 +176,11 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rollup = TokenRollup(spark, new_path(spark, "rollup"), {"words-1": word_tokens, "quarter-bytes-1": quarter_tokens})
     rollup.apply("insert", rollup.changes(docs, 1))
-    gone = docs.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    poor = docs.join(labels.where("quality = 0 AND toxic = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    gone, poor = labels.where("toxic = 1"), labels.where("quality = 0 AND toxic = 0")
+    clean = docs.withColumn("text", F.regexp_replace("text", F.lit(JUNK), F.lit("")))
     for _ in range(2):  # a retried batch counts once
-        rollup.apply("toxic", rollup.changes(gone, -1))
-        rollup.apply("revise", rollup.revision(poor, poor.withColumn("text", F.regexp_replace("text", F.lit(JUNK), F.lit("")))))
+        rollup.apply("toxic", rollup.changes(docs, -1, among=gone))
+        rollup.apply("revise", rollup.revision(docs, clean, among=poor))
     return rollup.totals()
 
 

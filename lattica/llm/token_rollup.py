@@ -72,15 +72,21 @@ class TokenRollup:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def changes(self, docs: DataFrame, sign: int, text_col: str = "text") -> DataFrame:
-        """Signed rows (source, lang, tokenizer, docs, tokens) for documents: one for each tokenizer version."""
+    def changes(self, docs: DataFrame, sign: int, text_col: str = "text", among: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+        """Signed rows (source, lang, tokenizer, docs, tokens) for documents: one for each tokenizer version.
+
+        ``among`` restricts them to the ids it holds.  Texts are counted first, so that no text is shuffled to find
+        them: an inner join with distinct ids, as the optimiser would move a semi-join below the counting.
+        """
         counts = F.array(*(F.struct(F.lit(name).alias("tokenizer"), count(F.col(text_col)).alias("tokens")) for name, count in self.counters.items()))
-        rows = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.explode(counts).alias("c"))
-        return rows.select("source", "lang", "c.tokenizer", F.lit(sign).cast("long").alias("docs"), (sign * F.col("c.tokens")).alias("tokens"))
+        rows = docs.select(*([F.col(id_col).alias("_id")] if among is not None else []), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), counts.alias("c"))
+        if among is not None:
+            rows = rows.join(among.select(F.col(id_col).alias("_id")).distinct(), "_id")
+        return rows.select("source", "lang", F.explode("c").alias("c")).select("source", "lang", "c.tokenizer", F.lit(sign).cast("long").alias("docs"), (sign * F.col("c.tokens")).alias("tokens"))
 
-    def revision(self, before: DataFrame, after: DataFrame, text_col: str = "text") -> DataFrame:
+    def revision(self, before: DataFrame, after: DataFrame, text_col: str = "text", among: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
         """Signed rows that replace documents by their revised forms."""
-        return self.changes(before, -1, text_col).unionByName(self.changes(after, 1, text_col))
+        return self.changes(before, -1, text_col, among, id_col).unionByName(self.changes(after, 1, text_col, among, id_col))
 
     def _claims(self) -> dict[str, str]:
         """Committed batch ids with the folder that holds each; the driver reads one small file a batch."""
