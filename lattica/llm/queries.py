@@ -53,6 +53,20 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NgramJaccardJoin(size=5, percent=75).classes(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op3_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, least(len(ws), 1)))) AS p FROM w),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + 4], ' ') AS sh FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT doc_id AS d, doc_id AS c FROM w UNION SELECT r.d, e.y FROM r JOIN e ON r.c = e.x)
+SELECT w.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(r.c) AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.d = w.doc_id GROUP BY w.doc_id
+"""
+
+
 @query
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.decontaminate import Decontaminator
