@@ -11,7 +11,7 @@ documents share the longer one, both send it, and if not, it counts nothing.
 
 Defined results: null texts and texts without words score 0 with 0 words; rows that repeat an id are separate
 documents; a lone document meets no counts; an empty table gives an empty result; extra columns play no part.
-N-grams are told apart by 64-bit hashes.
+N-grams are told apart by 52 bits of a hash and its bucket.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from lattica.llm.shared import cut
 from lattica.llm.substring_dedup import _groups, _runs
 from lattica.llm.tokens import U64, Words, mix, rolling, window_starts, words
 
+#: Bits of a hash that travel; its bucket, drawn from all 64, tells the rest.
+KEY = U64((1 << 52) - 1)
 ASKED = "_bucket int, _batch int, size int, keys binary, counts binary"
 TOLD = "_batch int, _from int, size int, totals binary"
 
@@ -44,8 +46,9 @@ class Grams:
         self.own = np.zeros(len(at), np.int64)
         self.own[order] = np.repeat(np.diff(own), np.diff(own))
         keys, counts = h[b[:-1]], np.diff(b)
-        owner = X.bucket_of(keys, buckets)
-        by = np.argsort(owner, kind="stable")
+        owner = X.bucket_of(mix(keys ^ U64(0xBF58476D1CE4E5B9)), buckets)
+        keys = keys & KEY
+        by = np.lexsort((keys, owner))
         self.keys, self.counts, self.owner = keys[by], counts[by], owner[by]
         place = np.empty(len(by), np.int64)
         place[by] = np.arange(len(by))
@@ -58,8 +61,8 @@ class Grams:
     def others(self, told: list[dict]) -> np.ndarray:
         """At each place, how often other documents have its n-gram."""
         mine = sorted((t["_from"], t["totals"]) for t in told if t["size"] == self.size)
-        totals = np.concatenate([X.unpack_counts(t) for _, t in mine] or [np.zeros(0, np.uint32)]).astype(np.int64)
-        return totals[self.which] - self.own
+        beyond = np.concatenate([X.unpack_counts(t) for _, t in mine] or [np.zeros(0, np.uint32)]).astype(np.int64)
+        return (beyond + self.counts)[self.which] - self.own
 
 
 class StupidBackoff:
@@ -109,8 +112,8 @@ class StupidBackoff:
             b = _groups(keys[by])
             total = np.empty(len(keys), np.int64)
             total[by] = np.repeat(np.add.reduceat(counts[by], b[:-1]), np.diff(b))
-            total, at = np.minimum(total, 2**32 - 1), np.cumsum([0, *n])
-            told = [X.pack_counts(total[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+            beyond, at = np.minimum(total - counts, 2**32 - 1), np.cumsum([0, *n])  # of other batches: mostly none
+            told = [X.pack_counts(beyond[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
             return pa.table({"_batch": asked.column("_batch"), "_from": pa.array([key[0].as_py()] * len(n), pa.int32()), "size": asked.column("size"), "totals": pa.array(told, pa.binary())})
 
         def first(key: tuple, docs: pa.Table) -> pa.Table:
@@ -142,11 +145,9 @@ class StupidBackoff:
             return pa.table({"doc_id": docs.column(id_col), **{k: pa.array(v) for k, v in ends.items()}})
 
         told = dealt.groupBy("_batch").applyInArrow(first, ASKED).groupBy("_bucket").applyInArrow(count, TOLD)
-        if order > 2:
-            told = cut(told, "counts")
         for size in range(3, order + 1):
             asked = dealt.groupBy("_batch").cogroup(told.groupBy("_batch")).applyInArrow(later(size), ASKED)
-            told = told.unionByName(cut(asked.groupBy("_bucket").applyInArrow(count, TOLD), "counts"))
+            told = told.unionByName(asked.groupBy("_bucket").applyInArrow(count, TOLD))  # one plan: its shuffles are written once and read again
         kind = docs.schema[id_col].dataType.simpleString()
         judged = cut(dealt.groupBy("_batch").cogroup(told.groupBy("_batch")).applyInArrow(judge, f"doc_id {kind}, part double, n_words long, n_last long, n_full long"), "scores")
         total = judged.agg(F.sum("n_words")).first()[0] or 0
