@@ -58,7 +58,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", toxicity), ("ngram_jaccard", near_duplicates), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("mixing", mixing)]
-#: Learning and components are not SQL; tests hold run() against brute force.
+#: Learning is not SQL; tests hold each stage and run() against planted cases.
 ORACLE_SQL = None
 
 

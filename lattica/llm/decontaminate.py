@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.tokens import U64, Words, rolling, window_starts, words
+from lattica.llm.tokens import U64, Words, pieces, rolling, window_starts, words
 
 TILE = T.StructType([T.StructField(k, T.LongType()) for k in ("doc_word", "item_word", "n_words")])
 RESULT = T.StructType([
@@ -162,7 +162,7 @@ class Decontaminator:
         def judge(batches):
             ids, texts = held.value
             bench = _Items(ids, pa.array(texts, pa.large_string()), min_match)
-            for batch in batches:
+            for batch in pieces(batches, "text"):
                 w = words(batch.column("text"), lower=True)
                 names = batch.column("doc_id").to_pylist()
                 judged = [_judge(names[d], bench.ids[i], w.hash[w.first[d] : w.first[d + 1]], bench.hash[bench.first[i] : bench.first[i + 1]], min_match, coverage) for d, i in bench.pairs(w).tolist()]
@@ -178,12 +178,12 @@ class Decontaminator:
         lengths = sorted(r[0] for r in items.select(F.least(F.size(F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ")), F.lit(min_match))).where("text IS NOT NULL").distinct().collect())  # min_match numbers at most
 
         def seeds(batches):
-            for b in batches:
+            for b in pieces(batches, "text"):
                 h, owner = _seeds(words(b.column("text"), lower=True), min_match)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("_item").take(pa.array(owner))], names=["h", "_item"])
 
         def probes(batches):
-            for b in batches:
+            for b in pieces(batches, "text"):
                 w = words(b.column("text"), lower=True)
                 for _, at, h in _probes(w, lengths):
                     doc = np.searchsorted(w.first, at, side="right") - 1
@@ -194,7 +194,7 @@ class Decontaminator:
         both = found.join(docs, "_doc").join(items.withColumnRenamed("text", "item_text"), "_item").select("doc_id", "text", "item_id", "item_text")
 
         def judge(batches):
-            for b in batches:
+            for b in pieces(batches, "text"):
                 x, y = words(b.column("text"), lower=True), words(b.column("item_text"), lower=True)
                 names = zip(b.column("doc_id").to_pylist(), b.column("item_id").to_pylist(), strict=True)
                 judged = [_judge(d, i, x.hash[x.first[k] : x.first[k + 1]], y.hash[y.first[k] : y.first[k + 1]], min_match, coverage) for k, (d, i) in enumerate(names)]

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE = 1 << 20
 U64 = np.uint64
@@ -84,6 +85,25 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarr
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def cuts(column: pa.ChunkedArray | pa.Array, limit: int = 4 * SLICE) -> list[tuple[int, int]]:
+    """Ranges of consecutive texts of about ``limit`` bytes each: what is worked on at once, whatever an Arrow batch holds."""
+    size = pc.fill_null(pc.binary_length(column), 0)
+    ends = np.cumsum(np.asarray(size, np.int64))
+    out, i = [], 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, side="right")))
+        out.append((i, j))
+        i = j
+    return out
+
+
+def pieces(batches, column: str):
+    """Record batches cut by the bytes of their texts."""
+    for batch in batches:
+        for i, j in cuts(batch.column(column)):
+            yield batch.slice(i, j - i)
+
+
 def words(column: pa.ChunkedArray | pa.Array, lower: bool = False, wide: bool = False, hashed: bool = True) -> Words:
     """Words of each text; ``lower`` maps A-Z to a-z before hashing, ``wide`` adds a second hash."""
     data, off = text_bytes(column)

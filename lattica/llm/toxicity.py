@@ -24,10 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.tokens import U64, as_array, mix, words
+from lattica.llm.shared import cut
+from lattica.llm.tokens import U64, as_array, cuts, mix, pieces, words
 
 _ASCII_WORD = np.zeros(256, bool)
 _ASCII_WORD[48:58] = _ASCII_WORD[65:91] = _ASCII_WORD[97:123] = True
@@ -145,40 +147,43 @@ class PuToxicity:
         features = self.features
 
         def sparse(batches):
-            for b in batches:
+            for b in pieces(batches, "_text"):
                 row, col, n = features(b.column("_text"))
                 first = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_s"), pa.ListArray.from_arrays(first, pa.array(col.astype(np.int32)))], names=["_id", "_s", "c"])
 
         kind = docs.schema[self.id_col].dataType.simpleString()
-        sample = held.join(F.broadcast(positive.unionByName(every)), "_id").mapInArrow(sparse, f"_id {kind}, _s int, c array<int>")
-        got = sample.toArrow().sort_by([("_s", "ascending"), ("_id", "ascending")])  # max_positive + max_unlabelled rows at most
-        self.prior = self.prior if self.prior is not None else min(max((seen["pos"] or 0) / max(seen["n"], 1), 1e-3), 0.9)
-        self.learn(got.column("c").combine_chunks(), got.column("_s").to_numpy())
-        return self
+        sample = cut(held.join(F.broadcast(positive.unionByName(every)), "_id").mapInArrow(sparse, f"_id {kind}, _s int, c array<int>"), "sample")
+        size = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_s"), F.lit(0)).alias("pos")).first()
+        self.known = self._telling(sample, size["pos"], size["n"] - size["pos"])
+        known = self.known
+
+        def keep(batches):
+            for b in batches:
+                lists = b.column("c")
+                row, col = _known(known, np.repeat(np.arange(len(b)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy().astype(np.int64))
+                first = pa.array(np.searchsorted(row, np.arange(len(b) + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_s"), pa.ListArray.from_arrays(first, pa.array(col.astype(np.int32)))], names=["_id", "_s", "c"])
 
-    def learn(self, cols: pa.ListArray, positive: np.ndarray) -> None:
-        """Features and weights from the sample's hashed features; ``positive`` is 1 for confirmed rows."""
-        width, n = 1 << self.features.bits, len(positive)
-        row = np.repeat(np.arange(n), cols.value_lengths().fill_null(0).to_numpy())
-        col = cols.flatten().to_numpy().astype(np.int64)
-        n_pos = int(positive.sum())
-        with_pos = np.bincount(col[positive[row] == 1], minlength=width)
-        with_unl = np.bincount(col[positive[row] == 0], minlength=width)
-        pooled = (with_pos + with_unl) / max(n, 1)
-        error = np.sqrt(pooled * (1 - pooled) * (1 / max(n_pos, 1) + 1 / max(n - n_pos, 1)))
-        gap = with_pos / max(n_pos, 1) - with_unl / max(n - n_pos, 1)
-        self.known = np.flatnonzero((error > 0) & (np.abs(gap) >= self.min_z * error))
-        row, col = self._kept(row, col)
-        first = np.searchsorted(row, np.arange(n + 1))
-        pos, unl = ([col[first[i] : first[i + 1]] for i in np.flatnonzero(positive == want)] for want in (1, 0))
+        got = sample.mapInArrow(keep, sample.schema).toArrow().sort_by([("_s", "ascending"), ("_id", "ascending")])  # max_positive + max_unlabelled rows at most
+        self.prior = self.prior if self.prior is not None else min(max((seen["pos"] or 0) / max(seen["n"], 1), 1e-3), 0.9)
+        pos, unl = ([np.array(c, np.int64) for c in got.filter(pc.equal(got.column("_s"), want)).column("c").to_pylist()] for want in (1, 0))
         if pos:
-            self.weights, self.bias = fit_nnpu(pos, unl, self.prior, len(self.known))
+            self.weights, self.bias = fit_nnpu(pos, unl, self.prior, len(known))
         else:
-            self.weights, self.bias = np.zeros(len(self.known)), float(np.log(self.prior / (1 - self.prior)))
+            self.weights, self.bias = np.zeros(len(known)), float(np.log(self.prior / (1 - self.prior)))
+        return self
 
-    def _kept(self, row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _known(self.known, row, col)
+    def _telling(self, sample: DataFrame, n_pos: int, n_unl: int) -> np.ndarray:
+        """Columns whose shares among positives and unlabelled differ by ``min_z`` standard errors, counted by Spark."""
+        if not n_pos or not n_unl:
+            return np.zeros(0, np.int64)
+        counts = sample.select("_s", F.explode("c").alias("c")).groupBy("c").agg(F.sum("_s").alias("pos"), F.count(F.lit(1)).alias("n"))
+        pooled = F.col("n") / F.lit(float(n_pos + n_unl))
+        error = F.sqrt(pooled * (1 - pooled) * (1 / n_pos + 1 / n_unl))
+        gap = F.col("pos") / F.lit(float(n_pos)) - (F.col("n") - F.col("pos")) / F.lit(float(n_unl))
+        rows = counts.where((error > 0) & (F.abs(gap) >= self.min_z * error)).select("c").toArrow()  # 2 ** bits at most
+        return np.sort(rows.column("c").to_numpy()).astype(np.int64)
 
     def transform(self, docs: DataFrame, score_col: str = "score") -> DataFrame:
         """The input with a score of 0 to 1 for each row; an input column of that name gives way."""
@@ -192,11 +197,14 @@ class PuToxicity:
             weights, bias, known = held.value
             among = np.zeros(1 << features.bits, bool)
             among[known] = True
-            for text in texts:
-                row, col, n = features(text, among)
-                row, col = _known(known, row, col)
-                z = np.bincount(row, weights[col], minlength=n) + bias
-                yield pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            for batch in texts:
+                out = []
+                for i, j in cuts(batch):
+                    row, col, n = features(batch.slice(i, j - i), among)
+                    row, col = _known(known, row, col)
+                    z = np.bincount(row, weights[col], minlength=n) + bias
+                    out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+                yield pa.array(np.concatenate(out) if out else np.zeros(0))
 
         score.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
         return docs.withColumn(score_col, F.arrow_udf(score, "double")(F.col(text_col)))
