@@ -5,13 +5,15 @@ sequence is its only shingle.  Two documents link when intersection / union reac
 
 Equal sets collapse to their smallest id first.  Shingles are ordered by document frequency, rarest first.  With
 overlap at least t, the first ``n - t + l`` shingles of two linked documents share at least l of them, for any l.
+That overlap follows from both sizes, so a pair of like sizes needs shorter prefixes than either alone.
 Each document chooses the l, up to ``levels``, of least estimated cost: the entries of the lists that its longer
-prefix opens, plus verification of at most ``entries / l`` candidates.  A pair must share ``min(l, l')`` shingles
+prefix opens to documents of its size, plus verification of at most ``entries / l`` candidates.  A pair must share ``min(l, l')`` shingles
 of the prefixes of that level.  Shingles no other document has are never listed: they cannot match.
 
 Lists are joined in two steps, so that a group of thousands of near copies costs links in proportion to its size:
-first every document of a list meets only the list's smallest and largest ids; components of the verified links
-follow; then all pairs of a list that still lie in different components meet, under the multi-match condition.
+first every document of a list meets only the list's smallest and largest ids; in lists that the components of
+the verified links leave apart, every document then meets two more, picked by a hash, in each of ``turns`` turns;
+at last all pairs of a list that still lie in different components meet, under the multi-match condition.
 Pairs left out lie in one component already, so components are exact.
 
 Defined results: texts null or without words are empty sets and link with nothing; rows without an id take no part
@@ -22,14 +24,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm import exchange as X
 from lattica.llm.components import components
 from lattica.llm.shared import cut
 from lattica.llm.substring_dedup import _by_bucket, _found, _groups, _keys, _runs
-from lattica.llm.tokens import U64, mix, rolling, window_starts, words
+from lattica.llm.tokens import U64, mix, pieces, rolling, window_starts, words
 
 
 def shingle_sets(texts: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,17 +55,17 @@ def shingle_sets(texts: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndar
 class NgramJaccardJoin:
     """Near duplicates by exact Jaccard similarity of word shingles."""
 
-    def __init__(self, size: int = 5, percent: int = 75, levels: int = 4, id_col: str = "doc_id", text_col: str = "text"):
+    def __init__(self, size: int = 5, percent: int = 75, levels: int = 4, turns: int = 2, id_col: str = "doc_id", text_col: str = "text"):
         if not 1 <= percent <= 100 or size < 1 or levels < 1:
             raise ValueError("percent lies in 1..100, size and levels are at least 1")
-        self.size, self.percent, self.levels, self.id_col, self.text_col = size, percent, levels, id_col, text_col
+        self.size, self.percent, self.levels, self.turns, self.id_col, self.text_col = size, percent, levels, turns, id_col, text_col
 
     def sets(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_shingles, d1, d2) of every row: the size of its set and a 128-bit digest of it."""
         size, id_col, text_col = self.size, self.id_col, self.text_col
 
         def sign(batches):
-            for batch in batches:
+            for batch in pieces(batches, text_col):
                 h, first = shingle_sets(batch.column(text_col), size)
                 with np.errstate(over="ignore"):
                     sums = [np.concatenate(([U64(0)], np.cumsum(mix(h ^ U64(salt)), dtype=U64))) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
@@ -81,7 +84,7 @@ class NgramJaccardJoin:
         reps = reps.select("doc_id", X.batch_of("doc_id", "doc_id", batches).alias("_batch"))
 
         def own_sets(table: pa.Table, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            table = table.filter(pa.compute.is_in(table.column("doc_id"), value_set=pa.array(ids, pa.int64())))
+            table = table.filter(pc.is_in(table.column("doc_id"), value_set=pa.array(ids, pa.int64())))
             h, first = shingle_sets(table.column("text"), size)
             return table.column("doc_id").to_numpy(), h, first
 
@@ -107,7 +110,7 @@ class NgramJaccardJoin:
             return pa.table({"_batch": pa.array([int(batch[i]) for i, _ in runs], pa.int32()), "keys": pa.array([X.pack(low[i:j]) for i, j in runs], pa.binary()), "counts": pa.array([X.pack_counts(total[i:j]) for i, j in runs], pa.binary())})
 
         def prefixes(key: tuple, docs: pa.Table, notes: pa.Table) -> pa.Table:
-            known = notes.filter(pa.compute.is_valid(notes.column("keys")))
+            known = notes.filter(pc.is_valid(notes.column("keys")))
             shared = np.concatenate([X.unpack(b) for b in known.column("keys").to_pylist()] or [np.zeros(0, U64)])
             freq = np.concatenate([X.unpack_counts(b) for b in known.column("counts").to_pylist()] or [np.zeros(0, np.uint32)]).astype(np.int64)
             by = np.argsort(shared)
@@ -122,19 +125,19 @@ class NgramJaccardJoin:
             doc, keys, df = doc[order], keys[order], df[order]
             begin = np.searchsorted(doc, np.arange(len(n) + 1))
             alone = n - np.diff(begin)
-            t = -(-percent * n // 100)
+            t, like = -(-percent * n // 100), -(-2 * percent * n // (100 + percent))
             position = np.arange(len(doc)) - begin[doc] + alone[doc]
             level = np.maximum(1, position - (n - t)[doc] + 1)
             opened = np.concatenate(([0], np.cumsum(df - 1)))
             best, chosen = np.full(len(n), np.inf), np.ones(len(n), np.int64)
             for lv in range(1, levels + 1):
-                end = np.clip(begin[:-1] + n - t + lv - alone, begin[:-1], begin[1:])
+                end = np.clip(begin[:-1] + n - like + lv - alone, begin[:-1], begin[1:])
                 entries = opened[end] - opened[begin[:-1]]
-                cost = entries + entries / lv * (n / 8)
+                cost = entries + entries / lv * (n / 32)
                 better = (cost < best) & (t >= lv)
                 best, chosen = np.where(better, cost, best), np.where(better, lv, chosen)
             keep = level <= chosen[doc]
-            doc, keys, level = doc[keep], keys[keep], level[keep]
+            doc, keys, position = doc[keep], keys[keep], position[keep]
             some = np.unique(doc)
             order = np.lexsort((ids[doc], keys))
             b = _groups(keys[order]) if len(order) else np.zeros(1, np.int64)
@@ -150,7 +153,7 @@ class NgramJaccardJoin:
                 "a": column(pa.int64(), (0, ids[doc]), (1, ids[some]), (2, lo), (3, pairs[:, 0])),
                 "b": column(pa.int64(), (2, hi), (3, pairs[:, 1])),
                 "n": column(pa.int32(), (0, n[doc].astype(np.int32))),
-                "level": column(pa.int32(), (0, level.astype(np.int32))),
+                "rest": column(pa.int32(), (0, (n[doc] - position).astype(np.int32))),
                 "chosen": column(pa.int32(), (0, chosen[doc].astype(np.int32))),
                 "hashes": column(pa.list_(pa.int64()), (1, [h[first[d] : first[d + 1]].view(np.int64) for d in some])),
             })
@@ -158,7 +161,7 @@ class NgramJaccardJoin:
         sent = dealt.groupBy("_batch").cogroup(reps.groupBy("_batch")).applyInArrow(send, "_bucket int, _batch int, keys binary, counts binary")
         shared = sent.groupBy("_bucket").applyInArrow(count, "_batch int, keys binary, counts binary")
         notes = reps.withColumns({"keys": F.lit(None).cast("binary"), "counts": F.lit(None).cast("binary")}).unionByName(shared.withColumn("doc_id", F.lit(None).cast("long")))
-        return dealt.groupBy("_batch").cogroup(notes.groupBy("_batch")).applyInArrow(prefixes, "kind string, key long, a long, b long, n int, level int, chosen int, hashes array<long>")
+        return dealt.groupBy("_batch").cogroup(notes.groupBy("_batch")).applyInArrow(prefixes, "kind string, key long, a long, b long, n int, rest int, chosen int, hashes array<long>")
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole sets are similar enough."""
@@ -166,34 +169,64 @@ class NgramJaccardJoin:
         both = F.size(F.array_intersect("ha", "hb"))
         return pairs.join(left, "a").join(right, "b").where(100 * both >= self.percent * (F.size("ha") + F.size("hb") - both)).select("a", "b")
 
+    def _may_match(self, lo: str, hi: str) -> Column:
+        """Whether sizes fit and a shared shingle lies in both prefixes of the pair's level.
+
+        A pair needs an overlap of percent / (100 + percent) of both sizes together; a shingle with ``rest`` shingles
+        from it on lies in the prefix of level l when rest + l - 1 reaches that overlap.
+        """
+        p = self.percent
+        level = F.least("chosen_a", "chosen_b")
+        sizes = (100 * F.col(f"{hi}_a") >= p * F.col(f"{lo}_b")) & (100 * F.col(f"{hi}_b") >= p * F.col(f"{lo}_a"))
+        return sizes & (p * (F.col(f"{lo}_a") + F.col(f"{lo}_b")) <= (100 + p) * (F.least("rest_a", "rest_b") + level - 1))
+
     def links(self, docs: DataFrame, reps: DataFrame) -> DataFrame:
         """Verified links (a, b) between representatives: enough of them for every component to be whole."""
         listed = cut(self._listed(docs, reps), "prefixes")
         sets = listed.where("kind = 'S'").select("a", "hashes")
-        postings = listed.where("kind = 'P'").select("key", F.col("a").alias("doc"), "n", "level", "chosen")
+        postings = listed.where("kind = 'P'").select("key", F.col("a").alias("doc"), "n", "rest", "chosen")
         extremes = listed.where("kind = 'G'").select("key", "a", "b")
         lists = cut(extremes.groupBy("key").agg(F.min("a").alias("lo"), F.max("b").alias("hi")).where("lo < hi"), "lists")
         met = extremes.join(lists, "key").select(F.explode(F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x in "ab" for y in ("lo", "hi")))).alias("p")).select("p.*")
         ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
         stars = cut(ordered(met.unionByName(listed.where("kind = 'L'").select("a", "b"))), "stars")
         found = cut(self._verified(stars, sets), "links")
-        label = components(found)
-        placed = cut(postings.join(label.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc")), "placed")
-        split = cut(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "split")
-        if split.isEmpty():
+        met = stars
+        for turn in range(self.turns):
+            lists = self._open(postings, found)
+            if lists is None:
+                return found
+            new = cut(self._pivots(lists, turn).join(met, ["a", "b"], "left_anti"), "pivots")
+            met = met.unionByName(new)
+            found = cut(found.unionByName(self._verified(new, sets)), "links")
+        lists = self._open(postings, found)
+        if lists is None:
             return found
-        open_lists = placed.join(split, "key", "left_semi")
-        parts = cut(open_lists.select("key", "root").distinct(), "parts")
-        meet = parts.withColumnRenamed("root", "ra").join(parts.withColumnRenamed("root", "rb"), "key").where("ra < rb")
-        one, two = (open_lists.select("key", F.col("root").alias(f"r{k}"), *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "n", "level", "chosen"))) for k in "ab")
-        least = F.least("chosen_a", "chosen_b")
-        match = meet.join(one, ["key", "ra"]).join(two, ["key", "rb"])
-        match = match.where((F.greatest("level_a", "level_b") <= least) & (100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")))
-        match = match.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"), least.alias("need"))
+        whole = [F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max("rest").alias("rest"), F.max("chosen").alias("chosen")]
+        parts = cut(lists.groupBy("key", "root").agg(*whole), "parts")
+        meet = _side(parts, "a").join(_side(parts, "b"), "key").where("root_a < root_b").where(self._may_match("n_lo", "n_hi")).select("key", "root_a", "root_b")
+        match = meet.join(_side(lists, "a"), ["key", "root_a"]).join(_side(lists, "b"), ["key", "root_b"]).where(self._may_match("n", "n"))
+        match = match.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"), F.least("chosen_a", "chosen_b").alias("need"))
         more = match.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b")
-        more = cut(more.join(stars, ["a", "b"], "left_anti"), "candidates")
+        more = cut(more.join(met, ["a", "b"], "left_anti"), "candidates")
         return found.unionByName(self._verified(more, sets))
 
+    def _open(self, postings: DataFrame, found: DataFrame) -> DataFrame | None:
+        """Postings of the lists whose documents the links found so far leave in several components, with their roots."""
+        label = components(found)
+        placed = cut(postings.join(label.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc")), "placed")
+        split = cut(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "split")
+        return None if split.isEmpty() else placed.join(split, "key", "left_semi")
+
+    def _pivots(self, lists: DataFrame, turn: int) -> DataFrame:
+        """Each document of an open list with two documents of it that a hash of list, document and turn picks."""
+        row, order = F.struct(*(c for c in lists.columns if c != "key")), F.xxhash64(F.lit(turn), "key", "doc")
+        picked = cut(lists.groupBy("key").agg(F.min_by(row, order).alias("one"), F.max_by(row, order).alias("two")), "picked")
+        met = _side(lists, "a").join(picked.select("key", F.explode(F.array("one", "two")).alias("p")).select("key", *(F.col(f"p.{c}").alias(f"{c}_b") for c in lists.columns if c != "key")), "key")
+        p = self.percent
+        met = met.where((F.col("root_a") != F.col("root_b")) & (100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b")))
+        return met.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
+
     def classes(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row; component_id is the smallest id reachable by links."""
         signed = cut(self.sets(docs), "sets")
@@ -203,3 +236,8 @@ class NgramJaccardJoin:
         placed = cut(reps.join(label.select(F.col("node").alias("rep"), "root"), "rep", "left").select(*same, F.coalesce("root", "rep").alias("root")), "classes")
         out = signed.join(placed, same, "left")
         return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+
+
+def _side(df: DataFrame, side: str) -> DataFrame:
+    """The frame with every column but the key named for one side of a self-join."""
+    return df.select("key", *(F.col(c).alias(f"{c}_{side}") for c in df.columns if c != "key"))
