@@ -3,8 +3,10 @@
 Element subtrees are hashed and counted per host; subtrees that recur on many pages of their host are its template
 and are deleted.  What is left of the page's content root (its ``article`` or ``main`` with the most text, else its
 body), without boilerplate elements, is the main text.  A paragraph, heading, quotation or table that recurs inside
-an ``article`` or ``main`` is content that pages share, such as copies of an article, and stays; the root itself and
-what encloses it are never template.
+an ``article`` or ``main`` is content that pages share and stays; the root itself and what encloses it are never
+template.  Subtrees are counted on distinct pages only: inside an article or main, pages whose roots have the same
+text are one page, and elsewhere pages that have the same text, so that copies of an article or of a whole body
+never make their own parts template.
 
 Text: character references decoded, white space inside a block turned into one space, blocks trimmed and joined by
 newlines in page order, empty blocks left out, nothing cut short.  ``br`` is white space.
@@ -133,17 +135,42 @@ class Page:
         while e > 0:
             e = self.parent[e]
             above.add(e)
-        inside = [False] * len(self.tag)
+        inside = self._inside(root)
         named = self.tag[root] in ("article", "main")
         out = {}
         for e in range(1, len(self.tag)):
-            inside[e] = self.parent[e] == root or inside[self.parent[e]]
             if e in above or self.tag[e] in CONTENT and (named or not inside[e]) or self.tag[e] == "head" or self.tag[self.parent[e]] == "head":
                 continue
             source = " ".join(self.html[self.begin[e] : self.end[e]].split())
-            out[e] = xxhash.xxh3_64_intdigest(source.encode("utf-8", "surrogatepass")) - (1 << 63)
+            out[e] = _hash(source)
         return out
 
+    def contents(self, found: dict[int, int]) -> tuple[int, dict[int, int]]:
+        """A hash of the page's text, and for each of the subtrees found one of the text it is counted by.
+
+        That is the root's text inside an article or main, so that copies of an article count as one page whatever
+        surrounds them, and else the page's: the body's text without boilerplate.
+        """
+        root = self.root()
+        named = root and self.tag[root] != "body"
+        inside = self._inside(root)
+        kept = [True] + [False] * (len(self.tag) - 1)
+        for e in range(1, len(self.tag)):
+            kept[e] = e == root or self.tag[e] in ("html", "body") or kept[self.parent[e]] and not self._boilerplate(e, root)
+        runs = [(e, self.html[b:t]) for e, b, t in self.texts if kept[e]]
+        page = " ".join(" ".join(x for _, x in runs).split())
+        page = _hash(page or self.html)
+        own = " ".join(" ".join(x for e, x in runs if e == root or inside[e]).split()) if named else ""
+        own = _hash(own) if own else page
+        return page, {e: own if inside[e] else page for e in found}
+
+    def _inside(self, root: int) -> list[bool]:
+        """Of each element, whether it lies in the root."""
+        inside = [False] * len(self.tag)
+        for e in range(1, len(self.tag)):
+            inside[e] = self.parent[e] == root or inside[self.parent[e]]
+        return inside
+
     def text(self, template: set[int]) -> str:
         """The root's text without template subtrees and boilerplate."""
         root = self.root()
@@ -180,6 +207,10 @@ class Page:
         return tag in BOILERPLATE or tag not in CONTENT and bool(self.attrs[e]) and not MARKS.isdisjoint(_marks(self.attrs[e]))
 
 
+def _hash(source: str) -> int:
+    return xxhash.xxh3_64_intdigest(source.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def _marks(attrs: str, only: str = "") -> set[str]:
     if "=" not in attrs:
         return set()
@@ -203,22 +234,30 @@ class TemplateRemoval:
         return own.withColumn("_key", F.xxhash64("page_id", "url", "html")).withColumn("_host", host_of("url"))
 
     def template(self, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(_key, _host, hash) of every candidate subtree, and the (_host, hash, n) that are template."""
+        """(_key, _host, _content, hash) of every candidate subtree, and the (_host, hash, n) that are template.
+
+        ``_content`` is the text that a subtree is counted by; a row without a hash has that of the page.
+        """
 
         def subtrees(batches):
             for b in batches:
-                keys, hosts, hashes = [], [], []
+                keys, hosts, contents, hashes = [], [], [], []
                 for key, host, html in zip(b.column("_key").to_pylist(), b.column("_host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                    own = set(Page(html).subtrees().values()) if html else ()
+                    page = Page(html or "")
+                    found = page.subtrees()
+                    whole, by = page.contents(found)
+                    own = [(whole, None), *{(by[e], h) for e, h in found.items()}]
                     keys += [key] * len(own)
                     hosts += [host] * len(own)
-                    hashes += own
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["_key", "_host", "hash"])
+                    contents += [c for c, _ in own]
+                    hashes += [h for _, h in own]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(hashes, pa.int64())], names=["_key", "_host", "_content", "hash"])
 
         keyed = self._keyed(pages)
-        found = cut(keyed.select("_key", "_host", "html").mapInArrow(subtrees, "_key long, _host string, hash long"), "subtrees")
-        counted = found.groupBy("_host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.min_pages)
-        hosts = keyed.groupBy("_host").agg(F.count(F.lit(1)).alias("pages"))
+        found = cut(keyed.select("_key", "_host", "html").mapInArrow(subtrees, "_key long, _host string, _content long, hash long"), "subtrees")
+        distinct = found.select("_host", "_content", "hash").distinct()
+        counted = distinct.where("hash IS NOT NULL").groupBy("_host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.min_pages)
+        hosts = distinct.where("hash IS NULL").groupBy("_host").agg(F.count(F.lit(1)).alias("pages"))
         return found, cut(counted.join(hosts, "_host").where(F.col("n") >= self.min_share * F.col("pages")).select("_host", "hash", "n"), "template")
 
     def transform(self, pages: DataFrame) -> DataFrame:

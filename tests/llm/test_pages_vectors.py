@@ -42,6 +42,18 @@ def test_template_removal(spark):
     assert TemplateRemoval().transform(pages.where("1 = 0")).count() == 0
 
 
+def test_copies_keep_their_parts(spark):
+    parts = "<div class=body><p>copied</p><ul><li>one</ul><section>two</section></div><dl><dt>three</dl>"
+    box = lambda k: f"<div class=x>buy {k % 2}</div>"
+    rows = [(k, f"http://a.example/{k}", f"<body>{box(k)}<article>{parts}</article><div>side {k}</div></body>") for k in range(12)]
+    rows += [(20 + k, f"http://b.example/{k}", f"<body><nav>at {k}</nav>{parts}</body>") for k in range(12)]
+    rows += [(40 + k, f"http://c.example/{k}", f"<body>{box(0)}<article><div>own {k}</div>{box(1)}</article></body>") for k in range(12)]
+    got = {r.page_id: r.text for r in TemplateRemoval().transform(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    copied = "copied\none\ntwo\nthree"
+    for k in range(12):
+        assert copied in got[k] and got[20 + k] == copied and got[40 + k] == f"own {k}"
+
+
 def pages_of(spark):
     big = "ü" * 600
     rows = [(1, "http://a/1", big, 0), (2, "http://a/2\nx", big, 0), (3, None, big, 0), (4, "u", "small", 0), (5, "u", "small", 0), (6, "u", None, 0), (None, "u", big, 0), (8, "u", "x" * 100_000, 0)]
