@@ -1,12 +1,14 @@
 """Main text of web pages by site template removal.
 
 Element subtrees are hashed and counted per host; subtrees that recur on many pages of their host are its template
-and are deleted.  What is left of the page's content root (its ``article`` or ``main`` with the most text, else its
-body), without boilerplate elements, is the main text.  A paragraph, heading, quotation or table that recurs inside
-an ``article`` or ``main`` is content that pages share and stays; the root itself and what encloses it are never
-template.  Subtrees are counted on distinct pages only: inside an article or main, pages whose roots have the same
-text are one page, and elsewhere pages that have the same text, so that copies of an article or of a whole body
-never make their own parts template.
+and are deleted.  What is left of the page's body, without boilerplate elements, is the main text.  The body's articles
+and mains are its content roots, save those marked as comments, related pages or sidebars.  A paragraph, heading,
+quotation or table that recurs inside one is content that pages share and stays; roots themselves and what encloses
+them are never template.  What lies outside them goes where it recurs, like any other part of a page.
+
+Subtrees are counted on distinct pages only: inside an article or main, pages whose roots have the same text are one
+page, and elsewhere pages that have the same text, so that copies of an article or of a whole body never make their
+own parts template.
 
 Text: character references decoded, white space inside a block turned into one space, blocks trimmed and joined by
 newlines in page order, empty blocks left out, nothing cut short.  ``br`` is white space.
@@ -35,9 +37,14 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 CLOSES_P = BLOCK - frozenset("li dd dt td th tr tbody thead tfoot body html summary figcaption".split())
 BOILERPLATE = frozenset("nav header footer aside form button select dialog menu head".split()) | RAW
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table thead tbody tr td th li dd dt br b i em strong span a code sub sup img figcaption".split())
+INLINE = frozenset("br b i em strong span a code sub sup img".split())
+ASIDE = RAW | frozenset("nav footer aside select button dialog menu head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Words of class, id or role attributes that mark boilerplate.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus reply replies share sharing social related recommended newsletter subscribe signup login search pagination pager widget toolbar skip complementary contentinfo".split())
+#: Words that set an article aside, and those that may stand beside them in a name.
+SET_ASIDE = frozenset("comment comments disqus reply replies related recommended sidebar complementary ad ads advert adverts advertisement".split())
+NEUTRAL = frozenset("list lists item items post posts article articles entry section area box block card thread body content container wrapper wrap user reader teaser story stories reading".split())
 #: What an element with an optional end tag closes when it begins.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
@@ -115,34 +122,63 @@ class Page:
             if own in scope:
                 return
 
-    def root(self) -> int:
-        """The content root: the article or main with the most text, else the body, else the page."""
-        size = [0] * len(self.tag)
-        for e, b, t in self.texts:
-            if self.tag[e] not in RAW:
-                size[e] += t - b
-        for e in range(len(self.tag) - 1, 0, -1):
-            size[self.parent[e]] += size[e]
-        named = [e for e, t in enumerate(self.tag) if t in ("article", "main") or "main" in _marks(self.attrs[e], "role")]
-        if named:
-            return max(named, key=lambda e: (size[e], -e))
+    def roots(self) -> tuple[list[int], list[int]]:
+        """The content roots, and for each element the root it lies in or is, else 0.
+
+        Roots are the articles and mains that lie in no other one and are not set aside as comments, related pages
+        or sidebars, nor lie in what is.  A page may have none: then its body is its content.
+        """
+        roots, within, aside = [], [0] * len(self.tag), [False] * len(self.tag)
+        for e in range(1, len(self.tag)):
+            p, tag = self.parent[e], self.tag[e]
+            within[e] = within[p]
+            aside[e] = aside[p] or tag in ASIDE or tag not in ("html", "body") and _set_aside(self.attrs[e])
+            if not within[e] and not aside[e] and (tag in ("article", "main") or "main" in _marks(self.attrs[e], "role")):
+                within[e] = e
+                roots.append(e)
+        return roots, within
+
+    def body(self) -> int:
         return next((e for e, t in enumerate(self.tag) if t == "body"), 0)
 
+    def _above(self, roots: list[int]) -> set[int]:
+        """The content roots, the body, and what encloses them."""
+        above = {0}
+        for e in (*roots, self.body()):
+            while e not in above:
+                above.add(e)
+                e = self.parent[e]
+        return above
+
+    def _kept(self, drop: set[int], outside: bool) -> list[bool]:
+        """Of each element, whether its text is main text: that of the roots, and with ``outside`` of the whole body."""
+        roots, within = self.roots()
+        base, above = self.body(), self._above(roots)
+        outside = outside or not roots
+        kept = [outside and base == 0] + [False] * (len(self.tag) - 1)
+        for e in range(1, len(self.tag)):
+            p = self.parent[e]
+            if e in above:
+                kept[e] = within[e] == e or outside and (e == base or kept[p])
+            else:
+                kept[e] = kept[p] and e not in drop and not self._boilerplate(e, within[e])
+        return kept
+
     def subtrees(self) -> dict[int, int]:
-        """Hashes of the elements that may be template: all but the root, what encloses it, and content inside it."""
-        root = self.root()
-        above, e = {root}, root
-        while e > 0:
-            e = self.parent[e]
-            above.add(e)
-        inside = self._inside(root)
-        named = self.tag[root] in ("article", "main")
+        """Hashes of the elements that may be template: all but roots, what encloses them, and content inside them.
+
+        Inline markup within a paragraph or other content is part of it, and so are the elements of boilerplate.
+        """
+        roots, within = self.roots()
+        above, kept = self._above(roots), self._kept(set(), True)
         out = {}
         for e in range(1, len(self.tag)):
-            if e in above or self.tag[e] in CONTENT and (named or not inside[e]) or self.tag[e] == "head" or self.tag[self.parent[e]] == "head":
+            p, tag = self.parent[e], self.tag[e]
+            if e in above or tag == "head" or self.tag[p] == "head":
                 continue
-            source = " ".join(self.html[self.begin[e] : self.end[e]].split())
-            out[e] = _hash(source)
+            if tag in CONTENT and (not kept[e] or self.tag[within[e]] in ("article", "main") or tag in INLINE and self.tag[p] in CONTENT):
+                continue
+            out[e] = _hash(" ".join(self.html[self.begin[e] : self.end[e]].split()))
         return out
 
     def contents(self, found: dict[int, int]) -> tuple[int, dict[int, int]]:
@@ -151,36 +187,25 @@ class Page:
         That is the root's text inside an article or main, so that copies of an article count as one page whatever
         surrounds them, and else the page's: the body's text without boilerplate.
         """
-        root = self.root()
-        named = root and self.tag[root] != "body"
-        inside = self._inside(root)
-        kept = [True] + [False] * (len(self.tag) - 1)
-        for e in range(1, len(self.tag)):
-            kept[e] = e == root or self.tag[e] in ("html", "body") or kept[self.parent[e]] and not self._boilerplate(e, root)
-        runs = [(e, self.html[b:t]) for e, b, t in self.texts if kept[e]]
-        page = " ".join(" ".join(x for _, x in runs).split())
-        page = _hash(page or self.html)
-        own = " ".join(" ".join(x for e, x in runs if e == root or inside[e]).split()) if named else ""
-        own = _hash(own) if own else page
-        return page, {e: own if inside[e] else page for e in found}
-
-    def _inside(self, root: int) -> list[bool]:
-        """Of each element, whether it lies in the root."""
-        inside = [False] * len(self.tag)
-        for e in range(1, len(self.tag)):
-            inside[e] = self.parent[e] == root or inside[self.parent[e]]
-        return inside
-
-    def text(self, template: set[int]) -> str:
-        """The root's text without template subtrees and boilerplate."""
-        root = self.root()
+        _, within = self.roots()
+        kept = self._kept(set(), True)
+        runs: dict[int, list[str]] = {}
+        for e, b, t in self.texts:
+            if kept[e]:
+                runs.setdefault(within[e], []).append(self.html[b:t])
+        texts = {r: " ".join(" ".join(x).split()) for r, x in runs.items()}
+        page = _hash("\n".join(texts[r] for r in sorted(texts) if texts[r]) or self.html)
+        own = {r: _hash(x) for r, x in texts.items() if r and x}
+        return page, {e: own.get(within[e], page) for e in found}
+
+    def text(self, template: set[int], outside: bool = False) -> str:
+        """The main text without template subtrees and boilerplate.
+
+        ``outside`` tells that ``template`` is what recurs on the page's host, which then decides what goes of the
+        text outside the content roots.  A page read by itself has no host to tell, and keeps its roots only.
+        """
         drop = {e for e, h in self.subtrees().items() if h in template} if template else set()
-        kept, block = [False] * len(self.tag), [0] * len(self.tag)
-        kept[0] = root == 0
-        for e in range(1, len(self.tag)):
-            p = self.parent[e]
-            kept[e] = e == root or kept[p] and e not in drop and not self._boilerplate(e, root)
-            block[e] = e if self.tag[e] in BLOCK else block[p]
+        kept = self._kept(drop, outside)
         blocks: list[tuple[int, list[str]]] = []
         # a block's text ends where another block begins or ends, so runs join while nothing but inline markup lies between
         edges = sorted({b for e in range(1, len(self.tag)) if self.tag[e] in BLOCK for b in (self.begin[e], self.end[e])})
@@ -202,8 +227,8 @@ class Page:
 
     def _boilerplate(self, e: int, root: int) -> bool:
         tag = self.tag[e]
-        if tag == "header" and root:
-            return not any(self.tag[c] in HEADINGS for c in range(e + 1, len(self.tag)) if self.begin[c] < self.end[e]) or self.tag[root] not in ("article", "main")
+        if tag == "header" and self.tag[root] in ("article", "main"):
+            return not any(self.tag[c] in HEADINGS for c in range(e + 1, len(self.tag)) if self.begin[c] < self.end[e])
         return tag in BOILERPLATE or tag not in CONTENT and bool(self.attrs[e]) and not MARKS.isdisjoint(_marks(self.attrs[e]))
 
 
@@ -217,6 +242,18 @@ def _marks(attrs: str, only: str = "") -> set[str]:
     return {w.lower() for m in _MARKED.finditer(attrs) if not only or m.group(0).lower().startswith(only) for w in _WORD.findall(m.group(1) or m.group(2) or m.group(3) or "")}
 
 
+def _set_aside(attrs: str) -> bool:
+    """Whether a class, id or role says nothing but that an element holds comments, related pages, a sidebar or ads."""
+    if "=" not in attrs:
+        return False
+    for m in _MARKED.finditer(attrs):
+        for name in (m.group(1) or m.group(2) or m.group(3) or "").lower().split():
+            words = set(_WORD.findall(name))
+            if words & SET_ASIDE and words <= SET_ASIDE | NEUTRAL:
+                return True
+    return False
+
+
 def host_of(url: str):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)), F.lit(""))
 
@@ -268,7 +305,7 @@ class TemplateRemoval:
         def extract(batches):
             for b in batches:
                 drop = [set(x or ()) for x in b.column("_drop").to_pylist()]
-                texts = [Page(h).text(d) if h else "" for h, d in zip(b.column("html").to_pylist(), drop, strict=True)]
+                texts = [Page(h).text(d, outside=True) if h else "" for h, d in zip(b.column("html").to_pylist(), drop, strict=True)]
                 sizes = [pa.array([len(x) for x in v], pa.int64()) for v in (texts, drop)]
                 yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), *sizes], names=["page_id", "url", "text", "n_chars", "n_template"])
 

@@ -54,6 +54,28 @@ def test_copies_keep_their_parts(spark):
         assert copied in got[k] and got[20 + k] == copied and got[40 + k] == f"own {k}"
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<body><article><p>a</p></article><article><h2>b</h2>longer</article><main><article>c</article>d</main></body>", "a\nb\nlonger\nc\nd"),
+        ("<body><div><p>main <b>text</b> in a div</p></div><article class=teaser>more</article></body>", "main text in a div\nmore"),
+        ("<body><article>real</article><article class='comment'>a reader's much longer words</article><section id=comments><article>another of them, longer</article></section></body>", "real"),
+        ("<body><div>text</div><article class=comment>words</article></body>", "text"),
+        ("<body class=comments-open><div class=has-sidebar><article class='post share'>real</article></div><aside><article>card</article></aside></body>", "real"),
+    ],
+)
+def test_text_outside_the_largest_article(html, text):
+    assert Page(html).text(set(), outside=True) == text
+
+
+def test_hosts_decide_outside_articles(spark):
+    side = "<div class=x><p>about us</p></div><p>write to us</p>"
+    rows = [(k, f"http://a.example/{k}", f"<body>{side}<div><p>main {k} <b>and</b> more</p></div><article class=teaser>card</article></body>") for k in range(9)]
+    rows += [(20 + k, f"http://b.example/{k}", f"<body>{side}<article><p>one {k}</p></article><article><p>and two {k}</p></article></body>") for k in range(9)]
+    got = {r.page_id: r.text for r in TemplateRemoval().transform(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"main {k} and more\ncard" for k in range(9)} | {20 + k: f"one {k}\nand two {k}" for k in range(9)}
+
+
 def pages_of(spark):
     big = "ü" * 600
     rows = [(1, "http://a/1", big, 0), (2, "http://a/2\nx", big, 0), (3, None, big, 0), (4, "u", "small", 0), (5, "u", "small", 0), (6, "u", None, 0), (None, "u", big, 0), (8, "u", "x" * 100_000, 0)]
