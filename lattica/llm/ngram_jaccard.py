@@ -14,7 +14,8 @@ Lists are joined in two steps, so that a group of thousands of near copies costs
 first every document of a list meets only the list's smallest and largest ids; in lists that the components of
 the verified links leave apart, every document then meets two more, picked by a hash, in each of ``turns`` turns;
 at last all pairs of a list that still lie in different components meet, under the multi-match condition.
-Pairs left out lie in one component already, so components are exact.
+Pairs left out lie in one component already, so components are exact.  That serves ``classes`` alone; ``linked``
+gives every link: all pairs of every list meet, under the multi-match condition.
 
 Defined results: texts null or without words are empty sets and link with nothing; rows without an id take no part
 and get no component; rows with one id are one node; an empty table gives an empty result.
@@ -227,11 +228,46 @@ class NgramJaccardJoin:
         met = met.where((F.col("root_a") != F.col("root_b")) & (100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b")))
         return met.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
 
+    def all_links(self, docs: DataFrame, reps: DataFrame) -> DataFrame:
+        """Every link (a, b), a < b, between distinct sets, named by their representatives.
+
+        All pairs of each list meet under the multi-match condition, also those that lie in one component already.
+        """
+        listed = cut(self._listed(docs, reps), "prefixes")
+        postings = listed.where("kind = 'P'").select("key", F.col("a").alias("doc"), "n", "rest", "chosen")
+        match = _side(postings, "a").join(_side(postings, "b"), "key").where("doc_a < doc_b").where(self._may_match("n", "n"))
+        match = match.groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("chosen_a", "chosen_b")).alias("need"))
+        return self._verified(cut(match.where("shared >= need").select("a", "b"), "candidates"), listed.where("kind = 'S'").select("a", "hashes"))
+
+    def members(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, n_shingles, rep) of every row: the smallest id with the same set; none for empty sets and null ids."""
+        signed, reps = self._signed(docs)
+        rep = F.when(F.col("doc_id").isNotNull(), F.col("rep"))
+        return signed.join(reps, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", rep.alias("rep"))
+
+    def linked(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The join's whole result: every link between representatives, and (doc_id, n_shingles, rep, n_links) of every row.
+
+        Documents link when they have one representative, or two that link; n_links counts the others a document
+        links with.
+        """
+        members = cut(self.members(docs), "members")
+        links = cut(self.all_links(docs, members.where("rep IS NOT NULL").select(F.col("rep").alias("doc_id")).distinct()), "all_links")
+        own = members.where("rep IS NOT NULL").select("doc_id", "rep").distinct().groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        others = both.join(own.select(F.col("rep").alias("b"), "own"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("own").alias("others"))
+        counted = own.join(others, "rep", "left").select("rep", (F.col("own") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        return links, members.join(counted, "rep", "left").select("doc_id", "n_shingles", "rep", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+    def _signed(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Every row's set by digest, and each distinct set's representative."""
+        signed = cut(self.sets(docs), "sets")
+        return signed, cut(signed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")), "reps")
+
     def classes(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row; component_id is the smallest id reachable by links."""
-        signed = cut(self.sets(docs), "sets")
+        signed, reps = self._signed(docs)
         same = ["n_shingles", "d1", "d2"]
-        reps = cut(signed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")), "reps")
         label = components(self.links(docs, reps.select(F.col("rep").alias("doc_id")).distinct()))
         placed = cut(reps.join(label.select(F.col("node").alias("rep"), "root"), "rep", "left").select(*same, F.coalesce("root", "rep").alias("root")), "classes")
         out = signed.join(placed, same, "left")

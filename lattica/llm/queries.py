@@ -67,6 +67,29 @@ FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.d = w.doc_id GROUP BY w.doc_id
 """
 
 
+@query
+def op3_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the number of documents it links with, over all links."""
+    from lattica.llm.ngram_jaccard import NgramJaccardJoin
+
+    return NgramJaccardJoin(size=5, percent=75).linked(table(spark, sf_dir, "documents"))[1]
+
+
+ORACLES["op3_ngram_jaccard_links"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, least(len(ws), 1)))) AS p FROM w),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + 4], ' ') AS sh FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y, c = a.n AND c = b.n AS same FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+e AS (SELECT x AS d, y AS o, same FROM l UNION ALL SELECT y, x, same FROM l),
+k AS (SELECT d, count(*) AS n_links, min(o) FILTER (same) AS least_same FROM e GROUP BY 1)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CASE WHEN n > 0 THEN least(w.doc_id, coalesce(least_same, w.doc_id)) END AS rep,
+       CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k ON k.d = w.doc_id
+"""
+
+
 @query
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.decontaminate import Decontaminator

@@ -113,6 +113,27 @@ def test_ngram_jaccard_of_many_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_classes(rows)
 
 
+def test_every_link_is_found(spark):
+    rng = random.Random(9)
+    base, rows = [f"b{k}" for k in range(120)], []
+    for k in range(120):
+        own = list(base)
+        for _ in range(rng.randrange(7)):
+            own[rng.randrange(len(own))] = f"e{rng.randrange(40)}"
+        rows.append((k, " ".join(own)))
+    rows += [(200, rows[3][1]), (201, rows[3][1].upper()), (202, "a lone line"), (203, ""), (204, None), (None, rows[3][1])]
+    sets = {d: {tuple(w[p : p + 5]) for p in range(max(len(w) - 4, min(len(w), 1)))} for d, t in rows if d is not None for w in [(t or "").lower().split()]}
+    like = lambda a, b: a and b and 100 * len(a & b) >= 75 * len(a | b)
+    rep = {d: min(e for e in sets if sets[e] == sets[d]) if sets[d] else None for d in sets}
+    links, counts = NgramJaccardJoin().linked(spark.createDataFrame(rows, "doc_id long, text string"))
+    first = sorted({r for r in rep.values() if r is not None})
+    want = {(a, b) for a in first for b in first if a < b and like(sets[a], sets[b])}
+    assert len(want) > 300 and sorted(tuple(r) for r in links.select("a", "b").collect()) == sorted(want)
+    got = {r.doc_id: (r.n_shingles, r.rep, r.n_links) for r in counts.collect()}
+    assert got.pop(None)[1:] == (None, 0)
+    assert got == {d: (len(sets[d]), rep[d], sum(1 for e in sets if e != d and like(sets[d], sets[e]))) for d in sets}
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(20)] + [(31, 30), (30, 31), (33, 30), (7, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
