@@ -178,6 +178,18 @@ DENSE = f"WITH {A}, G AS (SELECT a.range AS i, b.range AS j FROM range(50) a, ra
 query("csr2dense", f"{DENSE} SELECT i, j, v FROM D", lambda t: cv.csr2dense(cv.coo2csr(t.block())).df.select("i", F.posexplode("vals").alias("j", "v")).select("i", F.col("j").cast("bigint").alias("j"), "v"))
 query("dense2coo", f"{DENSE} SELECT i, j, v FROM D WHERE v <> 0", lambda t: cv.dense2coo(cv.csr2dense(cv.coo2csr(t.block()))).df)
 query("dense2csr", f"{DENSE} SELECT i, count(*) FILTER (v <> 0) AS nnz, sum(v) AS total FROM D GROUP BY 1", lambda t: cv.dense2csr(cv.csr2dense(cv.coo2csr(t.block()))).df.select("i", "nnz", F.aggregate("vals", F.lit(0.0), lambda s, e: s + e).alias("total")))
+# the same on whole tables: the four queries over a corner keep their SQL
+CELLS = "E AS (SELECT CAST(vec_id AS BIGINT) AS i, unnest(generate_series(0, 63)) AS j, unnest(embedding) AS v FROM embeddings)"
+
+
+def embedded(t: Tables) -> DenseMatrix:
+    """The embeddings, a row each."""
+    return DenseMatrix(t.table("embeddings").select(F.col("vec_id").cast("bigint").alias("i"), F.col("embedding").cast("array<double>").alias("vals")), t.rows("embeddings"), 64)
+
+
+query("csr2dense_whole", f"WITH {CELLS} SELECT i, j, CAST(v AS DOUBLE) AS v FROM E", lambda t: cv.csr2dense(cv.dense2csr(embedded(t))).df.select("i", F.posexplode("vals").alias("j", "v")).select("i", F.col("j").cast("bigint").alias("j"), "v"))
+query("dense2coo_whole", f"WITH {CELLS} SELECT i, j, CAST(v AS DOUBLE) AS v FROM E WHERE v <> 0", lambda t: cv.dense2coo(embedded(t)).df)
+query("dense2csr_whole", "SELECT CAST(p_partkey AS BIGINT) AS i, CAST((p_size <> 0)::INT + (p_partkey % 11 <> 0)::INT + 1 AS BIGINT) AS nnz, CAST(p_size + p_partkey % 11 + 1 AS DOUBLE) AS total FROM part", lambda t: cv.dense2csr(t.B).df.select("i", "nnz", F.aggregate("vals", F.lit(0.0), lambda s, e: s + e).alias("total")))
 query("dense_embeddings_nnz", "SELECT CAST(vec_id AS BIGINT) AS i, CAST(len(list_filter(embedding, lambda e: e <> 0)) AS BIGINT) AS nnz FROM embeddings", lambda t: cv.dense2csr(DenseMatrix(t.table("embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("vals")), t.rows("embeddings"), 64)).df.select("i", "nnz"))
 
 # products
@@ -207,6 +219,7 @@ query("matrix_add", f"WITH {A} SELECT i, j, 2 * v AS v FROM A", lambda t: b2.mat
 query("transpose", f"WITH {A} SELECT j AS i, i AS j, v FROM A", lambda t: t.A.transpose().df)
 SQUARE = f"WITH {A}, S AS (SELECT i, j, v FROM A WHERE i < 200 AND j < 200)"
 query("symmetrize", f"{SQUARE} SELECT i, j, v FROM S UNION ALL SELECT j, i, v FROM S WHERE i <> j", lambda t: t.block(200, 200).symmetrize().df)
+query("symmetrize_whole", f"WITH {A}, S AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM A a JOIN A b USING (i) GROUP BY 1, 2) SELECT i, j, v FROM S UNION ALL SELECT j, i, v FROM S WHERE i <> j", lambda t: b2.spgemm(t.A.transpose(), t.A).symmetrize().df)
 GRAM = f"WITH {A}, D AS (SELECT j AS i, sum(v * v) AS v FROM A GROUP BY 1)"
 query("diagonal", f"{GRAM} SELECT i, v FROM D", lambda t: b2.diagonal(b2.spgemm(t.A.transpose(), t.A)).df)
 query("inv_diagonal", f"{GRAM} SELECT i, 1 / v AS v FROM D", lambda t: b2.diagonal(b2.spgemm(t.A.transpose(), t.A), inverse=True).df)

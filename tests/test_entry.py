@@ -23,3 +23,15 @@ def test_agrees_with_sql(spark, name):
     order = sorted(want.columns)
     got = entry.queries()[name](spark, folder).select(*order).collect()
     assert sorted(map(tuple, got)) == sorted(want.project(", ".join(order)).fetchall())
+
+
+@pytest.mark.parametrize("name,source", [("csr2dense_whole", "embeddings"), ("dense2coo_whole", "embeddings"), ("dense2csr_whole", "part"), ("symmetrize_whole", "lineitem")])
+def test_conversions_read_whole_tables(spark, name, source):
+    import duckdb
+
+    con, folder = duckdb.connect(), "/root/testdata/sf0.001"
+    con.execute(f"CREATE VIEW {source} AS SELECT * FROM '{folder}/{source}.parquet'")
+    want = con.sql(entry.oracle_sql()[name])
+    got = entry.queries()[name](spark, folder).select(*sorted(want.columns)).collect()
+    assert len(got) >= spark.read.parquet(f"{folder}/{source}.parquet").count()
+    assert sorted(map(tuple, got)) == sorted(want.project(", ".join(sorted(want.columns))).fetchall())
