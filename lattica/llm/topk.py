@@ -4,8 +4,8 @@ Vectors become integers floor(scale * x).  Candidates lie in blocks; a block kee
 in descending order.  For a query, each dimension's list is read from the end that helps it (descending where the
 query's component is positive, ascending where negative), all lists to the same depth.  Rows seen get their exact
 score by random access.  No unseen row can beat the threshold, the sum of the products at that depth; the block is
-done when the threshold is below the k-th best score so far (ties go on, as a smaller id may win).  Depth doubles;
-lists that are read to the end have shown every row.  The best of a group's earlier blocks carry over to later ones.
+done when the threshold is below the k-th best score so far (ties go on, as a smaller id may win).  Depth grows
+sixteenfold; once the lists together are as long as the block, one matrix product scores all of its rows instead.  The best of a group's earlier blocks carry over to later ones.
 
 Queries and candidates meet as blocks of both: every pair of a query block and a candidate group is one bounded
 task, and each query merges k rows a group.
@@ -86,7 +86,7 @@ def search(block: Block, query_ids: np.ndarray, queries: np.ndarray, best: Best)
     while len(active) and depth < n:
         reach = FIRST_DEPTH if depth == 0 else min(n, depth * 16)
         if reach * dims >= n:
-            # the lists together show every row by now, or nearly: read them to the end
+            # the lists together are as long as the block: score every row, without reading on
             for s in range(0, len(active), 256):
                 part = active[s : s + 256]
                 for q, column in zip(part.tolist(), scores(block.values, queries[part]).T, strict=True):
