@@ -28,8 +28,8 @@ from lattica.llm.tokens import U64, Words, mix, rolling, window_starts, words
 
 #: Bits of a hash that travel; its bucket, drawn from all 64, tells the rest.
 KEY = U64((1 << 52) - 1)
-ASKED = "_bucket int, _batch int, size int, keys binary, counts binary"
-TOLD = "_batch int, _from int, size int, totals binary"
+ASKED = "_bucket int, _batch long, size int, keys binary, counts binary"
+TOLD = "_batch long, _from int, size int, totals binary"
 
 
 class Grams:
@@ -76,9 +76,8 @@ class StupidBackoff:
     def score(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_words, score, n_full) of every row; n_full counts the words scored without backing off."""
         order, alpha, id_col, text_col = self.order, self.alpha, self.id_col, self.text_col
-        batches, buckets = X.sizes(docs, text_col)
-        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = docs.select(id_col, text_col, X.batch_of(id_col, text_col, batches).alias("_batch")).repartition(parts, "_batch")
+        how = X.plan(docs, text_col)
+        buckets, dealt = how.buckets, X.dealt(X.stable(docs.select(id_col, text_col)), how, text_col)
 
         def known(w: Words, told: list[dict], upto: int) -> dict[int, np.ndarray]:
             """Counts of others by size and starting word, -1 where no n-gram starts or both shorter ones aren't shared."""
@@ -99,7 +98,7 @@ class StupidBackoff:
                 rows = [r for size in sizes for r in Grams(w, size, places(w, size, counts), buckets).rows()]
                 kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
                 out = {n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(("_bucket", "size", "keys", "counts"), kinds, strict=True))}
-                return pa.table({"_bucket": out["_bucket"], "_batch": pa.array([batch] * len(rows), pa.int32()), "size": out["size"], "keys": out["keys"], "counts": out["counts"]})
+                return pa.table({"_bucket": out["_bucket"], "_batch": pa.array([batch] * len(rows), pa.int64()), "size": out["size"], "keys": out["keys"], "counts": out["counts"]})
 
             return run
 
@@ -116,16 +115,17 @@ class StupidBackoff:
             told = [X.pack_counts(beyond[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
             return pa.table({"_batch": asked.column("_batch"), "_from": pa.array([key[0].as_py()] * len(n), pa.int32()), "size": asked.column("size"), "totals": pa.array(told, pa.binary())})
 
-        def first(key: tuple, docs: pa.Table) -> pa.Table:
-            return ask(range(1, 3))(key[0].as_py(), words(docs.column(text_col)), [])
+        def first(key: tuple, batch: pa.Table) -> pa.Table:
+            return ask(range(1, 3))(key[0].as_py(), words(X.rows(batch).column(text_col)), [])
 
         def later(size: int):
-            def run(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
-                return ask(range(size, size + 1))(key[0].as_py(), words(docs.column(text_col)), told.to_pylist())
+            def run(key: tuple, batch: pa.Table, told: pa.Table) -> pa.Table:
+                return ask(range(size, size + 1))(key[0].as_py(), words(X.rows(batch).column(text_col)), told.to_pylist())
 
             return run
 
-        def judge(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
+        def judge(key: tuple, batch: pa.Table, told: pa.Table) -> pa.Table:
+            docs = X.rows(batch)
             w = words(docs.column(text_col))
             counts = known(w, told.to_pylist(), order)
             doc, n = w.doc_of(), len(w.hash)
@@ -144,10 +144,11 @@ class StupidBackoff:
             ends = {"part": add(value), "n_words": w.lengths.astype(np.int64), "n_last": add(rest).astype(np.int64), "n_full": add(level == full).astype(np.int64)}
             return pa.table({"doc_id": docs.column(id_col), **{k: pa.array(v) for k, v in ends.items()}})
 
-        told = dealt.groupBy("_batch").applyInArrow(first, ASKED).groupBy("_bucket").applyInArrow(count, TOLD)
+        met = lambda asked: asked.repartition(how.bucket_parts, "_bucket").groupBy("_bucket").applyInArrow(count, TOLD).repartition(how.batch_parts, "_batch")
+        told = met(dealt.groupBy("_batch").applyInArrow(first, ASKED))
         for size in range(3, order + 1):
             asked = dealt.groupBy("_batch").cogroup(told.groupBy("_batch")).applyInArrow(later(size), ASKED)
-            told = told.unionByName(asked.groupBy("_bucket").applyInArrow(count, TOLD))  # one plan: its shuffles are written once and read again
+            told = told.unionByName(met(asked))  # one plan: its shuffles are written once and read again
         kind = docs.schema[id_col].dataType.simpleString()
         judged = cut(dealt.groupBy("_batch").cogroup(told.groupBy("_batch")).applyInArrow(judge, f"doc_id {kind}, part double, n_words long, n_last long, n_full long"), "scores")
         total = judged.agg(F.sum("n_words")).first()[0] or 0

@@ -33,7 +33,7 @@ from lattica.llm import exchange as X
 from lattica.llm.components import components
 from lattica.llm.shared import cut
 from lattica.llm.substring_dedup import _by_bucket, _found, _groups, _keys, _runs
-from lattica.llm.tokens import U64, mix, pieces, rolling, window_starts, words
+from lattica.llm.tokens import U64, mix, rolling, window_starts, words
 
 
 def shingle_sets(texts: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,39 +61,41 @@ class NgramJaccardJoin:
             raise ValueError("percent lies in 1..100, size and levels are at least 1")
         self.size, self.percent, self.levels, self.turns, self.id_col, self.text_col = size, percent, levels, turns, id_col, text_col
 
-    def sets(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, n_shingles, d1, d2) of every row: the size of its set and a 128-bit digest of it."""
-        size, id_col, text_col = self.size, self.id_col, self.text_col
+    def _read(self, docs: DataFrame) -> tuple[DataFrame, X.Plan]:
+        own = docs.select(F.col(self.id_col).cast("long").alias("doc_id"), F.col(self.text_col).alias("text"))
+        return X.stable(own), X.plan(own)
+
+    def sets(self, docs: DataFrame, how: X.Plan) -> DataFrame:
+        """(doc_id, n_shingles, d1, d2, _batch, _row) of every row: the size of its set, a 128-bit digest of it, its place."""
+        size = self.size
 
         def sign(batches):
-            for batch in pieces(batches, text_col):
-                h, first = shingle_sets(batch.column(text_col), size)
+            for number, table in X.runs(batches, how, "text"):
+                h, first = shingle_sets(table.column("text"), size)
                 with np.errstate(over="ignore"):
                     sums = [np.concatenate(([U64(0)], np.cumsum(mix(h ^ U64(salt)), dtype=U64))) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
                     d1, d2 = (s[first[1:]] - s[first[:-1]] for s in sums)
-                yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), pa.array(np.diff(first).astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], names=["doc_id", "n_shingles", "d1", "d2"])
+                n = len(table)
+                yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(np.diff(first).astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array([number] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32))], names=["doc_id", "n_shingles", "d1", "d2", "_batch", "_row"])
 
-        return docs.select(id_col, text_col).mapInArrow(sign, "doc_id long, n_shingles long, d1 long, d2 long")
+        return docs.mapInArrow(sign, "doc_id long, n_shingles long, d1 long, d2 long, _batch long, _row int")
 
-    def _listed(self, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    def _listed(self, docs: DataFrame, how: X.Plan, reps: DataFrame) -> DataFrame:
         """Rows of three kinds: P postings of prefixes, S whole sets of documents that have any, G a batch's extremes of a list."""
-        size, percent, levels, id_col, text_col = self.size, self.percent, self.levels, self.id_col, self.text_col
-        batches, buckets = X.sizes(docs, text_col)
-        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        dealt = dealt.withColumn("_batch", X.batch_of("doc_id", "text", batches)).repartition(parts, "_batch")
-        reps = reps.select("doc_id", X.batch_of("doc_id", "doc_id", batches).alias("_batch"))
-
-        def own_sets(table: pa.Table, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            table = table.filter(pc.is_in(table.column("doc_id"), value_set=pa.array(ids, pa.int64())))
+        size, percent, levels, buckets = self.size, self.percent, self.levels, how.buckets
+        dealt = X.dealt(docs, how, "text")
+        reps = reps.select("_batch", "_row")
+
+        def own_sets(batch: pa.Table, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            table = X.rows(batch).take(pa.array(np.sort(rows)))
             h, first = shingle_sets(table.column("text"), size)
             return table.column("doc_id").to_numpy(), h, first
 
         def send(key: tuple, docs: pa.Table, reps: pa.Table) -> pa.Table:
-            _, h, _ = own_sets(docs, reps.column("doc_id").to_numpy())
+            _, h, _ = own_sets(docs, reps.column("_row").to_numpy())
             keys, counts = np.unique(_keys(h, buckets), return_counts=True)
             rows = [(o, X.pack(keys[i:j] & X.LOW), X.pack_counts(counts[i:j])) for o, i, j in _by_bucket(keys, buckets)]
-            return pa.table({"_bucket": pa.array([r[0] for r in rows], pa.int32()), "_batch": pa.array([key[0].as_py()] * len(rows), pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
+            return pa.table({"_bucket": pa.array([r[0] for r in rows], pa.int32()), "_batch": pa.array([key[0].as_py()] * len(rows), pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
 
         def count(key: tuple, sent: pa.Table) -> pa.Table:
             blobs = [X.unpack(b) for b in sent.column("keys").to_pylist()]
@@ -108,7 +110,7 @@ class NgramJaccardJoin:
             by = np.argsort(batch, kind="stable")
             low, batch, total = low[by] | (U64(key[0].as_py()) << U64(X.LOW_BITS)), batch[by], total[by]
             runs = _runs(batch)
-            return pa.table({"_batch": pa.array([int(batch[i]) for i, _ in runs], pa.int32()), "keys": pa.array([X.pack(low[i:j]) for i, j in runs], pa.binary()), "counts": pa.array([X.pack_counts(total[i:j]) for i, j in runs], pa.binary())})
+            return pa.table({"_batch": pa.array([int(batch[i]) for i, _ in runs], pa.int64()), "keys": pa.array([X.pack(low[i:j]) for i, j in runs], pa.binary()), "counts": pa.array([X.pack_counts(total[i:j]) for i, j in runs], pa.binary())})
 
         def prefixes(key: tuple, docs: pa.Table, notes: pa.Table) -> pa.Table:
             known = notes.filter(pc.is_valid(notes.column("keys")))
@@ -116,7 +118,7 @@ class NgramJaccardJoin:
             freq = np.concatenate([X.unpack_counts(b) for b in known.column("counts").to_pylist()] or [np.zeros(0, np.uint32)]).astype(np.int64)
             by = np.argsort(shared)
             shared, freq = shared[by], freq[by]
-            ids, h, first = own_sets(docs, notes.column("doc_id").drop_null().to_numpy())
+            ids, h, first = own_sets(docs, notes.column("_row").drop_null().to_numpy())
             keys, n = _keys(h, buckets), np.diff(first)
             doc = np.repeat(np.arange(len(n)), n)
             i = _found(shared, keys)
@@ -159,9 +161,10 @@ class NgramJaccardJoin:
                 "hashes": column(pa.list_(pa.int64()), (1, [h[first[d] : first[d + 1]].view(np.int64) for d in some])),
             })
 
-        sent = dealt.groupBy("_batch").cogroup(reps.groupBy("_batch")).applyInArrow(send, "_bucket int, _batch int, keys binary, counts binary")
-        shared = sent.groupBy("_bucket").applyInArrow(count, "_batch int, keys binary, counts binary")
-        notes = reps.withColumns({"keys": F.lit(None).cast("binary"), "counts": F.lit(None).cast("binary")}).unionByName(shared.withColumn("doc_id", F.lit(None).cast("long")))
+        reps = reps.repartition(how.batch_parts, "_batch")
+        sent = dealt.groupBy("_batch").cogroup(reps.groupBy("_batch")).applyInArrow(send, "_bucket int, _batch long, keys binary, counts binary")
+        shared = sent.repartition(how.bucket_parts, "_bucket").groupBy("_bucket").applyInArrow(count, "_batch long, keys binary, counts binary").repartition(how.batch_parts, "_batch")
+        notes = reps.withColumns({"keys": F.lit(None).cast("binary"), "counts": F.lit(None).cast("binary")}).unionByName(shared.withColumn("_row", F.lit(None).cast("int")))
         return dealt.groupBy("_batch").cogroup(notes.groupBy("_batch")).applyInArrow(prefixes, "kind string, key long, a long, b long, n int, rest int, chosen int, hashes array<long>")
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -181,9 +184,9 @@ class NgramJaccardJoin:
         sizes = (100 * F.col(f"{hi}_a") >= p * F.col(f"{lo}_b")) & (100 * F.col(f"{hi}_b") >= p * F.col(f"{lo}_a"))
         return sizes & (p * (F.col(f"{lo}_a") + F.col(f"{lo}_b")) <= (100 + p) * (F.least("rest_a", "rest_b") + level - 1))
 
-    def links(self, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    def links(self, docs: DataFrame, how: X.Plan, reps: DataFrame) -> DataFrame:
         """Verified links (a, b) between representatives: enough of them for every component to be whole."""
-        listed = cut(self._listed(docs, reps), "prefixes")
+        listed = cut(self._listed(docs, how, reps), "prefixes")
         sets = listed.where("kind = 'S'").select("a", "hashes")
         postings = listed.where("kind = 'P'").select("key", F.col("a").alias("doc"), "n", "rest", "chosen")
         extremes = listed.where("kind = 'G'").select("key", "a", "b")
@@ -228,20 +231,19 @@ class NgramJaccardJoin:
         met = met.where((F.col("root_a") != F.col("root_b")) & (100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b")))
         return met.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
 
-    def all_links(self, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    def all_links(self, docs: DataFrame, how: X.Plan, reps: DataFrame) -> DataFrame:
         """Every link (a, b), a < b, between distinct sets, named by their representatives.
 
         All pairs of each list meet under the multi-match condition, also those that lie in one component already.
         """
-        listed = cut(self._listed(docs, reps), "prefixes")
+        listed = cut(self._listed(docs, how, reps), "prefixes")
         postings = listed.where("kind = 'P'").select("key", F.col("a").alias("doc"), "n", "rest", "chosen")
         match = _side(postings, "a").join(_side(postings, "b"), "key").where("doc_a < doc_b").where(self._may_match("n", "n"))
         match = match.groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("chosen_a", "chosen_b")).alias("need"))
-        return self._verified(cut(match.where("shared >= need").select("a", "b"), "candidates"), listed.where("kind = 'S'").select("a", "hashes"))
+        return self._verified(cut(match.where("shared >= need").select("a", "b"), "candidates"), listed.where("kind = 'S'").select("a", "hashes")).distinct()
 
-    def members(self, docs: DataFrame) -> DataFrame:
+    def _members(self, signed: DataFrame, reps: DataFrame) -> DataFrame:
         """(doc_id, n_shingles, rep) of every row: the smallest id with the same set; none for empty sets and null ids."""
-        signed, reps = self._signed(docs)
         rep = F.when(F.col("doc_id").isNotNull(), F.col("rep"))
         return signed.join(reps, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", rep.alias("rep"))
 
@@ -251,24 +253,28 @@ class NgramJaccardJoin:
         Documents link when they have one representative, or two that link; n_links counts the others a document
         links with.
         """
-        members = cut(self.members(docs), "members")
-        links = cut(self.all_links(docs, members.where("rep IS NOT NULL").select(F.col("rep").alias("doc_id")).distinct()), "all_links")
+        docs, how = self._read(docs)
+        signed, reps = self._signed(docs, how)
+        members = cut(self._members(signed, reps), "members")
+        links = cut(self.all_links(docs, how, reps), "all_links")
         own = members.where("rep IS NOT NULL").select("doc_id", "rep").distinct().groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         others = both.join(own.select(F.col("rep").alias("b"), "own"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("own").alias("others"))
         counted = own.join(others, "rep", "left").select("rep", (F.col("own") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
         return links, members.join(counted, "rep", "left").select("doc_id", "n_shingles", "rep", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
-    def _signed(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Every row's set by digest, and each distinct set's representative."""
-        signed = cut(self.sets(docs), "sets")
-        return signed, cut(signed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")), "reps")
+    def _signed(self, docs: DataFrame, how: X.Plan) -> tuple[DataFrame, DataFrame]:
+        """Every row's set by digest, and each distinct set's representative with its place."""
+        signed = cut(self.sets(docs, how), "sets")
+        first = F.min(F.struct(F.col("doc_id").alias("rep"), "_batch", "_row")).alias("r")
+        return signed, cut(signed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(first).select("n_shingles", "d1", "d2", "r.*"), "reps")
 
     def classes(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row; component_id is the smallest id reachable by links."""
-        signed, reps = self._signed(docs)
+        docs, how = self._read(docs)
+        signed, reps = self._signed(docs, how)
         same = ["n_shingles", "d1", "d2"]
-        label = components(self.links(docs, reps.select(F.col("rep").alias("doc_id")).distinct()))
+        label = components(self.links(docs, how, reps))
         placed = cut(reps.join(label.select(F.col("node").alias("rep"), "root"), "rep", "left").select(*same, F.coalesce("root", "rep").alias("root")), "classes")
         out = signed.join(placed, same, "left")
         return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))

@@ -85,22 +85,23 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarr
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def cuts(column: pa.ChunkedArray | pa.Array, limit: int = 4 * SLICE) -> list[tuple[int, int]]:
-    """Ranges of consecutive texts of about ``limit`` bytes each: what is worked on at once, whatever an Arrow batch holds."""
+def cuts(column: pa.ChunkedArray | pa.Array, limit: int = 4 * SLICE, most: int = 1 << 20) -> list[tuple[int, int]]:
+    """Ranges of at most ``most`` consecutive texts of about ``limit`` bytes: what is worked on at once, whatever an Arrow batch holds."""
     size = pc.fill_null(pc.binary_length(column), 0)
     ends = np.cumsum(np.asarray(size, np.int64))
     out, i = [], 0
     while i < len(ends):
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, side="right")))
+        j = min(j, i + most)
         out.append((i, j))
         i = j
     return out
 
 
-def pieces(batches, column: str):
-    """Record batches cut by the bytes of their texts."""
+def pieces(batches, column: str, limit: int = 4 * SLICE, most: int = 1 << 20):
+    """Record batches cut by the bytes and number of their texts."""
     for batch in batches:
-        for i, j in cuts(batch.column(column)):
+        for i, j in cuts(batch.column(column), limit, most):
             yield batch.slice(i, j - i)
 
 
