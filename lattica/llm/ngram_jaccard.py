@@ -11,11 +11,13 @@ prefix opens to documents of its size, plus verification of at most ``entries /
 of the prefixes of that level.  Shingles no other document has are never listed: they cannot match.
 
 Lists are joined in two steps, so that a group of thousands of near copies costs links in proportion to its size:
-first every document of a list meets only the list's smallest and largest ids; in lists that the components of
-the verified links leave apart, every document then meets two more, picked by a hash, in each of ``turns`` turns;
-at last all pairs of a list that still lie in different components meet, under the multi-match condition.
-Pairs left out lie in one component already, so components are exact.  That serves ``classes`` alone; ``linked``
-gives every link: all pairs of every list meet, under the multi-match condition.
+first every document of a list meets only two centres, the list's smallest id and one that a hash picks (a batch's
+own centres first, which then meet the list's); then, in lists that the components of the verified links leave
+apart, all pairs of different components meet under the multi-match condition.  That join is on shingle and size
+band: of a pair, the larger document looks for smaller ones in the bands its prefix reaches, and only documents
+whose shingle lies early enough for a partner of at least their own size are found there.  Pairs left out lie in one
+component already, so components are exact.  That serves ``classes`` alone; ``linked`` gives every link: all pairs
+of every list meet, in the same join.
 
 Defined results: texts null or without words are empty sets and link with nothing; rows without an id take no part
 and get no component; rows with one id are one node; an empty table gives an empty result.
@@ -23,10 +25,12 @@ and get no component; rows with one id are one node; an empty table gives an emp
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm import exchange as X
@@ -35,6 +39,9 @@ from lattica.llm.shared import cut
 from lattica.llm.substring_dedup import _by_bucket, _found, _groups, _keys, _runs
 from lattica.llm.tokens import U64, mix, rolling, window_starts, words
 
+#: Sizes of one band differ by less than this factor.
+BAND = 1.05
+
 
 def shingle_sets(texts: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted within it, and the borders of the texts."""
@@ -56,10 +63,10 @@ def shingle_sets(texts: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndar
 class NgramJaccardJoin:
     """Near duplicates by exact Jaccard similarity of word shingles."""
 
-    def __init__(self, size: int = 5, percent: int = 75, levels: int = 4, turns: int = 2, id_col: str = "doc_id", text_col: str = "text"):
+    def __init__(self, size: int = 5, percent: int = 75, levels: int = 4, id_col: str = "doc_id", text_col: str = "text"):
         if not 1 <= percent <= 100 or size < 1 or levels < 1:
             raise ValueError("percent lies in 1..100, size and levels are at least 1")
-        self.size, self.percent, self.levels, self.turns, self.id_col, self.text_col = size, percent, levels, turns, id_col, text_col
+        self.size, self.percent, self.levels, self.id_col, self.text_col = size, percent, levels, id_col, text_col
 
     def _read(self, docs: DataFrame) -> tuple[DataFrame, X.Plan]:
         own = docs.select(F.col(self.id_col).cast("long").alias("doc_id"), F.col(self.text_col).alias("text"))
@@ -81,7 +88,7 @@ class NgramJaccardJoin:
         return docs.mapInArrow(sign, "doc_id long, n_shingles long, d1 long, d2 long, _batch long, _row int")
 
     def _listed(self, docs: DataFrame, how: X.Plan, reps: DataFrame) -> DataFrame:
-        """Rows of three kinds: P postings of prefixes, S whole sets of documents that have any, G a batch's extremes of a list."""
+        """Rows of four kinds: P postings of prefixes, S whole sets of documents that have any, G a batch's centres of a list, L its pairs with them."""
         size, percent, levels, buckets = self.size, self.percent, self.levels, how.buckets
         dealt = X.dealt(docs, how, "text")
         reps = reps.select("_batch", "_row")
@@ -144,8 +151,11 @@ class NgramJaccardJoin:
             some = np.unique(doc)
             order = np.lexsort((ids[doc], keys))
             b = _groups(keys[order]) if len(order) else np.zeros(1, np.int64)
-            lo, hi = ids[doc[order[b[:-1]]]], ids[doc[order[b[1:] - 1]]]
-            local = [(ids[doc[order]], np.repeat(x, np.diff(b))) for x in (lo, hi)]
+            lo = ids[doc[order[b[:-1]]]] if len(order) else ids[:0]
+            drawn = mix(ids[doc[order]].view(U64) ^ keys[order]) | U64(1)
+            drawn[ids[doc[order]] == np.repeat(lo, np.diff(b))] = 0  # another than the smallest, if there is one
+            other = ids[doc[order[np.lexsort((drawn, keys[order]))[b[1:] - 1]]]] if len(order) else ids[:0]
+            local = [(ids[doc[order]], np.repeat(x, np.diff(b))) for x in (lo, other)]
             pairs = np.unique(np.concatenate([np.stack((np.minimum(x, y), np.maximum(x, y)), 1)[x != y] for x, y in local]), axis=0) if len(order) else np.zeros((0, 2), np.int64)
             m = [len(keys), len(some), len(b) - 1, len(pairs)]
             at = np.cumsum([0, *m])
@@ -154,7 +164,7 @@ class NgramJaccardJoin:
                 "kind": pa.array(np.repeat(["P", "S", "G", "L"], m)),
                 "key": column(pa.int64(), (0, keys.view(np.int64)), (2, keys[order[b[:-1]]].view(np.int64))),
                 "a": column(pa.int64(), (0, ids[doc]), (1, ids[some]), (2, lo), (3, pairs[:, 0])),
-                "b": column(pa.int64(), (2, hi), (3, pairs[:, 1])),
+                "b": column(pa.int64(), (2, other), (3, pairs[:, 1])),
                 "n": column(pa.int32(), (0, n[doc].astype(np.int32))),
                 "rest": column(pa.int32(), (0, (n[doc] - position).astype(np.int32))),
                 "chosen": column(pa.int32(), (0, chosen[doc].astype(np.int32))),
@@ -173,63 +183,46 @@ class NgramJaccardJoin:
         both = F.size(F.array_intersect("ha", "hb"))
         return pairs.join(left, "a").join(right, "b").where(100 * both >= self.percent * (F.size("ha") + F.size("hb") - both)).select("a", "b")
 
-    def _may_match(self, lo: str, hi: str) -> Column:
-        """Whether sizes fit and a shared shingle lies in both prefixes of the pair's level.
+    def _matches(self, postings: DataFrame, apart: bool) -> DataFrame:
+        """Pairs (a, b) that share as many shingles of both prefixes as their level asks for; ``apart``: of unlike root only.
 
         A pair needs an overlap of percent / (100 + percent) of both sizes together; a shingle with ``rest`` shingles
-        from it on lies in the prefix of level l when rest + l - 1 reaches that overlap.
+        from it on lies in the prefix of level l when rest + l - 1 reaches that overlap.  So ``reach`` is the largest
+        partner that a posting can serve.
         """
         p = self.percent
+        reach = F.floor((100 + p) * (F.col("rest") + F.col("chosen") - 1) / p) - F.col("n")
+        band = lambda n: F.floor(F.log(n.cast("double")) / math.log(BAND)).cast("int")
+        least = F.ceil(p * F.col("n") / 100)
+        able = postings.withColumn("reach", reach)
+        small = _side(able.where("reach >= n").withColumn("band", band(F.col("n"))), "b").withColumnRenamed("band_b", "band")
+        large = able.where(F.col("reach") >= least).withColumn("band", F.explode(F.sequence(band(least), band(F.least("n", "reach")))))
+        both = _side(large, "a").withColumnRenamed("band_a", "band").join(small, ["key", "band"])
+        both = both.where((F.col("n_b") < F.col("n_a")) | (F.col("n_b") == F.col("n_a")) & (F.col("doc_b") < F.col("doc_a"))).where(100 * F.col("n_b") >= p * F.col("n_a"))
+        if apart:
+            both = both.where("root_a <> root_b")
         level = F.least("chosen_a", "chosen_b")
-        sizes = (100 * F.col(f"{hi}_a") >= p * F.col(f"{lo}_b")) & (100 * F.col(f"{hi}_b") >= p * F.col(f"{lo}_a"))
-        return sizes & (p * (F.col(f"{lo}_a") + F.col(f"{lo}_b")) <= (100 + p) * (F.least("rest_a", "rest_b") + level - 1))
+        both = both.where(p * (F.col("n_a") + F.col("n_b")) <= (100 + p) * (F.least("rest_a", "rest_b") + level - 1))
+        pairs = both.groupBy(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(level).alias("need"))
+        return pairs.where("shared >= need AND a < b").select("a", "b")
 
-    def links(self, docs: DataFrame, how: X.Plan, reps: DataFrame) -> DataFrame:
-        """Verified links (a, b) between representatives: enough of them for every component to be whole."""
+    def links(self, docs: DataFrame, how: X.Plan, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Verified links (a, b) between representatives that leave no component apart: first ones with their components, and more."""
         listed = cut(self._listed(docs, how, reps), "prefixes")
         sets = listed.where("kind = 'S'").select("a", "hashes")
+        centres = listed.where("kind = 'G'").select("key", "a", "b")
+        drawn = F.greatest(*(F.struct(F.xxhash64("key", x).alias("h"), F.col(x).alias("x")) for x in "ab"))
+        lists = centres.groupBy("key").agg(F.min("a").alias("lo"), F.max(F.greatest("a", "b")).alias("hi"), F.max(drawn).alias("p")).where("lo < hi")
+        lists = lists.select("key", "lo", F.when(F.col("p.x") != F.col("lo"), F.col("p.x")).otherwise(F.col("hi")).alias("other"))
+        met = centres.join(lists, "key").select(F.explode(F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x in "ab" for y in ("lo", "other")))).alias("p")).select("p.*")
+        met = met.unionByName(listed.where("kind = 'L'").select("a", "b"))
+        stars = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+        label = components(self._verified(stars, sets))
         postings = listed.where("kind = 'P'").select("key", F.col("a").alias("doc"), "n", "rest", "chosen")
-        extremes = listed.where("kind = 'G'").select("key", "a", "b")
-        lists = cut(extremes.groupBy("key").agg(F.min("a").alias("lo"), F.max("b").alias("hi")).where("lo < hi"), "lists")
-        met = extremes.join(lists, "key").select(F.explode(F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x in "ab" for y in ("lo", "hi")))).alias("p")).select("p.*")
-        ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-        stars = cut(ordered(met.unionByName(listed.where("kind = 'L'").select("a", "b"))), "stars")
-        found = cut(self._verified(stars, sets), "links")
-        met = stars
-        for turn in range(self.turns):
-            lists = self._open(postings, found)
-            if lists is None:
-                return found
-            new = cut(self._pivots(lists, turn).join(met, ["a", "b"], "left_anti"), "pivots")
-            met = met.unionByName(new)
-            found = cut(found.unionByName(self._verified(new, sets)), "links")
-        lists = self._open(postings, found)
-        if lists is None:
-            return found
-        whole = [F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max("rest").alias("rest"), F.max("chosen").alias("chosen")]
-        parts = cut(lists.groupBy("key", "root").agg(*whole), "parts")
-        meet = _side(parts, "a").join(_side(parts, "b"), "key").where("root_a < root_b").where(self._may_match("n_lo", "n_hi")).select("key", "root_a", "root_b")
-        match = meet.join(_side(lists, "a"), ["key", "root_a"]).join(_side(lists, "b"), ["key", "root_b"]).where(self._may_match("n", "n"))
-        match = match.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"), F.least("chosen_a", "chosen_b").alias("need"))
-        more = match.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b")
-        more = cut(more.join(met, ["a", "b"], "left_anti"), "candidates")
-        return found.unionByName(self._verified(more, sets))
-
-    def _open(self, postings: DataFrame, found: DataFrame) -> DataFrame | None:
-        """Postings of the lists whose documents the links found so far leave in several components, with their roots."""
-        label = components(found)
-        placed = cut(postings.join(label.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc")), "placed")
-        split = cut(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "split")
-        return None if split.isEmpty() else placed.join(split, "key", "left_semi")
-
-    def _pivots(self, lists: DataFrame, turn: int) -> DataFrame:
-        """Each document of an open list with two documents of it that a hash of list, document and turn picks."""
-        row, order = F.struct(*(c for c in lists.columns if c != "key")), F.xxhash64(F.lit(turn), "key", "doc")
-        picked = cut(lists.groupBy("key").agg(F.min_by(row, order).alias("one"), F.max_by(row, order).alias("two")), "picked")
-        met = _side(lists, "a").join(picked.select("key", F.explode(F.array("one", "two")).alias("p")).select("key", *(F.col(f"p.{c}").alias(f"{c}_b") for c in lists.columns if c != "key")), "key")
-        p = self.percent
-        met = met.where((F.col("root_a") != F.col("root_b")) & (100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b")))
-        return met.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
+        placed = postings.join(label.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+        split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        lists = cut(placed.join(split, "key"), "open")
+        return label, self._verified(self._matches(lists, apart=True), sets)
 
     def all_links(self, docs: DataFrame, how: X.Plan, reps: DataFrame) -> DataFrame:
         """Every link (a, b), a < b, between distinct sets, named by their representatives.
@@ -238,9 +231,7 @@ class NgramJaccardJoin:
         """
         listed = cut(self._listed(docs, how, reps), "prefixes")
         postings = listed.where("kind = 'P'").select("key", F.col("a").alias("doc"), "n", "rest", "chosen")
-        match = _side(postings, "a").join(_side(postings, "b"), "key").where("doc_a < doc_b").where(self._may_match("n", "n"))
-        match = match.groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("chosen_a", "chosen_b")).alias("need"))
-        return self._verified(cut(match.where("shared >= need").select("a", "b"), "candidates"), listed.where("kind = 'S'").select("a", "hashes")).distinct()
+        return self._verified(cut(self._matches(postings, apart=False), "candidates"), listed.where("kind = 'S'").select("a", "hashes")).distinct()
 
     def _members(self, signed: DataFrame, reps: DataFrame) -> DataFrame:
         """(doc_id, n_shingles, rep) of every row: the smallest id with the same set; none for empty sets and null ids."""
@@ -274,7 +265,8 @@ class NgramJaccardJoin:
         docs, how = self._read(docs)
         signed, reps = self._signed(docs, how)
         same = ["n_shingles", "d1", "d2"]
-        label = components(self.links(docs, how, reps))
+        first, more = self.links(docs, how, reps)
+        label = components(more, first)
         placed = cut(reps.join(label.select(F.col("node").alias("rep"), "root"), "rep", "left").select(*same, F.coalesce("root", "rep").alias("root")), "classes")
         out = signed.join(placed, same, "left")
         return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
