@@ -127,7 +127,7 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.topk import ExactTopK
 
     vectors = table(spark, sf_dir, "embeddings")
-    return ExactTopK(k=5, scale=256).transform(vectors, vectors.where("vec_id % 50 = 0"))
+    return ExactTopK(k=5, scale=256).transform(vectors, vectors.where("vec_id % 50 = 0")).drop("read")
 
 
 ORACLES["op2_exact_topk"] = """

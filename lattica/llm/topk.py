@@ -1,18 +1,20 @@
 """Exact top-k inner-product search by Fagin's threshold algorithm over sorted per-dimension lists.
 
-Vectors become integers floor(scale * x).  Candidates lie in blocks; a block keeps, for every dimension, its rows
-in descending order.  For a query, each dimension's list is read from the end that helps it (descending where the
-query's component is positive, ascending where negative), all lists to the same depth.  Rows seen get their exact
-score by random access.  No unseen row can beat the threshold, the sum of the products at that depth; the block is
-done when the threshold is below the k-th best score so far (ties go on, as a smaller id may win).  Depth grows
-sixteenfold; once the lists together are as long as the block, one matrix product scores all of its rows instead.  The best of a group's earlier blocks carry over to later ones.
-
-Queries and candidates meet as blocks of both: every pair of a query block and a candidate group is one bounded
-task, and each query merges k rows a group.
-
-Defined results: vectors null, empty, or holding null or non-finite components take
-no part on either side; vectors of unlike lengths do not meet; a query's own id is no candidate of it; rows that repeat an id are separate candidates;
-fewer candidates than k give fewer rows; an empty table gives an empty result.
+Vectors become integers floor(scale * x).  Candidates lie in groups; a group keeps, for every dimension, its rows in
+descending order.  For a query, each dimension's list is read from the end that helps it (descending where the
+query's component is positive, ascending where negative; lists of zero components add nothing and are not read), all
+lists to the same depth, which doubles.  A row seen for the first time gets its exact score by random access.  No
+unseen row can beat the threshold, the sum of the products at that depth; the query is done when the threshold is
+below its k-th best score (ties go on, as a smaller id may win), or when the lists have shown every row.  Only unseen
+rows are candidates, and each is scored once.
+
+Queries and groups meet as blocks: every pair of a query block and a candidate group is one bounded task, and each
+query merges k rows a group.  A candidate is copied once for every ``query_block`` queries.
+
+Defined results: vectors null, empty, or holding null or non-finite components take no part on either side; vectors
+of unlike lengths do not meet; a query's own id is no candidate of it; rows that repeat an id are separate
+candidates; query rows that repeat id and vector ask once, those that repeat an id with another vector ask each for
+itself; fewer candidates than k give fewer rows; an empty table gives an empty result; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FIRST_DEPTH = 4
+FIRST_DEPTH, TILE = 4, 64
 #: Integers of doubles are exact up to here.
 EXACT = 1 << 53
-RESULT = "query_id long, vec_id long, score long"
+RESULT = "query_id long, _no long, vec_id long, score long, read double"
 
 
 class Block:
@@ -36,18 +38,18 @@ class Block:
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         self.ids, self.values = ids, values
-        self.order = np.argsort(-values, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(values, self.order, axis=0)
+        self.order = np.argsort(-values.T, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(values.T, self.order, axis=1)
 
 
-def scores(values: np.ndarray, queries: np.ndarray) -> np.ndarray:
+def scores(queries: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Exact integer inner products: by doubles where none can exceed their integers, else by 64-bit or Python integers."""
     bound = int(np.abs(values).max(initial=0)) * int(np.abs(queries).max(initial=0)) * max(1, values.shape[1])
     if bound < EXACT:
-        return (values.astype(np.float64) @ queries.T.astype(np.float64)).astype(np.int64)
+        return (queries.astype(np.float64) @ values.T.astype(np.float64)).astype(np.int64)
     if bound < 1 << 63:
-        return values @ queries.T
-    return values.astype(object) @ queries.T.astype(object)
+        return queries @ values.T
+    return queries.astype(object) @ values.T.astype(object)
 
 
 class Best:
@@ -76,45 +78,56 @@ class Best:
             self.rows[q] = sorted(self.rows[q] + new)[: self.k]
 
 
-def search(block: Block, query_ids: np.ndarray, queries: np.ndarray, best: Best) -> None:
-    """Fagin's threshold algorithm of every query on one block."""
-    n, dims = block.values.shape
-    up = queries >= 0
-    before = list(best.rows)
-    active = np.arange(len(queries))
-    depth = 0
-    while len(active) and depth < n:
-        reach = FIRST_DEPTH if depth == 0 else min(n, depth * 16)
-        if reach * dims >= n:
-            # the lists together are as long as the block: score every row, without reading on
-            for s in range(0, len(active), 256):
-                part = active[s : s + 256]
-                for q, column in zip(part.tolist(), scores(block.values, queries[part]).T, strict=True):
-                    best.rows[q] = before[q]
-                    other = block.ids != query_ids[q]
-                    best.offer(q, block.ids[other], column[other])
-            return
-        going = []  # rows are offered anew each round, so that none counts twice
-        high, low = block.sorted[reach - 1], block.sorted[n - reach]
-        for q in active.tolist():
-            seen = np.unique(np.where(up[q], block.order[:reach], block.order[n - reach :]))
-            best.rows[q] = before[q]
-            fresh = seen[block.ids[seen] != query_ids[q]]
-            best.offer(q, block.ids[fresh], scores(block.values[fresh], queries[q : q + 1])[:, 0])
-            threshold = int(np.dot(np.where(up[q], high, low).astype(object), queries[q].astype(object)))
-            kth = best.kth(q)
-            if kth is None or threshold >= kth:
-                going.append(q)
-        active, depth = np.array(going, np.int64), reach
+def search(block: Block, query_ids: np.ndarray, queries: np.ndarray, best: Best) -> np.ndarray:
+    """The threshold algorithm of every query on one group; returns the share of each query's lists that was read.
+
+    Queries go in tiles of 64: a bit of a row's number tells whether a query has seen the row.
+    """
+    n, one = len(block.ids), np.uint64(1)
+    depths = np.full(len(queries), n)
+    for s in range(0, len(queries), TILE):
+        active = np.arange(s, min(s + TILE, len(queries)))
+        bits = one << (active - s).astype(np.uint64)
+        seen, depth = np.zeros(n, np.uint64), 0
+        while len(active):
+            reach = min(n, max(FIRST_DEPTH, 2 * depth))
+            q = queries[active]
+            fresh = np.zeros(n, np.uint64)
+            for j in range(q.shape[1]):
+                up, down = np.bitwise_or.reduce(bits[q[:, j] > 0]), np.bitwise_or.reduce(bits[q[:, j] < 0])
+                if up:
+                    fresh[block.order[j, depth:reach]] |= up
+                if down:
+                    fresh[block.order[j, n - reach : n - depth]] |= down
+            fresh &= ~seen
+            seen |= fresh
+            rows = np.flatnonzero(fresh)
+            found, ids, fresh = scores(q, block.values[rows]), block.ids[rows], fresh[rows]
+            high, low = block.sorted[:, reach - 1], block.sorted[:, n - reach]
+            edges = np.where(q > 0, high, low)
+            bound = int(np.abs(edges).max(initial=0)) * int(np.abs(q).max(initial=0)) * max(1, q.shape[1])
+            threshold = (edges * q).sum(1) if bound < 1 << 63 else (edges.astype(object) * q.astype(object)).sum(1)
+            whole = np.bitwise_and.reduce(seen)
+            going = np.zeros(len(active), bool)
+            for k, query in enumerate(active.tolist()):
+                kth = best.kth(query)
+                own = np.arange(len(rows)) if kth is None else np.flatnonzero(found[k] >= kth)
+                own = own[((fresh[own] & bits[k]) != 0) & (ids[own] != query_ids[query])]
+                best.offer(query, ids[own], found[k, own])
+                kth = best.kth(query)
+                going[k] = reach < n and not (kth is not None and int(threshold[k]) < kth) and not whole & bits[k]
+            depths[active[~going]] = reach
+            active, bits, depth = active[going], bits[going], reach
+    return depths / max(n, 1)
 
 
 class ExactTopK:
     """Each query's k candidates of highest integer inner product."""
 
-    def __init__(self, k: int = 5, scale: int = 256, block_rows: int = 4096, query_block: int = 2048, group_blocks: int = 8, id_col: str = "vec_id", vector_col: str = "embedding"):
-        if min(k, scale, block_rows, query_block, group_blocks) < 1:
+    def __init__(self, k: int = 5, scale: int = 256, group_rows: int = 16384, query_block: int = 16384, id_col: str = "vec_id", vector_col: str = "embedding"):
+        if min(k, scale, group_rows, query_block) < 1:
             raise ValueError("k, scale and the block sizes are positive")
-        self.k, self.scale, self.block_rows, self.query_block, self.group_blocks = k, scale, block_rows, query_block, group_blocks
+        self.k, self.scale, self.group_rows, self.query_block = k, scale, group_rows, query_block
         self.id_col, self.vector_col = id_col, vector_col
 
     def quantised(self, vectors: DataFrame) -> DataFrame:
@@ -125,31 +138,38 @@ class ExactTopK:
         rows = vectors.where(F.col(self.id_col).isNotNull() & F.col(self.vector_col).isNotNull()).where(sound & finite)
         return rows.select(F.col(self.id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e * self.scale)).alias("v"))
 
-    def transform(self, vectors: DataFrame, queries: DataFrame) -> DataFrame:
-        """(query_id, rank, vec_id, score) for rows of ``queries`` against all of ``vectors``."""
-        wanted, held = self.quantised(queries), self.quantised(vectors)
+    def _met(self, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+        """Each query's best k of each group, with the share of its lists read there."""
+        wanted, held = self.quantised(queries).distinct().withColumn("_no", F.xxhash64("id", "v")), self.quantised(vectors)
         n_queries, n = wanted.count(), held.count()
-        q_blocks, c_groups = max(1, math.ceil(n_queries / self.query_block)), max(1, math.ceil(n / (self.block_rows * self.group_blocks)), min(12, math.ceil(n / self.block_rows)))
+        q_blocks, c_groups = max(1, math.ceil(n_queries / self.query_block)), max(1, math.ceil(n / self.group_rows))
         every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-        asked = wanted.select("id", "v", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(q_blocks)).cast("int").alias("_q"), every(c_groups).alias("_c"))
-        offered = held.select("id", "v", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(c_groups)).cast("int").alias("_c"), every(q_blocks).alias("_q"))
-        k, rows = self.k, self.block_rows
+        asked = wanted.select("id", "v", "_no", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(q_blocks)).cast("int").alias("_q"), every(c_groups).alias("_c"))
+        offered = held.select("id", "v", F.pmod(F.xxhash64("id", "v", F.lit(5)), F.lit(c_groups)).cast("int").alias("_c"), every(q_blocks).alias("_q"))
+        k = self.k
 
         def meet(key: tuple, asked: pa.Table, offered: pa.Table) -> pa.Table:
-            found: list[tuple[int, int, int]] = []
+            found: list[tuple] = []
             by_size = lambda t: {d: np.flatnonzero(size == d) for size in [np.array(pc.list_value_length(t.column("v")))] for d in np.unique(size)}
             of_q, of_c = by_size(asked), by_size(offered)
             for dims in of_q.keys() & of_c.keys():
-                (qi, qv), (ci, cv) = (_matrix(t.take(pa.array(i)), int(dims)) for t, i in ((asked, of_q[dims]), (offered, of_c[dims])))
+                mine = asked.take(pa.array(of_q[dims]))
+                (qi, qv), (ci, cv) = (_matrix(t, int(dims)) for t in (mine, offered.take(pa.array(of_c[dims]))))
                 best = Best(len(qi), k)
-                for s in range(0, len(ci), rows):
-                    search(Block(ci[s : s + rows], cv[s : s + rows]), qi, qv, best)
-                found += [(q, c, -s) for q, own in zip(qi.tolist(), best.rows, strict=True) for s, c in own]
-            return pa.table({name: pa.array([f[i] for f in found], pa.int64()) for i, name in enumerate(("query_id", "vec_id", "score"))})
-
-        met = asked.groupBy("_q", "_c").cogroup(offered.groupBy("_q", "_c")).applyInArrow(meet, RESULT)
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
-        return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                read = search(Block(ci, cv), qi, qv, best)
+                found += [(q, no, c, -s, part) for q, no, own, part in zip(qi.tolist(), mine.column("_no").to_pylist(), best.rows, read.tolist(), strict=True) for s, c in own]
+            kinds = (("query_id", pa.int64()), ("_no", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("read", pa.float64()))
+            return pa.table({name: pa.array([f[i] for f in found], kind) for i, (name, kind) in enumerate(kinds)})
+
+        return asked.groupBy("_q", "_c").cogroup(offered.groupBy("_q", "_c")).applyInArrow(meet, RESULT)
+
+    def transform(self, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+        """(query_id, rank, vec_id, score, read) for rows of ``queries`` against all of ``vectors``.
+
+        ``read`` is the share of the sorted lists that was read in the group the row comes from.
+        """
+        rank = F.row_number().over(Window.partitionBy("query_id", "_no").orderBy(F.desc("score"), "vec_id")).cast("int")
+        return self._met(vectors, queries).withColumn("rank", rank).where(F.col("rank") <= self.k).select("query_id", "rank", "vec_id", "score", "read")
 
 
 def _matrix(table: pa.Table, dims: int) -> tuple[np.ndarray, np.ndarray]:
