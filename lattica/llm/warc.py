@@ -4,15 +4,17 @@
 about ``partition_bytes``, takes over filters on the record type and on headers, parses the headers of a record
 first and passes over the rest of one that is not wanted; ``payload=false`` passes over all payloads.  Compressed
 archives hold one gzip member a record with its length in an extra field, so unwanted ones are not inflated beyond
-their headers; members without the field are.  Writing rolls files at ``file_bytes`` and names each attempt's files
-afresh; the driver commits them in a manifest, and readers of a folder with a manifest see no others.
+their headers.  Members without the field, which may hold any number of records, are inflated chunk by chunk, and an
+unwanted block is passed over in such chunks.  Writing rolls files at ``file_bytes`` and names each attempt's files
+afresh; the driver commits each write by a manifest of its own, and readers of a folder with manifests see no others.
 
 Files are reached by pyarrow's file systems, on whatever store they know.  The module refers to no other of the
 package, so that it travels to Spark's planner by value.
 
 Defined results: null payloads are written as empty; null ids and addresses are headers left out, read as null;
 line breaks in header values are percent-encoded; a header that a record lacks is null and matches no filter but
-``IS NULL``; a folder without archives gives an empty table; a file cut short yields its whole records.
+``IS NULL``; a folder without archives, and an archive of an empty table, give an empty table; a file cut short
+yields its whole records; extra columns of pages play no part.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ WRITTEN = ("record_id", "record_type", "target_uri", "date", "payload_digest", "
 #: Header names of the format, by column.
 HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MANIFEST = "_committed.json"
+#: Each commit leaves a manifest of its own, so that writers at one time don't undo one another's.
+MANIFEST = "_committed-"
 HEAD_BYTES = 2048
 END = b"\r\n\r\n"
 
@@ -103,7 +106,10 @@ class Records:
         self.file, self.size = file, size
 
     def __iter__(self) -> Iterator[tuple[dict[str, str], object]]:
-        """Headers of each record, with a function that returns its block."""
+        """Headers of each record, with a function of it, to be called before the next is asked for.
+
+        The function returns the block, or with ``keep=False`` passes over it; None of a record cut short.
+        """
         self.file.seek(0)
         zipped = self.file.read(2) == b"\x1f\x8b"
         at = 0
@@ -111,6 +117,9 @@ class Records:
             step = self._zipped(at) if zipped else self._plain(at)
             if step is None:
                 return
+            if step == "stream":
+                yield from self._stream(at)
+                return
             head, block, at = step
             yield head, block
 
@@ -129,7 +138,7 @@ class Records:
         begin = at + len(head) + 4
         fields = parse_head(head)
         n = int(fields.get("content-length", 0))
-        return (fields, lambda: self._read(begin, n), begin + n + 4) if begin + n <= self.size else None
+        return (fields, lambda keep=True: self._read(begin, n) if keep else b"", begin + n + 4) if begin + n <= self.size else None
 
     def _zipped(self, at: int):
         start = self._read(at, HEAD_BYTES)
@@ -138,7 +147,7 @@ class Records:
             size = int.from_bytes(start[16:20], "little") if start[12:14] == b"sl" else None
             skip = 12 + int.from_bytes(start[10:12], "little")
         if size is None or at + size > self.size:
-            return self._stream(at) if size is None else None
+            return "stream" if size is None else None
         z = zlib.decompressobj(-15)
         data, done = z.decompress(start[skip:size]), min(len(start), size)
         while END not in data and done < size:
@@ -148,7 +157,9 @@ class Records:
             return None
         fields = parse_head(data[: data.index(END)])
 
-        def block() -> bytes:
+        def block(keep: bool = True) -> bytes:
+            if not keep:
+                return b""
             whole = data + z.decompress(self._read(at + done, size - done - 8)) if done < size - 8 else data
             begin = whole.index(END) + 4
             return whole[begin : begin + int(fields.get("content-length", 0))]
@@ -156,16 +167,82 @@ class Records:
         return fields, block, at + size
 
     def _stream(self, at: int):
-        z = zlib.decompressobj(31)
-        data, done = b"", at
-        while not z.eof:
-            more = self._read(done, 1 << 16)
-            if not more:
+        """Records of members that don't tell their length, any number in each: inflated in turn, unwanted blocks in passing."""
+        inflated = Inflated(self.file, at)
+        while (head := inflated.head()) is not None:
+            fields = parse_head(head)
+            size, passed = int(fields.get("content-length", 0)), []
+
+            def block(keep: bool = True, size: int = size, passed: list = passed) -> bytes | None:
+                passed.append(True)
+                return inflated.take(size) if keep else b"" if inflated.skip(size) else None
+
+            yield fields, block
+            if not passed:
+                block(keep=False)
+            inflated.skip(len(END))
+
+
+class Inflated:
+    """What consecutive gzip members hold, read on and never kept: at most a chunk, or the record that is asked for."""
+
+    def __init__(self, file, at: int, chunk: int = 1 << 16):
+        self.file, self.at, self.chunk, self.left, self.z, self.held = file, at, chunk, b"", None, bytearray()
+
+    def _more(self) -> bool:
+        """Append what a chunk of the file inflates to; False at the end of the file."""
+        if not self.left:
+            self.file.seek(self.at)
+            self.left = self.file.read(self.chunk)
+            self.at += len(self.left)
+            if not self.left:
+                return False
+        if self.z is None:
+            if not self.left.startswith(b"\x1f") and not self.left.strip(b"\0"):
+                self.left = b""  # padding after the last member
+                return True
+            self.z = zlib.decompressobj(31)
+        self.held += self.z.decompress(self.left, self.chunk)
+        self.left = self.z.unconsumed_tail
+        if self.z.eof:
+            self.left, self.z = self.z.unused_data, None
+        return True
+
+    def head(self) -> bytes | None:
+        """The next record's head, or None where no whole one follows."""
+        seen = 0
+        while (end := self.held.find(END, max(0, seen - 3))) < 0:
+            seen = len(self.held)
+            if not self._more():
                 return None
-            data, done = data + z.decompress(more), done + len(more)
-        begin = data.index(END) + 4
-        fields = parse_head(data[: begin - 4])
-        return fields, lambda: data[begin : begin + int(fields.get("content-length", 0))], done - len(z.unused_data)
+        head = bytes(self.held[:end])
+        del self.held[: end + 4]
+        return head
+
+    def take(self, n: int) -> bytes | None:
+        while len(self.held) < n:
+            if not self._more():
+                return None
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
+
+    def skip(self, n: int) -> bool:
+        """Pass over n bytes; False if there are fewer."""
+        while n > 0:
+            if not self.held and not self._more():
+                return False
+            step = min(n, len(self.held))
+            del self.held[:step]
+            n -= step
+        return True
+
+
+def _manifests(where, path: str) -> list[str]:
+    from pyarrow import fs
+
+    there = where.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    return [i.path for i in there if i.path.rsplit("/", 1)[-1].startswith(MANIFEST)]
 
 
 def split_http(head: dict[str, str], block: bytes) -> tuple[bytes, int]:
@@ -217,9 +294,11 @@ class WarcReader(D.DataSourceReader):
         if where.get_file_info(path).type == fs.FileType.File:
             return [Files([path])]
         found = {i.path: i.size for i in where.get_file_info(fs.FileSelector(path, recursive=True)) if i.path.endswith((".warc", ".warc.gz"))}
-        if where.get_file_info(f"{path}/{MANIFEST}").type == fs.FileType.File:
-            with where.open_input_stream(f"{path}/{MANIFEST}") as f:
-                names = set(json.loads(f.read()))
+        if manifests := _manifests(where, path):
+            names = set()
+            for m in manifests:
+                with where.open_input_stream(m) as f:
+                    names |= set(json.loads(f.read()))
             found = {p: n for p, n in found.items() if p.rsplit("/", 1)[-1] in names}
         groups, room = [], 0
         for p in sorted(found):
@@ -240,8 +319,11 @@ class WarcReader(D.DataSourceReader):
                     if not self.wanted(row):
                         continue
                     row |= {"payload": None, "payload_length": None, "headers": head}
+                    data = block(keep=self.payload)
+                    if data is None:
+                        break
                     if self.payload:
-                        body, row["payload_length"] = split_http(head, block())
+                        body, row["payload_length"] = split_http(head, data)
                         row["payload"] = None if row["record_type"] == "revisit" else body
                         size += len(body)
                     rows.append(row)
@@ -285,15 +367,11 @@ class WarcWriter(D.DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         where, path = store(self.path)
         where.create_dir(path, recursive=True)
-        names = [n for m in messages if m for n in m.names]
-        if not self.overwrite:
-            from pyarrow import fs
-
-            if where.get_file_info(f"{path}/{MANIFEST}").type == fs.FileType.File:
-                with where.open_input_stream(f"{path}/{MANIFEST}") as f:
-                    names = json.loads(f.read()) + names
-        with where.open_output_stream(f"{path}/{MANIFEST}", compression=None) as f:
-            f.write(json.dumps(names).encode())
+        before = _manifests(where, path) if self.overwrite else []
+        with where.open_output_stream(f"{path}/{MANIFEST}{uuid.uuid4().hex}.json", compression=None) as f:
+            f.write(json.dumps([n for m in messages if m for n in m.names]).encode())
+        for m in before:
+            where.delete_file(m)
 
     def abort(self, messages: list[Written | None]) -> None:
         where, path = store(self.path)
@@ -337,7 +415,11 @@ def load(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 class PageArchive:
-    """Pages as WARC records; of equal payloads of at least ``min_bytes`` all but the largest id become revisits."""
+    """Pages as WARC records; of equal payloads of at least ``min_bytes`` all but the largest id become revisits.
+
+    Of rows that repeat the largest id, the first in the table is the response.  Rows are told apart by their place,
+    so ``pages`` must give them in the same order each time, as a table does that is read.
+    """
 
     URN = "urn:x-page:"
 
@@ -346,11 +428,12 @@ class PageArchive:
 
     def records(self, pages: DataFrame, cut) -> DataFrame:
         """The records to write; ``cut`` stores the small table of payload groups."""
-        own = pages.select(F.col(self.id_col).cast("long").alias("page_id"), F.col(self.url_col).alias("target_uri"), F.coalesce(self.html_col, F.lit("")).alias("html"))
+        own = pages.select(F.col(self.id_col).cast("long").alias("page_id"), F.col(self.url_col).alias("target_uri"), F.coalesce(self.html_col, F.lit("")).alias("html"), F.monotonically_increasing_id().alias("_place"))
         own = own.withColumns({"payload_length": F.octet_length("html").cast("long"), "payload_digest": F.sha1("html")})
-        groups = own.where(F.col("payload_length") >= self.min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
-        joined = own.join(cut(groups, "payloads"), "payload_digest", "left")
-        again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+        place = F.struct("page_id", (-F.col("_place")).alias("p"))
+        groups = own.where(F.col("payload_length") >= self.min_bytes).groupBy("payload_digest").agg(F.max(place).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1 AND top.page_id IS NOT NULL")
+        joined = own.join(cut(groups.select("payload_digest", F.col("top.page_id").alias("first"), (-F.col("top.p")).alias("first_place")), "payloads"), "payload_digest", "left")
+        again = F.col("first").isNotNull() & (F.col("_place") != F.col("first_place"))
         urn = lambda c: F.concat(F.lit(f"<{self.URN}"), F.col(c).cast("string"), F.lit(">"))
         return joined.select(urn("page_id").alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), "target_uri", F.lit(self.date).alias("date"), "payload_digest", F.when(again, urn("first")).alias("refers_to"), "payload_length", F.when(~again, F.encode("html", "UTF-8")).alias("payload"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lattica.llm import warc
 from lattica.llm.html_text import Page, TemplateRemoval
 from lattica.llm.shared import cut
-from lattica.llm.topk import ExactTopK
+from lattica.llm.topk import Block, ExactTopK
 from lattica.llm.toxicity import PuToxicity, fit_nnpu
 
 
@@ -105,6 +105,19 @@ def test_archive_round_trip(spark, tmp_path, compression):
     assert rows.count() == 8  # not in the manifest
 
 
+def test_repeated_rows_and_empty_tables(spark, tmp_path):
+    big, archive = "y" * 2000, warc.PageArchive()
+    pages = spark.createDataFrame([(7, "a", big), (7, "a", big), (3, "a", big), (7, "b", "z" * 1000), (5, "s", "small"), (5, "s", "small")], "page_id long, url string, html string")
+    archive.write(pages, f"{tmp_path}/repeats", cut)
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to or 0) for r in archive.read(spark, f"{tmp_path}/repeats").collect())
+    assert got == [(3, 2000, "revisit", 7), (5, 5, "response", 0), (5, 5, "response", 0), (7, 1000, "response", 0), (7, 2000, "response", 0), (7, 2000, "revisit", 7)]
+    archive.write(pages.where("1 = 0"), f"{tmp_path}/none", cut)
+    assert archive.read(spark, f"{tmp_path}/none").count() == 0
+    archive.write(pages.limit(1), f"{tmp_path}/none", cut)  # two commits add up
+    archive.write(pages.where("page_id = 3"), f"{tmp_path}/none", cut)
+    assert archive.read(spark, f"{tmp_path}/none").count() == 2
+
+
 def test_foreign_archives(spark, tmp_path):
     import gzip
 
@@ -113,9 +126,15 @@ def test_foreign_archives(spark, tmp_path):
         return b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:%d>\r\nX-Folded: a\r\n b\r\nContent-Type: text/plain\r\nContent-Length: %d\r\n\r\n" % (n, len(body)) + body + b"\r\n\r\n"
 
     (tmp_path / "a.warc").write_bytes(record(1) + record(2) + record(3)[:-12])
+    large = b"WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <urn:8>\r\nContent-Length: 3000000\r\n\r\n" + bytes(3_000_000) + b"\r\n\r\n"
     (tmp_path / "b.warc.gz").write_bytes(gzip.compress(record(4)) + gzip.compress(record(5)))
-    rows = warc.load(spark, str(tmp_path)).collect()
-    assert {r.record_id: bytes(r.payload) for r in rows} == {f"urn:{n}": f"record {n}".encode() for n in (1, 2, 4, 5)}
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(record(6) + large + record(7)) + gzip.compress(record(9)))
+    (tmp_path / "d.warc.gz").write_bytes(gzip.compress(record(10) + large)[:-2000])
+    found = warc.load(spark, str(tmp_path))
+    rows = found.where("record_type = 'resource'").collect()
+    assert sorted((r.record_id, bytes(r.payload)) for r in rows) == sorted((f"urn:{n}", f"record {n}".encode()) for n in (1, 2, 4, 5, 6, 7, 9, 10))
+    assert [len(r.payload) for r in found.where("record_type = 'metadata'").collect()] == [3_000_000]
+    assert warc.load(spark, str(tmp_path), payload="false").where("record_type = 'metadata'").count() == 1
     assert {r.headers["x-folded"] for r in rows} == {"a b"}
 
 
@@ -128,15 +147,15 @@ def test_reader_takes_filters():
     assert reader.wanted({"record_type": "response", "target_uri": "u"}) and not reader.wanted({"record_type": "response", "target_uri": None})
 
 
-@pytest.mark.parametrize("block_rows", [64, 4096])
-def test_exact_topk(spark, block_rows):
+@pytest.mark.parametrize("group_rows", [64, 16384])
+def test_exact_topk(spark, group_rows):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 6)) * np.array([5, 1, 1, 0.1, 0.1, 0.1])
     x[7] = x[8] = x[9]
     rows = [(k, [float(e) for e in v], "s") for k, v in enumerate(x)]
     odd = [(900, None, "s"), (901, [1.0, None] + [0.0] * 4, "s"), (902, [float("nan")] * 6, "s"), (903, [float("inf")] * 6, "s"), (904, [], "s"), (905, [9.0], "s"), (None, [1.0] * 6, "s")]
     frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, score string")
-    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ExactTopK(k=5, block_rows=block_rows).transform(frame, frame.where("vec_id % 20 = 0 OR vec_id > 899")).collect()]
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ExactTopK(k=5, group_rows=group_rows).transform(frame, frame.where("vec_id % 20 = 0 OR vec_id > 899")).collect()]
     v = np.floor(256 * x).astype(int)
     want = []
     for q in range(0, 400, 20):
@@ -145,6 +164,35 @@ def test_exact_topk(spark, block_rows):
     assert sorted(got) == sorted(want)
 
 
+def test_threshold_stops_before_all_rows_are_seen(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 64)) * 0.01
+    x[:, 0] += rng.pareto(3, size=3000)  # one dimension carries the weight
+    frame = spark.createDataFrame([(k, [float(e) for e in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = ExactTopK(k=5, scale=256).transform(frame, frame.where("vec_id % 50 = 0")).collect()
+    v = np.floor(256 * x).astype(int)
+    for q in range(0, 3000, 50):
+        best = sorted((-int(v[q] @ v[c]), c) for c in range(3000) if c != q)[:5]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in rows if r.query_id == q), key=lambda r: r["rank"])] == [(c, -s) for s, c in best]
+    read = {r.query_id: r.read for r in rows}
+    block = Block(np.arange(3000), v)
+    early = 0
+    for q, part in read.items():
+        depth, shown = round(part * 3000), np.zeros(3000, bool)
+        for j in range(64):
+            shown[block.order[j, :depth] if v[q, j] > 0 else block.order[j, 3000 - depth :]] |= v[q, j] != 0
+        early += not shown.all()
+    assert early > 40  # of 60 queries, stopped by the bound and not for want of rows
+
+
+def test_topk_of_repeated_queries_and_nothing(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.5]), (3, [0.5, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ExactTopK(k=5, scale=2).transform(frame, frame.where("vec_id = 1")).collect())
+    assert got == [(1, 1, 2, 4), (1, 1, 3, 4), (1, 2, 2, 2), (1, 2, 3, 2)]
+    assert ExactTopK().transform(frame.where("1 = 0"), frame).count() == ExactTopK().transform(frame, frame.where("1 = 0")).count() == 0
+
+
 def toxic_corpus(spark, n=600):
     rng = random.Random(6)
     clean, bad = [f"word{k}" for k in range(80)], ["vileA", "vileB", "nasty"]
