@@ -98,17 +98,16 @@ class SubstringDedup:
         """One row per input row: the columns in ``carry`` (the id if none are given) and those of RESULT."""
         carry = [c for c in (carry or [self.id_col]) if c not in RESULT.names]
         keep = list(dict.fromkeys([*carry, self.id_col, self.text_col]))
-        batches, buckets = X.sizes(docs, self.text_col)
-        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = docs.select(*keep, X.batch_of(self.id_col, self.text_col, batches).alias("_batch")).repartition(parts, "_batch")
+        how = X.plan(docs, self.text_col)
+        buckets, dealt = how.buckets, X.dealt(X.stable(docs.select(*keep)), how, self.text_col)
         window, block, id_col, text_col = self.window, self.block, self.id_col, self.text_col
 
-        def index_and_probes(key: tuple, docs: pa.Table) -> pa.Table:
-            _, keys, aligned = _anchors(words(docs.column(text_col)), block, window, buckets)
+        def index_and_probes(key: tuple, batch: pa.Table) -> pa.Table:
+            _, keys, aligned = _anchors(words(X.rows(batch).column(text_col)), block, window, buckets)
             index = np.unique(keys[aligned])
             probes = np.setdiff1d(np.unique(keys[~aligned]), index, assume_unique=True)
             rows = [(o, True, X.pack(index[i:j] & X.LOW)) for o, i, j in _by_bucket(index, buckets)] + [(o, False, X.pack(probes[i:j] & X.LOW)) for o, i, j in _by_bucket(probes, buckets)]
-            return pa.table({"_bucket": pa.array([r[0] for r in rows], pa.int32()), "_batch": pa.array([key[0].as_py()] * len(rows), pa.int32()), "aligned": pa.array([r[1] for r in rows], pa.bool_()), "blob": pa.array([r[2] for r in rows], pa.binary())})
+            return pa.table({"_bucket": pa.array([r[0] for r in rows], pa.int32()), "_batch": pa.array([key[0].as_py()] * len(rows), pa.int64()), "aligned": pa.array([r[1] for r in rows], pa.bool_()), "blob": pa.array([r[2] for r in rows], pa.binary())})
 
         def meet(key: tuple, sent: pa.Table) -> pa.Table:
             blobs = [X.unpack(b) for b in sent.column("blob").to_pylist()]
@@ -124,7 +123,8 @@ class SubstringDedup:
             hit = (blocks > aligned) | (aligned & (np.repeat(size, size) > 1))
             return _answers(batch[hit], (U64(key[0].as_py()) << U64(X.LOW_BITS)) | low[hit])
 
-        def extend(key: tuple, docs: pa.Table, hits: pa.Table) -> pa.Table:
+        def extend(key: tuple, batch: pa.Table, hits: pa.Table) -> pa.Table:
+            docs = X.rows(batch)
             w = words(docs.column(text_col), wide=True)
             at, keys, aligned = _anchors(w, block, window, buckets)
             doc = np.searchsorted(w.first, at, side="right") - 1
@@ -145,20 +145,22 @@ class SubstringDedup:
             order, b, least = _smallest(ids, owner, a, c)
             first = order[b[:-1]]
             rows = [(int(owner[first[i]]), a[first[i:j]], c[first[i:j]], least[i:j]) for i, j in _runs(owner[first])]
-            return pa.table({"_bucket": pa.array([r[0] for r in rows], pa.int32()), "_batch": pa.array([key[0].as_py()] * len(rows), pa.int32()), **{k: pa.array([r[i].tobytes() for r in rows], pa.binary()) for i, k in ((1, "a"), (2, "c"), (3, "least"))}})
+            return pa.table({"_bucket": pa.array([r[0] for r in rows], pa.int32()), "_batch": pa.array([key[0].as_py()] * len(rows), pa.int64()), "a": pa.array([X.pack(r[1]) for r in rows], pa.binary()), "c": pa.array([r[2].tobytes() for r in rows], pa.binary()), "least": pa.array([X.pack_longs(r[3]) for r in rows], pa.binary())})
 
         def smallest(key: tuple, sent: pa.Table) -> pa.Table:
-            a, c = (np.concatenate([np.frombuffer(b, U64) for b in sent.column(k).to_pylist()]) for k in ("a", "c"))
-            least = [np.frombuffer(b, np.int64) for b in sent.column("least").to_pylist()]
+            a = np.concatenate([X.unpack(b) for b in sent.column("a").to_pylist()])
+            c = np.concatenate([np.frombuffer(b, U64) for b in sent.column("c").to_pylist()])
+            least = [X.unpack_longs(b) for b in sent.column("least").to_pylist()]
             batch = np.repeat(sent.column("_batch").to_numpy(), [len(x) for x in least])
             least = np.concatenate(least)
             order, b, low = _smallest(least, a, c)
             covered = order[least[order] > np.repeat(low, np.diff(b))]
             covered = covered[np.argsort(batch[covered], kind="stable")]
-            rows = [(int(batch[covered[i]]), a[covered[i:j]].tobytes(), c[covered[i:j]].tobytes()) for i, j in _runs(batch[covered])]
-            return pa.table({"_batch": pa.array([r[0] for r in rows], pa.int32()), "a": pa.array([r[1] for r in rows], pa.binary()), "c": pa.array([r[2] for r in rows], pa.binary())})
+            rows = [(int(batch[covered[i]]), X.pack(a[covered[i:j]]), c[covered[i:j]].tobytes()) for i, j in _runs(batch[covered])]
+            return pa.table({"_batch": pa.array([r[0] for r in rows], pa.int64()), "a": pa.array([r[1] for r in rows], pa.binary()), "c": pa.array([r[2] for r in rows], pa.binary())})
 
-        def remove(key: tuple, docs: pa.Table, covered: pa.Table) -> pa.Table:
+        def remove(key: tuple, batch: pa.Table, covered: pa.Table) -> pa.Table:
+            docs = X.rows(batch)
             w = words(docs.column(text_col), wide=True)
             starts = window_starts(w.first, window)
             a, c = rolling(w.hash, window)[starts], rolling(w.hash2, window, 1)[starts]
@@ -166,7 +168,8 @@ class SubstringDedup:
             order, b, least = _smallest(ids, a, c)
             gone = np.zeros(len(starts), bool)
             gone[order] = ids[order] > np.repeat(least, np.diff(b))
-            ra, rc = (np.concatenate([np.frombuffer(x, U64) for x in covered.column(k).to_pylist()] or [np.zeros(0, U64)]) for k in ("a", "c"))
+            ra = np.concatenate([X.unpack(x) for x in covered.column("a").to_pylist()] or [np.zeros(0, U64)])
+            rc = np.concatenate([np.frombuffer(x, U64) for x in covered.column("c").to_pylist()] or [np.zeros(0, U64)])
             by = np.lexsort((rc, ra))
             i = _found(ra[by], a)
             gone |= (i >= 0) & (rc[by][i] == c) if len(by) else False
@@ -175,13 +178,14 @@ class SubstringDedup:
             np.add.at(change, starts[gone] + window, -1)
             return _result(docs, carry, w, np.cumsum(change[:-1]) > 0)
 
-        blob = "blob binary"
-        sent = dealt.groupBy("_batch").applyInArrow(index_and_probes, f"_bucket int, _batch int, aligned boolean, {blob}")
-        hits = sent.groupBy("_bucket").applyInArrow(meet, f"_batch int, {blob}")
-        near = dealt.groupBy("_batch").cogroup(hits.groupBy("_batch")).applyInArrow(extend, "_bucket int, _batch int, a binary, c binary, least binary")
-        covered = near.groupBy("_bucket").applyInArrow(smallest, "_batch int, a binary, c binary")
+        to_buckets = lambda sent: sent.repartition(how.bucket_parts, "_bucket").groupBy("_bucket")
+        to_batches = lambda told: dealt.groupBy("_batch").cogroup(told.repartition(how.batch_parts, "_batch").groupBy("_batch"))
+        sent = dealt.groupBy("_batch").applyInArrow(index_and_probes, "_bucket int, _batch long, aligned boolean, blob binary")
+        hits = to_buckets(sent).applyInArrow(meet, "_batch long, blob binary")
+        near = to_batches(hits).applyInArrow(extend, "_bucket int, _batch long, a binary, c binary, least binary")
+        covered = to_buckets(near).applyInArrow(smallest, "_batch long, a binary, c binary")
         schema = T.StructType([docs.schema[c] for c in carry] + RESULT.fields)
-        return dealt.groupBy("_batch").cogroup(covered.groupBy("_batch")).applyInArrow(remove, schema)
+        return to_batches(covered).applyInArrow(remove, schema)
 
 
 def _runs(values: np.ndarray) -> list[tuple[int, int]]:
@@ -193,7 +197,7 @@ def _answers(batch: np.ndarray, keys: np.ndarray) -> pa.Table:
     order = np.lexsort((keys, batch))
     batch, keys = batch[order], keys[order]
     runs = _runs(batch)
-    return pa.table({"_batch": pa.array([int(batch[i]) for i, _ in runs], pa.int32()), "blob": pa.array([X.pack(keys[i:j]) for i, j in runs], pa.binary())})
+    return pa.table({"_batch": pa.array([int(batch[i]) for i, _ in runs], pa.int64()), "blob": pa.array([X.pack(keys[i:j]) for i, j in runs], pa.binary())})
 
 
 def _result(docs: pa.Table, carry: list[str], w: Words, gone: np.ndarray) -> pa.Table:
