@@ -103,7 +103,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.toxicity import PuToxicity
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     scored = PuToxicity().fit(docs, labels, learn=~held_out).transform(docs.select("doc_id", "text"))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

@@ -6,16 +6,20 @@ hashed words and word beginnings minimises the non-negative estimate of the clas
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)),
 
 with the sigmoid loss; where the bracket turns negative, the step runs against its gradient instead.  The class
-prior is the share of confirmed rows among the labelled ones, or a parameter.
+prior is the share of confirmed rows among the labelled ones, or a parameter; the bias is then set so that the
+scores of the unlabelled average it.
 
-The fit sees at most ``max_positive`` positives and, as the unlabelled set, at most ``max_unlabelled`` rows of the
-whole, confirmed or not, those with the smallest hash of their id; scoring sees every whole text.  Features of a
-text are its distinct words (A-Z lowered, ASCII punctuation dropped) and their first ``stem`` bytes, as far as
-their share among the positives differs from that among the unlabelled by ``min_z`` standard errors: rarer ones
-would only let the model learn single documents by heart.  Only text enters a score.
+The fit sees at most ``max_positive`` positive rows and, as the unlabelled set, at most ``max_unlabelled`` rows of the
+whole, confirmed or not, those with the smallest hash of id and text, equal rows once; scoring sees every whole text.  Features of a
+text are its distinct words (A-Z lowered, ASCII punctuation dropped), their first ``stem`` bytes, and those that at
+least 2 or 3 of its distinct words share, as abuse is often compounded; all as far as their share among the positives
+differs from that among the unlabelled by ``min_z`` standard errors: rarer ones would only let the model learn single
+documents by heart.  Only text enters a score.
 
 Defined results: null and empty texts have no features and score as the bias alone says; rows without an id are
-never learnt from; without positives every score is the prior; extra columns play no part.
+never learnt from; without positives every score is the prior; a model can be fitted again, and then knows nothing of
+the first fit; extra columns play no part.  Rows are told apart by their place while fitting, so ``docs`` must give
+them in the same order each time, as a table does that is read.
 """
 
 from __future__ import annotations
@@ -40,19 +44,26 @@ SPACE = 32
 class Features:
     """Hashed features of texts: rows and columns, ordered by row, and the number of texts."""
 
-    def __init__(self, bits: int = 20, stem: int = 5):
-        self.bits, self.stem = bits, stem
+    def __init__(self, bits: int = 20, stem: int = 5, families: tuple[int, ...] = (2, 3)):
+        self.bits, self.stem, self.families = bits, stem, families
 
     def __call__(self, texts: pa.ChunkedArray | pa.Array, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
         """``among``: a flag for each column; only the flagged ones are returned."""
         arr = as_array(texts)
         cleaned = _clean(arr)
         w = words(cleaned, lower=True)
-        doc = w.doc_of()
-        head = _heads(w, self.stem)
         shift = U64(64 - self.bits)
-        ids = np.concatenate((w.hash >> shift, mix(head ^ U64(0xA5A5A5A5A5A5A5A5)) >> shift)).astype(np.int64)
-        row = np.concatenate((doc, doc))
+        with np.errstate(over="ignore"):
+            salt = mix(w.doc_of().astype(U64) + U64(1))
+            one = np.unique(w.hash ^ salt, return_index=True)[1]  # each word of a text once
+            doc, head = w.doc_of()[one], mix(_heads(w, self.stem)[one] ^ U64(0xA5A5A5A5A5A5A5A5))
+            _, stem, held = np.unique(head ^ salt[one], return_index=True, return_counts=True)
+        row, ids = [doc, doc[stem]], [w.hash[one], head[stem]]
+        for k in self.families:
+            many = stem[held >= k]
+            row.append(doc[many])
+            ids.append(mix(head[many] + U64(k)))
+        row, ids = np.concatenate(row), (np.concatenate(ids) >> shift).astype(np.int64)
         if among is not None:
             row, ids = row[among[ids]], ids[among[ids]]
         cell = np.unique((row << self.bits) | ids)
@@ -94,7 +105,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, width: int, steps: int = 1500, rate: float = 0.02, batch: int = 2048, l2: float = 1e-5, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, width: int, steps: int = 1500, rate: float = 0.02, batch: int = 2048, l2: float = 3e-5, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk, by Adam steps over mini-batches of feature lists."""
     rng = np.random.default_rng(seed)
     w, m, v = (np.zeros(width + 1) for _ in range(3))
@@ -122,15 +133,24 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, width:
     return w[:width], float(w[width])
 
 
+def calibrated(margins: np.ndarray, bias: float, prior: float) -> float:
+    """The bias near the given one with which the scores of the unlabelled average the prior."""
+    lo, hi = bias - 10, bias + 10
+    for _ in range(60 if len(margins) else 0):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if _sigmoid(margins + mid).mean() < prior else (lo, mid)
+    return (lo + hi) / 2
+
+
 class PuToxicity:
     """Fits on documents joined with confirmed labels, scores any documents."""
 
-    def __init__(self, prior: float | None = None, max_positive: int = 4000, max_unlabelled: int = 12000, bits: int = 20, stem: int = 5, min_z: float = 4.0, id_col: str = "doc_id", text_col: str = "text"):
+    def __init__(self, prior: float | None = None, max_positive: int = 4000, max_unlabelled: int = 12000, bits: int = 20, stem: int = 5, min_z: float = 5.0, id_col: str = "doc_id", text_col: str = "text"):
         self.min_z, self.prior, self.max_positive, self.max_unlabelled = min_z, prior, max_positive, max_unlabelled
         self.features, self.id_col, self.text_col = Features(bits, stem), id_col, text_col
         self.weights: np.ndarray | None = None
         self.known = np.zeros(0, np.int64)
-        self.bias = 0.0
+        self.bias, self.fitted_prior = 0.0, 0.5
 
     def fit(self, docs: DataFrame, labels: DataFrame, label_col: str = "toxic", learn: object = None) -> PuToxicity:
         """``learn``: a condition on the id for rows that may be learnt from; labels are those of ``label_col`` = 1."""
@@ -140,20 +160,22 @@ class PuToxicity:
         if learn is not None:
             marks = marks.join(rows.select(ids.alias("_id")).distinct(), "_id", "left_semi")
         seen = marks.agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos")).first()
-        order = F.xxhash64(F.col("_id"), F.lit(11))
-        held = rows.select(ids.alias("_id"), F.col(self.text_col).alias("_text"))
-        positive = marks.where("_y = 1").orderBy(order, "_id").limit(self.max_positive).select("_id", F.lit(1).alias("_s"))
-        every = rows.select(ids.alias("_id")).distinct().orderBy(order, "_id").limit(self.max_unlabelled).select("_id", F.lit(0).alias("_s"))
+        # a row counts once however often it repeats: the first of its kind stands for all
+        held = rows.select(ids.alias("_id"), F.col(self.text_col).alias("_text"), F.monotonically_increasing_id().alias("_place"))
+        kinds = held.groupBy("_id", F.xxhash64(F.lit(11), "_id", "_text").alias("_k")).agg(F.min("_place").alias("_place"))
+        chosen = lambda own, most, s: own.select("_place", "_k").orderBy("_k", "_place").limit(most).select("_place", F.lit(s).alias("_s"))
+        positive = chosen(kinds.join(marks.where("_y = 1"), "_id"), self.max_positive, 1)
+        every = chosen(kinds, self.max_unlabelled, 0)
         features = self.features
 
         def sparse(batches):
             for b in pieces(batches, "_text"):
                 row, col, n = features(b.column("_text"))
                 first = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_s"), pa.ListArray.from_arrays(first, pa.array(col.astype(np.int32)))], names=["_id", "_s", "c"])
+                yield pa.RecordBatch.from_arrays([b.column("_place"), b.column("_s"), pa.ListArray.from_arrays(first, pa.array(col.astype(np.int32)))], names=["_place", "_s", "c"])
 
-        kind = docs.schema[self.id_col].dataType.simpleString()
-        sample = cut(held.join(F.broadcast(positive.unionByName(every)), "_id").mapInArrow(sparse, f"_id {kind}, _s int, c array<int>"), "sample")
+        picked = cut(positive.unionByName(every), "picked")
+        sample = cut(held.join(F.broadcast(picked), "_place").select("_place", "_s", "_text").mapInArrow(sparse, "_place long, _s int, c array<int>"), "sample")
         size = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_s"), F.lit(0)).alias("pos")).first()
         self.known = self._telling(sample, size["pos"], size["n"] - size["pos"])
         known = self.known
@@ -163,15 +185,16 @@ class PuToxicity:
                 lists = b.column("c")
                 row, col = _known(known, np.repeat(np.arange(len(b)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy().astype(np.int64))
                 first = pa.array(np.searchsorted(row, np.arange(len(b) + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_s"), pa.ListArray.from_arrays(first, pa.array(col.astype(np.int32)))], names=["_id", "_s", "c"])
+                yield pa.RecordBatch.from_arrays([b.column("_place"), b.column("_s"), pa.ListArray.from_arrays(first, pa.array(col.astype(np.int32)))], names=["_place", "_s", "c"])
 
-        got = sample.mapInArrow(keep, sample.schema).toArrow().sort_by([("_s", "ascending"), ("_id", "ascending")])  # max_positive + max_unlabelled rows at most
-        self.prior = self.prior if self.prior is not None else min(max((seen["pos"] or 0) / max(seen["n"], 1), 1e-3), 0.9)
+        got = sample.mapInArrow(keep, sample.schema).toArrow().sort_by([("_s", "ascending"), ("_place", "ascending")])  # max_positive + max_unlabelled rows at most
+        self.fitted_prior = self.prior if self.prior is not None else min(max((seen["pos"] or 0) / max(seen["n"], 1), 1e-3), 0.9)
         pos, unl = ([np.array(c, np.int64) for c in got.filter(pc.equal(got.column("_s"), want)).column("c").to_pylist()] for want in (1, 0))
         if pos:
-            self.weights, self.bias = fit_nnpu(pos, unl, self.prior, len(known))
+            self.weights, bias = fit_nnpu(pos, unl, self.fitted_prior, len(known))
+            self.bias = calibrated(np.array([self.weights[c].sum() for c in unl]), bias, self.fitted_prior)
         else:
-            self.weights, self.bias = np.zeros(len(known)), float(np.log(self.prior / (1 - self.prior)))
+            self.weights, self.bias = np.zeros(len(known)), float(np.log(self.fitted_prior / (1 - self.fitted_prior)))
         return self
 
     def _telling(self, sample: DataFrame, n_pos: int, n_unl: int) -> np.ndarray:

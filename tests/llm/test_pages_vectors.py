@@ -220,10 +220,31 @@ def test_toxicity_on_held_out_rows(spark):
     by = {r.doc_id: r.score for r in rows}
     assert by[9003] >= 0.7 > by[9001] == by[9002]
     model = PuToxicity().fit(docs, labels.where("toxic = 0"))
-    assert {round(r.score, 6) for r in model.transform(docs).collect()} == {round(model.prior, 6)}
+    assert {round(r.score, 6) for r in model.transform(docs).collect()} == {round(model.fitted_prior, 6)}
+    model.fit(docs, labels)
+    assert model.prior is None and model.fitted_prior == pytest.approx(100 / 300)
     assert model.transform(docs.where("1 = 0")).count() == 0
 
 
+def test_toxicity_fits_on_a_bounded_number_of_rows(spark, monkeypatch):
+    from lattica.llm import toxicity
+
+    seen = {}
+
+    def spy(pos, unl, prior, width):
+        seen.update(pos=len(pos), unl=len(unl))
+        return np.zeros(width), 0.0
+
+    monkeypatch.setattr(toxicity, "fit_nnpu", spy)
+    rows = [(1, f"vile words {k}", "x") for k in range(300)] + [(2, "a calm line", "x")] * 300 + [(3, None, "x"), (None, "vile", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text string").repartition(3)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    PuToxicity(max_positive=7, max_unlabelled=11).fit(docs, labels)
+    assert seen == {"pos": 7, "unl": 11}
+    PuToxicity(max_unlabelled=10_000).fit(docs, labels)
+    assert seen == {"pos": 300, "unl": 302}
+
+
 def test_nnpu_separates():
     pos, unl = [np.array([0])] * 20, [np.array([0])] * 10 + [np.array([1])] * 90
     w, b = fit_nnpu(pos, unl, 0.1, 2, steps=400)
