@@ -1,28 +1,34 @@
 """Benchmark decontamination by greedy string tiling.
 
 Every benchmark item is cut into rolling seeds of ``min_match`` lower-cased words; documents probe them with every
-rolling window of their own.  A document and an item that share a seed are tiled: the longest common runs that do
-not overlap words already marked on either side are found with Karp-Rabin hashes and marked, longest first, until
-none of ``min_match`` words is left.  Tiles may lie in any order, so reordered passages count.  The item is
-leaked when tiles cover at least ``coverage`` of its words.
+rolling window of their own.  A document and an item that share seeds enough to reach the coverage are tiled: the
+longest common runs that do not overlap words already marked on either side are found with Karp-Rabin hashes and
+marked, longest first, until none of ``min_match`` words is left.  Tiles may lie in any order, so reordered passages
+count.  The item is leaked when tiles cover at least ``coverage`` of its words.
 
-Items of fewer than ``min_match`` words are their own only seed.  The benchmark side is broadcast when its size,
-counted first, is at most ``broadcast_bytes``; beyond it the seeds of both sides meet in a join by hash, and the
-pairs found fetch their texts.  Both ways yield the same rows.
+Items of fewer than ``min_match`` words are their own only seed.  The benchmark is broadcast whole when its size,
+counted first, is at most ``broadcast_bytes``, and beyond that in as many parts, each of which reads the documents
+once more: documents are never shuffled, and a seed that many documents and items share makes no task larger.
+
+Tiling lists no pairs of places: for each place of the item the next free place of the document with its hash is
+taken, so a round costs about the words of the document's parts that share seeds with the item.
 
 Defined results: null or empty texts and items without words match nothing; null ids are kept as null ids; rows
-that repeat an id are judged one by one; an empty table gives an empty result.
+that repeat an id are judged one by one; an empty table gives an empty result; extra columns play no part.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.tokens import U64, Words, pieces, rolling, window_starts, words
+from lattica.llm.tokens import U64, WINDOW_MULT, Words, mix, pieces, power_table, rolling, window_starts, words
 
 TILE = T.StructType([T.StructField(k, T.LongType()) for k in ("doc_word", "item_word", "n_words")])
 RESULT = T.StructType([
@@ -42,39 +48,81 @@ def _spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(lo - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def _longest(x: np.ndarray, y: np.ndarray, free_x: np.ndarray, free_y: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Places (i, j) where ``length`` unmarked words of x and y agree, by Karp-Rabin hashes and then word by word."""
-    if len(x) < length or len(y) < length:
-        return []
-    run = lambda free: np.convolve(free, np.ones(length, np.int64), "valid") == length
-    at_x, at_y = np.flatnonzero(run(free_x)), np.flatnonzero(run(free_y))
-    hx, hy = rolling(x, length)[at_x], rolling(y, length)[at_y]
-    by = np.argsort(hy, kind="stable")
-    lo, hi = np.searchsorted(hy[by], hx, "left"), np.searchsorted(hy[by], hx, "right")
-    n = hi - lo
-    i, j = np.repeat(at_x, n), at_y[by[_spread(lo, n)]]
-    same = np.array([np.array_equal(x[a : a + length], y[b : b + length]) for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
-    return list(zip(i[same].tolist(), j[same].tolist(), strict=True)) if len(i) else []
+class _Windows:
+    """Karp-Rabin hashes of the windows of a word sequence, of any length."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, n = words, len(words)
+        self.up, self.down = power_table(WINDOW_MULT[0], n + 1)
+        with np.errstate(over="ignore"):
+            self.total = np.concatenate(([U64(0)], np.cumsum(words * self.up[:n], dtype=U64)))
+
+    def of(self, length: int) -> np.ndarray:
+        n = max(len(self.words) - length + 1, 0)
+        with np.errstate(over="ignore"):
+            return mix((self.total[length : length + n] - self.total[:n]) * self.down[:n])
+
+
+def _free(marked: np.ndarray, length: int) -> np.ndarray:
+    """Places where windows of that length begin that hold no marked word."""
+    if len(marked) < length:
+        return np.zeros(0, np.int64)
+    before = np.concatenate(([0], np.cumsum(marked)))
+    return np.flatnonzero(before[length:] == before[:-length])
+
+
+def _shared(x: _Windows, y: _Windows, marked_x: np.ndarray, marked_y: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Free places of x whose window's hash y has too, by hash and place, and for each of y's places its part of them."""
+    at_x, at_y = _free(marked_x, length), _free(marked_y, length)
+    hx, hy = x.of(length)[at_x], y.of(length)[at_y]
+    kinds, which = np.unique(hy, return_inverse=True)
+    i = np.searchsorted(kinds, hx)
+    hit = np.flatnonzero(kinds[np.minimum(i, len(kinds) - 1)] == hx) if len(kinds) else i[:0]
+    by = np.argsort(i[hit], kind="stable")
+    borders = np.searchsorted(i[hit][by], np.arange(len(kinds) + 1))
+    return at_x[hit[by]], borders, at_y, which
 
 
 def tile(x: np.ndarray, y: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (start in x, start in y, length) of two word sequences; longest first, ties from the left."""
-    free_x, free_y = np.ones(len(x), np.int64), np.ones(len(y), np.int64)
-    tiles: list[tuple[int, int, int]] = []
+    """Greedy tiles (start in x, start in y, length) of two word sequences; longest first, ties from the left of y, then of x."""
     shortest = max(1, min(min_match, len(y)))
-    top = min(len(x), len(y))
+    wy = _Windows(y)
+    # only what lies in windows that y has can be tiled; other words between stand for a mark
+    seeds = np.flatnonzero(np.isin(_Windows(x).of(shortest), wy.of(shortest))) if len(x) else np.zeros(0, np.int64)
+    if not len(seeds):
+        return []
+    near = np.zeros(len(x) + 1, np.int64)
+    np.add.at(near, seeds, 1)
+    np.add.at(near, seeds + shortest, -1)
+    near = np.cumsum(near[:-1]) > 0
+    place = np.flatnonzero(near | np.concatenate(([False], near[:-1])))  # each part with the word behind it
+    wx = _Windows(x[place])
+    marked_x, marked_y = (~near[place]).astype(np.int64), np.zeros(len(y), np.int64)
+    tiles: list[tuple[int, int, int]] = []
+    top = min(len(place), len(y))
     while top >= shortest:
         lo, hi = shortest, top  # a common run of some length implies shorter ones: the longest is found by halving
-        if not _longest(x, y, free_x, free_y, lo):
+        if not len(_shared(wx, wy, marked_x, marked_y, lo)[0]):
             break
         while lo < hi:
             mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if _longest(x, y, free_x, free_y, mid) else (lo, mid - 1)
-        for i, j in sorted(_longest(x, y, free_x, free_y, lo), key=lambda p: (p[1], p[0])):
-            if free_x[i : i + lo].all() and free_y[j : j + lo].all():
-                free_x[i : i + lo] = free_y[j : j + lo] = 0
-                tiles.append((i, j, lo))
-        top = lo
+            lo, hi = (mid, hi) if len(_shared(wx, wy, marked_x, marked_y, mid)[0]) else (lo, mid - 1)
+        at_x, borders, at_y, which = _shared(wx, wy, marked_x, marked_y, lo)
+        following = borders[:-1].copy()  # marks are never taken back, so each list is walked once
+        found = 0
+        for j, kind in zip(at_y.tolist(), which.tolist(), strict=True):
+            if marked_y[j : j + lo].any():
+                continue
+            k, end = following[kind], borders[kind + 1]
+            while k < end and marked_x[at_x[k] : at_x[k] + lo].any():
+                k += 1
+            following[kind] = k
+            if k < end and np.array_equal(wx.words[at_x[k] : at_x[k] + lo], y[j : j + lo]):
+                i = int(at_x[k])
+                marked_x[i : i + lo] = marked_y[j : j + lo] = 1
+                tiles.append((int(place[i]), j, lo))
+                found += 1
+        top = lo if found else lo - 1
     return tiles
 
 
@@ -109,18 +157,19 @@ class _Items:
         self.seed, self.owner = seed[by], owner[by]
         self.lengths = sorted({int(min(n, min_match)) for n in w.lengths if n})
 
-    def pairs(self, w: Words) -> np.ndarray:
-        """Distinct (document, item) numbers that share a seed."""
+    def pairs(self, w: Words, min_match: int, coverage: float) -> np.ndarray:
+        """Distinct (document, item) numbers that share seeds of enough of the item's words."""
         found = []
-        for _, at, h in _probes(w, self.lengths):
+        for k, at, h in _probes(w, self.lengths):
             if len(self.seed) and len(h):
                 i = np.minimum(np.searchsorted(self.seed, h), len(self.seed) - 1)
                 hit = np.flatnonzero(self.seed[i] == h)
-                lo, hi = i[hit], np.searchsorted(self.seed, h[hit], "right")
-                n = hi - lo
                 doc = np.searchsorted(w.first, at[hit], side="right") - 1
-                item = self.owner[_spread(lo, n)]
-                found.append(np.unique(np.stack((np.repeat(doc, n), item), 1), axis=0))
+                doc, lo = np.unique(np.stack((doc, i[hit]), 1), axis=0).T if len(hit) else (doc, hit)
+                n = np.searchsorted(self.seed, self.seed[lo], "right") - lo
+                both, places = np.unique(np.stack((np.repeat(doc, n), self.owner[_spread(lo, n)]), 1), axis=0, return_counts=True)
+                size = np.diff(self.first)[both[:, 1]] if len(both) else places
+                found.append(both[np.minimum(places * min(k, min_match), size) >= coverage * size])
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
@@ -152,10 +201,12 @@ class Decontaminator:
         docs = docs.select(F.col(self.id_col).cast("long").alias("doc_id"), F.col(self.text_col).alias("text"))
         items = benchmark.select(F.col(self.item_col).cast("long").alias("item_id"), F.col(self.item_text_col).alias("text"))
         size = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
-        return self._broadcast(docs, items) if size <= self.broadcast_bytes else self._joined(docs, items)
+        parts = max(1, math.ceil(size / self.broadcast_bytes))
+        found = [self._broadcast(docs, items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(parts)) == k)) for k in range(parts)]
+        return reduce(DataFrame.unionByName, found)
 
     def _broadcast(self, docs: DataFrame, items: DataFrame) -> DataFrame:
-        rows = sorted((r.item_id is None, r.item_id or 0, r.text or "", r.item_id) for r in items.collect())  # within broadcast_bytes
+        rows = sorted((r.item_id is None, r.item_id or 0, r.text or "", r.item_id) for r in items.collect())  # about broadcast_bytes
         held = docs.sparkSession.sparkContext.broadcast(([r[3] for r in rows], [r[2] for r in rows]))
         min_match, coverage = self.min_match, self.coverage
 
@@ -165,39 +216,7 @@ class Decontaminator:
             for batch in pieces(batches, "text"):
                 w = words(batch.column("text"), lower=True)
                 names = batch.column("doc_id").to_pylist()
-                judged = [_judge(names[d], bench.ids[i], w.hash[w.first[d] : w.first[d + 1]], bench.hash[bench.first[i] : bench.first[i + 1]], min_match, coverage) for d, i in bench.pairs(w).tolist()]
+                judged = [_judge(names[d], bench.ids[i], w.hash[w.first[d] : w.first[d + 1]], bench.hash[bench.first[i] : bench.first[i + 1]], min_match, coverage) for d, i in bench.pairs(w, min_match, coverage).tolist()]
                 yield from _rows([r for r in judged if r]).to_batches()
 
         return docs.mapInArrow(judge, RESULT)
-
-    def _joined(self, docs: DataFrame, items: DataFrame) -> DataFrame:
-        """For a benchmark of any size: seeds meet by hash; only pairs that share one fetch texts."""
-        min_match, coverage = self.min_match, self.coverage
-        items = items.withColumn("_item", F.xxhash64("item_id", "text"))
-        docs = docs.withColumn("_doc", F.xxhash64("doc_id", "text"))
-        lengths = sorted(r[0] for r in items.select(F.least(F.size(F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ")), F.lit(min_match))).where("text IS NOT NULL").distinct().collect())  # min_match numbers at most
-
-        def seeds(batches):
-            for b in pieces(batches, "text"):
-                h, owner = _seeds(words(b.column("text"), lower=True), min_match)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("_item").take(pa.array(owner))], names=["h", "_item"])
-
-        def probes(batches):
-            for b in pieces(batches, "text"):
-                w = words(b.column("text"), lower=True)
-                for _, at, h in _probes(w, lengths):
-                    doc = np.searchsorted(w.first, at, side="right") - 1
-                    _, i = np.unique(np.stack((doc.astype(U64), h)), axis=1, return_index=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[i].view(np.int64)), b.column("_doc").take(pa.array(doc[i]))], names=["h", "_doc"])
-
-        found = docs.select("_doc", "text").mapInArrow(probes, "h long, _doc long").join(items.select("_item", "text").mapInArrow(seeds, "h long, _item long").distinct(), "h").select("_doc", "_item").distinct()
-        both = found.join(docs, "_doc").join(items.withColumnRenamed("text", "item_text"), "_item").select("doc_id", "text", "item_id", "item_text")
-
-        def judge(batches):
-            for b in pieces(batches, "text"):
-                x, y = words(b.column("text"), lower=True), words(b.column("item_text"), lower=True)
-                names = zip(b.column("doc_id").to_pylist(), b.column("item_id").to_pylist(), strict=True)
-                judged = [_judge(d, i, x.hash[x.first[k] : x.first[k + 1]], y.hash[y.first[k] : y.first[k + 1]], min_match, coverage) for k, (d, i) in enumerate(names)]
-                yield from _rows([r for r in judged if r]).to_batches()
-
-        return both.mapInArrow(judge, RESULT)

@@ -4,17 +4,21 @@ Sources in code-point order, null last, weigh ``weights`` in turn and share ``bu
 stops at ``most`` times its source's size and the excess goes to the others by weight until none is above.  That
 fixed point is min(cap, level * weight), found exactly by walking the sources in order of cap / weight.
 
-Slot t of the mix takes one block of ``block`` words.  The golden-ratio point of t, mapped through the cumulative
-targets, names its source; slots are ranked per source, and rank r takes block r modulo the source's number of
-blocks.  Blocks cut the source's documents, shuffled by a hash, into runs of equal length (the last one may be
-short).  A block is used ``most`` times at most, so no document is used more often than that.
-
-Everything is a window over bounded groups: documents are ordered in (source, hash slice) chunks and slots in runs
-of ``run`` numbers, with offsets from the chunks' totals.  Only per-source totals meet in one task, and they alone
-are broadcast; a mix of more than ``max_sources`` sources is refused, which bounds them.
+A source's documents, shuffled by a hash, are cut into blocks of ``block`` words at most and nearly equal length.
+Slot t of the mix takes one block.  The golden-ratio point of t, mapped through the cumulative shares of the slots
+that the targets need, names its source; slots are ranked per source, and rank r takes block r modulo the source's
+number of blocks.  A source gets as many slots as its target rounds to in blocks, one at least: slots beyond that stay empty, and the
+few that a low-discrepancy sequence leaves out follow at the end.  A source so misses its target by half a block at most, and
+no block, so no document, is used more than ``most`` times.
+
+Any number of sources: sources are numbered in ranges, the level is found by sums, and points meet the spans of
+sources in bins of the unit interval.  Documents are ordered in (source, hash slice) chunks and slots in runs of
+``run`` numbers, with offsets from the chunks' totals; rows that repeat an id and a text are told apart by their rank
+among themselves, so no slice holds more than its share.  The spans are broadcast only up to ``broadcast_rows`` rows.
 
 Defined results: a null text has size 0; sizes of 0 are taken 0 times; a source without words has target 0; rows
-that repeat an id are separate; an empty table gives an empty mix.
+that repeat an id, or have none, are separate; an empty table gives an empty mix; extra columns play no part.  Rows are told apart by their
+place while read, so ``docs`` must give them in the same order each time, as a table does that is read.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 #: The golden ratio's fractional part in 64 bits: slot t lies at t * GOLDEN modulo 1.
 GOLDEN = 0x9E3779B97F4A7C15
 POINT_BITS = 52
+#: Sources and slots that one task numbers.
+SOURCES_A_TASK, SLOTS_A_TASK = 50_000, 1 << 22
 
 
 def word_count(text: str) -> Column:
@@ -37,88 +43,124 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
+def running(df: DataFrame, group: list[str], order: str, value: str, name: str, chunk: int) -> DataFrame:
+    """The sum of ``value`` over the rows of the group that come before in a numbered order, by chunks of that many numbers."""
+    rows = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*group, "_chunk").agg(F.sum(value).alias("_n"))
+    start = totals.withColumn("_start", F.coalesce(F.sum("_n").over(upto(*group).orderBy("_chunk")), F.lit(0))).drop("_n")
+    inside = rows.withColumn(name, F.coalesce(F.sum(value).over(upto(*group, "_chunk").orderBy(order)), F.lit(0)))
+    return inside.join(start, [*group, "_chunk"]).withColumn(name, F.col(name) + F.col("_start")).drop("_chunk", "_start")
+
+
 class SourceMix:
     """A schedule of equal-token blocks that brings every source near its target."""
 
-    def __init__(self, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, most: int = 2, block: int = 64, run: int = 1 << 16, seed: int = 17, max_sources: int = 10_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
-        if min(weights) <= 0 or budget <= 0 or most < 1 or block < 1 or run < 1:
-            raise ValueError("weights, budget, most, block and run are positive")
-        self.weights, self.budget, self.most, self.block, self.run, self.seed, self.max_sources = weights, budget, most, block, run, seed, max_sources
+    def __init__(self, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, most: int = 2, block: int = 64, run: int = 1 << 16, seed: int = 17, slice_rows: int = 2000, broadcast_rows: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
+        if min(weights) <= 0 or budget <= 0 or min(most, block, run, slice_rows) < 1:
+            raise ValueError("weights, budget, most, block, run and slice_rows are positive")
+        self.weights, self.budget, self.most, self.block, self.run, self.seed = weights, budget, most, block, run, seed
+        self.slice_rows, self.broadcast_rows = slice_rows, broadcast_rows
         self.id_col, self.text_col, self.source_col = id_col, text_col, source_col
 
     def sized(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, source, size, order) of every row; order is its place in the shuffle."""
-        return docs.select(F.col(self.id_col).alias("doc_id"), F.col(self.source_col).cast("string").alias("source"), word_count(self.text_col).alias("size"), F.xxhash64(F.lit(self.seed), self.id_col).alias("order"))
+        """(_row, doc_id, source, size, order) of every row; order is its place in the shuffle."""
+        rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(self.id_col).alias("doc_id"), F.col(self.source_col).cast("string").alias("source"), word_count(self.text_col).alias("size"), F.xxhash64(F.lit(self.seed), self.id_col, self.text_col, self.source_col).alias("_same"))
+        # equal rows are ranked within their input partition (the upper bits of _row), then partition by partition
+        rows = cut(rows.withColumn("_part", F.shiftright("_row", 33)), "sized")
+        counts = rows.groupBy("_same", "_part").agg(F.count(F.lit(1)).alias("_n"))
+        own = Window.partitionBy("_same").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        start = counts.withColumn("_start", F.coalesce(F.sum("_n").over(own), F.lit(0))).drop("_n")
+        ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_same", "_part").orderBy("_row"))).join(start, ["_same", "_part"])
+        return ranked.select("_row", "doc_id", "source", "size", F.xxhash64("_same", F.col("_rank") + F.col("_start")).alias("order"))
 
     def targets(self, sized: DataFrame) -> DataFrame:
-        """One row per source: number, source_size, target, and its span of the unit interval."""
-        by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-        order = Window.orderBy(F.col("source").isNull(), F.col("source"))  # one row per source
-        cycle = F.array(*map(F.lit, self.weights))
-        numbered = by_source.withColumn("number", (F.row_number().over(order) - 1).cast("int"))
-        numbered = numbered.withColumn("weight", F.element_at(cycle, F.col("number") % len(self.weights) + 1).cast("double"))
-        numbered = numbered.withColumn("cap", self.most * F.col("source_size").cast("double"))
-        everything = Window.partitionBy()
-        filling = Window.orderBy(F.col("cap") / F.col("weight"), "number").rowsBetween(Window.unboundedPreceding, -1)
-        budget = F.least(self.budget * F.sum("source_size").over(everything).cast("double"), F.sum("cap").over(everything))
-        left = budget - F.coalesce(F.sum("cap").over(filling), F.lit(0.0))
-        weight_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(filling), F.lit(0.0))
-        full = numbered.withColumn("level", left / weight_left).withColumn("capped", F.col("cap") <= F.col("level") * F.col("weight"))
-        level = F.max(F.when(~F.col("capped"), F.col("level"))).over(everything)  # the first one: levels fall after it
-        out = full.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(level * F.col("weight")))
-        upto = Window.orderBy("number")
-        total = F.sum("target").over(everything)
-        share = F.when(total > 0, F.sum("target").over(upto.rowsBetween(Window.unboundedPreceding, 0)) / total).otherwise(0.0)
-        return out.withColumn("past", share).select("number", "source", "source_size", "target", "past", total.alias("total"))
-
-    def schedule(self, targets: DataFrame, slots: int) -> DataFrame:
-        """(slot, number, rank, block_no): the mix in order, one block a slot.
-
-        ``targets`` has a row per source; their spans of the unit interval become constants of the plan.
-        """
-        rows = targets.orderBy("number").limit(self.max_sources + 1).collect()
-        if len(rows) > self.max_sources:
-            raise ValueError(f"a mix of more than {self.max_sources} sources")
-        slot = targets.sparkSession.range(slots).withColumnRenamed("id", "slot")
+        """One row per source: number, source, source_size, target, blocks it is cut into, and slots it is to get."""
+        by_source = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+        order = [F.col("source").isNull(), F.col("source")]
+        ranged = by_source.repartitionByRange(max(1, math.ceil(by_source.count() / SOURCES_A_TASK)), *order).withColumn("_part", F.spark_partition_id())
+        ranged = cut(ranged, "ranged")
+        numbered = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
+        counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        numbered = numbered.join(counts, "_part").withColumn("number", (F.col("_in") + F.col("_start")).cast("long"))
+        weight = F.element_at(F.array(*map(F.lit, self.weights)), (F.col("number") % len(self.weights)).cast("int") + 1).cast("double")
+        numbered = cut(numbered.select("number", "source", "source_size", weight.alias("weight"), (self.most * F.col("source_size")).alias("cap")), "numbered")
+        level = self._level(numbered)
+        target = F.when(F.col("source_size") > 0, F.least(F.col("cap").cast("double"), level * F.col("weight"))).otherwise(0.0)
+        out = numbered.withColumn("target", target).withColumn("blocks", F.ceil(F.col("source_size") / self.block))
+        need = F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0)
+        return out.withColumn("need", need).withColumn("slots", F.when(F.col("target") > 0, F.greatest(F.round("need"), F.lit(1.0))).otherwise(0.0).cast("long")).drop("weight", "cap")
+
+    def _level(self, numbered: DataFrame) -> float:
+        """The words a unit of weight gets: what capped sources leave is shared anew until no other is above its cap."""
+        total = numbered.agg(F.sum("source_size").alias("size"), F.sum("cap").alias("cap"), F.sum("weight").alias("weight")).first()
+        budget, capped, level = min(self.budget * (total["size"] or 0), float(total["cap"] or 0)), -1, (0.0)
+        while True:
+            over = F.col("cap") <= level * F.col("weight")
+            now = numbered.agg(F.count_if(over).alias("n"), F.sum(F.when(over, F.col("cap"))).alias("cap"), F.sum(F.when(~over, F.col("weight"))).alias("weight")).first()
+            if now["n"] == capped or not now["weight"]:
+                return level if now["weight"] else float("inf")
+            capped, level = now["n"], (budget - (now["cap"] or 0)) / now["weight"]
+
+    def spans(self, targets: DataFrame) -> tuple[DataFrame, float]:
+        """(number, lo, hi) of each source's part of the unit interval, and the slots needed in all."""
+        total = targets.agg(F.sum("need")).first()[0] or 0.0
+        lo = running(targets, [], "number", "need", "before", self.run).select("number", (F.col("before") / F.lit(total or 1.0)).alias("lo"))
+        following = lo.select((F.col("number") - 1).alias("number"), F.col("lo").alias("hi"))
+        return cut(lo.join(following, "number", "left").withColumn("hi", F.coalesce("hi", F.lit(2.0))).where("lo < hi"), "spans"), total
+
+    def schedule(self, targets: DataFrame) -> DataFrame:
+        """(slot, number, rank, block_no): the mix in order, one block a slot.  ``targets`` is read more than once."""
+        spans, total = self.spans(targets)
+        n, slots = spans.count(), math.ceil(total)
+        spark = targets.sparkSession
+        bins = max(1, min(4 * n, slots))
+        of_bins = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") * bins), F.least(F.floor(F.least("hi", F.lit(1.0)) * bins), F.lit(bins - 1)))))
+        of_bins = F.broadcast(of_bins) if bins + n <= self.broadcast_rows else of_bins
+        slot = spark.range(0, slots, 1, max(spark.sparkContext.defaultParallelism, math.ceil(slots / SLOTS_A_TASK))).withColumnRenamed("id", "slot")
         step = (GOLDEN >> (64 - POINT_BITS)) | 1
         low, high = F.col("slot").bitwiseAND((1 << 11) - 1), F.shiftright("slot", 11).bitwiseAND((1 << 30) - 1)
-        point = _mod_product(low, high, step).cast("double") / float(1 << POINT_BITS)
-        past, size = (F.array(*(F.lit(r[k]) for r in rows)) if rows else F.array().cast(kind) for k, kind in (("past", "array<double>"), ("source_size", "array<bigint>")))
-        placed = slot.withColumn("point", point).withColumn("number", F.size(F.filter(past, lambda p: p <= F.col("point")))).where(F.col("number") < len(rows))
-        placed = placed.select("slot", "number", F.element_at(size, F.col("number") + 1).alias("source_size"), F.floor(F.col("slot") / self.run).alias("chunk"))
-        totals = placed.groupBy("number", "chunk").agg(F.count(F.lit(1)).alias("n"))
-        before = totals.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("number").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-        within = F.row_number().over(Window.partitionBy("number", "chunk").orderBy("slot")) - 1
-        ranked = placed.withColumn("within", within).join(before, ["number", "chunk"]).withColumn("rank", F.col("before") + F.col("within"))
-        blocks = F.ceil(F.col("source_size") / self.block)
-        # discrepancy may hand a source a few slots beyond most * blocks; those stay empty
-        return ranked.where(F.col("rank") < self.most * blocks).select("slot", "number", "rank", (F.col("rank") % blocks).alias("block_no"))
+        slot = slot.withColumn("point", _mod_product(low, high, step).cast("double") / float(1 << POINT_BITS))
+        placed = slot.withColumn("bin", F.floor(F.col("point") * bins)).join(of_bins, "bin").where("lo <= point AND point < hi").select("slot", "number", F.lit(1).cast("long").alias("one"))
+        ranked = running(cut(placed, "placed"), ["number"], "slot", "one", "rank", self.run)
+        wanted = targets.select("number", "slots", "blocks")
+        kept = ranked.join(wanted, "number").where("rank < slots").select("slot", "number", "rank", "blocks")
+        # sources that the points have given too few slots
+        counts = ranked.groupBy("number").agg(F.count(F.lit(1)).alias("got"))
+        short = wanted.join(counts, "number", "left").withColumn("got", F.coalesce("got", F.lit(0))).withColumn("missing", F.col("slots") - F.col("got")).where("missing > 0")
+        short = running(short, [], "number", "missing", "before", self.run)
+        late = short.select("number", "blocks", "got", "before", F.explode(F.sequence("got", F.col("slots") - 1)).alias("rank"))
+        late = late.select((slots + F.col("before") + F.col("rank") - F.col("got")).alias("slot"), "number", "rank", "blocks")
+        return kept.unionByName(late).select("slot", "number", "rank", (F.col("rank") % F.col("blocks")).alias("block_no"))
 
     def placed(self, sized: DataFrame, targets: DataFrame, rows: int) -> DataFrame:
         """Documents with the words of their source before them in the shuffle, and their source's number."""
-        slices = max(1, math.ceil(rows / 20000))
+        slices = max(1, math.ceil(rows / self.slice_rows))
         own = sized.where("size > 0").withColumn("slice", F.floor((F.shiftrightunsigned("order", 24).cast("double") / float(1 << 40)) * slices).cast("long"))
-        own = own.join(F.broadcast(targets.select(F.col("source").alias("_s"), "number")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        own = own.join(targets.select(F.col("source").alias("_s"), "number", "source_size", "blocks"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
         totals = own.groupBy("number", "slice").agg(F.sum("size").alias("n"))
-        before = totals.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("number").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-        inside = F.coalesce(F.sum("size").over(Window.partitionBy("number", "slice").orderBy(F.shiftrightunsigned("order", 24), "order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+        before = totals.withColumn("before", F.coalesce(F.sum("n").over(upto("number").orderBy("slice")), F.lit(0))).drop("n")
+        inside = F.coalesce(F.sum("size").over(upto("number", "slice").orderBy(F.shiftrightunsigned("order", 24), "order", "_row")), F.lit(0))
         return own.withColumn("inside", inside).join(before, ["number", "slice"]).withColumn("begin", F.col("before") + F.col("inside"))
 
     def takes(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, size, source, source_size, target, taken) of every row."""
-        sized = self.sized(docs).withColumn("_row", F.monotonically_increasing_id())
-        sized = cut(sized, "sized")
+        """(_row, doc_id, size, source, source_size, target, taken) of every row; _row is its ``monotonically_increasing_id``."""
+        sized = cut(self.sized(docs), "sized")
         targets = cut(self.targets(sized), "targets")
-        rows, slots = sized.count(), targets.agg(F.max("total")).first()[0] or 0.0
-        schedule = self.schedule(targets, math.ceil(slots / self.block))
-        uses = schedule.groupBy("number", "block_no").agg(F.count(F.lit(1)).alias("uses"))
-        place = self.placed(sized, targets, rows)
-        block = F.lit(self.block)
-        pieces = place.select("_row", "number", "begin", (F.col("begin") + F.col("size")).alias("end"), F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))).alias("block_no"))
-        overlap = F.least("end", (F.col("block_no") + 1) * block) - F.greatest("begin", F.col("block_no") * block)
-        taken = pieces.join(uses, ["number", "block_no"]).groupBy("_row").agg(F.sum(overlap * F.col("uses")).alias("taken"))
-        out = sized.join(F.broadcast(targets.select(F.col("source").alias("_s"), "source_size", "target")), F.col("source").eqNullSafe(F.col("_s"))).join(taken, "_row", "left")
-        return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        uses = cut(self.schedule(targets).groupBy("number", "block_no").agg(F.count(F.lit(1)).alias("uses")), "uses")
+        place = self.placed(sized, targets, sized.count())
+        # the first ``longer`` blocks of a source hold a word more than the others
+        place = place.withColumn("least", F.expr("source_size div blocks")).withColumn("longer", F.col("source_size") % F.col("blocks"))
+        edge = F.col("longer") * (F.col("least") + 1)
+        block_at = lambda p: F.when(p < edge, F.floor(p / (F.col("least") + 1))).otherwise(F.col("longer") + F.floor((p - edge) / F.col("least")))
+        start = lambda k: k * F.col("least") + F.least(k, F.col("longer"))
+        end = F.col("begin") + F.col("size")
+        pieces = place.withColumn("block_no", F.explode(F.sequence(block_at(F.col("begin")), block_at(end - 1))))
+        overlap = F.least(end, start(F.col("block_no") + 1)) - F.greatest("begin", start(F.col("block_no")))
+        taken = pieces.select("_row", "number", "block_no", overlap.alias("overlap")).join(uses, ["number", "block_no"]).groupBy("_row").agg(F.sum(F.col("overlap") * F.col("uses")).alias("taken"))
+        out = sized.join(targets.select(F.col("source").alias("_s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).join(taken, "_row", "left")
+        return out.select("_row", "doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def _mod_product(low: Column, high: Column, step: int) -> Column:

@@ -112,7 +112,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.mix import SourceMix
 
-    return SourceMix().takes(table(spark, sf_dir, "documents")).drop("source")
+    return SourceMix().takes(table(spark, sf_dir, "documents")).drop("source", "_row")
 
 
 @query

@@ -57,7 +57,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _power_table(mult: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_table(mult: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _powers.get(mult)
     if have is None or len(have[0]) < n:
         size = max(n, SLICE + 1)
@@ -127,7 +127,7 @@ def words(column: pa.ChunkedArray | pa.Array, lower: bool = False, wide: bool =
                 wide_part = part.astype(U64) + U64(1)
                 with np.errstate(over="ignore"):
                     for k in range(2 if wide else 1):
-                        up, down = _power_table(BYTE_MULT[k], hi - lo + 1)
+                        up, down = power_table(BYTE_MULT[k], hi - lo + 1)
                         total = np.concatenate(([U64(0)], np.cumsum(wide_part * up[: hi - lo], dtype=U64)))
                         hashes[k].append(mix((total[e] - total[s]) * down[s] + (e - s).astype(U64) * U64(0x9FB21C651E98DF25)))
             starts.append(s + lo)

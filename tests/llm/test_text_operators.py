@@ -147,7 +147,7 @@ def test_decontamination(spark, docs, none):
     w = items[0].split()
     planted = [(9001, "intro " + " ".join(w) + " outro"), (9002, " ".join(w[6:]).upper() + " between " + " ".join(w[:6])), (9003, " ".join(w[:5])), (9004, "say ONE two three now"), (None, items[0])]
     both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
-    found = [sorted((str(r.doc_id), r.item_id, r.covered_words, r.n_tiles) for r in Decontaminator(broadcast_bytes=b).leaks(both, bench).collect()) for b in (1 << 20, 0)]
+    found = [sorted((str(r.doc_id), r.item_id, r.covered_words, r.n_tiles) for r in Decontaminator(broadcast_bytes=b).leaks(both, bench).collect()) for b in (1 << 20, 100)]
     assert found[0] == found[1] == sorted([("9001", 0, 12, 1), ("9002", 0, 12, 2), ("9004", 1, 3, 1), ("None", 0, 12, 1)])
     assert Decontaminator().leaks(none, bench).count() == 0
     assert Decontaminator().leaks(both, bench.where("1 = 0")).count() == 0
@@ -162,6 +162,64 @@ def test_tiles_take_the_longest_first():
     assert tile(number("xyz"), number(""), 2) == []
 
 
+def brute_tiles(x, y, shortest):
+    """Greedy string tiling by comparing all places."""
+    shortest = max(1, min(shortest, len(y)))
+    free_x, free_y, tiles = [True] * len(x), [True] * len(y), []
+    while True:
+        best, found = shortest - 1, []
+        for j in range(len(y)):
+            for i in range(len(x)):
+                n = 0
+                while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n] and free_x[i + n] and free_y[j + n]:
+                    n += 1
+                if n > best:
+                    best, found = n, []
+                if n == best and n >= shortest:
+                    found.append((i, j, n))
+        for i, j, n in found:
+            if all(free_x[i : i + n]) and all(free_y[j : j + n]):
+                free_x[i : i + n] = free_y[j : j + n] = [False] * n
+                tiles.append((i, j, n))
+        if not found:
+            return tiles
+
+
+def test_tiles_against_brute_force():
+    import time
+
+    import numpy as np
+
+    rng = random.Random(12)
+    for k in range(150):
+        x, y = ([rng.randrange(rng.choice([2, 3, 9])) for _ in range(rng.randrange(40))] for _ in range(2))
+        assert tile(np.array(x, np.uint64), np.array(y, np.uint64), 1 + k % 4) == brute_tiles(x, y, 1 + k % 4)
+    begun = time.process_time()
+    assert tile(np.zeros(20_000, np.uint64), np.zeros(200, np.uint64), 5) == [(0, 0, 200)]
+    assert len(tile(np.arange(20_000, dtype=np.uint64) % 7, np.arange(200, dtype=np.uint64) % 5, 3)) > 10
+    assert time.process_time() - begun < 1
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(13)
+    line = lambda n: [f"v{rng.randrange(40)}" for _ in range(n)]
+    items = [(k, " ".join(line(rng.randrange(1, 30)))) for k in range(25)] + [(90, "Common opening words here then " + " ".join(line(9))), (91, "common opening words HERE then " + " ".join(line(30)))]
+    docs = [(k, " ".join(line(20) + rng.choice(items)[1].split()[rng.randrange(6) :] + line(20))) for k in range(60)] + [(60, "x common opening words here then x"), (60, "again " + items[3][1]), (61, "w " * 5000)]
+    want = []
+    for d, text in docs:
+        for i, item in items:
+            x, y = text.lower().split(), item.lower().split()
+            near = {tuple(x[p : p + min(5, len(y))]) for p in range(len(x))} & {tuple(y[p : p + min(5, len(y))]) for p in range(len(y) - min(5, len(y)) + 1)}
+            tiles = brute_tiles(x, y, 5) if near else []
+            covered = sum(n for _, _, n in tiles)
+            if tiles and covered >= 0.5 * len(y):
+                want.append((d, i, len(y), covered, len(tiles)))
+    for most in (1 << 20, 300):
+        got = Decontaminator(broadcast_bytes=most).leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+        assert sorted((r.doc_id, r.item_id, r.item_words, r.covered_words, r.n_tiles) for r in got.collect()) == sorted(want)
+    assert len(want) > 30
+
+
 def test_source_mix(docs, none):
     rows = SourceMix(block=8).takes(docs).collect()
     assert len(rows) == len(corpus())
@@ -184,25 +242,40 @@ def test_source_mix(docs, none):
     for s in names:
         assert {r.source_size for r in by[s]} == {sizes[s]}
         assert by[s][0].target == pytest.approx(targets[s])
-        assert sum(r.taken for r in by[s]) == pytest.approx(targets[s], abs=8 * 4)
-    again = SourceMix(block=8).takes(docs.repartition(2)).collect()
-    assert sorted((str(r.doc_id), r.taken) for r in rows if r.doc_id is not None) == sorted((str(r.doc_id), r.taken) for r in again if r.doc_id is not None)
+        assert sum(r.taken for r in by[s]) == pytest.approx(targets[s], abs=4)
+    again = SourceMix(block=8, slice_rows=7, broadcast_rows=0).takes(docs.repartition(2)).collect()
+    assert sorted((str(r.doc_id), r.taken) for r in rows) == sorted((str(r.doc_id), r.taken) for r in again)
     assert SourceMix().takes(none).count() == 0
-    with pytest.raises(ValueError):
-        SourceMix(max_sources=2).takes(docs).count()
+
+
+def test_mix_of_many_tiny_sources_and_repeated_rows(spark):
+    rows = [(k, " ".join(["w"] * (1 + k % 130)), f"s{k // 2:05d}") for k in range(12_000)]
+    rows += [(None, "same words again", None)] * 3000 + [(7, None, "empty"), (8, "", "empty")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("taken", F.lit("clash"))
+    got = SourceMix().takes(docs).collect()
+    sizes, taken, target = {}, {}, {}
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size
+        sizes[r.source] = sizes.get(r.source, 0) + r.size
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        target[r.source] = r.target
+    assert len(got) == len(rows) and len(sizes) == 6002 and taken["empty"] == target["empty"] == 0
+    assert sum(target.values()) == pytest.approx(1.5 * sum(sizes.values()))
+    assert max(abs(taken[s] - target[s]) for s in sizes) <= 33  # half a block
+    full = [s for s in sizes if target[s] == 2 * sizes[s]]
+    assert len(full) > 1000 and all(taken[s] == 2 * sizes[s] for s in full)
 
 
 def test_schedule_is_even(docs):
     mix = SourceMix(block=4, run=16)
     targets = mix.targets(mix.sized(docs.where("source IS NOT NULL"))).cache()
-    rows = mix.schedule(targets, 200).orderBy("slot").collect()
-    total = targets.agg(F.sum("target")).first()[0]
-    ranks = {}
-    for r in rows:
-        assert r.rank == ranks.get(r.number, 0)
+    rows, own = mix.schedule(targets).orderBy("slot").collect(), {t.number: t for t in targets.collect()}
+    total, ranks = sum(t.need for t in own.values()), {}
+    for k, r in enumerate(rows):
+        assert r.rank == ranks.get(r.number, 0) and r.block_no == r.rank % own[r.number].blocks
         ranks[r.number] = r.rank + 1
-    for t in targets.collect():
-        assert ranks.get(t.number, 0) == pytest.approx(200 * t.target / total, abs=4)
+        assert all(ranks.get(n, 0) == pytest.approx((k + 1) * t.need / total, abs=4) for n, t in own.items())
+    assert ranks == {n: t.slots for n, t in own.items()} and len({r.slot for r in rows}) == len(rows)
 
 
 def test_token_rollup(spark, docs, tmp_path):
