@@ -1,6 +1,7 @@
 """A training corpus from raw documents: each stage works on all that the one before it kept.
 
-Rows without an id pass the first four stages on their own text; the mix schedules only rows with an id.
+Within a stage rows are told apart by their place in the table that the stage reads, so rows that repeat an id, or
+have none, are judged each by itself.
 """
 
 from __future__ import annotations
@@ -8,35 +9,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.decontaminate import Decontaminator
-from lattica.llm.mix import SourceMix
-from lattica.llm.ngram_jaccard import NgramJaccardJoin
-from lattica.llm.shared import cut
-from lattica.llm.substring_dedup import SubstringDedup
-from lattica.llm.toxicity import PuToxicity
-from lattica.ship import ship
-
 REJECT_AT = 0.7
 
 
+def _placed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    from lattica.ship import ship
+
+    ship(spark)
+    return docs.withColumn("_row", F.monotonically_increasing_id())
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below REJECT_AT."""
+    from lattica.llm.toxicity import PuToxicity
+    from lattica.ship import ship
+
     ship(spark)
     model = PuToxicity().fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return model.transform(docs, "_score").where(F.col("_score") < REJECT_AT).drop("_score")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; one row of each id."""
-    ship(spark)
-    classes = NgramJaccardJoin(size=5, percent=75).classes(docs)
-    first = classes.where("component_id = doc_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """The document with the smallest id of each group of near duplicates; documents without words form no group."""
+    from lattica.llm.ngram_jaccard import NgramJaccardJoin
+
+    docs = _placed(spark, docs)
+    classes = NgramJaccardJoin(size=5, percent=75, id_col="_row").classes(docs).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")
+    kept = docs.select("_row", "doc_id").join(classes, "_row").groupBy("component_id").agg(first).select("first._row")
+    return docs.join(kept, "_row", "left_semi").drop("_row")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of long runs that a smaller id has; others keep their text as it is."""
+    from lattica.llm.substring_dedup import SubstringDedup
+    from lattica.ship import ship
+
     ship(spark)
     out = SubstringDedup(window=13).transform(docs, carry=docs.columns)
     out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
@@ -45,16 +53,23 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
-    ship(spark)
-    leaks = Decontaminator(min_match=5, coverage=0.5).leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    from lattica.llm.decontaminate import Decontaminator
+
+    docs = _placed(spark, docs)
+    leaks = Decontaminator(min_match=5, coverage=0.5, id_col="_row").leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(leaks.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").drop("_row")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the words of them that it takes and their source's target."""
-    ship(spark)
-    taken = SourceMix().takes(docs).where("taken > 0").select("doc_id", "target", "taken")
-    return docs.drop("target", "taken").join(taken, "doc_id")
+    """The documents that the mix takes, with the words of them that it takes (``taken``) and their source's ``target``.
+
+    Input columns of these names give way to them.
+    """
+    from lattica.llm.mix import SourceMix
+
+    docs = _placed(spark, docs)
+    taken = SourceMix().takes(docs.drop("_row")).where("taken > 0").select("_row", "target", "taken")
+    return docs.drop("target", "taken").join(taken, "_row").drop("_row")
 
 
 STAGES = [("toxicity", toxicity), ("ngram_jaccard", near_duplicates), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("mixing", mixing)]
@@ -64,6 +79,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again by the next."""
+    from lattica.llm.shared import cut
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), name)
