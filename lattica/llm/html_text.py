@@ -21,6 +21,7 @@ result; extra columns play no part.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -32,7 +33,7 @@ from lattica.llm.shared import cut
 
 #: Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object".split())
+RAW = frozenset("script style textarea title noscript iframe template svg".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("li dd dt td th tr tbody thead tfoot body html summary figcaption".split())
 BOILERPLATE = frozenset("nav header footer aside form button select dialog menu head".split()) | RAW
@@ -40,11 +41,11 @@ CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table thead tbody tr td
 INLINE = frozenset("br b i em strong span a code sub sup img".split())
 ASIDE = RAW | frozenset("nav footer aside select button dialog menu head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-#: Words of class, id or role attributes that mark boilerplate.
+#: Words that, with neutral ones beside them, make a class, id or role name that marks boilerplate: a name with any other word in it does not.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus reply replies share sharing social related recommended newsletter subscribe signup login search pagination pager widget toolbar skip complementary contentinfo".split())
-#: Words that set an article aside, and those that may stand beside them in a name.
+#: Words that set an article aside, and those that may stand beside words of either kind in a name.
 SET_ASIDE = frozenset("comment comments disqus reply replies related recommended sidebar complementary ad ads advert adverts advertisement".split())
-NEUTRAL = frozenset("list lists item items post posts article articles entry section area box block card thread body content container wrapper wrap user reader teaser story stories reading".split())
+NEUTRAL = frozenset("list lists item items post posts article articles entry section area box block card thread body content container wrapper wrap user reader teaser story stories reading site page top bottom left right main primary secondary global inner outer bar link links button buttons icon icons group row col column unit slot panel module".split())
 #: What an element with an optional end tag closes when it begins.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
@@ -58,11 +59,11 @@ class Page:
     """A page as elements in document order: tag, attributes, parent, and the span of source each covers."""
 
     def __init__(self, html: str):
-        self.html = html
+        self.html, self._with_heading = html, None
         self.tag, self.attrs, self.parent, self.begin, self.end = ["#page"], [""], [-1], [0], [len(html)]
         self.texts: list[tuple[int, int, int]] = []  # element, begin and end of a run of text
-        self.breaks: list[tuple[int, int]] = []  # place and element of void elements
-        stack, at, n = [0], 0, len(html)
+        self.breaks: list[tuple[int, int, int]] = []  # place, element and end of void elements
+        stack, at, n, self._open = [0], 0, len(html), Counter()
         while at < n:
             m = _TAG.search(html, at)
             if m is None:
@@ -79,7 +80,7 @@ class Page:
                 continue
             self._imply(stack, name, m.start())
             if name in VOID:
-                self.breaks.append((m.start(), stack[-1]))
+                self.breaks.append((m.start(), stack[-1], at))
                 continue
             self.tag.append(name)
             self.attrs.append(attrs)
@@ -95,29 +96,37 @@ class Page:
                 self.end[-1] = at
             elif not attrs.endswith("/"):
                 stack.append(len(self.tag) - 1)
+                self._open[name] += 1
             else:
                 self.end[-1] = at
         if at < n and html[at:].strip() and not html.startswith("<", at):
             self.texts.append((stack[-1], at, n))
 
+    def _pop(self, stack: list[int], i: int) -> None:
+        for e in stack[i:]:
+            self._open[self.tag[e]] -= 1
+        del stack[i:]
+
     def _close(self, stack: list[int], name: str, end: int, begin: int) -> None:
-        for i in range(len(stack) - 1, 0, -1):
+        for i in range(len(stack) - 1, 0, -1) if self._open[name] > 0 else ():
             if self.tag[stack[i]] == name:
                 for e in stack[i + 1 :]:
                     self.end[e] = begin
                 self.end[stack[i]] = end
-                del stack[i:]
+                self._pop(stack, i)
                 return
 
     def _imply(self, stack: list[int], name: str, at: int) -> None:
         closed = {"p"} if name in CLOSES_P else SIBLINGS.get(name, set())
+        if not any(self._open[x] > 0 for x in closed):
+            return
         scope = SCOPES.get(name, BLOCK - {"p"})
         for i in range(len(stack) - 1, 0, -1):
             own = self.tag[stack[i]]
             if own in closed:
                 for e in stack[i:]:
                     self.end[e] = at
-                del stack[i:]
+                self._pop(stack, i)
                 return
             if own in scope:
                 return
@@ -132,8 +141,8 @@ class Page:
         for e in range(1, len(self.tag)):
             p, tag = self.parent[e], self.tag[e]
             within[e] = within[p]
-            aside[e] = aside[p] or tag in ASIDE or tag not in ("html", "body") and _set_aside(self.attrs[e])
-            if not within[e] and not aside[e] and (tag in ("article", "main") or "main" in _marks(self.attrs[e], "role")):
+            aside[e] = aside[p] or tag in ASIDE or tag not in ("html", "body") and _named(self.attrs[e], SET_ASIDE)
+            if not within[e] and not aside[e] and (tag in ("article", "main") or _main(self.attrs[e])):
                 within[e] = e
                 roots.append(e)
         return roots, within
@@ -170,7 +179,7 @@ class Page:
         Inline markup within a paragraph or other content is part of it, and so are the elements of boilerplate.
         """
         roots, within = self.roots()
-        above, kept = self._above(roots), self._kept(set(), True)
+        above, kept, hashes = self._above(roots), self._kept(set(), True), self.hashes()
         out = {}
         for e in range(1, len(self.tag)):
             p, tag = self.parent[e], self.tag[e]
@@ -178,7 +187,20 @@ class Page:
                 continue
             if tag in CONTENT and (not kept[e] or self.tag[within[e]] in ("article", "main") or tag in INLINE and self.tag[p] in CONTENT):
                 continue
-            out[e] = _hash(" ".join(self.html[self.begin[e] : self.end[e]].split()))
+            out[e] = hashes[e]
+        return out
+
+    def hashes(self) -> list[int]:
+        """A hash of each element's subtree, from the leaves up: its tag, its own runs of text, and its children's hashes."""
+        parts: list[list] = [[] for _ in self.tag]
+        runs = [(b, e, self.html[b:t]) for e, b, t in self.texts] + [(b, e, self.html[b:t]) for b, e, t in self.breaks]
+        runs += [(self.begin[e], self.parent[e], e) for e in range(1, len(self.tag))]
+        for _, e, part in sorted(runs, key=lambda r: r[0]):
+            parts[e].append(part)
+        out = [0] * len(self.tag)
+        for e in range(len(self.tag) - 1, -1, -1):  # children come after their parents
+            own = (f"#{out[x]}" if isinstance(x, int) else " ".join(x.split()) for x in parts[e])
+            out[e] = _hash("\0".join([self.tag[e], " ".join(self.attrs[e].split()), *(x for x in own if x)]))
         return out
 
     def contents(self, found: dict[int, int]) -> tuple[int, dict[int, int]]:
@@ -209,7 +231,7 @@ class Page:
         blocks: list[tuple[int, list[str]]] = []
         # a block's text ends where another block begins or ends, so runs join while nothing but inline markup lies between
         edges = sorted({b for e in range(1, len(self.tag)) if self.tag[e] in BLOCK for b in (self.begin[e], self.end[e])})
-        marks = [(at, None) for at, _ in self.breaks] + [((b), (e, b, t)) for e, b, t in self.texts]
+        marks = [(at, None) for at, _, _ in self.breaks] + [((b), (e, b, t)) for e, b, t in self.texts]
         marks.sort(key=lambda m: m[0])
         k = 0
         for at, run in marks:
@@ -228,28 +250,42 @@ class Page:
     def _boilerplate(self, e: int, root: int) -> bool:
         tag = self.tag[e]
         if tag == "header" and self.tag[root] in ("article", "main"):
-            return not any(self.tag[c] in HEADINGS for c in range(e + 1, len(self.tag)) if self.begin[c] < self.end[e])
-        return tag in BOILERPLATE or tag not in CONTENT and bool(self.attrs[e]) and not MARKS.isdisjoint(_marks(self.attrs[e]))
+            return e not in self._headed()
+        return tag in BOILERPLATE or tag not in CONTENT and _named(self.attrs[e], MARKS)
+
+    def _headed(self) -> set[int]:
+        """Elements that hold a heading."""
+        if self._with_heading is None:
+            self._with_heading = set()
+            for e, tag in enumerate(self.tag):
+                e = self.parent[e] if tag in HEADINGS else -1
+                while e >= 0 and e not in self._with_heading:
+                    self._with_heading.add(e)
+                    e = self.parent[e]
+        return self._with_heading
 
 
 def _hash(source: str) -> int:
     return xxhash.xxh3_64_intdigest(source.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _marks(attrs: str, only: str = "") -> set[str]:
-    if "=" not in attrs:
-        return set()
-    return {w.lower() for m in _MARKED.finditer(attrs) if not only or m.group(0).lower().startswith(only) for w in _WORD.findall(m.group(1) or m.group(2) or m.group(3) or "")}
+def _main(attrs: str) -> bool:
+    """Whether the role is main."""
+    return "=" in attrs and any(m.group(0)[:4].lower() == "role" and "main" in _names(m) for m in _MARKED.finditer(attrs))
+
+
+def _names(m: re.Match) -> list[str]:
+    return (m.group(1) or m.group(2) or m.group(3) or "").lower().split()
 
 
-def _set_aside(attrs: str) -> bool:
-    """Whether a class, id or role says nothing but that an element holds comments, related pages, a sidebar or ads."""
+def _named(attrs: str, marks: frozenset[str]) -> bool:
+    """Whether one whole class, id or role name is made of such marks and neutral words alone."""
     if "=" not in attrs:
         return False
     for m in _MARKED.finditer(attrs):
-        for name in (m.group(1) or m.group(2) or m.group(3) or "").lower().split():
+        for name in _names(m):
             words = set(_WORD.findall(name))
-            if words & SET_ASIDE and words <= SET_ASIDE | NEUTRAL:
+            if words & marks and words <= marks | NEUTRAL:
                 return True
     return False
 

@@ -68,6 +68,62 @@ def test_text_outside_the_largest_article(html, text):
     assert Page(html).text(set(), outside=True) == text
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<article><section class='comment-policy'>policy</section><div class='related-work'>work</div><div class='post comments-list'>no</div></article>", "policy\nwork"),
+        ("<article><p>so <math><mi>x</mi><mo>=</mo>1</math> and <object data=f>a figure</object><noscript>enable it</noscript></p></article>", "so x=1 and a figure"),
+        ("<article><header class=top><div><h2>t</h2></div></header><header>by me</header><p>x</p></article>", "t\nx"),
+        ("<div role=main class='ad-hoc'><p>kept</p></div><p>out</p>", "kept"),
+        ("<body><div class='site-header'>h</div><div id=cookie_notice>c</div><div class=adjective>w</div></body>", "w"),
+    ],
+)
+def test_marks_are_whole_names(html, text):
+    assert Page(html).text(set()) == text
+
+
+def test_long_and_deep_pages():
+    import time
+
+    begun = time.process_time()
+    n = 20_000
+    assert Page("<div>" * n + "x" + "</div>" * n).text(set()) == "x"
+    deep = Page("<body>" + "<div><b>" * n + "x" + "</i>" * n)
+    assert len(deep.subtrees()) == 2 * n and deep.text(set()) == "x"
+    assert Page("<article>" + "<header><p>y</p>" * n).text(set()) == ""
+    assert Page("<p>" + "word " * 400_000 + "</p>").text(set()).count("word") == 400_000
+    assert time.process_time() - begun < 20
+
+
+def test_subtree_hashes():
+    rows = ["<div class=x> <p>a</p>\n<b>c</b></div>", "<div class=x><p>a</p><b>c</b></div>", "<div class=y><p>a</p><b>c</b></div>", "<div class=x><p>a</p>c<b></b></div>", "<div class=x><p>a</p><br><b>c</b></div>"]
+    h = [Page(r).hashes()[1] for r in rows]
+    assert h[0] == h[1] and len(set(h)) == 4
+
+
+def test_template_against_brute_force(spark):
+    from urllib.parse import urlsplit
+
+    rng = random.Random(21)
+    part = lambda h: rng.choice([f"<div class=p{rng.randrange(6)}>part {rng.randrange(5)} of {h}</div>", f"<ul><li>a{rng.randrange(4)}</ul>", f"<p>line {rng.randrange(30)}</p>", f"<article><p>own {rng.randrange(9)}</p><div>box {rng.randrange(3)}</div></article>"])
+    rows = [(k, f"http://h{k % 3}.example/{k}", "<body>" + "".join(part(k % 3) for _ in range(rng.randrange(7))) + "</body>") for k in range(150)] + [(150, None, "<p>x</p>"), (151, "http://h0.example/", None)]
+    pages = {k: Page(h or "") for k, _, h in rows}
+    host = {k: urlsplit(u or "").netloc for k, u, _ in rows}
+    found = {k: p.subtrees() for k, p in pages.items()}
+    by = {k: p.contents(found[k]) for k, p in pages.items()}
+    want = {}
+    for k, page in pages.items():
+        same = [j for j in pages if host[j] == host[k]]
+        total = len({by[j][0] for j in same})
+        seen = lambda h: len({by[j][1][e] for j in same for e, x in found[j].items() if x == h})  # noqa: B023, E731
+        drop = {h for h in set(found[k].values()) if (n := seen(h)) >= 5 and n >= 0.02 * total}
+        want[k] = page.text(drop, outside=True), len(drop)
+    got = TemplateRemoval().transform(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: (r.text, r.n_template) for r in got} == want
+    plain = {k: p.text(set(), outside=True) for k, p in pages.items()}
+    assert sum(plain[k] != want[k][0] for k in pages) > 60  # removal makes the text
+
+
 def test_hosts_decide_outside_articles(spark):
     side = "<div class=x><p>about us</p></div><p>write to us</p>"
     rows = [(k, f"http://a.example/{k}", f"<body>{side}<div><p>main {k} <b>and</b> more</p></div><article class=teaser>card</article></body>") for k in range(9)]
