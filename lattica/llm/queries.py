@@ -207,17 +207,17 @@ JUNK = "[*#$%&]+"
 @query
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents come in, those labelled toxic go, those labelled of low quality are counted anew without junk."""
-    from lattica.llm.shared import new_path
+    from lattica.llm.shared import cut, new_path
     from lattica.llm.token_rollup import TokenRollup, quarter_tokens, word_tokens
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rollup = TokenRollup(spark, new_path(spark, "rollup"), {"words-1": word_tokens, "quarter-bytes-1": quarter_tokens})
-    rollup.apply("insert", rollup.changes(docs, 1))
     gone, poor = labels.where("toxic = 1"), labels.where("quality = 0 AND toxic = 0")
-    clean = docs.withColumn("text", F.regexp_replace("text", F.lit(JUNK), F.lit("")))
+    counted = cut(rollup.counted(docs, text="text", clean=F.regexp_replace("text", F.lit(JUNK), F.lit(""))), "counted")
+    rollup.apply("insert", rollup.changes(counted, 1))
     for _ in range(2):  # a retried batch counts once
-        rollup.apply("toxic", rollup.changes(docs, -1, among=gone))
-        rollup.apply("revise", rollup.revision(docs, clean, among=poor))
+        rollup.apply("toxic", rollup.changes(counted, -1, among=gone))
+        rollup.apply("revise", rollup.revision(counted, "text", "clean", among=poor))
     return rollup.totals()
 
 

@@ -6,9 +6,13 @@ the groups it touches, not by documents, and totals are the sums of the stored d
 revisions in any order give the totals of the documents that remain.
 
 Commits are idempotent: a batch is written under a fresh name and then claimed by one small file named after its
-batch id, created only if no such file is there.  Readers see claimed batches alone, so a batch that is retried,
-run twice or half written counts once or not at all.  ``compact`` folds the claimed batches into one snapshot that
-names the batch ids it holds; those stay known, so that they cannot be applied again.
+batch id, which the store creates only if it is not there.  Readers see claimed batches alone, so a batch that is
+retried, run twice or half written counts once or not at all; a claim that a crash left without its content is
+written anew by the retry.  ``compact`` folds the claimed batches into one snapshot that names the batch ids it
+holds; those stay known, so that they cannot be applied again.
+
+Texts are counted once: ``counted`` gives a narrow table of counts by document and version of its text, from which
+any number of batches are made.
 
 Defined results: null sources, languages and texts are values of their own, a null text counting 0 tokens; groups
 whose documents all went are left out of the totals; an empty batch commits and changes nothing; repeated rows
@@ -25,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = ["source", "lang", "tokenizer"]
+SNAPSHOT = "snapshot"
 DELTA = "source string, lang string, tokenizer string, docs long, tokens long"
 Counter = Callable[[Column], Column]
 
@@ -39,21 +44,21 @@ def quarter_tokens(text: Column) -> Column:
     return F.coalesce(F.ceil(F.octet_length(text) / 4), F.lit(0)).cast("long")
 
 
-def bpe_tokens(vocabulary: str, pattern: str) -> Counter:
+def bpe_tokens(spark: SparkSession, vocabulary: str, pattern: str) -> Counter:
     """Tokens of a byte-level BPE whose ranks the file ``vocabulary`` holds (base64 token and rank a line).
 
-    The file must lie at that path on every executor.
+    The driver reads the file, of a few megabytes, and broadcasts the ranks.
     """
+    import base64
 
-    def count(texts):
-        import base64
+    with open(vocabulary, "rb") as f:
+        ranks = spark.sparkContext.broadcast({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
+    def count(texts):
         import pyarrow as pa
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        coder = tiktoken.Encoding("rollup", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        coder = tiktoken.Encoding("rollup", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
         for part in texts:
             yield pa.array([len(coder.encode_ordinary(t)) if t else 0 for t in part.to_pylist()], pa.int64())
 
@@ -72,59 +77,75 @@ class TokenRollup:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def changes(self, docs: DataFrame, sign: int, text_col: str = "text", among: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+    def counted(self, docs: DataFrame, id_col: str = "doc_id", **versions: Column | str) -> DataFrame:
+        """(_id, source, lang, and a list of counts for each version): ``versions`` are texts, the column ``text`` if none is named."""
+        counts = lambda text: F.array(*(F.struct(F.lit(name).alias("tokenizer"), count(F.col(text) if isinstance(text, str) else text).alias("tokens")) for name, count in self.counters.items()))
+        own = [counts(text).alias(name) for name, text in (versions or {"text": "text"}).items()]
+        return docs.select(F.col(id_col).alias("_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), *own)
+
+    def changes(self, counted: DataFrame, sign: int, version: str = "text", among: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
         """Signed rows (source, lang, tokenizer, docs, tokens) for documents: one for each tokenizer version.
 
-        ``among`` restricts them to the ids it holds.  Texts are counted first, so that no text is shuffled to find
-        them: an inner join with distinct ids, as the optimiser would move a semi-join below the counting.
+        ``among`` restricts them to the ids it holds.
         """
-        counts = F.array(*(F.struct(F.lit(name).alias("tokenizer"), count(F.col(text_col)).alias("tokens")) for name, count in self.counters.items()))
-        rows = docs.select(*([F.col(id_col).alias("_id")] if among is not None else []), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), counts.alias("c"))
-        if among is not None:
-            rows = rows.join(among.select(F.col(id_col).alias("_id")).distinct(), "_id")
-        return rows.select("source", "lang", F.explode("c").alias("c")).select("source", "lang", "c.tokenizer", F.lit(sign).cast("long").alias("docs"), (sign * F.col("c.tokens")).alias("tokens"))
+        rows = counted if among is None else counted.join(among.select(F.col(id_col).alias("_id")).distinct(), "_id", "left_semi")
+        return rows.select("source", "lang", F.explode(version).alias("c")).select("source", "lang", "c.tokenizer", F.lit(sign).cast("long").alias("docs"), (sign * F.col("c.tokens")).alias("tokens"))
 
-    def revision(self, before: DataFrame, after: DataFrame, text_col: str = "text", among: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
-        """Signed rows that replace documents by their revised forms."""
-        return self.changes(before, -1, text_col, among, id_col).unionByName(self.changes(after, 1, text_col, among, id_col))
+    def revision(self, counted: DataFrame, before: str, after: str, among: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+        """Signed rows that replace one version of documents by another."""
+        return self.changes(counted, -1, before, among, id_col).unionByName(self.changes(counted, 1, after, among, id_col))
 
-    def _claims(self) -> dict[str, str]:
-        """Committed batch ids with the folder that holds each; the driver reads one small file a batch."""
-        folder = self._path(f"{self.path}/claims")
-        if not self._fs.exists(folder):
-            return {}
-        out = {}
-        for status in self._fs.listStatus(folder):
-            out |= json.loads(self._read(status.getPath()))
-        return out
+    def _name(self, batch_id: str) -> str:
+        return self.spark._jvm.java.util.UUID.nameUUIDFromBytes(bytearray(batch_id.encode())).toString()
 
-    def _read(self, path) -> str:
+    def _content(self, name: str) -> dict[str, str] | None:
+        """What a claim holds: nothing if it is not there, or was left half written."""
+        path = self._path(f"{self.path}/claims/{name}")
+        if not self._fs.exists(path):
+            return None
         stream = self._fs.open(path)
         try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except ValueError:
+            return None
         finally:
             stream.close()
 
-    def _create(self, name: str, content: str) -> bool:
-        """Write a small file whole unless it is there; False if it is."""
-        final, draft = self._path(f"{self.path}/claims/{name}"), self._path(f"{self.path}/drafts/{uuid.uuid4().hex}")
-        if self._fs.exists(final):
-            return False
-        self._fs.mkdirs(final.getParent())
-        stream = self._fs.create(draft, False)
-        stream.write(bytearray(content.encode()))
+    def _claims(self) -> dict[str, str]:
+        """Batch ids committed since the last compaction, and those its snapshot names, with the folder that holds each."""
+        if not self._fs.exists(self._path(f"{self.path}/claims")):
+            return {}
+        out = {}
+        for (text,) in self.spark.read.text(f"{self.path}/claims", wholetext=True).collect():
+            try:
+                out |= json.loads(text)
+            except ValueError:
+                continue
+        return out
+
+    def _claim(self, name: str, content: dict[str, str]) -> bool:
+        """Create a claim unless a whole one is there; False if it is."""
+        path, exists = self._path(f"{self.path}/claims/{name}"), "FileAlreadyExists"
+        try:
+            stream = self._fs.create(path, False)
+        except Exception as e:  # the store's own refusal decides, not a look beforehand
+            if exists not in str(e):
+                raise
+            if self._content(name) is not None:
+                return False
+            stream = self._fs.create(path, True)
+        stream.write(bytearray(json.dumps(content).encode()))
         stream.close()
-        return bool(self._fs.rename(draft, final))
+        return True
 
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
         """Commit a batch; False, and nothing changes, if its id has been committed before."""
-        if batch_id in self._claims():
+        if self._content(self._name(batch_id)) is not None or batch_id in (self._content(SNAPSHOT) or {}):
             return False
         place = f"deltas/{uuid.uuid4().hex}"
         added = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         added.where("docs <> 0 OR tokens <> 0").write.parquet(f"{self.path}/{place}")
-        name = self.spark._jvm.java.util.UUID.nameUUIDFromBytes(bytearray(batch_id.encode())).toString()
-        return self._create(name, json.dumps({batch_id: place}))
+        return self._claim(self._name(batch_id), {batch_id: place})
 
     def deltas(self) -> DataFrame:
         """The rows of all committed batches."""
@@ -141,5 +162,5 @@ class TokenRollup:
         claims = self._claims()
         new = TokenRollup(self.spark, f"{self.path}-{uuid.uuid4().hex[:8]}", self.counters)
         self.totals().write.parquet(f"{new.path}/deltas/snapshot")
-        new._create("snapshot", json.dumps(dict.fromkeys(claims, "deltas/snapshot")))
+        new._claim(SNAPSHOT, dict.fromkeys(claims, "deltas/snapshot"))
         return new

@@ -281,12 +281,17 @@ def test_schedule_is_even(docs):
 def test_token_rollup(spark, docs, tmp_path):
     rollup = TokenRollup(spark, f"file://{tmp_path}/rollup", {"words": word_tokens, "quarters": quarter_tokens})
     assert rollup.totals().count() == 0
-    assert rollup.apply("all", rollup.changes(docs, 1))
-    assert not rollup.apply("all", rollup.changes(docs, 1))
-    gone, poor = docs.where("source = 's1'"), docs.where("source = 's2'")
-    assert rollup.apply("gone", rollup.changes(gone, -1))
-    assert rollup.apply("revised", rollup.revision(poor, poor.withColumn("text", F.concat("text", F.lit(" more")))))
-    assert rollup.apply("nothing", rollup.changes(docs.where("1 = 0"), 1))
+    counted = rollup.counted(docs, text="text", longer=F.concat("text", F.lit(" more")))
+    assert rollup.apply("all", rollup.changes(counted, 1))
+    assert not rollup.apply("all", rollup.changes(counted, 1))
+    gone, poor = counted.where("source = 's1'"), counted.where("source = 's2'")
+    place = tmp_path / "rollup" / "claims" / rollup._name("gone")
+    place.write_text("{")  # a crash left a claim without its content
+    assert rollup.apply("gone", rollup.changes(gone, -1)) and not rollup.apply("gone", rollup.changes(gone, -1))
+    assert rollup.apply("revised", rollup.revision(poor, "text", "longer"))
+    assert rollup.apply("nothing", rollup.changes(counted.where("1 = 0"), 1))
+    assert not rollup._claim(rollup._name("gone"), {"gone": "elsewhere"})
+    assert rollup.changes(counted, 1, among=docs.where("doc_id < 10")).count() == 2 * docs.where("doc_id < 10").count()
     want = {}
     for r in corpus():
         if r[3] != "s1":
@@ -298,11 +303,12 @@ def test_token_rollup(spark, docs, tmp_path):
     assert read(rollup) == want
     compacted = rollup.compact()
     assert read(compacted) == want and not compacted.apply("gone", rollup.changes(gone, -1))
+    assert compacted.apply("again", rollup.changes(gone, 1)) and read(compacted) != want
 
 
 def test_bpe_counts(spark):
     tokenizers = pytest.importorskip("public_tokenizers")
-    count = bpe_tokens(tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+    count = bpe_tokens(spark, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
     rows = spark.createDataFrame([("hello world",), ("",), (None,)], "text string").select(count(F.col("text")).alias("n")).collect()
     assert [r.n for r in rows] == [2, 0, 0]
 
