@@ -2,31 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-__version__ = (0, 1, 0, 0)
+from lattica.tables import cut, free
+
+__version__ = (0, 2, 0, 0)
 
 
 @dataclass(frozen=True)
 class EngineConf:
-    """``broadcast_bytes`` bounds what is broadcast, ``scan_block`` the rows of one window, ``extended_precision`` picks compensated sums."""
+    """``broadcast_bytes`` bounds what is broadcast, ``scan_block`` the rows of one window, ``extended_precision`` picks compensated sums.
+
+    Results are lazy plans; with ``eager`` products are computed and written when they are asked for.
+    """
 
     spark: SparkSession
     extended_precision: bool = False
     broadcast_bytes: int = 64 << 20
     scan_block: int = 1 << 16
+    eager: bool = False
 
     def checkpoint(self, df: DataFrame) -> DataFrame:
-        """The frame cut from its lineage, kept in the shared folder of ``spark.checkpoint.dir``; a temporary one where none is set."""
-        sc = self.spark.sparkContext
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-"))
-        return df.checkpoint(eager=True)
+        """The frame cut from its lineage, as a table in the shared folder of ``spark.checkpoint.dir``; a temporary one where none is set."""
+        return cut(df, "state")
+
+    def free(self, df: DataFrame) -> None:
+        """Delete what ``checkpoint`` has written for a frame, which can't be read any more."""
+        free(df)
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        return self.checkpoint(df) if self.eager else df
 
 
 def conf_of(df: DataFrame, conf: EngineConf | None) -> EngineConf:

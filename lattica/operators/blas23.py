@@ -6,7 +6,7 @@ sides shuffle on the shared index and adaptive execution splits hot columns.  Lo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.conf import EngineConf, conf_of
@@ -18,6 +18,9 @@ from lattica.types import CooMatrix, CsrMatrix, DenseMatrix, Vector
 #: Columns of a dense operand up to which products are kept as one aggregate each.
 WIDE = 64
 PAIR_BYTES = 16
+#: Bounds below the first number are bins of their own; then the largest bound of a bin, and its number; then the last bin.
+BIN_TOPS = ((122, 122), (128, 122), (256, 123), (512, 124))
+LAST_BIN = 127
 
 
 def entries(a: CooMatrix | CsrMatrix) -> DataFrame:
@@ -38,7 +41,14 @@ def spmv(a: CooMatrix | CsrMatrix, x: Vector, conf: EngineConf | None = None) ->
     conf = conf_of(x.df, conf)
     joined = entries(a).join(_small(x.df.select(F.col("i").alias("j"), F.col("v").alias("_x")), x.n, conf), "j")
     product = F.col("v") * F.col("_x")
-    return accurate_sums(joined, ["i"], product) if conf.extended_precision else joined.groupBy("i").agg(F.sum(product).alias("v"))
+    single = _single(entries(a), x.df)
+    out = accurate_sums(joined, ["i"], product) if conf.extended_precision else joined.groupBy("i").agg(F.sum(product).alias("v"))
+    return out.withColumn("v", F.col("v").cast("float")) if single else out
+
+
+def _single(*frames: DataFrame) -> bool:
+    """Whether all values are of single precision; sums of such are kept in double and rounded once."""
+    return all(dict(f.dtypes).get("v", "float") == "float" and dict(f.dtypes).get("vals", "array<float>") == "array<float>" for f in frames)
 
 
 def csrmv(alpha: float, a: CooMatrix | CsrMatrix, x: Vector, beta: float = 0.0, y: Vector | None = None, conf: EngineConf | None = None) -> Vector:
@@ -50,12 +60,14 @@ def csrmv(alpha: float, a: CooMatrix | CsrMatrix, x: Vector, beta: float = 0.0,
     if alpha == 0:
         return scale(beta, y.completed()) if beta else Vector.constant(x.df.sparkSession, a.m, 0.0)
     product = spmv(a, x, conf).select("i", F.col("v").alias("_ax"))
-    term = F.lit(float(alpha)) * F.coalesce("_ax", F.lit(0.0))
+    term, finish = F.lit(float(alpha)) * F.coalesce("_ax", F.lit(0.0)), conf_of(x.df, conf).finish
+    kind = "float" if _single(entries(a), x.df) else "double"
     if beta == 0:
         every = x.df.sparkSession.range(a.m).withColumnRenamed("id", "i")
-        return Vector(every.join(product, "i", "left").select("i", term.alias("v")), a.m)
-    out = y.completed().df.join(product, "i", "left").select("i", (term + F.lit(float(beta)) * F.col("v")).alias("v"))
-    return Vector(out, a.m)
+        return Vector(finish(every.join(product, "i", "left").select("i", term.cast(kind).alias("v"))), a.m)
+    kind = kind if _single(y.df) else "double"
+    out = y.completed().df.join(product, "i", "left").select("i", (term + F.lit(float(beta)) * F.col("v")).cast(kind).alias("v"))
+    return Vector(finish(out), a.m)
 
 
 coomv = csrmv
@@ -82,16 +94,18 @@ def csrmm(alpha: float, a: CooMatrix | CsrMatrix, b: DenseMatrix, beta: float =
     term = F.transform(F.coalesce("_ab", zeros), lambda e: F.lit(float(alpha)) * e)
     out = base.join(product, "i", "left")
     value = term if beta == 0 else F.zip_with(term, F.col("vals"), lambda p, q: p + F.lit(float(beta)) * q)
-    return DenseMatrix(out.select("i", value.alias("vals")), a.m, n)
+    single = _single(entries(a), b.df, *([c.df] if beta else []))
+    return DenseMatrix(conf.finish(out.select("i", value.cast(f"array<{'float' if single else 'double'}>").alias("vals"))), a.m, n)
 
 
-def spgemm(a: CooMatrix | CsrMatrix, b: CooMatrix | CsrMatrix) -> CooMatrix:
+def spgemm(a: CooMatrix | CsrMatrix, b: CooMatrix | CsrMatrix, conf: EngineConf | None = None) -> CooMatrix:
     """A B for sparse operands; entries that cancel to zero stay."""
     if a.n != b.m:
         raise InvalidSize(f"inner dimensions {a.n} and {b.m}")
     right = entries(b).select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("v").alias("_b"))
-    out = entries(a).join(right, "j").groupBy("i", F.col("k").alias("j")).agg(F.sum(F.col("v") * F.col("_b")).alias("v"))
-    return CooMatrix(out, a.m, b.n)
+    kind = "float" if _single(entries(a), entries(b)) else "double"
+    out = entries(a).join(right, "j").groupBy("i", F.col("k").alias("j")).agg(F.sum(F.col("v") * F.col("_b")).cast(kind).alias("v"))
+    return CooMatrix(conf_of(right, conf).finish(out), a.m, b.n)
 
 
 def spgemm_upper_bound(a: CooMatrix | CsrMatrix, b: CooMatrix | CsrMatrix) -> DataFrame:
@@ -108,14 +122,16 @@ def spgemm_flops(a: CooMatrix | CsrMatrix, b: CooMatrix | CsrMatrix) -> DataFram
 
 
 def spgemm_bins(a: CooMatrix | CsrMatrix, b: CooMatrix | CsrMatrix) -> DataFrame:
-    """(bin, rows): rows of A by their bound: 0, 1, up to 32, each up to 512 by doubling, beyond."""
+    """(bin, rows, products, first): histogram of the rows of A by their bound, and how many rows lie in smaller bins."""
     every = entries(a).sparkSession.range(a.m).withColumnRenamed("id", "i")
     bound = F.coalesce("bound", F.lit(0))
-    label = F.when(bound <= 1, bound)
-    for top in (32, 64, 128, 256, 512):
-        label = label.when(bound <= top, top)
-    out = every.join(spgemm_upper_bound(a, b), "i", "left").select(label.otherwise(513).cast("bigint").alias("bin"))
-    return out.groupBy("bin").agg(F.count(F.lit(1)).alias("rows"))
+    label = F.when(bound < BIN_TOPS[0][0], bound)
+    for top, number in BIN_TOPS[1:]:
+        label = label.when(bound <= top, number)
+    binned = every.join(spgemm_upper_bound(a, b), "i", "left").select(label.otherwise(LAST_BIN).cast("bigint").alias("bin"), bound.alias("bound"))
+    counted = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("rows"), F.sum("bound").alias("products"))
+    first = F.coalesce(F.sum("rows").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a bin
+    return counted.withColumn("first", first)
 
 
 def matrix_add(a: CooMatrix, b: CooMatrix) -> CooMatrix:

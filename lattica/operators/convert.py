@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.blas23 import entries
-from lattica.operators.prims import BLOCK, scan
+from lattica.operators.prims import BLOCK, levels_for, scan
 from lattica.types import CooMatrix, CsrMatrix, DenseMatrix
 
 #: Entries of a block of rows, and how many such blocks a chunk of a long row spans.
@@ -20,14 +20,14 @@ def coo2csr(a: CooMatrix, block: int = BLOCK) -> CsrMatrix:
     part = lambda k, kind: F.coalesce(F.col(f"_e.{k}"), F.array().cast(f"array<{kind}>"))
     rows = every.select("i", part("j", "bigint").alias("cols"), part("v", "double").alias("vals"))
     rows = rows.withColumn("nnz", F.size("cols").cast("bigint"))
-    return CsrMatrix(scan(rows, "sum", False, None, "i", "nnz", block, "off").select("i", "off", "nnz", "cols", "vals"), a.m, a.n)
+    return CsrMatrix(scan(rows, "sum", False, None, "i", "nnz", block, "off", levels_for(a.m, block)).select("i", "off", "nnz", "cols", "vals"), a.m, a.n)
 
 
 def row_pointer(a: CooMatrix, block: int = BLOCK) -> DataFrame:
     """(i, off, nnz) of every row, without packing the entries."""
     counts = a.df.groupBy("i").agg(F.count(F.lit(1)).alias("nnz"))
     every = a.df.sparkSession.range(a.m).withColumnRenamed("id", "i").join(counts, "i", "left").select("i", F.coalesce("nnz", F.lit(0)).alias("nnz"))
-    return scan(every, "sum", False, None, "i", "nnz", block, "off")
+    return scan(every, "sum", False, None, "i", "nnz", block, "off", levels_for(a.m, block))
 
 
 def csr2coo(a: CsrMatrix) -> CooMatrix:
@@ -35,10 +35,16 @@ def csr2coo(a: CsrMatrix) -> CooMatrix:
 
 
 def csr2dense(a: CsrMatrix) -> DenseMatrix:
-    """Row arrays with zeros filled in."""
-    cell = lambda j: F.coalesce(F.try_element_at(F.map_from_arrays("cols", "vals"), j.cast("bigint")), F.lit(0.0))
-    every = F.sequence(F.lit(0), F.lit(a.n - 1)) if a.n else F.array().cast("array<int>")
-    return DenseMatrix(a.df.select("i", F.transform(every, cell).alias("vals")), a.m, a.n)
+    """Row arrays with zeros filled in, equal coordinates added up: the runs of zeros before each column, and its value."""
+    cells = F.array_sort(F.arrays_zip("cols", "vals"))
+    of = lambda j: F.aggregate(F.filter("cells", lambda c: c.cols == j), F.lit(0.0), lambda s, c: s + c.vals)
+    own = a.df.select("i", cells.alias("cells")).withColumn("at", F.array_distinct(F.transform("cells", lambda c: c.cols)))
+    own = own.withColumn("sums", F.when(F.size("at") == F.size("cells"), F.transform("cells", lambda c: c.vals)).otherwise(F.transform("at", of)))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    before = lambda k: F.when(k == 0, F.lit(-1).cast("bigint")).otherwise(F.get("at", k - 1))
+    parts = F.transform("at", lambda j, k: F.concat(zeros(j - before(k) - 1), F.array(F.get("sums", k))))
+    tail = zeros(F.lit(a.n - 1) - F.coalesce(F.get("at", F.size("at") - 1), F.lit(-1)))
+    return DenseMatrix(own.select("i", F.concat(F.flatten(parts), tail).alias("vals")), a.m, a.n)
 
 
 def dense2coo(a: DenseMatrix) -> CooMatrix:
@@ -48,15 +54,23 @@ def dense2coo(a: DenseMatrix) -> CooMatrix:
 
 
 def dense2csr(a: DenseMatrix, block: int = BLOCK) -> CsrMatrix:
-    return coo2csr(dense2coo(a), block)
+    """Rows packed where they are: only their sizes meet, for the offsets."""
+    held = F.filter(F.transform("vals", lambda v, j: F.struct(j.cast("bigint").alias("j"), v.cast("double").alias("v"))), lambda c: c.v != 0)
+    rows = a.df.select("i", held.alias("_e")).select("i", F.col("_e.j").alias("cols"), F.col("_e.v").alias("vals"), F.size("_e").cast("bigint").alias("nnz"))
+    return CsrMatrix(scan(rows, "sum", False, None, "i", "nnz", block, "off", levels_for(a.m, block)).select("i", "off", "nnz", "cols", "vals"), a.m, a.n)
 
 
 def row_stats(a: CooMatrix) -> DataFrame:
-    """(rows, nnz, empty_rows, max_nnz, nnz_per_row): sizes of the rows; the last is the whole part of the mean."""
+    """(rows, nnz, empty_rows, max_nnz, nnz_per_row, mean_nnz, deviation): sizes of the rows.
+
+    ``nnz_per_row`` is the whole part of the mean; the deviation is that of all rows, empty ones included.
+    """
     counts = a.df.groupBy("i").agg(F.count(F.lit(1)).alias("nnz"))
-    total = counts.agg(F.coalesce(F.sum("nnz"), F.lit(0)).alias("nnz"), F.count(F.lit(1)).alias("_full"), F.coalesce(F.max("nnz"), F.lit(0)).alias("max_nnz"))
-    mean = F.expr(f"nnz div {a.m}") if a.m else F.lit(0).cast("bigint")
-    return total.select(F.lit(a.m).cast("bigint").alias("rows"), "nnz", (F.lit(a.m) - F.col("_full")).cast("bigint").alias("empty_rows"), "max_nnz", mean.alias("nnz_per_row"))
+    total = counts.agg(F.coalesce(F.sum("nnz"), F.lit(0)).alias("nnz"), F.count(F.lit(1)).alias("_full"), F.coalesce(F.max("nnz"), F.lit(0)).alias("max_nnz"), F.coalesce(F.sum(F.col("nnz") * F.col("nnz")), F.lit(0)).alias("_squares"))
+    whole = F.expr(f"nnz div {a.m}") if a.m else F.lit(0).cast("bigint")
+    mean = F.col("nnz") / F.lit(float(max(a.m, 1)))
+    deviation = F.sqrt(F.greatest(F.col("_squares") / F.lit(float(max(a.m, 1))) - mean * mean, F.lit(0.0)))
+    return total.select(F.lit(a.m).cast("bigint").alias("rows"), "nnz", (F.lit(a.m) - F.col("_full")).cast("bigint").alias("empty_rows"), "max_nnz", whole.alias("nnz_per_row"), mean.alias("mean_nnz"), deviation.alias("deviation"))
 
 
 def row_blocks(a: CooMatrix, block: int = BLOCK) -> DataFrame:
@@ -65,6 +79,6 @@ def row_blocks(a: CooMatrix, block: int = BLOCK) -> DataFrame:
     A longer row has block -1 and is cut into chunks of CHUNK_BLOCKS * BLOCK_NNZ entries.
     """
     rows = row_pointer(a, block).select("i", "nnz", F.when(F.col("nnz") <= BLOCK_NNZ, F.col("nnz")).otherwise(0).alias("_short"))
-    placed = scan(rows, "sum", False, None, "i", "_short", block, "_at")
+    placed = scan(rows, "sum", False, None, "i", "_short", block, "_at", levels_for(a.m, block))
     long = F.col("nnz") > BLOCK_NNZ
     return placed.select("i", "nnz", F.when(long, -1).otherwise(F.floor(F.col("_at") / BLOCK_NNZ)).cast("bigint").alias("block"), F.when(long, F.ceil(F.col("nnz") / (CHUNK_BLOCKS * BLOCK_NNZ))).otherwise(1).cast("bigint").alias("chunks"))

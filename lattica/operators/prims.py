@@ -1,7 +1,9 @@
 """Joins, scans, runs and sorts that the algebra is made of.
 
 Scans and neighbours of an ordered frame are windows over blocks of ``block`` consecutive indices; what a block needs
-from those before it comes from one row a block.  No window holds more than a block, or the list of blocks.
+from those before it comes from one row a block.  No window holds more than a block, or the list of blocks; that list
+is itself scanned in blocks with ``levels`` above 2, as for more than block * block indices.  Sorts deal rows by range
+of key and tie, so no key, however frequent, is a partition of its own.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.conf import EngineConf, conf_of
 from lattica.errors import InvalidSize, InvalidValue
 from lattica.types import Vector
 
@@ -31,7 +34,7 @@ def zip_with(x: Vector, y: Vector, op: Callable[[Column, Column], Column]) -> Ve
     return Vector(both.select("i", op(value("_x"), value("_y")).alias("v")), x.n, x.dense or y.dense)
 
 
-def scan(df: DataFrame, op: str = "sum", inclusive: bool = True, keys: list[str] | None = None, order: str = "i", value: str = "v", block: int = BLOCK, name: str = "v") -> DataFrame:
+def scan(df: DataFrame, op: str = "sum", inclusive: bool = True, keys: list[str] | None = None, order: str = "i", value: str = "v", block: int = BLOCK, name: str = "v", levels: int = 2) -> DataFrame:
     """Running sum, minimum or maximum along ``order``, within each key if keys are given.
 
     An exclusive scan starts at the operation's identity: 0, infinity or minus infinity.  Equal places in the order
@@ -47,8 +50,11 @@ def scan(df: DataFrame, op: str = "sum", inclusive: bool = True, keys: list[str]
     local = Window.partitionBy(*keys, "_block").orderBy(order)
     inside = F.coalesce(agg(value).over(local.rowsBetween(*(UP if inclusive else BEFORE))), start)
     blocks = own.groupBy(*keys, "_block").agg(agg(value).alias("_total"))
-    earlier = F.coalesce(agg("_total").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(*BEFORE)), start)
-    blocks = blocks.select(*keys, "_block", earlier.alias("_before"))
+    if levels > 2:
+        blocks = scan(blocks.withColumnRenamed("_block", "_at"), op, False, keys, "_at", "_total", block, "_earlier", levels - 1).select(*keys, F.col("_at").alias("_block"), F.col("_earlier").alias("_before"))
+    else:
+        earlier = F.coalesce(agg("_total").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(*BEFORE)), start)
+        blocks = blocks.select(*keys, "_block", earlier.alias("_before"))
     out = own.withColumn("_inside", inside).join(blocks, [*keys, "_block"])
     return out.withColumn(name, merge(F.col("_before"), F.col("_inside"))).drop("_block", "_inside", "_before", "_total")
 
@@ -91,15 +97,28 @@ def reduce_by_key(df: DataFrame, keys: list[str], value: str = "v") -> DataFrame
     return df.groupBy(*keys).agg(F.sum(value).alias(value))
 
 
-def sort_by_key(df: DataFrame, key: str, tie: str, descending: bool = False, name: str = "pos", block: int = BLOCK) -> DataFrame:
-    """The frame in key order, ties by ``tie``, with each row's place from 0: the key's offset plus the place in it."""
-    sign = F.lit(-1 if descending else 1)
-    own = df.withColumn("_k", (F.col(key) * sign).cast("bigint")).withColumn("_one", F.lit(1).cast("bigint"))
-    sizes = own.groupBy("_k").agg(F.count(F.lit(1)).alias("_size"))
-    offsets = scan(sizes, "sum", False, None, "_k", "_size", block, "_offset").select("_k", "_offset")
-    placed = scan(own, "sum", False, ["_k"], tie, "_one", block, "_place")
-    out = placed.join(offsets, "_k").withColumn(name, F.col("_offset") + F.col("_place"))
-    return out.drop("_k", "_one", "_offset", "_place").orderBy(name)
+def levels_for(n: int, block: int = BLOCK) -> int:
+    """Levels with which a scan of n indices has no window of more than ``block`` rows."""
+    levels = 2
+    while n > block**levels:
+        levels += 1
+    return levels
+
+
+def sort_by_key(df: DataFrame, key: str, tie: str, descending: bool = False, name: str = "pos", conf: EngineConf | None = None) -> DataFrame:
+    """The frame in key order, ties by ``tie``, with each row's place from 0.
+
+    Keys of any type that sorts, null keys last either way.  Rows are dealt by range of key and tie and written, so
+    that each range's place in the order holds, whatever is computed anew; a row's place is its range's plus its own
+    in the range.
+    """
+    order = [F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last(), F.col(tie).asc_nulls_last()]
+    ranged = conf_of(df, conf).checkpoint(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(*BEFORE)), F.lit(0))
+    placed = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
+    out = placed.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn(name, F.col("_before") + F.col("_place"))  # a row a range
+    return out.drop("_part", "_place", "_before").orderBy(name)
 
 
 def sort_coo(df: DataFrame) -> DataFrame:

@@ -6,9 +6,8 @@ orders modulo 7: all integral, so that sums are exact in any order.
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +20,7 @@ from lattica.operators import convert as cv
 from lattica.operators import prims as pr
 from lattica.plans.solvers import SolverControl, bicgstab, cg
 from lattica.sources import mtx
+from lattica.tables import new_path, write_text
 from lattica.types import CooMatrix, DenseMatrix, Vector
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,8 +42,8 @@ class Tables:
             self.size[name] = self.table(name).count()
         return self.size[name]
 
-    def matrix(self, i: str, j: str, m: str, n: str) -> CooMatrix:
-        return CooMatrix.from_entries(self.table("lineitem"), i, j, "l_quantity", self.rows(m), self.rows(n))
+    def matrix(self, i: str, j: str, m: str, n: str, kind: str = "double") -> CooMatrix:
+        return CooMatrix.from_entries(self.table("lineitem"), i, j, "l_quantity", self.rows(m), self.rows(n), kind=kind)
 
     @property
     def A(self) -> CooMatrix:
@@ -75,14 +75,10 @@ class Tables:
         own = F.array(*((F.col("o_custkey") % k).cast("double") for k in (7, 5, 3)))
         return DenseMatrix(self.table("orders").select(F.col("o_orderkey").cast("bigint").alias("i"), own.alias("vals")), self.rows("orders"), 3)
 
-    def block(self, m: int = 50, n: int = 40) -> CooMatrix:
-        """The upper left corner of A, for dense forms."""
-        return CooMatrix(self.A.df.where((F.col("i") < m) & (F.col("j") < n)), m, n)
-
-    def poisson(self, below: float = -1.0, mid: float = 2.0, above: float = -1.0) -> CooMatrix:
-        """A tridiagonal matrix over the nations."""
-        n = self.rows("nation")
-        own = self.table("nation").select(F.col("n_nationkey").cast("bigint").alias("i"))
+    def poisson(self, below: float = -1.0, mid: float = 2.0, above: float = -1.0, table: str = "nation", key: str = "n_nationkey") -> CooMatrix:
+        """A tridiagonal matrix over the rows of a table."""
+        n = self.rows(table)
+        own = self.table(table).select(F.col(key).cast("bigint").alias("i"))
         bands = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(v).alias("v")) for d, v in ((-1, below), (0, mid), (1, above)))))
         df = own.select("i", bands.alias("e")).select("i", (F.col("i") + F.col("e.d")).cast("bigint").alias("j"), F.col("e.v").alias("v"))
         return CooMatrix(df.where((F.col("j") >= 0) & (F.col("j") < n)), n, n)
@@ -130,7 +126,7 @@ vectors("fill", "7e0", lambda t: b1.fill(t.u, 7))
 vectors("copy", "u", lambda t: b1.copy(t.u))
 vectors("nonzero_mask", "w <> 0", lambda t: b1.nonzeros(t.w), "INTEGER")
 query("element_at", f"WITH {V} SELECT i, u AS v FROM V WHERE i = 17", lambda t: b1.element(t.u, 17))
-query("vec_equal", "SELECT false AS equal", lambda t: b1.equal(t.u, t.w))
+query("vec_equal", f"WITH {V} SELECT count(*) FILTER (u IS DISTINCT FROM w) = 0 AS equal FROM V", lambda t: b1.equal(t.u, t.w))
 query("explicit_zero_filter", f"WITH {V} SELECT i, w AS v FROM V WHERE w <> 0", lambda t: t.w.df.where("v <> 0"))
 query("vec_slice", f"WITH {V} SELECT i - 10 AS i, u AS v FROM V WHERE i BETWEEN 10 AND 109", lambda t: t.u.slice(10, 100).df)
 
@@ -138,7 +134,8 @@ query("vec_slice", f"WITH {V} SELECT i - 10 AS i, u AS v FROM V WHERE i BETWEEN
 query("reduce_int", "SELECT CAST(sum(p_size) AS BIGINT) AS v FROM part", lambda t: b1.reduce(Vector.of(t.table("part"), "p_partkey", "p_size", t.rows("part"), "int")))
 query("reduce_float", "SELECT CAST(sum(p_size) AS FLOAT) AS v FROM part", lambda t: b1.reduce(Vector.of(t.table("part"), "p_partkey", "p_size", t.rows("part"), "float")))
 query("reduce_double", "SELECT sum(l_quantity) AS v FROM lineitem", lambda t: b1.reduce(Vector(t.table("lineitem").select(F.lit(0).alias("i"), F.col("l_quantity").alias("v")), t.rows("lineitem"))))
-query("reduce_empty", "SELECT 0e0 AS v", lambda t: b1.reduce(Vector.constant(t.spark, 0, 1.0)))
+query("vec_equal_copy", f"WITH {V} SELECT count(*) FILTER (2 * u IS DISTINCT FROM u + u) = 0 AS equal FROM V", lambda t: b1.equal(b1.scale(2, t.u), b1.add(t.u, t.u)))
+query("reduce_empty", f"WITH {V} SELECT coalesce(sum(u), 0) AS v FROM V WHERE u < 0", lambda t: b1.reduce(Vector.constant(t.spark, 0, 1.0)))
 query("nrm1", f"WITH {V} SELECT sum(abs(u - 3 * w)) AS v FROM V", lambda t: b1.nrm1(b1.axpy(3, t.w, t.u, minus=True)))
 query("nrm2", f"WITH {V} SELECT sqrt(sum(u * u)) AS v FROM V", lambda t: b1.nrm2(t.u))
 query("dot", f"WITH {V} SELECT sum(u * w) AS v FROM V", lambda t: b1.dot(t.u, t.w))
@@ -174,11 +171,6 @@ POINTER = f"WITH {A}, R AS (SELECT Y.i, coalesce(n, 0) AS nnz FROM (SELECT CAST(
 query("csr_row_pointer", f"{POINTER} SELECT i, CAST(sum(nnz) OVER (ORDER BY i) - nnz AS BIGINT) AS off, nnz FROM R", lambda t: cv.row_pointer(t.A).select("i", "off", "nnz"))
 query("coo2csr", f"{POINTER}, L AS (SELECT i, CAST(array_to_string(list(j ORDER BY j), ',') AS VARCHAR) AS cols, sum(v) AS total FROM A GROUP BY 1) SELECT R.i, CAST(sum(nnz) OVER (ORDER BY R.i) - nnz AS BIGINT) AS off, nnz, coalesce(cols, '') AS cols, coalesce(total, 0) AS total FROM R LEFT JOIN L USING (i)", lambda t: cv.coo2csr(t.A).df.select("i", "off", "nnz", F.concat_ws(",", F.transform("cols", lambda c: c.cast("string"))).alias("cols"), F.aggregate("vals", F.lit(0.0), lambda s, e: s + e).alias("total")))
 query("csr2coo", f"WITH {A} SELECT * FROM A", lambda t: cv.csr2coo(cv.coo2csr(t.A)).df)
-DENSE = f"WITH {A}, G AS (SELECT a.range AS i, b.range AS j FROM range(50) a, range(40) b), D AS (SELECT G.i, G.j, coalesce(v, 0) AS v FROM G LEFT JOIN A ON A.i = G.i AND A.j = G.j)"
-query("csr2dense", f"{DENSE} SELECT i, j, v FROM D", lambda t: cv.csr2dense(cv.coo2csr(t.block())).df.select("i", F.posexplode("vals").alias("j", "v")).select("i", F.col("j").cast("bigint").alias("j"), "v"))
-query("dense2coo", f"{DENSE} SELECT i, j, v FROM D WHERE v <> 0", lambda t: cv.dense2coo(cv.csr2dense(cv.coo2csr(t.block()))).df)
-query("dense2csr", f"{DENSE} SELECT i, count(*) FILTER (v <> 0) AS nnz, sum(v) AS total FROM D GROUP BY 1", lambda t: cv.dense2csr(cv.csr2dense(cv.coo2csr(t.block()))).df.select("i", "nnz", F.aggregate("vals", F.lit(0.0), lambda s, e: s + e).alias("total")))
-# the same on whole tables: the four queries over a corner keep their SQL
 CELLS = "E AS (SELECT CAST(vec_id AS BIGINT) AS i, unnest(generate_series(0, 63)) AS j, unnest(embedding) AS v FROM embeddings)"
 
 
@@ -187,9 +179,9 @@ def embedded(t: Tables) -> DenseMatrix:
     return DenseMatrix(t.table("embeddings").select(F.col("vec_id").cast("bigint").alias("i"), F.col("embedding").cast("array<double>").alias("vals")), t.rows("embeddings"), 64)
 
 
-query("csr2dense_whole", f"WITH {CELLS} SELECT i, j, CAST(v AS DOUBLE) AS v FROM E", lambda t: cv.csr2dense(cv.dense2csr(embedded(t))).df.select("i", F.posexplode("vals").alias("j", "v")).select("i", F.col("j").cast("bigint").alias("j"), "v"))
-query("dense2coo_whole", f"WITH {CELLS} SELECT i, j, CAST(v AS DOUBLE) AS v FROM E WHERE v <> 0", lambda t: cv.dense2coo(embedded(t)).df)
-query("dense2csr_whole", "SELECT CAST(p_partkey AS BIGINT) AS i, CAST((p_size <> 0)::INT + (p_partkey % 11 <> 0)::INT + 1 AS BIGINT) AS nnz, CAST(p_size + p_partkey % 11 + 1 AS DOUBLE) AS total FROM part", lambda t: cv.dense2csr(t.B).df.select("i", "nnz", F.aggregate("vals", F.lit(0.0), lambda s, e: s + e).alias("total")))
+query("csr2dense", f"WITH {CELLS} SELECT i, j, CAST(v AS DOUBLE) AS v FROM E", lambda t: cv.csr2dense(cv.dense2csr(embedded(t))).df.select("i", F.posexplode("vals").alias("j", "v")).select("i", F.col("j").cast("bigint").alias("j"), "v"))
+query("dense2coo", f"WITH {CELLS} SELECT i, j, CAST(v AS DOUBLE) AS v FROM E WHERE v <> 0", lambda t: cv.dense2coo(embedded(t)).df)
+query("dense2csr", "SELECT CAST(p_partkey AS BIGINT) AS i, CAST((p_size <> 0)::INT + (p_partkey % 11 <> 0)::INT + 1 AS BIGINT) AS nnz, CAST(p_size + p_partkey % 11 + 1 AS DOUBLE) AS total FROM part", lambda t: cv.dense2csr(t.B).df.select("i", "nnz", F.aggregate("vals", F.lit(0.0), lambda s, e: s + e).alias("total")))
 query("dense_embeddings_nnz", "SELECT CAST(vec_id AS BIGINT) AS i, CAST(len(list_filter(embedding, lambda e: e <> 0)) AS BIGINT) AS nnz FROM embeddings", lambda t: cv.dense2csr(DenseMatrix(t.table("embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("vals")), t.rows("embeddings"), 64)).df.select("i", "nnz"))
 
 # products
@@ -214,17 +206,20 @@ query("spgemm_aq", f"WITH {A}, {Q} SELECT A.i, Q.j, sum(A.v * Q.v) AS v FROM A J
 BOUND = f"WITH {A}, {Q}, L AS (SELECT i, count(*) AS n FROM Q GROUP BY 1), U AS (SELECT A.i, CAST(sum(n) AS BIGINT) AS bound FROM A JOIN L ON A.j = L.i GROUP BY 1)"
 query("spgemm_upper_bound", f"{BOUND} SELECT i, bound FROM U", lambda t: b2.spgemm_upper_bound(t.A, t.Q))
 query("spgemm_flops", f"{BOUND} SELECT CAST(2 * sum(bound) AS BIGINT) AS flops FROM U", lambda t: b2.spgemm_flops(t.A, t.Q))
-query("spgemm_bins", f"{BOUND} SELECT CAST(CASE WHEN coalesce(bound, 0) <= 1 THEN coalesce(bound, 0) WHEN bound <= 32 THEN 32 WHEN bound <= 64 THEN 64 WHEN bound <= 128 THEN 128 WHEN bound <= 256 THEN 256 WHEN bound <= 512 THEN 512 ELSE 513 END AS BIGINT) AS bin, count(*) AS rows FROM (SELECT o_orderkey AS i FROM orders) LEFT JOIN U USING (i) GROUP BY 1", lambda t: b2.spgemm_bins(t.A, t.Q))
+query("spgemm_bins", f"{BOUND}, H AS (SELECT CAST(CASE WHEN coalesce(bound, 0) < 122 THEN coalesce(bound, 0) WHEN bound <= 128 THEN 122 WHEN bound <= 256 THEN 123 WHEN bound <= 512 THEN 124 ELSE 127 END AS BIGINT) AS bin, coalesce(bound, 0) AS bound FROM (SELECT o_orderkey AS i FROM orders) LEFT JOIN U USING (i)) SELECT bin, count(*) AS rows, CAST(sum(bound) AS BIGINT) AS products, CAST(sum(count(*)) OVER (ORDER BY bin) - count(*) AS BIGINT) AS first FROM H GROUP BY 1", lambda t: b2.spgemm_bins(t.A, t.Q))
 query("matrix_add", f"WITH {A} SELECT i, j, 2 * v AS v FROM A", lambda t: b2.matrix_add(t.A, t.A).df)
 query("transpose", f"WITH {A} SELECT j AS i, i AS j, v FROM A", lambda t: t.A.transpose().df)
-SQUARE = f"WITH {A}, S AS (SELECT i, j, v FROM A WHERE i < 200 AND j < 200)"
-query("symmetrize", f"{SQUARE} SELECT i, j, v FROM S UNION ALL SELECT j, i, v FROM S WHERE i <> j", lambda t: t.block(200, 200).symmetrize().df)
-query("symmetrize_whole", f"WITH {A}, S AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM A a JOIN A b USING (i) GROUP BY 1, 2) SELECT i, j, v FROM S UNION ALL SELECT j, i, v FROM S WHERE i <> j", lambda t: b2.spgemm(t.A.transpose(), t.A).symmetrize().df)
+query("symmetrize", f"WITH {A}, S AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM A a JOIN A b USING (i) GROUP BY 1, 2) SELECT i, j, v FROM S UNION ALL SELECT j, i, v FROM S WHERE i <> j", lambda t: b2.spgemm(t.A.transpose(), t.A).symmetrize().df)
 GRAM = f"WITH {A}, D AS (SELECT j AS i, sum(v * v) AS v FROM A GROUP BY 1)"
 query("diagonal", f"{GRAM} SELECT i, v FROM D", lambda t: b2.diagonal(b2.spgemm(t.A.transpose(), t.A)).df)
 query("inv_diagonal", f"{GRAM} SELECT i, 1 / v AS v FROM D", lambda t: b2.diagonal(b2.spgemm(t.A.transpose(), t.A), inverse=True).df)
-query("row_stats", f"WITH {A}, R AS (SELECT count(*) AS m FROM orders), N AS (SELECT i, count(*) AS n FROM A GROUP BY 1) SELECT m AS rows, CAST(sum(n) AS BIGINT) AS nnz, m - count(*) AS empty_rows, max(n) AS max_nnz, CAST(sum(n) // m AS BIGINT) AS nnz_per_row FROM N, R GROUP BY m", lambda t: cv.row_stats(t.A))
-query("row_blocks", f"{POINTER} SELECT i, nnz, CAST((sum(nnz) OVER (ORDER BY i) - nnz) // 1024 AS BIGINT) AS block, CAST(1 AS BIGINT) AS chunks FROM R", lambda t: cv.row_blocks(t.A))
+query("row_stats", f"WITH {A}, R AS (SELECT count(*) AS m FROM orders), N AS (SELECT i, count(*) AS n FROM A GROUP BY 1) SELECT m AS rows, CAST(sum(n) AS BIGINT) AS nnz, m - count(*) AS empty_rows, max(n) AS max_nnz, CAST(sum(n) // m AS BIGINT) AS nnz_per_row, round(sum(n) / m, 6) AS mean_nnz, round(sqrt(sum(n * n) / m - (sum(n) / m) * (sum(n) / m)), 6) AS deviation FROM N, R GROUP BY m", lambda t: cv.row_stats(t.A).withColumns({k: F.round(k, 6) for k in ("mean_nnz", "deviation")}))
+query("row_blocks", f"{POINTER}, B AS (SELECT i, nnz, sum(CASE WHEN nnz <= 1024 THEN nnz ELSE 0 END) OVER (ORDER BY i) - CASE WHEN nnz <= 1024 THEN nnz ELSE 0 END AS base FROM R) SELECT i, nnz, CAST(CASE WHEN nnz > 1024 THEN -1 ELSE base // 1024 END AS BIGINT) AS block, CAST(CASE WHEN nnz > 1024 THEN ceil(nnz / 3072) ELSE 1 END AS BIGINT) AS chunks FROM R JOIN B USING (i, nnz)", lambda t: cv.row_blocks(t.A))
+LINES = "WITH G AS (SELECT CAST(l_linenumber AS BIGINT) - 1 AS i, count(*) AS nnz FROM lineitem GROUP BY 1), S AS (SELECT *, CASE WHEN nnz <= 1024 THEN nnz ELSE 0 END AS short FROM G) SELECT i, nnz, CAST(CASE WHEN nnz > 1024 THEN -1 ELSE (sum(short) OVER (ORDER BY i) - short) // 1024 END AS BIGINT) AS block, CAST(CASE WHEN nnz > 1024 THEN ceil(nnz / 3072) ELSE 1 END AS BIGINT) AS chunks FROM S"
+query("row_blocks_long", LINES, lambda t: cv.row_blocks(CooMatrix(t.table("lineitem").select((F.col("l_linenumber") - 1).cast("bigint").alias("i"), F.monotonically_increasing_id().alias("j"), F.col("l_quantity").alias("v")), t.table("lineitem").agg(F.max("l_linenumber")).first()[0], 1 << 62)))
+query("csrmv_float", f"WITH {A}, {V}, {AX} SELECT O.i, CAST(coalesce(s, 0) AS FLOAT) AS v FROM (SELECT CAST(o_orderkey AS BIGINT) AS i FROM orders) O LEFT JOIN AX USING (i)", lambda t: b2.csrmv(1, t.matrix("l_orderkey", "l_partkey", "orders", "part", "float"), Vector.of(t.table("part"), "p_partkey", "p_size", t.rows("part"), "float")).df)
+query("spgemm_float", f"WITH {A}, {Q} SELECT A.i, Q.j, CAST(sum(A.v * Q.v) AS FLOAT) AS v FROM A JOIN Q ON A.j = Q.i GROUP BY 1, 2", lambda t: b2.spgemm(t.matrix("l_orderkey", "l_partkey", "orders", "part", "float"), t.matrix("l_partkey", "l_suppkey", "part", "supplier", "float")).df)
+query("sort_by_double_key", "SELECT l_extendedprice AS key, row_number() OVER (ORDER BY l_extendedprice, l_orderkey * 100 + l_linenumber) - 1 AS pos FROM lineitem", lambda t: pr.sort_by_key(t.table("lineitem").select(F.col("l_extendedprice").alias("key"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("i")), "key", "i").drop("i"))
 
 # solvers
 TIGHT = SolverControl(rel_tol=1e-12, abs_tol=0.0, max_iters=60)
@@ -256,11 +251,22 @@ def convection(t: Tables) -> tuple[CooMatrix, Vector]:
 MOD7 = "SELECT CAST(n_nationkey AS BIGINT) AS i, CAST(n_nationkey % 7 AS DOUBLE) AS v FROM nation"
 query("bicgstab_convdiff", MOD7, lambda t: solved(t, bicgstab(*convection(t), control=TIGHT).x))
 query("bicgstab_jacobi", MOD7, lambda t: solved(t, bicgstab(*convection(t), control=SolverControl("diagonal", 60, 1e-12, 0.0)).x))
+STRIPES = "SELECT CAST(p_partkey AS BIGINT) AS i, CAST(p_partkey % 7 AS DOUBLE) AS v FROM part"
+
+
+def stripes(t: Tables, below: float) -> tuple[CooMatrix, Vector]:
+    """A tridiagonal system with a row for every part."""
+    a = t.poisson(below, 4.0, -1.0, "part", "p_partkey")
+    return a, b2.csrmv(1, a, Vector.of(t.table("part"), "p_partkey", F.col("p_partkey") % 7, t.rows("part")))
+
+
+query("cg_parts", STRIPES, lambda t: solved(t, cg(*stripes(t, -1.0), control=TIGHT).x))
+query("bicgstab_parts", STRIPES, lambda t: solved(t, bicgstab(*stripes(t, -1.5), control=TIGHT).x))
 query("solver_zero_rhs", "SELECT CAST(0 AS BIGINT) AS iterations, true AS converged", lambda t: summary(t, cg(t.poisson(), Vector.constant(t.spark, t.rows("nation"), 0.0))))
 query("solver_iteration_cap", "SELECT CAST(3 AS BIGINT) AS iterations, false AS converged", lambda t: summary(t, cg(t.poisson(), ones(t), control=SolverControl(max_iters=3, rel_tol=1e-12, abs_tol=0.0))))
 query("solver_diagonal_system", "SELECT CAST(p_partkey AS BIGINT) AS i, round((p_partkey % 11) / CAST(p_size AS DOUBLE), 9) AS v FROM part", lambda t: cg(CooMatrix(t.u.df.select("i", F.col("i").alias("j"), "v"), t.u.n, t.u.n), t.w, control=SolverControl("diagonal", 5, 1e-12, 0.0)).x.df.select("i", F.round("v", 9).alias("v")))
 
-# Matrix Market files: fixtures written where this driver and its executors are, one machine in tests
+# Matrix Market files: fixtures written to the shared folder, where driver and executors see them
 FIXTURES = {
     "general": ("coordinate real general\n% c\n3 4 4\n1 1 1.5\n3 4 2\n1 3 -1\n3 1 0\n", "(0, 0, 1.5), (0, 2, -1), (2, 0, 0), (2, 3, 2)"),
     "symmetric": ("coordinate real symmetric\n3 3 3\n1 1 2\n2 1 -1\n3 3 5\n", "(0, 0, 2), (0, 1, -1), (1, 0, -1), (2, 2, 5)"),
@@ -270,11 +276,12 @@ FIXTURES = {
 }
 
 
-def fixture(name: str) -> str:
-    path = os.path.join(tempfile.mkdtemp(prefix="lattica-mtx-"), f"{name}.mtx")
-    with open(path, "w") as f:
-        f.write(f"%%MatrixMarket matrix {FIXTURES[name][0]}")
-    return path
+def fixture(t: Tables, *names: str) -> str:
+    """The path of the file, or of the folder that holds the files."""
+    folder = new_path(t.spark, "mtx")
+    for name in names:
+        write_text(t.spark, f"{folder}/{name}.mtx", f"%%MatrixMarket matrix {FIXTURES[name][0]}")
+    return f"{folder}/{names[0]}.mtx" if len(names) == 1 else folder
 
 
 def literal(rows: str) -> str:
@@ -282,10 +289,21 @@ def literal(rows: str) -> str:
 
 
 for _name, (_, _rows) in FIXTURES.items():
-    query(f"mtx_coo_{_name}", literal(_rows), lambda t, n=_name: mtx.read_coo(t.spark, fixture(n)).df)
-query("mtx_coo_without_zeros", literal("(0, 0, 1.5), (0, 2, -1), (2, 3, 2)"), lambda t: mtx.read_coo(t.spark, fixture("general"), zeros=False).df)
-query("mtx_csr", "SELECT CAST(a AS BIGINT) AS i, CAST(b AS BIGINT) AS off, CAST(c AS BIGINT) AS nnz FROM (VALUES (0, 0, 2), (1, 2, 0), (2, 2, 2)) AS t(a, b, c)", lambda t: mtx.read_csr(t.spark, fixture("general")).df.select("i", "off", "nnz"))
-query("mtx_header", "SELECT CAST(3 AS BIGINT) AS m, CAST(3 AS BIGINT) AS n, CAST(6 AS BIGINT) AS nnz, 'symmetric' AS symmetry", lambda t: t.spark.range(1).select(*(F.lit(getattr(mtx.read_header(fixture("symmetric")), k)).cast(c).alias(k) for k, c in (("m", "bigint"), ("n", "bigint"), ("nnz", "bigint"), ("symmetry", "string")))))
+    query(f"mtx_coo_{_name}", literal(_rows), lambda t, n=_name: mtx.read_coo(t.spark, fixture(t, n)).df)
+query("mtx_coo_without_zeros", literal("(0, 0, 1.5), (0, 2, -1), (2, 3, 2)"), lambda t: mtx.read_coo(t.spark, fixture(t, "general"), zeros=False).df)
+query("mtx_csr", "SELECT CAST(a AS BIGINT) AS i, CAST(b AS BIGINT) AS off, CAST(c AS BIGINT) AS nnz FROM (VALUES (0, 0, 2), (1, 2, 0), (2, 2, 2)) AS t(a, b, c)", lambda t: mtx.read_csr(t.spark, fixture(t, "general")).df.select("i", "off", "nnz"))
+query("mtx_header", "SELECT CAST(3 AS BIGINT) AS m, CAST(3 AS BIGINT) AS n, CAST(6 AS BIGINT) AS nnz, 'symmetric' AS symmetry", lambda t: t.spark.range(1).select(*(F.lit(getattr(mtx.read_header(fixture(t, "symmetric")), k)).cast(c).alias(k) for k, c in (("m", "bigint"), ("n", "bigint"), ("nnz", "bigint"), ("symmetry", "string")))))
+
+
+def folder_heads(t: Tables) -> DataFrame:
+    """Every matrix of a folder with its shape, bound and the entries it really has."""
+    found = mtx.read_folder(t.spark, path := fixture(t, "general", "integer", "symmetric"))
+    heads = mtx.list_matrices(path)
+    rows = [a.df.agg(F.count(F.lit(1)).alias("entries")).select(F.lit(p.rsplit("/", 1)[-1]).alias("name"), F.lit(a.m).cast("bigint").alias("m"), F.lit(a.n).cast("bigint").alias("n"), F.lit(heads[p].nnz).cast("bigint").alias("nnz"), "entries") for p, a in found.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+query("mtx_folder", "SELECT a AS name, CAST(b AS BIGINT) AS m, CAST(c AS BIGINT) AS n, CAST(d AS BIGINT) AS nnz, CAST(e AS BIGINT) AS entries FROM (VALUES ('general.mtx', 3, 4, 4, 4), ('integer.mtx', 2, 2, 2, 2), ('symmetric.mtx', 3, 3, 6, 4)) AS t(a, b, c, d, e)", folder_heads)
 
 
 def streamed(t: Tables) -> DataFrame:
@@ -297,8 +315,7 @@ def streamed(t: Tables) -> DataFrame:
     # a file stream wants a folder: the one that holds the tables, narrowed to this one
     stream = t.spark.readStream.schema(t.table("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
     name = f"stream_{uuid4().hex}"
-    state = t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lattica-stream-')}"
-    start(accumulate(stream, "user_id", "user_id", F.lit(1)), name, f"{state}/{name}").awaitTermination()
+    start(accumulate(stream, "user_id", "user_id", F.lit(1)), name, new_path(t.spark, "stream")).awaitTermination()
     return t.spark.table(name)
 
 

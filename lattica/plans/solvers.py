@@ -1,15 +1,17 @@
 """Conjugate gradients and BiCGStab over one state frame.
 
 All vectors of an iteration are columns of one frame keyed by i, so updates are projections, dot products and norms
-are column aggregates, and only the products with A join and shuffle.  The state is checkpointed in the shared
-folder once for each product, which also ends its lineage.  Scalars alone reach the driver.
+are column aggregates, and only the products with A join and shuffle.  The state is written to the shared folder
+once for each product, which ends its lineage, and the one before it is deleted; the dot products of a fresh product
+are observed while it is written.  Scalars alone reach the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lattica.conf import EngineConf, conf_of
@@ -17,7 +19,20 @@ from lattica.errors import InvalidSystemSize, InvalidValue
 from lattica.operators.blas23 import diagonal, entries
 from lattica.types import CooMatrix, CsrMatrix, Vector
 
-PRECONDITIONERS = ("none", "diagonal")
+#: From a matrix to (i, d), the factors a residual is multiplied by; None multiplies by one.
+Preconditioner = Callable[[CooMatrix | CsrMatrix], DataFrame]
+
+
+def jacobi(a: CooMatrix | CsrMatrix) -> DataFrame:
+    """The reciprocals of the diagonal."""
+    d = diagonal(a).df
+    if d.where("v <> 0").count() < a.n:
+        raise InvalidValue("the diagonal preconditioner needs a diagonal without zeros")
+    return d.select("i", (1 / F.col("v")).alias("d"))
+
+
+#: Preconditioners by name; a control may name any function of this kind instead.
+PRECONDITIONERS: dict[str, Preconditioner | None] = {"none": None, "diagonal": jacobi}
 
 
 @dataclass(frozen=True)
@@ -28,7 +43,7 @@ class SolverControl:
     and still reports the cap.  ``verbose`` prints each residual.
     """
 
-    preconditioner: str = "none"
+    preconditioner: str | Preconditioner = "none"
     max_iters: int = 100
     rel_tol: float = 1e-2
     abs_tol: float = 1e-5
@@ -36,7 +51,7 @@ class SolverControl:
     verbose: bool = False
 
     def __post_init__(self):
-        if self.preconditioner not in PRECONDITIONERS or self.max_iters < 0 or self.rel_tol < 0 or self.abs_tol < 0:
+        if not callable(self.preconditioner) and self.preconditioner not in PRECONDITIONERS or self.max_iters < 0 or self.rel_tol < 0 or self.abs_tol < 0:
             raise InvalidValue(f"solver control {self}")
 
     def done(self, residual: float, first: float) -> bool:
@@ -57,25 +72,32 @@ def _start(a: CooMatrix | CsrMatrix, b: Vector, x0: Vector | None, control: Solv
         raise InvalidSystemSize(f"matrix {a.m} x {a.n}, right side {b.n}, start {x0.n if x0 else 'none'}")
     state = b.completed().df.select("i", F.col("v").cast("double").alias("b"))
     state = state.withColumn("x", F.lit(0.0)) if x0 is None else state.join(x0.completed().df.select("i", F.col("v").cast("double").alias("x")), "i")
-    if control.preconditioner == "none":
-        return state.withColumn("d", F.lit(1.0))
-    d = diagonal(a).df
-    if d.where("v <> 0").count() < a.n:
-        raise InvalidValue("the diagonal preconditioner needs a diagonal without zeros")
-    return state.join(d.select("i", (1 / F.col("v")).alias("d")), "i")
+    own = control.preconditioner if callable(control.preconditioner) else PRECONDITIONERS[control.preconditioner]
+    return state.withColumn("d", F.lit(1.0)) if own is None else state.join(own(a).select("i", "d"), "i")
 
 
 class _System:
     """The matrix, dealt by column once, and products of it with columns of the state."""
 
     def __init__(self, a: CooMatrix | CsrMatrix, conf: EngineConf):
-        self.conf = conf
+        self.conf, self.held = conf, []
         self.matrix = conf.checkpoint(entries(a).repartition("j"))
 
-    def times(self, state: DataFrame, column: Column, name: str) -> DataFrame:
-        """The state with A times the column added, cut from its lineage."""
+    def times(self, state: DataFrame, column: Column, name: str, *products: Column) -> tuple[DataFrame, list[float]]:
+        """The state with A times the column added, cut from its lineage, and the sums of some columns of it."""
         product = self.matrix.join(state.select(F.col("i").alias("j"), column.alias("_x")), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("_x")).alias("_y"))
-        return self.conf.checkpoint(state.join(product, "i", "left").withColumn(name, F.coalesce("_y", F.lit(0.0))).drop("_y"))
+        out = state.join(product, "i", "left").withColumn(name, F.coalesce("_y", F.lit(0.0))).drop("_y")
+        seen = Observation()
+        if products:
+            out = out.observe(seen, *(F.coalesce(F.sum(p), F.lit(0.0)).alias(f"s{k}") for k, p in enumerate(products)))
+        out = self.conf.checkpoint(out)
+        for table in self.held:  # what the new table was made from
+            self.conf.free(table)
+        self.held = [out]
+        return out, [seen.get[f"s{k}"] for k in range(len(products))]
+
+    def end(self) -> None:
+        self.conf.free(self.matrix)
 
 
 def _sums(state: DataFrame, *products: Column) -> list[float]:
@@ -91,8 +113,8 @@ def _prepare(a, b, x0, control, conf):
     if norm == 0:
         return None, None, 0.0, 0.0
     system = _System(a, conf)
-    state = system.times(state, F.col("x"), "y").withColumn("r", F.col("b") - F.col("y")).drop("y", "b")
-    return system, state, norm, _sums(state, F.abs("r"))[0] / norm
+    state, (first,) = system.times(state, F.col("x"), "y", F.abs(F.col("b") - F.col("y")))
+    return system, state.withColumn("r", F.col("b") - F.col("y")).drop("y", "b"), norm, first / norm
 
 
 def _result(state: DataFrame, n: int, iterations: int, residual: float, first: float, control: SolverControl) -> SolveResult:
@@ -107,14 +129,14 @@ def cg(a: CooMatrix | CsrMatrix, b: Vector, x0: Vector | None = None, control: S
         return SolveResult(Vector.constant(b.df.sparkSession, b.n, 0.0), 0, 0.0, True)
     residual, done = first, 0
     if control.done(residual, first) or control.max_iters == 0:
+        system.end()
         return _result(state, b.n, 0, residual, first, control)
     z = F.col("d") * F.col("r")
     state = state.withColumn("p", z)
     rz = _sums(state, F.col("r") * z)[0]
     cap = control.max_iters + control.compat_cap
     while done < cap:
-        state = system.times(state, F.col("p"), "y")
-        py = _sums(state, F.col("p") * F.col("y"))[0]
+        state, (py,) = system.times(state, F.col("p"), "y", F.col("p") * F.col("y"))
         alpha = rz / py if py else 0.0
         state = state.withColumns({"x": F.col("x") + alpha * F.col("p"), "r": F.col("r") - alpha * F.col("y")}).drop("y")
         new, left = _sums(state, F.col("r") * z, F.abs("r"))
@@ -124,6 +146,7 @@ def cg(a: CooMatrix | CsrMatrix, b: Vector, x0: Vector | None = None, control: S
             print(f"iteration {done}: residual {residual:.6g}")
         if control.done(residual, first) or py == 0:
             break
+    system.end()
     return _result(state, b.n, min(done, control.max_iters), residual, first, control)
 
 
@@ -135,21 +158,20 @@ def bicgstab(a: CooMatrix | CsrMatrix, b: Vector, x0: Vector | None = None, cont
         return SolveResult(Vector.constant(b.df.sparkSession, b.n, 0.0), 0, 0.0, True)
     residual, done = first, 0
     if control.done(residual, first) or control.max_iters == 0:
+        system.end()
         return _result(state, b.n, 0, residual, first, control)
     state = state.withColumns({"h": F.col("r"), "p": F.col("r")})
     rho = _sums(state, F.col("h") * F.col("r"))[0]
     cap = control.max_iters + control.compat_cap
     while done < cap:
-        state = system.times(state, F.col("d") * F.col("p"), "v")
-        hv = _sums(state, F.col("h") * F.col("v"))[0]
+        state, (hv,) = system.times(state, F.col("d") * F.col("p"), "v", F.col("h") * F.col("v"))
         alpha = rho / hv if hv else 0.0
         state = state.withColumn("s", F.col("r") - alpha * F.col("v"))
         half = _sums(state, F.abs("s"))[0] / norm
         if control.done(half, first) or hv == 0 or done == control.max_iters:
             state, residual, done = state.withColumn("x", F.col("x") + alpha * F.col("d") * F.col("p")), half, done + 1
             break
-        state = system.times(state, F.col("d") * F.col("s"), "t")
-        ts, tt = _sums(state, F.col("t") * F.col("s"), F.col("t") * F.col("t"))
+        state, (ts, tt) = system.times(state, F.col("d") * F.col("s"), "t", F.col("t") * F.col("s"), F.col("t") * F.col("t"))
         omega = ts / tt if tt else 0.0
         state = state.withColumns({"x": F.col("x") + alpha * F.col("d") * F.col("p") + omega * F.col("d") * F.col("s"), "r": F.col("s") - omega * F.col("t")})
         new, left = _sums(state, F.col("h") * F.col("r"), F.abs("r"))
@@ -160,4 +182,5 @@ def bicgstab(a: CooMatrix | CsrMatrix, b: Vector, x0: Vector | None = None, cont
             print(f"iteration {done}: residual {residual:.6g}")
         if control.done(residual, first) or omega == 0:
             break
+    system.end()
     return _result(state, b.n, min(done, control.max_iters), residual, first, control)

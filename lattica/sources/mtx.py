@@ -170,6 +170,26 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(MtxDataSource)
 
 
+def list_matrices(path: str) -> dict[str, MtxHeader]:
+    """The heads of a file, or of all files named .mtx in a folder and the folders below it, by path in name order."""
+    from pyarrow import fs
+
+    where, own = _store(path)
+    kind = where.get_file_info(own).type
+    if kind == fs.FileType.File:
+        return {path: read_header(path)}
+    if kind != fs.FileType.Directory:
+        raise InvalidFile(f"{path}: no such file")
+    scheme = path[: path.index(own)] if own in path else "file://"
+    found = sorted(i.path for i in where.get_file_info(fs.FileSelector(own, recursive=True)) if i.type == fs.FileType.File and i.path.endswith(".mtx"))
+    return {p: read_header(p) for p in (f"{scheme}{x}" for x in found)}
+
+
+def read_folder(spark: SparkSession, path: str, zeros: bool = True, pattern: str = "one", seed: int = 42, dup: str = "keep") -> dict[str, CooMatrix]:
+    """Every matrix of a folder, by path; each a plan that reads nothing until it is used."""
+    return {p: read_coo(spark, p, zeros, pattern, seed, dup) for p in list_matrices(path)}
+
+
 def read_coo(spark: SparkSession, path: str, zeros: bool = True, pattern: str = "one", seed: int = 42, dup: str = "keep") -> CooMatrix:
     """One file's entries; equal coordinates stay apart unless ``dup='sum'``."""
     head = read_header(path)

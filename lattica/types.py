@@ -58,11 +58,11 @@ class CooMatrix:
     n: int
 
     @classmethod
-    def from_entries(cls, df: DataFrame, i: str, j: str, v: Column | str, m: int, n: int, dup: str = "sum") -> CooMatrix:
-        """Entries from any columns; equal coordinates are added, or kept apart with ``dup='keep'``."""
+    def from_entries(cls, df: DataFrame, i: str, j: str, v: Column | str, m: int, n: int, dup: str = "sum", kind: str = "double") -> CooMatrix:
+        """Entries from any columns; equal coordinates are added, or kept apart with ``dup='keep'``.  ``kind``: double or float."""
         value = F.col(v) if isinstance(v, str) else v
-        own = df.select(F.col(i).cast("bigint").alias("i"), F.col(j).cast("bigint").alias("j"), value.cast("double").alias("v"))
-        return cls(own.groupBy("i", "j").agg(F.sum("v").alias("v")) if dup == "sum" else own, m, n)
+        own = df.select(F.col(i).cast("bigint").alias("i"), F.col(j).cast("bigint").alias("j"), value.cast(kind).alias("v"))
+        return cls(own.groupBy("i", "j").agg(F.sum("v").cast(kind).alias("v")) if dup == "sum" else own, m, n)
 
     def transpose(self) -> CooMatrix:
         return CooMatrix(self.df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), self.n, self.m)

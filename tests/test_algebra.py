@@ -90,7 +90,7 @@ def test_sort_by_key(spark):
     keys = [5, -2, 5, 0, 7, -2]
     df = spark.createDataFrame(list(enumerate(keys)), "i bigint, key int")
     for descending in (False, True):
-        got = [r.i for r in pr.sort_by_key(df, "key", "i", descending, block=2).orderBy("pos").collect()]
+        got = [r.i for r in pr.sort_by_key(df, "key", "i", descending).orderBy("pos").collect()]
         assert got == sorted(range(6), key=lambda k: (-keys[k] if descending else keys[k], k))
 
 
@@ -151,7 +151,7 @@ def test_row_blocks_cut_long_rows(spark):
     rows = {r.i: (r.nnz, r.block, r.chunks) for r in cv.row_blocks(CooMatrix(df, 3, 5000)).collect()}
     assert rows == {0: (0, 0, 1), 1: (5000, -1, 2), 2: (0, 0, 1)}
     stats = cv.row_stats(CooMatrix(df, 3, 5000)).first()
-    assert (stats.rows, stats.nnz, stats.empty_rows, stats.max_nnz, stats.nnz_per_row) == (3, 5000, 2, 5000, 1666)
+    assert (stats.rows, stats.nnz, stats.empty_rows, stats.max_nnz, stats.nnz_per_row, round(stats.mean_nnz, 3), round(stats.deviation, 3)) == (3, 5000, 2, 5000, 1666, 1666.667, 2357.023)
 
 
 def tridiagonal(spark, n, below, mid, above):
@@ -181,3 +181,103 @@ def test_solver_ends(spark):
         cg(a, Vector.constant(spark, 7, 1.0))
     with pytest.raises(InvalidValue):
         cg(coo(spark, [(0, 1, 1.0), (1, 0, 1.0)], 2, 2), Vector.constant(spark, 2, 1.0), control=SolverControl("diagonal"))
+
+
+def test_sort_by_any_key(spark):
+    rows = [(0, 1.7, "b"), (1, 1.2, None), (2, None, "a"), (3, -0.5, "b"), (4, math.inf, "ä"), (5, 1.2, ""), (6, None, "B")]
+    df = spark.createDataFrame(rows, "i bigint, x double, s string").repartition(3)
+    order = lambda key, down: [r.i for r in pr.sort_by_key(df, key, "i", down).orderBy("pos").collect()]
+    assert order("x", False) == [3, 1, 5, 0, 4, 2, 6] and order("x", True) == [4, 0, 1, 5, 3, 2, 6]
+    assert order("s", False) == [5, 6, 2, 0, 3, 4, 1]
+    assert [r.pos for r in pr.sort_by_key(df, "x", "i").collect()] == list(range(7))
+    hot = spark.range(1000).select(F.lit("same").alias("key"), F.col("id").alias("i"))
+    assert [r.pos for r in pr.sort_by_key(hot, "key", "i").collect()] == list(range(1000))
+    assert pr.sort_by_key(df.where("1 = 0"), "x", "i").count() == 0
+
+
+def test_scan_over_three_levels(spark):
+    df = vec(spark, [float(k % 5) for k in range(200)]).df
+    assert pr.levels_for(200, 4) == 4
+    for levels in (2, 3, 4):
+        assert [r.v for r in pr.scan(df, block=4, levels=levels).orderBy("i").collect()] == [sum(j % 5 for j in range(k + 1)) for k in range(200)]
+        keyed = pr.scan(df.withColumn("k", F.col("i") % 2), keys=["k"], block=4, levels=levels, inclusive=False)
+        assert [r.v for r in keyed.orderBy("i").collect()] == [sum(j % 5 for j in range(k % 2, k, 2)) for k in range(200)]
+
+
+def test_dense_forms_add_repeats(spark):
+    a = coo(spark, [(0, 3, 1.0), (0, 0, 2.0), (0, 3, 4.0), (2, 1, -1.0), (2, 1, 1.0)], 3, 5)
+    csr = cv.coo2csr(a)
+    assert {r.i: r.vals for r in cv.csr2dense(csr).df.collect()} == {0: [2.0, 0.0, 0.0, 5.0, 0.0], 1: [0.0] * 5, 2: [0.0] * 5}
+    dense = DenseMatrix(spark.createDataFrame([(0, [0.0, math.nan, 3.0]), (1, [0.0] * 3), (2, [-0.0, 1.0, 0.0])], "i bigint, vals array<double>"), 3, 3)
+    rows = cv.dense2csr(dense).df.orderBy("i").collect()
+    assert [(r.off, r.nnz, r.cols) for r in rows] == [(0, 2, [1, 2]), (2, 0, []), (2, 1, [1])]
+    assert math.isnan(rows[0].vals[0]) and rows[2].vals == [1.0]
+
+
+def test_single_precision(spark):
+    a = CooMatrix(spark.createDataFrame([(0, 0, 0.1), (0, 1, 0.2)], "i bigint, j bigint, v float"), 1, 2)
+    x = vec(spark, [1.0, 1.0], "float")
+    out = b2.csrmv(1, a, x)
+    assert dict(out.df.dtypes)["v"] == "float" and values(out) == [pytest.approx(0.3, abs=1e-7)]
+    assert dict(b2.csrmv(1, a, vec(spark, [1.0, 1.0])).df.dtypes)["v"] == "double"
+    b = DenseMatrix(spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "i bigint, vals array<float>"), 2, 2)
+    assert dict(b2.csrmm(1, a, b).df.dtypes)["vals"] == "array<float>"
+    assert dict(b2.spgemm(a, a.transpose()).df.dtypes)["v"] == "float"
+
+
+def test_settings(spark):
+    from lattica.conf import __version__
+
+    assert len(__version__) == 4
+    conf = EngineConf(spark, eager=True)
+    y = b2.csrmv(1, coo(spark, [(0, 0, 2.0)], 1, 1), vec(spark, [3.0]), conf=conf)
+    assert y.df.inputFiles() and values(y) == [6]  # computed when it was asked for
+    conf.free(y.df)
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        y.df.collect()
+    kept = spark.createDataFrame([(1,)], "x int")
+    conf.free(kept)
+    assert kept.count() == 1
+
+
+def test_solver_leaves_one_table(spark):
+    import os
+
+    from lattica.tables import folder
+
+    there = lambda: {x for x in os.listdir(f"{folder(spark).removeprefix('file://')}/lattica") if x.startswith("state-")}
+    spark.range(1).write.mode("overwrite").parquet(f"{folder(spark)}/lattica/other")
+    before = there()
+    out = cg(tridiagonal(spark, 6, -1.0, 2.0, -1.0), Vector.constant(spark, 6, 1.0), control=SolverControl(rel_tol=1e-10, abs_tol=0.0))
+    assert out.iterations >= 3 and len(there() - before) == 1
+    assert values(out.x) == pytest.approx([(i + 1) * (6 - i) / 2 for i in range(6)])
+
+
+def test_own_preconditioner(spark):
+    a, b = tridiagonal(spark, 6, -1.0, 4.0, -1.0), Vector.constant(spark, 6, 1.0)
+    plain = cg(a, b, control=SolverControl(rel_tol=1e-10, abs_tol=0.0))
+    half = SolverControl(lambda m: m.df.sparkSession.range(m.n).select(F.col("id").alias("i"), F.lit(0.5).alias("d")), rel_tol=1e-10, abs_tol=0.0)
+    for solve in (cg, bicgstab):
+        assert values(solve(a, b, control=half).x) == pytest.approx(values(plain.x))
+    with pytest.raises(InvalidValue):
+        SolverControl("unheard of")
+
+
+def test_timer():
+    from lattica.timing import Timer
+
+    timer = Timer([1.0, 1.1, 0.9, 9.0])
+    assert timer.prune() == 1 and timer.mean == pytest.approx(1.0) and timer.deviation == pytest.approx(0.0816, abs=1e-3)
+    assert len(Timer().run(lambda: None, 3).seconds) == 3 and Timer().mean == 0 and Timer([2.0]).prune() == 0
+
+
+def test_scratch_tables_go(spark):
+    from lattica.tables import cut, new_path, scratch
+
+    path = new_path(spark, "result")
+    with scratch(spark):
+        first = cut(spark.range(5), "first")
+        cut(first.where("id > 1"), "second").write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        first.collect()

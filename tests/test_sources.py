@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from lattica.errors import InvalidFile, InvalidFileFormat
 from lattica.sources import mtx
-from lattica.streaming.accumulate import accumulate, start
+from lattica.streaming.accumulate import accumulate, accumulate_windows, start
 
 
 def write(folder, name, body):
@@ -59,3 +59,37 @@ def test_stream_accumulates_over_restarts(spark, tmp_path):
         stream = spark.readStream.schema("i bigint, j bigint, v double").json(str(source))
         start(accumulate(stream, "i", "j", "v"), f"m{k}", state).awaitTermination()
         assert spark.table(f"m{k}").agg(F.sum("v")).first()[0] == 10 * (k + 1)
+
+
+def test_folder_of_files(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    write(tmp_path, "b.mtx", "%%MatrixMarket matrix coordinate integer general\n2 3 2\n1 2 7\n2 1 3\n")
+    write(tmp_path / "deep", "a.mtx", "%%MatrixMarket matrix coordinate real symmetric\n3 3 2\n1 1 2\n2 1 -1\n")
+    write(tmp_path, "notes.txt", "no matrix")
+    for path in (str(tmp_path), f"file://{tmp_path}"):
+        found = mtx.read_folder(spark, path)
+        assert [p.rsplit("/", 1)[-1] for p in found] == ["b.mtx", "a.mtx"]
+        assert [rows(a) for a in found.values()] == [[(0, 1, 7.0), (1, 0, 3.0)], [(0, 0, 2.0), (0, 1, -1.0), (1, 0, -1.0)]]
+    assert list(mtx.list_matrices(str(tmp_path / "b.mtx"))) == [str(tmp_path / "b.mtx")]
+    with pytest.raises(InvalidFile):
+        mtx.list_matrices(str(tmp_path / "none"))
+
+
+def test_written_matrices_read_back(spark, tmp_path):
+    from lattica.types import CooMatrix
+
+    want = [(0, 1, 0.1), (2, 0, -3e-300), (2, 4, 1e20)]
+    mtx.write_mtx(CooMatrix(spark.createDataFrame(want, "i bigint, j bigint, v double"), 3, 5), str(tmp_path / "out"))
+    parts = sorted((tmp_path / "out").glob("*/part-*"))
+    path = write(tmp_path, "whole.mtx", "".join(p.read_text() for p in parts))
+    back = mtx.read_coo(spark, path)
+    assert (back.m, back.n) == (3, 5) and rows(back) == want
+
+
+def test_stream_of_windows(spark, tmp_path):
+    source = tmp_path / "in"
+    spark.createDataFrame([(k, k % 2) for k in range(10)], "t bigint, i bigint").select(F.timestamp_seconds(F.col("t") * 60).alias("ts"), "i").coalesce(1).write.json(str(source))
+    stream = spark.readStream.schema("ts timestamp, i bigint").json(str(source))
+    start(accumulate_windows(stream, "ts", "5 minutes", "1 minute", "i", "i", F.lit(1)), "windows", str(tmp_path / "state")).awaitTermination()
+    got = sorted((r.begin.minute, r.i, r.v) for r in spark.table("windows").collect())
+    assert got == [(0, 0, 3.0), (0, 1, 2.0), (5, 0, 2.0), (5, 1, 3.0)]
