@@ -1,40 +1,5 @@
-"""Tables cut from their lineage: written as Parquet where all executors see them, and read back."""
+"""Tables cut from their lineage, for the corpus operators."""
 
-from __future__ import annotations
+from lattica.tables import cut, delete, folder, new_path, scratch
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-KEY = "spark.checkpoint.dir"
-
-
-def folder(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one of this machine only where none is named, as in tests."""
-    named = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{KEY} must name a folder that all executors share")
-    made = spark.conf.get("spark.lattica.local.dir", None)
-    if made is None:
-        made = tempfile.mkdtemp(prefix="lattica-")
-        spark.conf.set("spark.lattica.local.dir", made)
-    return f"file://{made}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/lattica/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read from a table just written; a lost executor costs no recomputation before it."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = ["cut", "delete", "folder", "new_path", "scratch"]
