@@ -74,7 +74,7 @@ def runs(batches, how: Plan, text: str):
     """Numbers and tables of the batches that the rows of a task form, in order."""
     task, number = TaskContext.get().partitionId() << 32, 0
     held, size, n = [], 0, 0
-    for piece in pieces(batches, text, 1 << 20, BATCH_ROWS // 4):
+    for piece in pieces(batches, text, min(1 << 20, how.batch_bytes // 4), BATCH_ROWS // 4):
         own = piece.column(text).nbytes
         if held and (size + own > how.batch_bytes or n + len(piece) > BATCH_ROWS):
             yield task + number, pa.Table.from_batches(held)

@@ -1,7 +1,8 @@
 """WARC archives as a PySpark Python data source, with revisit records for equal payloads.
 
-``register`` makes the format ``warc`` known, ``load`` reads it.  Reading plans partitions of whole files of
-about ``partition_bytes``, takes over filters on the record type and on headers, parses the headers of a record
+``register`` makes the format ``warc`` known, ``load`` reads it.  Reading plans partitions of about
+``partition_bytes``: small files together, compressed ones in ranges, of which each reads the gzip members that begin
+in it, plain ones whole.  It takes over filters on the record type and on headers, parses the headers of a record
 first and passes over the rest of one that is not wanted; ``payload=false`` passes over all payloads.  Compressed
 archives hold one gzip member a record with its length in an extra field, so unwanted ones are not inflated beyond
 their headers.  Members without the field, which may hold any number of records, are inflated chunk by chunk, and an
@@ -41,6 +42,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Each commit leaves a manifest of its own, so that writers at one time don't undo one another's.
 MANIFEST = "_committed-"
 HEAD_BYTES = 2048
+#: Fixed value: how a gzip member begins.
+MAGIC = b"\x1f\x8b\x08"
 END = b"\r\n\r\n"
 
 
@@ -102,8 +105,8 @@ def columns_of(head: dict[str, str]) -> dict:
 class Records:
     """The records of one file: heads first, blocks of the wanted ones only."""
 
-    def __init__(self, file, size: int):
-        self.file, self.size = file, size
+    def __init__(self, file, size: int, begin: int = 0, end: int | None = None):
+        self.file, self.size, self.begin, self.end = file, size, begin, size if end is None else end
 
     def __iter__(self) -> Iterator[tuple[dict[str, str], object]]:
         """Headers of each record, with a function of it, to be called before the next is asked for.
@@ -111,9 +114,9 @@ class Records:
         The function returns the block, or with ``keep=False`` passes over it; None of a record cut short.
         """
         self.file.seek(0)
-        zipped = self.file.read(2) == b"\x1f\x8b"
-        at = 0
-        while at < self.size:
+        zipped = self.file.read(2) == MAGIC[:2]
+        at = self.begin if not self.begin else self._member(self.begin)
+        while at < self.end:
             step = self._zipped(at) if zipped else self._plain(at)
             if step is None:
                 return
@@ -123,6 +126,24 @@ class Records:
             head, block, at = step
             yield head, block
 
+    def _member(self, at: int) -> int:
+        """Where the first member begins at a place or after it that holds a record; the range's end if none does."""
+        while at < self.end:
+            data = self._read(at, 1 << 20)
+            found = data.find(MAGIC)
+            while found >= 0 and at + found < self.end:
+                head = data[found : found + HEAD_BYTES] if found + HEAD_BYTES <= len(data) else self._read(at + found, HEAD_BYTES)
+                try:
+                    if zlib.decompressobj(31).decompress(head, 16).startswith(b"WARC/"):
+                        return at + found
+                except zlib.error:
+                    pass
+                found = data.find(MAGIC, found + 1)
+            if len(data) < 1 << 20:
+                break
+            at += len(data) - len(MAGIC) + 1
+        return self.end
+
     def _read(self, at: int, n: int) -> bytes:
         self.file.seek(at)
         return self.file.read(n)
@@ -168,7 +189,7 @@ class Records:
 
     def _stream(self, at: int):
         """Records of members that don't tell their length, any number in each: inflated in turn, unwanted blocks in passing."""
-        inflated = Inflated(self.file, at)
+        inflated = Inflated(self.file, at, self.end)
         while (head := inflated.head()) is not None:
             fields = parse_head(head)
             size, passed = int(fields.get("content-length", 0)), []
@@ -186,11 +207,11 @@ class Records:
 class Inflated:
     """What consecutive gzip members hold, read on and never kept: at most a chunk, or the record that is asked for."""
 
-    def __init__(self, file, at: int, chunk: int = 1 << 16):
-        self.file, self.at, self.chunk, self.left, self.z, self.held = file, at, chunk, b"", None, bytearray()
+    def __init__(self, file, at: int, end: int, chunk: int = 1 << 16):
+        self.file, self.at, self.end, self.chunk, self.left, self.z, self.held = file, at, end, chunk, b"", None, bytearray()
 
     def _more(self) -> bool:
-        """Append what a chunk of the file inflates to; False at the end of the file."""
+        """Append what a chunk of the file inflates to; False at the end of the file, or of the members that begin in the range."""
         if not self.left:
             self.file.seek(self.at)
             self.left = self.file.read(self.chunk)
@@ -198,6 +219,8 @@ class Inflated:
             if not self.left:
                 return False
         if self.z is None:
+            if self.at - len(self.left) >= self.end:
+                return False  # a member that another range owns
             if not self.left.startswith(b"\x1f") and not self.left.strip(b"\0"):
                 self.left = b""  # padding after the last member
                 return True
@@ -256,11 +279,13 @@ def split_http(head: dict[str, str], block: bytes) -> tuple[bytes, int]:
 
 @dataclass
 class Files(D.InputPartition):
-    paths: list[str] = field(default_factory=list)
+    """Files with the range of each whose members are to be read."""
+
+    parts: list[tuple[str, int, int]] = field(default_factory=list)
 
-    def __init__(self, paths: list[str]):
-        super().__init__(paths)
-        self.paths = paths
+    def __init__(self, parts: list[tuple[str, int, int]]):
+        super().__init__(parts)
+        self.parts = parts
 
 
 @dataclass
@@ -292,7 +317,7 @@ class WarcReader(D.DataSourceReader):
 
         where, path = store(self.path)
         if where.get_file_info(path).type == fs.FileType.File:
-            return [Files([path])]
+            return [Files([part]) for part in self._parts(path, where.get_file_info(path).size)]
         found = {i.path: i.size for i in where.get_file_info(fs.FileSelector(path, recursive=True)) if i.path.endswith((".warc", ".warc.gz"))}
         if manifests := _manifests(where, path):
             names = set()
@@ -301,20 +326,25 @@ class WarcReader(D.DataSourceReader):
                     names |= set(json.loads(f.read()))
             found = {p: n for p, n in found.items() if p.rsplit("/", 1)[-1] in names}
         groups, room = [], 0
-        for p in sorted(found):
-            if room < found[p] or not groups:
+        for part in (part for p in sorted(found) for part in self._parts(p, found[p])):
+            if room < part[2] - part[1] or not groups:
                 groups.append([])
                 room = self.partition_bytes
-            groups[-1].append(p)
-            room -= found[p]
+            groups[-1].append(part)
+            room -= part[2] - part[1]
         return [Files(g) for g in groups] or [Files([])]
 
+    def _parts(self, path: str, size: int) -> list[tuple[str, int, int]]:
+        """Ranges of a compressed file; a plain one is a single range, as nothing there tells a record from a payload's text."""
+        step = self.partition_bytes if path.endswith(".gz") else max(size, 1)
+        return [(path, at, min(at + step, size)) for at in range(0, size, step)]
+
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         where, _ = store(self.path)
         rows, size = [], 0
-        for path in partition.paths:
+        for path, begin, end in partition.parts:
             with where.open_input_file(path) as f:
-                for head, block in Records(f, f.size()):
+                for head, block in Records(f, f.size(), begin, end):
                     row = columns_of(head)
                     if not self.wanted(row):
                         continue

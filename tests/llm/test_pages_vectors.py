@@ -194,6 +194,22 @@ def test_foreign_archives(spark, tmp_path):
     assert {r.headers["x-folded"] for r in rows} == {"a b"}
 
 
+@pytest.mark.parametrize("range_bytes", [700, 5000, 40_000])
+def test_ranges_of_one_file(spark, tmp_path, range_bytes):
+    import gzip
+
+    rng = random.Random(3)
+    pages = spark.createDataFrame([(k, f"u{k}", "".join(rng.choice("abcdef ") for _ in range(rng.randrange(3000)))) for k in range(80)], "page_id long, url string, html string")
+    warc.PageArchive().write(pages.coalesce(1), f"{tmp_path}/own", cut)
+    got = warc.load(spark, f"{tmp_path}/own", partition_bytes=range_bytes)
+    assert got.rdd.getNumPartitions() > 1 and sorted((r.record_id, r.payload.decode()) for r in got.collect()) == sorted((f"urn:x-page:{r.page_id}", r.html) for r in pages.collect())
+    record = lambda n: b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:%d>\r\nContent-Length: %d\r\n\r\n" % (n, 9 * n) + bytes(rng.randrange(256) for _ in range(9 * n)) + b"\r\n\r\n"
+    (tmp_path / "foreign").mkdir()
+    (tmp_path / "foreign" / "x.warc.gz").write_bytes(b"".join(gzip.compress(b"".join(record(3 * k + j) for j in range(3))) for k in range(60)))
+    rows = warc.load(spark, f"{tmp_path}/foreign", partition_bytes=range_bytes).collect()
+    assert sorted((r.record_id, len(r.payload)) for r in rows) == sorted((f"urn:{n}", 9 * n) for n in range(180))
+
+
 def test_reader_takes_filters():
     from pyspark.sql import datasource as D
 
@@ -335,3 +351,31 @@ def test_pipeline(spark, tmp_path):
     assert all(r.taken > 0 for r in seen["mixing"].values())
     total = {r.doc_id: r.taken for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert total == {d: r.taken for d, r in seen["mixing"].items()}
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, frame in (("documents", docs), ("labels", spark.createDataFrame([], "doc_id long, quality int, toxic int")), ("benchmark", spark.createDataFrame([], "item_id long, text string"))):
+        frame.write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_judges_rows_without_an_id_and_repeated_ones(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    line = lambda n: " ".join(f"p{rng.randrange(5000)}" for _ in range(n))
+    item, one, two = line(20), line(40), line(40)
+    rows = [(None, f"{line(5)} {item} {line(5)}"), (None, one), (None, one + " more"), (1, two), (1, line(40)), (2, f"say {item}"), (2, line(30))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t), "x", 1.0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, target string, taken double")
+    for name, frame in (("documents", docs.coalesce(1)), ("labels", spark.createDataFrame([], "doc_id long, quality int, toxic int")), ("benchmark", spark.createDataFrame([(1, item)], "item_id long, text string"))):
+        frame.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert dict(got.dtypes)["taken"] == "bigint" and dict(got.dtypes)["target"] == "double"
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    stripped = rows[0][1].replace(f" {item} ", " ")  # id 2 has the item's words, so the row without an id loses them
+    assert sorted(t for d, t in kept if d is not None) == sorted((rows[3][1], rows[4][1], rows[6][1]))
+    lone = [t for d, t in kept if d is None]
+    assert len(lone) == 2 and stripped in lone and {*lone} & {one, one + " more"}

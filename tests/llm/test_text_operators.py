@@ -220,6 +220,68 @@ def test_leaks_against_brute_force(spark):
     assert len(want) > 30
 
 
+def test_messages_stay_in_proportion():
+    from lattica.llm.exchange import Plan
+
+    for tera in (0.001, 0.01, 0.1, 1, 10, 100):
+        size = int(tera * 1e12)
+        how = Plan.of(size, 200)
+        entries = size / 4
+        assert entries / how.messages(size) > 60  # so a message's own row weighs little beside them
+        assert size / how.batch_bytes / how.batch_parts <= 8.01 and how.buckets / how.bucket_parts <= 4.01
+        assert how.batch_bytes <= 100 << 20
+
+
+def test_batches_are_bounded_by_rows_and_bytes(spark):
+    from lattica.llm import exchange as X
+
+    def seen(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+        how = X.Plan(1 << 16, 4, 2, 2)
+        read = X.batched(docs, how, "text").mapInArrow(lambda bs: (__import__("pyarrow").RecordBatch.from_pydict({"n": [t.num_rows], "b": [t.column("text").nbytes]}) for b in bs for k in range(len(b)) for t in [X.rows(b.slice(k, 1))]), "n long, b long")
+        return [(r.n, r.b) for r in read.collect()]
+
+    same = seen([(None, "the same words " * 20)] * 2000)  # one id, one text: batches like any other
+    assert sum(n for n, _ in same) == 2000 and max(b for _, b in same) <= 1 << 16
+    counts = [len(seen([(k, f"text {k} " * 60) for k in range(n)])) for n in (1000, 4000)]
+    assert 3.3 < counts[1] / counts[0] < 4.7
+    assert [n for n, _ in seen([(1, "long " * 100_000), (2, None), (3, "")])] in ([1, 2], [3], [1, 1, 1], [2, 1])
+
+
+def test_mix_against_brute_force(docs):
+    import math
+    from collections import Counter
+
+    from lattica.llm import mix as M
+
+    mix = SourceMix(block=4, run=16, slice_rows=5)
+    sized = mix.sized(docs).cache()
+    targets = sorted(mix.targets(sized).collect(), key=lambda t: t.number)
+    step, points = (M.GOLDEN >> (64 - M.POINT_BITS)) | 1, []
+    total, edges = sum(t.need for t in targets), [0.0]
+    for t in targets:
+        edges.append(edges[-1] + t.need)
+    for slot in range(math.ceil(total)):
+        p = (slot * step % (1 << M.POINT_BITS)) / (1 << M.POINT_BITS)
+        points.append(max(t.number for t in targets if t.need > 0 and edges[t.number] / total <= p))
+    got = Counter(points)
+    uses = {}
+    for t in targets:
+        for rank in range(t.slots):  # those beyond the points given are made up
+            uses[t.number, rank % t.blocks] = uses.get((t.number, rank % t.blocks), 0) + 1
+    assert {n: got[n] for n in got} == pytest.approx({t.number: t.need for t in targets if t.need > 0}, abs=3)
+    want, number = {}, {t.source: t for t in targets}
+    begin = Counter()
+    for r in sorted((r for r in sized.collect() if r["size"]), key=lambda r: ((r.order % (1 << 64)) >> 24, r.order)):
+        t = number[r.source]
+        least, longer = divmod(t.source_size, t.blocks)
+        starts = [k * least + min(k, longer) for k in range(t.blocks + 1)]
+        at = begin[r.source]
+        want[r._row] = sum(uses.get((t.number, k), 0) for w in range(at, at + r["size"]) for k in range(t.blocks) if starts[k] <= w < starts[k + 1])
+        begin[r.source] += r["size"]
+    assert {r._row: r.taken for r in mix.takes(docs).collect() if r["size"]} == want
+
+
 def test_source_mix(docs, none):
     rows = SourceMix(block=8).takes(docs).collect()
     assert len(rows) == len(corpus())
@@ -342,3 +404,7 @@ def test_lm_score(docs, none):
     for g, x in zip(sorted(got), sorted(want), strict=True):
         assert g[2] == pytest.approx(x[2], abs=1e-3)
     assert StupidBackoff().score(none).count() == 0
+    rowwise = [(str(r.doc_id), r.n_words, r.score, r.n_full) for r in StupidBackoff().score_rows(docs).collect()]
+    for a, b in zip(sorted(rowwise), sorted((str(r.doc_id), r.n_words, r.score, r.n_full) for r in StupidBackoff().score(docs).collect()), strict=True):
+        assert a[:2] == b[:2] and a[3] == b[3] and a[2] == pytest.approx(b[2], abs=1e-6)
+    assert StupidBackoff().score_rows(none).count() == 0
