@@ -167,11 +167,12 @@ def bicgstab(a: CooMatrix | CsrMatrix, b: Vector, x0: Vector | None = None, cont
         state, (hv,) = system.times(state, F.col("d") * F.col("p"), "v", F.col("h") * F.col("v"))
         alpha = rho / hv if hv else 0.0
         state = state.withColumn("s", F.col("r") - alpha * F.col("v"))
-        half = _sums(state, F.abs("s"))[0] / norm
+        # the half step's residual is seen with the next product, which is not needed if that ends the run
+        state, (ts, tt, half) = system.times(state, F.col("d") * F.col("s"), "t", F.col("t") * F.col("s"), F.col("t") * F.col("t"), F.abs("s"))
+        half = half / norm
         if control.done(half, first) or hv == 0 or done == control.max_iters:
             state, residual, done = state.withColumn("x", F.col("x") + alpha * F.col("d") * F.col("p")), half, done + 1
             break
-        state, (ts, tt) = system.times(state, F.col("d") * F.col("s"), "t", F.col("t") * F.col("s"), F.col("t") * F.col("t"))
         omega = ts / tt if tt else 0.0
         state = state.withColumns({"x": F.col("x") + alpha * F.col("d") * F.col("p") + omega * F.col("d") * F.col("s"), "r": F.col("s") - omega * F.col("t")})
         new, left = _sums(state, F.col("h") * F.col("r"), F.abs("r"))
