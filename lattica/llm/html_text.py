@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import cached_property
 from html import unescape
 
 import pyarrow as pa
@@ -131,6 +132,7 @@ class Page:
             if own in scope:
                 return
 
+    @cached_property
     def roots(self) -> tuple[list[int], list[int]]:
         """The content roots, and for each element the root it lies in or is, else 0.
 
@@ -161,7 +163,7 @@ class Page:
 
     def _kept(self, drop: set[int], outside: bool) -> list[bool]:
         """Of each element, whether its text is main text: that of the roots, and with ``outside`` of the whole body."""
-        roots, within = self.roots()
+        roots, within = self.roots
         base, above = self.body(), self._above(roots)
         outside = outside or not roots
         kept = [outside and base == 0] + [False] * (len(self.tag) - 1)
@@ -173,13 +175,18 @@ class Page:
                 kept[e] = kept[p] and e not in drop and not self._boilerplate(e, within[e])
         return kept
 
+    @cached_property
+    def _whole(self) -> list[bool]:
+        """Of each element, whether its text would be main text if nothing were template."""
+        return self._kept(set(), True)
+
     def subtrees(self) -> dict[int, int]:
         """Hashes of the elements that may be template: all but roots, what encloses them, and content inside them.
 
         Inline markup within a paragraph or other content is part of it, and so are the elements of boilerplate.
         """
-        roots, within = self.roots()
-        above, kept, hashes = self._above(roots), self._kept(set(), True), self.hashes()
+        roots, within = self.roots
+        above, kept, hashes = self._above(roots), self._whole, self.hashes
         out = {}
         for e in range(1, len(self.tag)):
             p, tag = self.parent[e], self.tag[e]
@@ -190,6 +197,7 @@ class Page:
             out[e] = hashes[e]
         return out
 
+    @cached_property
     def hashes(self) -> list[int]:
         """A hash of each element's subtree, from the leaves up: its tag, its own runs of text, and its children's hashes."""
         parts: list[list] = [[] for _ in self.tag]
@@ -209,8 +217,8 @@ class Page:
         That is the root's text inside an article or main, so that copies of an article count as one page whatever
         surrounds them, and else the page's: the body's text without boilerplate.
         """
-        _, within = self.roots()
-        kept = self._kept(set(), True)
+        _, within = self.roots
+        kept = self._whole
         runs: dict[int, list[str]] = {}
         for e, b, t in self.texts:
             if kept[e]:

@@ -97,7 +97,7 @@ def test_long_and_deep_pages():
 
 def test_subtree_hashes():
     rows = ["<div class=x> <p>a</p>\n<b>c</b></div>", "<div class=x><p>a</p><b>c</b></div>", "<div class=y><p>a</p><b>c</b></div>", "<div class=x><p>a</p>c<b></b></div>", "<div class=x><p>a</p><br><b>c</b></div>"]
-    h = [Page(r).hashes()[1] for r in rows]
+    h = [Page(r).hashes[1] for r in rows]
     assert h[0] == h[1] and len(set(h)) == 4
 
 
