@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.conf import EngineConf
+from lattica.conf import EngineConf, __version__
+from lattica.errors import EngineError
 from lattica.functions.exprs import accurate_sums
 from lattica.operators import blas1 as b1
 from lattica.operators import blas23 as b2
@@ -20,6 +21,7 @@ from lattica.operators import convert as cv
 from lattica.operators import prims as pr
 from lattica.plans.solvers import SolverControl, bicgstab, cg
 from lattica.sources import mtx
+from lattica.streaming.accumulate import accumulate, accumulate_windows, latest, start
 from lattica.tables import new_path, write_text
 from lattica.types import CooMatrix, DenseMatrix, Vector
 
@@ -306,17 +308,40 @@ def folder_heads(t: Tables) -> DataFrame:
 query("mtx_folder", "SELECT a AS name, CAST(b AS BIGINT) AS m, CAST(c AS BIGINT) AS n, CAST(d AS BIGINT) AS nnz, CAST(e AS BIGINT) AS entries FROM (VALUES ('general.mtx', 3, 4, 4, 4), ('integer.mtx', 2, 2, 2, 2), ('symmetric.mtx', 3, 3, 6, 4)) AS t(a, b, c, d, e)", folder_heads)
 
 
-def streamed(t: Tables) -> DataFrame:
-    """The events read as a stream and counted by user on the diagonal; the finished table."""
-    from uuid import uuid4
+def rejects(t: Tables) -> DataFrame:
+    """The errors of files and arguments that the engine refuses before any job runs."""
+    body, names = "3 3 1\n1 1 1\n", {"array.mtx": "matrix array real general", "complex.mtx": "matrix coordinate complex general", "short.mtx": "matrix coordinate real", "name.txt": "matrix coordinate real general"}
+    folder, tried = new_path(t.spark, "mtx"), {}
+    for name, banner in names.items():
+        write_text(t.spark, f"{folder}/{name}", f"%%MatrixMarket {banner}\n{body}")
+        tried[name] = lambda n=name: mtx.read_header(f"{folder}/{n}")
+    tried |= {"missing.mtx": lambda: mtx.read_header(f"{folder}/missing.mtx"), "shapes": lambda: b2.csrmv(1, t.A, t.y), "inner": lambda: b2.spgemm(t.A, t.A), "system": lambda: cg(t.A, t.y), "scan": lambda: pr.scan(t.u.df, "median"), "control": lambda: SolverControl("unheard of")}
+    found = []
+    for name, attempt in tried.items():
+        try:
+            attempt()
+        except EngineError as e:
+            found.append((name, type(e).__name__))
+    return t.spark.createDataFrame(found, "name string, error string")
 
-    from lattica.streaming.accumulate import accumulate, start
 
+REJECTED = {"array.mtx": "InvalidFileFormat", "complex.mtx": "InvalidFileFormat", "short.mtx": "InvalidFileFormat", "name.txt": "InvalidFile", "missing.mtx": "InvalidFile", "shapes": "InvalidSize", "inner": "InvalidSize", "system": "InvalidSystemSize", "scan": "InvalidValue", "control": "InvalidValue"}
+query("rejects", f"SELECT a AS name, b AS error FROM (VALUES {', '.join(f"('{k}', '{v}')" for k, v in REJECTED.items())}) AS t(a, b)", rejects)
+query("csrmv_eager", ORACLES["csrmv_beta0"], lambda t: b2.csrmv(1, t.A, t.u, conf=EngineConf(t.spark, eager=True)).df)
+query("engine_version", "SELECT CAST(0 AS BIGINT) AS major, CAST(2 AS BIGINT) AS minor, CAST(0 AS BIGINT) AS patch, CAST(0 AS BIGINT) AS tweak", lambda t: t.spark.range(1).select(*(F.lit(v).cast("bigint").alias(k) for k, v in zip(("major", "minor", "patch", "tweak"), __version__, strict=True))))
+
+
+def events(t: Tables) -> DataFrame:
     # a file stream wants a folder: the one that holds the tables, narrowed to this one
-    stream = t.spark.readStream.schema(t.table("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
-    name = f"stream_{uuid4().hex}"
-    start(accumulate(stream, "user_id", "user_id", F.lit(1)), name, new_path(t.spark, "stream")).awaitTermination()
-    return t.spark.table(name)
+    return t.spark.readStream.schema(t.table("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
+
+
+def finished(t: Tables, matrix: DataFrame) -> DataFrame:
+    """What the stream leaves when it has read all there is."""
+    path = new_path(t.spark, "stream")
+    start(matrix, f"{path}/table", f"{path}/state").awaitTermination()
+    return latest(t.spark, f"{path}/table")
 
 
-query("stream_accumulate", "SELECT CAST(user_id AS BIGINT) AS i, CAST(user_id AS BIGINT) AS j, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY 1", streamed)
+query("stream_accumulate", "SELECT CAST(user_id AS BIGINT) AS i, CAST(user_id AS BIGINT) AS j, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY 1", lambda t: finished(t, accumulate(events(t), "user_id", "user_id", F.lit(1))))
+query("stream_windows", "SELECT CAST(epoch(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS begin, CAST(user_id % 10 AS BIGINT) AS i, CAST(user_id % 10 AS BIGINT) AS j, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY 1, 2", lambda t: finished(t, accumulate_windows(events(t).select(F.timestamp_seconds(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")).alias("ts"), (F.col("user_id") % 10).alias("k")), "ts", "1 day", "1 hour", "k", "k", F.lit(1))).withColumn("begin", F.col("begin").cast("timestamp").cast("long")))

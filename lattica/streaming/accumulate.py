@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lattica.tables import delete
+
 
 def accumulate(entries: DataFrame, i: str, j: str, v: Column | str) -> DataFrame:
     """(i, j, v): sums of the entries so far; write it in ``update`` or ``complete`` mode."""
@@ -21,6 +23,25 @@ def accumulate_windows(entries: DataFrame, time: str, window: str, late: str, i:
     return own.groupBy("_w", "i", "j").agg(F.sum("v").alias("v")).select(F.col("_w.start").alias("begin"), "i", "j", "v")
 
 
-def start(matrix: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Run the accumulation into an in-memory table, over what the source has now."""
-    return matrix.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start(matrix: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Run the accumulation over what the source has now; each micro-batch leaves the whole result as a table under ``path``.
+
+    Results are written by the executors and never meet on the driver.  Of one batch that runs again the last table
+    counts, and tables before it go.
+    """
+
+    def store(result: DataFrame, number: int) -> None:
+        spark = result.sparkSession
+        result.write.mode("overwrite").parquet(f"{path}/{number:012d}")
+        if number:
+            delete(spark, f"{path}/{number - 1:012d}")
+
+    return matrix.writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The result of the last micro-batch that was written whole."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [s.getPath() for s in fs.listStatus(p) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return spark.read.parquet(max(x.toString() for x in done))

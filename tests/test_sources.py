@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from lattica.errors import InvalidFile, InvalidFileFormat
 from lattica.sources import mtx
-from lattica.streaming.accumulate import accumulate, accumulate_windows, start
+from lattica.streaming.accumulate import accumulate, accumulate_windows, latest, start
 
 
 def write(folder, name, body):
@@ -57,8 +57,9 @@ def test_stream_accumulates_over_restarts(spark, tmp_path):
     for k in range(2):
         spark.range(10).select((F.col("id") % 2).alias("i"), (F.col("id") % 3).alias("j"), F.lit(1.0).alias("v")).coalesce(1).write.mode("append").json(str(source))
         stream = spark.readStream.schema("i bigint, j bigint, v double").json(str(source))
-        start(accumulate(stream, "i", "j", "v"), f"m{k}", state).awaitTermination()
-        assert spark.table(f"m{k}").agg(F.sum("v")).first()[0] == 10 * (k + 1)
+        start(accumulate(stream, "i", "j", "v"), str(tmp_path / "out"), state).awaitTermination()
+        assert latest(spark, str(tmp_path / "out")).agg(F.sum("v")).first()[0] == 10 * (k + 1)
+    assert len(list((tmp_path / "out").iterdir())) == 1
 
 
 def test_folder_of_files(spark, tmp_path):
@@ -90,6 +91,6 @@ def test_stream_of_windows(spark, tmp_path):
     source = tmp_path / "in"
     spark.createDataFrame([(k, k % 2) for k in range(10)], "t bigint, i bigint").select(F.timestamp_seconds(F.col("t") * 60).alias("ts"), "i").coalesce(1).write.json(str(source))
     stream = spark.readStream.schema("ts timestamp, i bigint").json(str(source))
-    start(accumulate_windows(stream, "ts", "5 minutes", "1 minute", "i", "i", F.lit(1)), "windows", str(tmp_path / "state")).awaitTermination()
-    got = sorted((r.begin.minute, r.i, r.v) for r in spark.table("windows").collect())
+    start(accumulate_windows(stream, "ts", "5 minutes", "1 minute", "i", "i", F.lit(1)), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = sorted((r.begin.minute, r.i, r.v) for r in latest(spark, str(tmp_path / "out")).collect())
     assert got == [(0, 0, 3.0), (0, 1, 2.0), (5, 0, 2.0), (5, 1, 3.0)]
