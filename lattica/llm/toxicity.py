@@ -6,8 +6,8 @@ hashed words and word beginnings minimises the non-negative estimate of the clas
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)),
 
 with the sigmoid loss; where the bracket turns negative, the step runs against its gradient instead.  The class
-prior is the share of confirmed rows among the labelled ones, or a parameter; the bias is then set so that the
-scores of the unlabelled average it.
+prior is the share of confirmed rows among the labelled ones, or a parameter.  The sigmoid loss leaves margins small,
+so they are then multiplied by ``sharpness``, and the bias is set so that the scores of the unlabelled average the prior.
 
 The fit sees at most ``max_positive`` positive rows and, as the unlabelled set, at most ``max_unlabelled`` rows of the
 whole, confirmed or not, those with the smallest hash of id and text, equal rows once; scoring sees every whole text.  Features of a
@@ -135,7 +135,7 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, width:
 
 def calibrated(margins: np.ndarray, bias: float, prior: float) -> float:
     """The bias near the given one with which the scores of the unlabelled average the prior."""
-    lo, hi = bias - 10, bias + 10
+    lo, hi = bias - 50, bias + 50
     for _ in range(60 if len(margins) else 0):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if _sigmoid(margins + mid).mean() < prior else (lo, mid)
@@ -145,8 +145,8 @@ def calibrated(margins: np.ndarray, bias: float, prior: float) -> float:
 class PuToxicity:
     """Fits on documents joined with confirmed labels, scores any documents."""
 
-    def __init__(self, prior: float | None = None, max_positive: int = 4000, max_unlabelled: int = 12000, bits: int = 20, stem: int = 5, min_z: float = 5.0, id_col: str = "doc_id", text_col: str = "text"):
-        self.min_z, self.prior, self.max_positive, self.max_unlabelled = min_z, prior, max_positive, max_unlabelled
+    def __init__(self, prior: float | None = None, max_positive: int = 4000, max_unlabelled: int = 12000, bits: int = 20, stem: int = 5, min_z: float = 5.0, sharpness: float = 2.0, id_col: str = "doc_id", text_col: str = "text"):
+        self.min_z, self.sharpness, self.prior, self.max_positive, self.max_unlabelled = min_z, sharpness, prior, max_positive, max_unlabelled
         self.features, self.id_col, self.text_col = Features(bits, stem), id_col, text_col
         self.weights: np.ndarray | None = None
         self.known = np.zeros(0, np.int64)
@@ -191,7 +191,8 @@ class PuToxicity:
         self.fitted_prior = self.prior if self.prior is not None else min(max((seen["pos"] or 0) / max(seen["n"], 1), 1e-3), 0.9)
         pos, unl = ([np.array(c, np.int64) for c in got.filter(pc.equal(got.column("_s"), want)).column("c").to_pylist()] for want in (1, 0))
         if pos:
-            self.weights, bias = fit_nnpu(pos, unl, self.fitted_prior, len(known))
+            weights, bias = fit_nnpu(pos, unl, self.fitted_prior, len(known))
+            self.weights, bias = weights * self.sharpness, bias * self.sharpness
             self.bias = calibrated(np.array([self.weights[c].sum() for c in unl]), bias, self.fitted_prior)
         else:
             self.weights, self.bias = np.zeros(len(known)), float(np.log(self.fitted_prior / (1 - self.fitted_prior)))
