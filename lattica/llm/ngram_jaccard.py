@@ -20,7 +20,7 @@ component already, so components are exact.  That serves ``classes`` alone; ``li
 of every list meet, in the same join.
 
 Defined results: texts null or without words are empty sets and link with nothing; rows without an id take no part
-and get no component; rows with one id are one node; an empty table gives an empty result.
+and get no component; rows with one id are one node; an empty table gives an empty result; extra columns play no part.
 """
 
 from __future__ import annotations
