@@ -8,7 +8,9 @@ them are never template.  What lies outside them goes where it recurs, like any
 
 Subtrees are counted on distinct pages only: inside an article or main, pages whose roots have the same text are one
 page, and elsewhere pages that have the same text, so that copies of an article or of a whole body never make their
-own parts template.
+own parts template.  Nor do near copies of an article: one of the sketches of the roots' texts, their least hashes of
+five words, must take enough different values too, and at least a third as many as there are distinct texts, since
+texts that share most of their words mostly share their sketches.
 
 Text: character references decoded, white space inside a block turned into one space, blocks trimmed and joined by
 newlines in page order, empty blocks left out, nothing cut short.  ``br`` is white space.
@@ -25,12 +27,14 @@ from collections import Counter
 from functools import cached_property
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.shared import cut
+from lattica.llm.tokens import U64, mix, rolling, words
 
 #: Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,6 +55,9 @@ NEUTRAL = frozenset("list lists item items post posts article articles entry sec
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
+#: Sketches of a text, and distinct texts for each different sketch, at most, among those that hold a template subtree.
+SKETCHES, UNLIKE = 4, 3
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _MARKED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
@@ -211,8 +218,8 @@ class Page:
             out[e] = _hash("\0".join([self.tag[e], " ".join(self.attrs[e].split()), *(x for x in own if x)]))
         return out
 
-    def contents(self, found: dict[int, int]) -> tuple[int, dict[int, int]]:
-        """A hash of the page's text, and for each of the subtrees found one of the text it is counted by.
+    def contents(self, found: dict[int, int]) -> tuple[tuple, dict[int, tuple]]:
+        """A hash and sketches of the page's text, and for each of the subtrees found those of the text it is counted by.
 
         That is the root's text inside an article or main, so that copies of an article count as one page whatever
         surrounds them, and else the page's: the body's text without boilerplate.
@@ -225,7 +232,8 @@ class Page:
                 runs.setdefault(within[e], []).append(self.html[b:t])
         texts = {r: " ".join(" ".join(x).split()) for r, x in runs.items()}
         page = _hash("\n".join(texts[r] for r in sorted(texts) if texts[r]) or self.html)
-        own = {r: _hash(x) for r, x in texts.items() if r and x}
+        page = page, (page,)
+        own = {r: (_hash(x), _sketch(x)) for r, x in texts.items() if r and x}
         return page, {e: own.get(within[e], page) for e in found}
 
     def text(self, template: set[int], outside: bool = False) -> str:
@@ -277,6 +285,15 @@ def _hash(source: str) -> int:
     return xxhash.xxh3_64_intdigest(source.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def _sketch(text: str) -> tuple[int, ...]:
+    """Least hashes, by several functions, of the text's runs of five words: texts that share most runs mostly share each."""
+    w = words(pa.array([text], pa.large_string()))
+    if not len(w.hash):
+        return (0,) * SKETCHES
+    h = rolling(w.hash, min(5, len(w.hash)))
+    return tuple(int(mix(h + U64(k)).min().view(np.int64)) for k in range(SKETCHES))
+
+
 def _main(attrs: str) -> bool:
     """Whether the role is main."""
     return "=" in attrs and any(m.group(0)[:4].lower() == "role" and "main" in _names(m) for m in _MARKED.finditer(attrs))
@@ -315,14 +332,14 @@ class TemplateRemoval:
         return own.withColumn("_key", F.xxhash64("page_id", "url", "html")).withColumn("_host", host_of("url"))
 
     def template(self, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(_key, _host, _content, hash) of every candidate subtree, and the (_host, hash, n) that are template.
+        """(_key, _host, _content, _sketches, hash) of every candidate subtree, and the (_host, hash, n) that are template.
 
         ``_content`` is the text that a subtree is counted by; a row without a hash has that of the page.
         """
 
         def subtrees(batches):
             for b in batches:
-                keys, hosts, contents, hashes = [], [], [], []
+                keys, hosts, contents, sketches, hashes = [], [], [], [], []
                 for key, host, html in zip(b.column("_key").to_pylist(), b.column("_host").to_pylist(), b.column("html").to_pylist(), strict=True):
                     page = Page(html or "")
                     found = page.subtrees()
@@ -330,14 +347,17 @@ class TemplateRemoval:
                     own = [(whole, None), *{(by[e], h) for e, h in found.items()}]
                     keys += [key] * len(own)
                     hosts += [host] * len(own)
-                    contents += [c for c, _ in own]
+                    contents += [c for (c, _), _ in own]
+                    sketches += [k for (_, k), _ in own]
                     hashes += [h for _, h in own]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(hashes, pa.int64())], names=["_key", "_host", "_content", "hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(hashes, pa.int64())], names=["_key", "_host", "_content", "_sketches", "hash"])
 
         keyed = self._keyed(pages)
-        found = cut(keyed.select("_key", "_host", "html").mapInArrow(subtrees, "_key long, _host string, _content long, hash long"), "subtrees")
-        distinct = found.select("_host", "_content", "hash").distinct()
-        counted = distinct.where("hash IS NOT NULL").groupBy("_host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.min_pages)
+        found = cut(keyed.select("_key", "_host", "html").mapInArrow(subtrees, "_key long, _host string, _content long, _sketches array<long>, hash long"), "subtrees")
+        distinct = found.select("_host", "_content", "_sketches", "hash").distinct()
+        kinds = distinct.where("hash IS NOT NULL").select("_host", "hash", F.posexplode("_sketches").alias("k", "sketch")).groupBy("_host", "hash", "k", "sketch").agg(F.count(F.lit(1)).alias("n"))
+        kinds = kinds.groupBy("_host", "hash", "k").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
+        counted = kinds.groupBy("_host", "hash").agg(F.max("n").alias("n"), F.max("kinds").alias("kinds")).where((F.col("kinds") >= self.min_pages) & (UNLIKE * F.col("kinds") >= F.col("n")))
         hosts = distinct.where("hash IS NULL").groupBy("_host").agg(F.count(F.lit(1)).alias("pages"))
         return found, cut(counted.join(hosts, "_host").where(F.col("n") >= self.min_share * F.col("pages")).select("_host", "hash", "n"), "template")
 

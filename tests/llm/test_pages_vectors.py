@@ -54,6 +54,24 @@ def test_copies_keep_their_parts(spark):
         assert copied in got[k] and got[20 + k] == copied and got[40 + k] == f"own {k}"
 
 
+def test_near_copies_keep_their_parts(spark):
+    rng = random.Random(31)
+    line = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    opening, items, section = line(40), [line(12) for _ in range(3)], line(30)
+    rows, want = [], {}
+    for k in range(60):
+        edited = opening.split()
+        edited[rng.randrange(40)] = f"edit{k}"
+        rows.append((k, f"http://a.example/{k}", f"<body><div class=x>buy this now</div><article><p>{' '.join(edited)}</p><ul><li>{items[0]}<li>{items[1]}</ul><section>{section}</section></article></body>"))
+        want[k] = "\n".join([" ".join(edited), items[0], items[1], section])
+    for k in range(100, 140):
+        own = line(40)
+        rows.append((k, f"http://a.example/{k}", f"<body><div class=x>buy this now</div><article><p>{own}</p><div class=y>{items[2]}</div></article></body>"))
+        want[k] = own
+    got = {r.page_id: r.text for r in TemplateRemoval().transform(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize(
     "html,text",
     [
@@ -115,8 +133,12 @@ def test_template_against_brute_force(spark):
     for k, page in pages.items():
         same = [j for j in pages if host[j] == host[k]]
         total = len({by[j][0] for j in same})
-        seen = lambda h: len({by[j][1][e] for j in same for e, x in found[j].items() if x == h})  # noqa: B023, E731
-        drop = {h for h in set(found[k].values()) if (n := seen(h)) >= 5 and n >= 0.02 * total}
+        drop = set()
+        for h in set(found[k].values()):
+            own = {by[j][1][e] for j in same for e, x in found[j].items() if x == h}
+            kinds = max(len({s[q] for _, s in own if len(s) > q}) for q in range(4))
+            if kinds >= 5 and 3 * kinds >= len(own) >= 0.02 * total:
+                drop.add(h)
         want[k] = page.text(drop, outside=True), len(drop)
     got = TemplateRemoval().transform(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: (r.text, r.n_template) for r in got} == want
