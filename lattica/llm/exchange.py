@@ -1,13 +1,12 @@
 """Exchange of hash sets between batches of documents through ordinary shuffles.
 
-Batches are runs of consecutive rows of bounded size, each one compressed message that is shuffled once and read by
-every pass.  A batch sends each distinct hash once, in packed blobs, to the bucket that owns it; the bucket answers
+Batches are runs of consecutive rows of bounded size, each compressed, shuffled once and read by every pass.  A batch sends each distinct hash once, in packed blobs, to the bucket that owns it; the bucket answers
 each batch.  A hash that a third of all documents hold thus costs one entry a batch, not one a document, no task
 gathers the rows of a key, and neither a hot id nor a repeated row makes a batch larger.
 
 A message costs its row besides its entries, and there are at most batches x buckets messages.  So that they stay in
 proportion to the corpus, both grow with the square root of its bytes once a message would hold fewer than about
-``MESSAGE_ENTRIES`` entries (from some 400 GB of text on; at 100 TB a batch has 95 MB and a bucket 250 MB).
+``MESSAGE_ENTRIES`` entries (from some 270 GB of text on; at 100 TB a batch has 80 MB and a bucket 320 MB).
 
 Batches follow the order of rows in the input's partitions, so that order must be the same whenever a lost task runs
 again.  That holds for tables as read; an input whose plan shuffles is written and read back first.
@@ -31,8 +30,10 @@ U64 = np.uint64
 LOW_BITS = 40
 LOW = U64((1 << LOW_BITS) - 1)
 #: Bytes of text in a batch and behind a bucket, rows in a batch, and bytes of text an entry of a message stands for, about.
-BATCH_BYTES, BUCKET_BYTES, BATCH_ROWS, ENTRY_BYTES = 6 << 20, 16 << 20, 1 << 14, 4
+BATCH_BYTES, BUCKET_BYTES, BATCH_ROWS, ENTRY_BYTES = 4 << 20, 16 << 20, 1 << 14, 4
 MESSAGE_ENTRIES = 64
+#: Bytes of a part of a batch: arrays from half a megabyte on take whole regions of a small heap.
+PART_BYTES = 256 << 10
 MIN_BUCKETS = 32
 #: Batches and buckets that one task works through, one after the other.
 TASK_BATCHES, TASK_BUCKETS = 8, 4
@@ -86,26 +87,29 @@ def runs(batches, how: Plan, text: str):
 
 
 def batched(docs: DataFrame, how: Plan, text: str) -> DataFrame:
-    """(_batch, rows): all columns of the documents in compressed batches; see ``rows``."""
+    """(_batch, part, rows): all columns of the documents in compressed batches, each in parts that the JVM holds with ease; see ``rows``."""
 
     def deal(batches):
         for number, table in runs(batches, how, text):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
                 out.write_table(table.combine_chunks())
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["_batch", "rows"])
+            data = sink.getvalue().to_pybytes()
+            parts = [data[at : at + PART_BYTES] for at in range(0, len(data), PART_BYTES)]
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["_batch", "part", "rows"])
 
-    return docs.mapInArrow(deal, "_batch long, rows binary")
+    return docs.mapInArrow(deal, "_batch long, part int, rows binary")
 
 
 def dealt(docs: DataFrame, how: Plan, text: str) -> DataFrame:
-    """The batches, each a row, where their passes run."""
+    """The batches where their passes run."""
     return batched(docs, how, text).repartition(how.batch_parts, "_batch")
 
 
 def rows(messages: pa.Table) -> pa.Table:
-    """The documents of a batch."""
-    return pa.concat_tables([pa.ipc.open_stream(m.as_buffer()).read_all() for m in messages.column("rows")])
+    """The documents of a batch, from its parts."""
+    parts = messages.select(["part", "rows"]).sort_by("part").column("rows").to_pylist()
+    return pa.ipc.open_stream(b"".join(parts)).read_all()
 
 
 def _squeeze(data: bytes) -> bytes:

@@ -2,7 +2,7 @@
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, that is ``[^\\x20\\x09-\\x0D]+``; UTF-8
 continuation bytes never fall in that set, so bytes and code points agree on the word borders.  Texts are
-hashed in slices of about a megabyte, so memory follows the slice and not the batch.
+hashed in slices of a quarter megabyte, so memory follows the slice and not the batch.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 U64 = np.uint64
 #: Odd multipliers of the two byte polynomials and of the two window polynomials.
 BYTE_MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -85,7 +85,7 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarr
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def cuts(column: pa.ChunkedArray | pa.Array, limit: int = 4 * SLICE, most: int = 1 << 20) -> list[tuple[int, int]]:
+def cuts(column: pa.ChunkedArray | pa.Array, limit: int = 8 * SLICE, most: int = 1 << 20) -> list[tuple[int, int]]:
     """Ranges of at most ``most`` consecutive texts of about ``limit`` bytes: what is worked on at once, whatever an Arrow batch holds."""
     size = pc.fill_null(pc.binary_length(column), 0)
     ends = np.cumsum(np.asarray(size, np.int64))
@@ -98,7 +98,7 @@ def cuts(column: pa.ChunkedArray | pa.Array, limit: int = 4 * SLICE, most: int =
     return out
 
 
-def pieces(batches, column: str, limit: int = 4 * SLICE, most: int = 1 << 20):
+def pieces(batches, column: str, limit: int = 8 * SLICE, most: int = 1 << 20):
     """Record batches cut by the bytes and number of their texts."""
     for batch in batches:
         for i, j in cuts(batch.column(column), limit, most):
