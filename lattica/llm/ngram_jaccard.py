@@ -10,14 +10,17 @@ Each document chooses the l, up to ``levels``, of least estimated cost: the entr
 prefix opens to documents of its size, plus verification of at most ``entries / l`` candidates.  A pair must share ``min(l, l')`` shingles
 of the prefixes of that level.  Shingles no other document has are never listed: they cannot match.
 
-Lists are joined in two steps, so that a group of thousands of near copies costs links in proportion to its size:
+Lists are joined in three steps, so that a group of thousands of near copies costs links in proportion to its size:
 first every document of a list meets only two centres, the list's smallest id and one that a hash picks (a batch's
-own centres first, which then meet the list's); then, in lists that the components of the verified links leave
-apart, all pairs of different components meet under the multi-match condition.  That join is on shingle and size
-band: of a pair, the larger document looks for smaller ones in the bands its prefix reaches, and only documents
-whose shingle lies early enough for a partner of at least their own size are found there.  Pairs left out lie in one
-component already, so components are exact.  That serves ``classes`` alone; ``linked`` gives every link: all pairs
-of every list meet, in the same join.
+own centres first, which then meet the list's).  Then, in lists that the components of the verified links leave
+apart, each document meets one of another component, drawn anew in each turn; turns go on while they find links,
+lessen the pairs that the last step would meet by a quarter, and there are more of these than postings.  Last, all
+pairs of different components meet under the multi-match condition.  That join is on shingle and size band: of a
+pair, the larger document looks for smaller ones in the bands its prefix reaches, and only documents whose shingle
+lies early enough for a partner of at least their own size are found there.  Pairs left out lie in one component
+already, so components are exact.  Documents that stay apart still meet pair by pair: a group of many that share
+most shingles and link with none costs their square.  That serves ``classes`` alone; ``linked`` gives every link:
+all pairs of every list meet, in the same join.
 
 Defined results: texts null or without words are empty sets and link with nothing; rows without an id take no part
 and get no component; rows with one id are one node; an empty table gives an empty result; extra columns play no part.
@@ -25,6 +28,7 @@ and get no component; rows with one id are one node; an empty table gives an emp
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -41,6 +45,8 @@ from lattica.llm.tokens import U64, mix, rolling, window_starts, words
 
 #: Sizes of one band differ by less than this factor.
 BAND = 1.05
+#: Postings in a cell, and the share of the pairs apart that a turn may leave for another to follow.
+CELL, LEFT = 8, 0.75
 
 
 def shingle_sets(texts: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,8 +189,8 @@ class NgramJaccardJoin:
         both = F.size(F.array_intersect("ha", "hb"))
         return pairs.join(left, "a").join(right, "b").where(100 * both >= self.percent * (F.size("ha") + F.size("hb") - both)).select("a", "b")
 
-    def _matches(self, postings: DataFrame, apart: bool) -> DataFrame:
-        """Pairs (a, b) that share as many shingles of both prefixes as their level asks for; ``apart``: of unlike root only.
+    def _sides(self, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The postings that a larger partner may find, by their band, and those that look for smaller ones, by each band they reach.
 
         A pair needs an overlap of percent / (100 + percent) of both sizes together; a shingle with ``rest`` shingles
         from it on lies in the prefix of level l when rest + l - 1 reaches that overlap.  So ``reach`` is the largest
@@ -195,8 +201,14 @@ class NgramJaccardJoin:
         band = lambda n: F.floor(F.log(n.cast("double")) / math.log(BAND)).cast("int")
         least = F.ceil(p * F.col("n") / 100)
         able = postings.withColumn("reach", reach)
-        small = _side(able.where("reach >= n").withColumn("band", band(F.col("n"))), "b").withColumnRenamed("band_b", "band")
-        large = able.where(F.col("reach") >= least).withColumn("band", F.explode(F.sequence(band(least), band(F.least("n", "reach")))))
+        small = able.where("reach >= n").withColumn("band", band(F.col("n")))
+        return small, able.where(F.col("reach") >= least).withColumn("band", F.explode(F.sequence(band(least), band(F.least("n", "reach")))))
+
+    def _matches(self, postings: DataFrame, apart: bool) -> DataFrame:
+        """Pairs (a, b) that share as many shingles of both prefixes as their level asks for; ``apart``: of unlike root only."""
+        p = self.percent
+        small, large = self._sides(postings)
+        small = _side(small, "b").withColumnRenamed("band_b", "band")
         both = _side(large, "a").withColumnRenamed("band_a", "band").join(small, ["key", "band"])
         both = both.where((F.col("n_b") < F.col("n_a")) | (F.col("n_b") == F.col("n_a")) & (F.col("doc_b") < F.col("doc_a"))).where(100 * F.col("n_b") >= p * F.col("n_a"))
         if apart:
@@ -218,12 +230,50 @@ class NgramJaccardJoin:
         met = met.unionByName(listed.where("kind = 'L'").select("a", "b"))
         stars = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
         label = components(self._verified(stars, sets))
-        postings = listed.where("kind = 'P'").select("key", F.col("a").alias("doc"), "n", "rest", "chosen")
-        placed = postings.join(label.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-        split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        lists = cut(placed.join(split, "key"), "open")
+        lists = self._open(listed.where("kind = 'P'").select("key", F.col("a").alias("doc"), "n", "rest", "chosen"), label)
+        n, apart = self._apart(lists)
+        for turn in itertools.count():
+            if apart <= n:
+                break
+            found = cut(self._verified(self._met(lists, turn), sets), "met")
+            if found.isEmpty():
+                break
+            label = components(found, label)
+            lists, before = self._open(lists.drop("root", "size"), label), apart
+            n, apart = self._apart(lists)
+            if apart > LEFT * before:
+                break
         return label, self._verified(self._matches(lists, apart=True), sets)
 
+    def _open(self, postings: DataFrame, label: DataFrame) -> DataFrame:
+        """The postings with their roots and the sizes of their lists, of lists that hold several roots."""
+        placed = postings.join(label.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+        split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("key", "size")
+        return cut(placed.join(split, "key"), "open")
+
+    def _apart(self, lists: DataFrame) -> tuple[int, float]:
+        """The number of postings, and that of pairs of unlike root and fitting bands over all lists."""
+        small, large = self._sides(lists)
+        ways = small.select("key", "band", "root", F.lit(1).alias("s"), F.lit(0).alias("l")).unionByName(large.select("key", "band", "root", F.lit(0).alias("s"), F.lit(1).alias("l")))
+        own = ways.groupBy("key", "band", "root").agg(F.sum("s").cast("double").alias("s"), F.sum("l").cast("double").alias("l"))
+        pairs = own.groupBy("key", "band").agg((F.sum("s") * F.sum("l") - F.sum(F.col("s") * F.col("l"))).alias("pairs"))
+        return lists.count(), pairs.agg(F.sum("pairs")).first()[0] or 0.0
+
+    def _met(self, lists: DataFrame, turn: int) -> DataFrame:
+        """Pairs (a, b) of unlike root and sizes that may link, at most one for each posting.
+
+        Lists are dealt anew in each turn into cells of about ``CELL`` postings; each posting meets that of the
+        smallest root in its cell, those of this root that of the largest.
+        """
+        cell = F.pmod(F.xxhash64("key", "doc", F.lit(turn)), F.ceil(F.col("size") / CELL))
+        dealt = lists.select("key", cell.alias("cell"), "root", "doc", "n")
+        one = F.struct("root", "doc", "n")
+        ends = dealt.groupBy("key", "cell").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo.root < hi.root")
+        other = F.when(F.col("root") == F.col("lo.root"), F.col("hi")).otherwise(F.col("lo"))
+        met = dealt.join(ends, ["key", "cell"]).select("doc", "n", other.alias("o"))
+        met = met.where(100 * F.least("n", "o.n") >= self.percent * F.greatest("n", "o.n"))
+        return met.select(F.least("doc", "o.doc").alias("a"), F.greatest("doc", "o.doc").alias("b")).distinct()
+
     def all_links(self, docs: DataFrame, how: X.Plan, reps: DataFrame) -> DataFrame:
         """Every link (a, b), a < b, between distinct sets, named by their representatives.
 

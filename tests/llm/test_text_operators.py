@@ -113,6 +113,27 @@ def test_ngram_jaccard_of_many_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_classes(rows)
 
 
+def test_near_copies_that_miss_their_centres_meet_few_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    base, rows, met = [f"b{k}" for k in range(150)], [], []
+    for k in range(400):
+        own, at = list(base), rng.randrange(150)
+        for _ in range(rng.choice([1, 2, 3, 4, 5])):
+            own[(at + rng.randrange(60)) % 150] = f"e{rng.randrange(2000)}"
+        rows.append((k, " ".join(own)))
+    matches = NgramJaccardJoin._matches
+
+    def counted(self, postings, apart):
+        pairs = matches(self, postings, apart)
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(NgramJaccardJoin, "_matches", counted)
+    got = NgramJaccardJoin().classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_classes(rows)
+    assert met[0] < len(rows) * (len(rows) - 1) / 20, "a tenth of all pairs"
+
+
 def test_every_link_is_found(spark):
     rng = random.Random(9)
     base, rows = [f"b{k}" for k in range(120)], []
