@@ -229,3 +229,32 @@ c AS (SELECT source, lang, 'words-1' AS tokenizer, coalesce(len(regexp_extract_a
       UNION ALL SELECT source, lang, 'quarter-bytes-1', coalesce(ceil(strlen(text) / 4.0), 0) FROM d)
 SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM c GROUP BY 1, 2, 3
 """
+
+
+WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def _looped(docs: DataFrame) -> DataFrame:
+    """The documents, every tenth of which by hash repeats a stretch of its words to its end."""
+    ws, h = F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)), F.crc32(F.col("doc_id").cast("string"))
+    own = docs.select("doc_id", "text", h.alias("_h"), F.floor(h / 10).alias("_g"), F.when(h % 10 == 0, ws).alias("_ws"))
+    n = F.size("_ws")
+    own = own.withColumn("_a", F.when(n > 0, F.col("_g") % n))
+    own = own.withColumn("_p", (1 + F.floor((n - F.col("_a")) / (3 + F.col("_g") % 8))).cast("int"))
+    a, rest = F.col("_a").cast("int"), (n - F.col("_a")).cast("int")
+    cycle = F.slice("_ws", a + 1, F.col("_p"))
+    tail = F.slice(F.flatten(F.array_repeat(cycle, F.ceil(rest / F.col("_p")).cast("int"))), F.lit(1), rest)
+    looped = F.concat_ws(" ", F.concat(F.slice("_ws", F.lit(1), a), tail))
+    return own.select("doc_id", F.when(F.col("_a").isNull(), F.col("text")).otherwise(looped).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.periodic import PeriodicRuns
+
+    out = PeriodicRuns(min_length=6, min_exponent=4).transform(_looped(table(spark, sf_dir, "documents")))
+    first = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("less"), r.start.alias("start"), r.period.alias("period"))))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n"))))
+    told = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), first.alias("f"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256"))
+    length = -F.col("f.less")
+    return told.select("doc_id", "n_runs", F.col("f.start").alias("start"), length.alias("length"), F.col("f.period").alias("period"), F.expr("-f.less * 1000 div f.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
