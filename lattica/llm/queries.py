@@ -258,3 +258,51 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), first.alias("f"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256"))
     length = -F.col("f.less")
     return told.select("doc_id", "n_runs", F.col("f.start").alias("start"), length.alias("length"), F.col("f.period").alias("period"), F.expr("-f.less * 1000 div f.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import hashlib
+
+    from lattica.llm.centroids import WeightedLloyd
+
+    out = WeightedLloyd(k=8, rounds=10, scale=1024, size=64, seed="3").fit(table(spark, sf_dir, "embeddings"))
+    fits = lambda n: n if n < 1 << 63 else None
+    of = [(k, fits(n), fits(sum(out.inertias)), hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for k, (c, n) in enumerate(zip(out.centroids, out.inertias, strict=True))]
+    clusters = spark.createDataFrame(of, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return out.members.join(F.broadcast(clusters), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")  # 8 rows
+
+
+def _lloyd_sql(k: int, rounds: int, scale: int, seed: str) -> str:
+    """Lloyd's rounds over all vectors, one after the other."""
+    near = "(SELECT v.r, v.q, min(dist * 16 + k) % 16 AS k, min(dist * 16 + k) // 16 AS distance FROM (SELECT v.r, v.q, c.k, list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS dist FROM v, {c} c) v GROUP BY v.r, v.q)"
+    steps = [
+        "v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(%d * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)" % scale,
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, q) - 1 AS k, q FROM (SELECT sha256('{seed}:' || vec_id) AS h, q FROM v ORDER BY h, q LIMIT {k}))",
+    ]
+    for n in range(1, rounds + 1):
+        last = f"c{n - 1}"
+        steps += [
+            f"a{n} AS MATERIALIZED {near.format(c=last)}",
+            f"e{n} AS (SELECT k, unnest(q) AS x, unnest(generate_series(1, 64)) AS d FROM a{n})",
+            f"f{n} AS (SELECT k, d, CAST(sum(x) AS BIGINT) AS s, count(*) AS m FROM e{n} GROUP BY 1, 2)",
+            f"g{n} AS (SELECT k, list((s - ((s % m) + m) % m) // m ORDER BY d) AS q FROM f{n} GROUP BY 1)",
+            f"c{n} AS MATERIALIZED (SELECT k, coalesce(g{n}.q, {last}.q) AS q FROM {last} LEFT JOIN g{n} USING (k))",
+        ]
+    last = f"c{rounds}"
+    steps.append(f"p AS MATERIALIZED {near.format(c=last)}")
+    steps.append("i AS (SELECT k, CAST(sum(distance) AS BIGINT) AS own FROM p GROUP BY 1)")
+    return f"WITH {', '.join(steps)} SELECT vec_id, CAST(p.k AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, own AS cluster_inertia, (SELECT CAST(sum(own) AS BIGINT) FROM i) AS inertia, sha256(array_to_string({last}.q, ',')) AS centroid_sha256 FROM p JOIN v USING (r) JOIN i ON i.k = p.k JOIN {last} ON {last}.k = p.k"
+
+
+ORACLES["op12_centroid_clusters"] = _lloyd_sql(8, 10, 1024, "3")
+
+
+@query
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.quality import QualityMachine
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    scored = QualityMachine(rank=8).fit(docs, labels, learn=~held_out).transform(docs.select("doc_id", "text", "n_chars"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
