@@ -6,6 +6,8 @@ sides shuffle on the shared index and adaptive execution splits hot columns.  Lo
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,9 @@ from lattica.conf import EngineConf, conf_of
 from lattica.errors import InvalidSize
 from lattica.functions.exprs import accurate_sums
 from lattica.operators.blas1 import scale
-from lattica.types import CooMatrix, CsrMatrix, DenseMatrix, Vector
+from lattica.types import BlockedMatrix, CooMatrix, CsrMatrix, DenseMatrix, Vector
+
+Matrix = CooMatrix | CsrMatrix | BlockedMatrix
 
 #: Columns of a dense operand up to which products are kept as one aggregate each.
 WIDE = 64
@@ -21,12 +25,16 @@ PAIR_BYTES = 16
 #: Bounds below the first number are bins of their own; then the largest bound of a bin, and its number; then the last bin.
 BIN_TOPS = ((122, 122), (128, 122), (256, 123), (512, 124))
 LAST_BIN = 127
+#: Shares of a task's products from which an inner index is cut into cells.
+SHARE = 16
 
 
-def entries(a: CooMatrix | CsrMatrix) -> DataFrame:
-    """(i, j, v) of a matrix in either form."""
+def entries(a: Matrix) -> DataFrame:
+    """(i, j, v) of a matrix in any sparse form."""
     if isinstance(a, CooMatrix):
         return a.df
+    if isinstance(a, BlockedMatrix):
+        return a.df.select("i", "j", "v")
     return a.df.select("i", F.inline(F.arrays_zip("cols", "vals"))).select("i", F.col("cols").alias("j"), F.col("vals").alias("v"))
 
 
@@ -34,15 +42,27 @@ def _small(df: DataFrame, rows: int, conf: EngineConf, width: int = 1) -> DataFr
     return F.broadcast(df) if rows * (8 + 8 * width) <= conf.broadcast_bytes else df
 
 
-def spmv(a: CooMatrix | CsrMatrix, x: Vector, conf: EngineConf | None = None) -> DataFrame:
-    """(i, v) of A x, without the rows that have no entry."""
+def spmv(a: Matrix, x: Vector, conf: EngineConf | None = None) -> DataFrame:
+    """(i, v) of A x, without the rows that have no entry.
+
+    Over row blocks each block and chunk adds up where it lies: with a vector that is broadcast, rows of blocks are
+    done then, and only the chunks of long rows meet in a second, small aggregation.
+    """
     if a.n != x.n:
         raise InvalidSize(f"matrix of {a.n} columns, vector of {x.n}")
     conf = conf_of(x.df, conf)
-    joined = entries(a).join(_small(x.df.select(F.col("i").alias("j"), F.col("v").alias("_x")), x.n, conf), "j")
+    blocked = isinstance(a, BlockedMatrix) and not conf.extended_precision
+    joined = (a.df if blocked else entries(a)).join(_small(x.df.select(F.col("i").alias("j"), F.col("v").alias("_x")), x.n, conf), "j")
     product = F.col("v") * F.col("_x")
     single = _single(entries(a), x.df)
-    out = accurate_sums(joined, ["i"], product) if conf.extended_precision else joined.groupBy("i").agg(F.sum(product).alias("v"))
+    if conf.extended_precision:
+        out = accurate_sums(joined, ["i"], product)
+    elif blocked:
+        sums = joined.groupBy("block", "chunk", "i").agg(F.sum(product).alias("v"))
+        long = sums.where("block < 0").groupBy("i").agg(F.sum("v").alias("v"))
+        out = sums.where("block >= 0").select("i", "v").unionByName(long)
+    else:
+        out = joined.groupBy("i").agg(F.sum(product).alias("v"))
     return out.withColumn("v", F.col("v").cast("float")) if single else out
 
 
@@ -51,7 +71,7 @@ def _single(*frames: DataFrame) -> bool:
     return all(dict(f.dtypes).get("v", "float") == "float" and dict(f.dtypes).get("vals", "array<float>") == "array<float>" for f in frames)
 
 
-def csrmv(alpha: float, a: CooMatrix | CsrMatrix, x: Vector, beta: float = 0.0, y: Vector | None = None, conf: EngineConf | None = None) -> Vector:
+def csrmv(alpha: float, a: Matrix, x: Vector, beta: float = 0.0, y: Vector | None = None, conf: EngineConf | None = None) -> Vector:
     """alpha A x + beta y.  With beta = 0 y is not read, with alpha = 0 neither A nor x."""
     if beta != 0 and (y is None or y.n != a.m):
         raise InvalidSize(f"matrix of {a.m} rows, vector of {y.n if y else 'none'}")
@@ -73,6 +93,11 @@ def csrmv(alpha: float, a: CooMatrix | CsrMatrix, x: Vector, beta: float = 0.0,
 coomv = csrmv
 
 
+def csrmv_adaptive(alpha: float, a: BlockedMatrix, x: Vector, beta: float = 0.0, y: Vector | None = None, conf: EngineConf | None = None) -> Vector:
+    """``csrmv`` over row blocks; see ``convert.block_rows``."""
+    return csrmv(alpha, a, x, beta, y, conf)
+
+
 def csrmm(alpha: float, a: CooMatrix | CsrMatrix, b: DenseMatrix, beta: float = 0.0, c: DenseMatrix | None = None, conf: EngineConf | None = None) -> DenseMatrix:
     """alpha A B + beta C for dense B and C, by row arrays."""
     if a.n != b.m or beta != 0 and (c is None or (c.m, c.n) != (a.m, b.n)):
@@ -108,6 +133,52 @@ def spgemm(a: CooMatrix | CsrMatrix, b: CooMatrix | CsrMatrix, conf: EngineConf
     return CooMatrix(conf_of(right, conf).finish(out), a.m, b.n)
 
 
+def _cells(a: Matrix, b: Matrix, conf: EngineConf) -> DataFrame:
+    """(j, sa, sb): into how many parts the entries of a heavy inner index are cut on either side.
+
+    An index is heavy if its products are more than a ``SHARE``-th part of a task's, so there are at most ``SHARE``
+    times as many as tasks.
+    """
+    parts = int(conf.spark.conf.get("spark.sql.shuffle.partitions"))
+    of = lambda df, c, name: df.groupBy(F.col(c).alias("j")).agg(F.count(F.lit(1)).cast("double").alias(name))
+    products = F.col("na") * F.col("nb")
+    lengths = conf.checkpoint(of(entries(a), "j", "na").join(of(entries(b), "i", "nb"), "j"))
+    most = (lengths.agg(F.sum(products)).first()[0] or 0.0) / (parts * SHARE)
+    heavy = []
+    for j, na, nb in lengths.where(products > most).collect() if most else ():  # parts * SHARE rows at most
+        side = math.sqrt(most)
+        sa, sb = (1, math.ceil(na * nb / most)) if na <= side else (math.ceil(na * nb / most), 1) if nb <= side else (math.ceil(na / side), math.ceil(nb / side))
+        heavy.append((j, sa, sb))
+    conf.free(lengths)
+    return conf.spark.createDataFrame(heavy, "j bigint, sa int, sb int")
+
+
+def balanced_products(a: Matrix, b: Matrix, conf: EngineConf | None = None) -> DataFrame:
+    """(i, j, v): every product of A B, dealt so that no task has many more than others whatever inner index they share.
+
+    The entries of a heavy inner index form a grid: A's are cut by row and B's by column, each part is sent to all cells
+    of its row or column of the grid, and a cell's products are bounded.  Other indices are one cell each.
+    """
+    if a.n != b.m:
+        raise InvalidSize(f"inner dimensions {a.n} and {b.m}")
+    conf = conf_of(entries(a), conf)
+    cells = F.broadcast(_cells(a, b, conf))
+    sa, sb = F.coalesce("sa", F.lit(1)), F.coalesce("sb", F.lit(1))
+    of = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    each = lambda n, cell: F.explode(F.transform(F.sequence(F.lit(0), n - 1), cell)).alias("cell")
+    left = entries(a).join(cells, "j", "left").select("j", each(sb, lambda q: of("i", sa) * sb + q), "i", "v")
+    right = entries(b).select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("v").alias("_b")).join(cells, "j", "left").select("j", each(sa, lambda p: p * sb + of("k", sb)), "k", "_b")
+    return left.join(right, ["j", "cell"]).select("i", F.col("k").alias("j"), (F.col("v") * F.col("_b")).alias("v"))
+
+
+def spgemm_balanced(a: Matrix, b: Matrix, conf: EngineConf | None = None) -> CooMatrix:
+    """A B as ``spgemm`` has it, with the products of heavy inner indices cut into cells of bounded work."""
+    kind = "float" if _single(entries(a), entries(b)) else "double"
+    products = balanced_products(a, b, conf)
+    out = products.groupBy("i", "j").agg(F.sum("v").cast(kind).alias("v"))
+    return CooMatrix(conf_of(products, conf).finish(out), a.m, b.n)
+
+
 def spgemm_upper_bound(a: CooMatrix | CsrMatrix, b: CooMatrix | CsrMatrix) -> DataFrame:
     """(i, bound): for each row of A with entries, how many products A B adds up in it."""
     if a.n != b.m:
@@ -135,10 +206,12 @@ def spgemm_bins(a: CooMatrix | CsrMatrix, b: CooMatrix | CsrMatrix) -> DataFrame
 
 
 def matrix_add(a: CooMatrix, b: CooMatrix) -> CooMatrix:
-    """A + B."""
+    """A + B; two stored matrices that are bucketed alike meet without an exchange."""
     if (a.m, a.n) != (b.m, b.n):
         raise InvalidSize("shapes differ")
-    return CooMatrix(a.df.unionAll(b.df).groupBy("i", "j").agg(F.sum("v").alias("v")), a.m, a.n)
+    # Spark 4.1 unions column batches without regard to buckets and still takes the union for bucketed: filters make rows of them
+    own, other = (x.df.where("v IS NOT NULL") for x in (a, b))
+    return CooMatrix(own.unionAll(other).groupBy("i", "j").agg(F.sum("v").alias("v")), a.m, a.n, a.by if a.by == b.by else None)
 
 
 def diagonal(a: CooMatrix | CsrMatrix, inverse: bool = False) -> Vector:

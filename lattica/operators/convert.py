@@ -5,14 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.conf import EngineConf, conf_of
+from lattica.errors import InvalidValue
 from lattica.operators.blas23 import entries
 from lattica.operators.prims import BLOCK, levels_for, scan
-from lattica.types import CooMatrix, CsrMatrix, DenseMatrix
+from lattica.types import BlockedMatrix, CooMatrix, CsrMatrix, DenseMatrix
 
 #: Entries of a block of rows, and how many such blocks a chunk of a long row spans.
 BLOCK_NNZ, CHUNK_BLOCKS = 1024, 3
 
 
+def store(a: CooMatrix | CsrMatrix, by: str = "i", conf: EngineConf | None = None) -> CooMatrix:
+    """The entries as a table bucketed by row (``i``) or column (``j``), which later products and sums read without an exchange.
+
+    Products look entries up by column, sums and packing gather rows.  ``EngineConf.free`` of its frame deletes it.
+    """
+    if by not in ("i", "j"):
+        raise InvalidValue(f"a matrix is stored by i or j, not {by}")
+    own = entries(a)
+    if isinstance(a, CooMatrix) and a.by == by:
+        return a
+    return CooMatrix(conf_of(own, conf).store(own, "matrix", by), a.m, a.n, by)
+
+
+def block_rows(a: CooMatrix, block: int = BLOCK, conf: EngineConf | None = None) -> BlockedMatrix:
+    """The layout that adaptive products read: see ``row_blocks``, whose blocks and chunks it gathers.
+
+    The entries of a long row are dealt to its chunks by a hash of their columns.  Equal coordinates stay together.
+    """
+    conf, own = conf_of(a.df, conf), store(a, "i", conf)
+    rows = conf.checkpoint(row_blocks(own, block).where("nnz > 0"))
+    long, short = rows.where("block < 0"), rows.where("block >= 0")
+    few = long.count()
+    held = F.broadcast(long) if few * 32 <= conf.broadcast_bytes else long
+    i = held.select("i", "chunks")
+    of_long = own.df.join(i, "i").select((-1 - F.col("i")).alias("block"), F.pmod(F.xxhash64("j"), F.col("chunks")).alias("chunk"), "i", "j", "v")
+    of_short = own.df.join(i.select("i"), "i", "left_anti").join(short.select("i", "block"), "i").select("block", F.lit(0).cast("bigint").alias("chunk"), "i", "j", "v")
+    out = conf.store(of_short.unionByName(of_long), "blocks", "block", "chunk")
+    conf.free(rows)
+    if own.df is not a.df:
+        conf.free(own.df)
+    return BlockedMatrix(out, a.m, a.n)
+
+
 def coo2csr(a: CooMatrix, block: int = BLOCK) -> CsrMatrix:
     """Rows packed in column order, with offsets; empty rows are there with nnz 0."""
     packed = a.df.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("_e"))

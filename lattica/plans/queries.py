@@ -193,6 +193,23 @@ query("csrmv_alpha0", f"WITH {Y} SELECT i, 3 * y AS v FROM Y", lambda t: b2.csrm
 query("csrmv_packed", ORACLES["csrmv_beta0"], lambda t: b2.csrmv(1, cv.coo2csr(t.A), t.u).df)
 query("csrmv_shuffled", ORACLES["csrmv_beta0"], lambda t: b2.csrmv(1, t.A, t.u, conf=EngineConf(t.spark, broadcast_bytes=0)).df)
 query("csrmv_extended", ORACLES["csrmv_beta0"], lambda t: b2.csrmv(1, t.A, t.u, conf=EngineConf(t.spark, extended_precision=True)).df)
+query("csrmv_adaptive", ORACLES["csrmv_beta0"], lambda t: b2.csrmv_adaptive(1, cv.block_rows(t.A), t.u).df)
+LONG = "SELECT CAST(l_linenumber AS BIGINT) - 1 AS i, 2 * sum(l_quantity * p_size) + 3e0 * l_linenumber AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_linenumber"
+
+
+def line_numbers(t: Tables) -> tuple[CooMatrix, Vector]:
+    """A matrix with few rows, of a share of all entries each, and a vector with a value for each row."""
+    m = t.table("lineitem").agg(F.max("l_linenumber")).first()[0]
+    own = t.table("lineitem").select((F.col("l_linenumber") - 1).cast("bigint").alias("i"), F.col("l_partkey").cast("bigint").alias("j"), F.col("l_quantity").cast("double").alias("v"))
+    return CooMatrix(own.groupBy("i", "j").agg(F.sum("v").alias("v")), m, t.rows("part")), Vector.of(t.spark.range(m), "id", F.col("id") + 1, m)
+
+
+def long_rows(t: Tables) -> DataFrame:
+    a, y = line_numbers(t)
+    return b2.csrmv_adaptive(2, cv.block_rows(a), t.u, 3, y).df
+
+
+query("csrmv_adaptive_long", LONG, long_rows)
 query("coomv", ORACLES["csrmv"], lambda t: b2.coomv(2, t.A, t.u, 3, t.y).df)
 MM = f"WITH {A}, P AS (SELECT CAST(p_partkey AS BIGINT) AS i, CAST(p_size AS DOUBLE) AS b0, CAST(p_partkey % 11 AS DOUBLE) AS b1 FROM part), O AS (SELECT CAST(o_orderkey AS BIGINT) AS i, o_custkey AS k FROM orders), S AS (SELECT A.i, sum(v * b0) AS c0, sum(v * b1) AS c1, sum(v) AS c2 FROM A JOIN P ON A.j = P.i GROUP BY 1)"
 
@@ -205,11 +222,14 @@ query("csrmm", f"{MM} SELECT O.i, coalesce(c0, 0) AS c0, coalesce(c1, 0) AS c1,
 query("csrmm_beta", f"{MM} SELECT O.i, 2 * coalesce(c0, 0) + 3e0 * (k % 7) AS c0, 2 * coalesce(c1, 0) + 3e0 * (k % 5) AS c1, 2 * coalesce(c2, 0) + 3e0 * (k % 3) AS c2 FROM O LEFT JOIN S USING (i)", lambda t: cells(b2.csrmm(2, t.A, t.B, 3, t.C)))
 query("spgemm_ata", f"WITH {A} SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM A a JOIN A b USING (i) GROUP BY 1, 2", lambda t: b2.spgemm(t.A.transpose(), t.A).df)
 query("spgemm_aq", f"WITH {A}, {Q} SELECT A.i, Q.j, sum(A.v * Q.v) AS v FROM A JOIN Q ON A.j = Q.i GROUP BY 1, 2", lambda t: b2.spgemm(t.A, t.Q).df)
+query("spgemm_balanced", ORACLES["spgemm_aq"], lambda t: b2.spgemm_balanced(t.A, t.Q).df)
+query("spgemm_balanced_hot", "WITH L AS (SELECT l_linenumber AS k, l_suppkey AS s, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2) SELECT CAST(a.s AS BIGINT) AS i, CAST(b.s AS BIGINT) AS j, sum(a.v * b.v) AS v FROM L a JOIN L b USING (k) GROUP BY 1, 2", lambda t: b2.spgemm_balanced(*(lambda a: (a.transpose(), a))(t.matrix("l_linenumber", "l_suppkey", "lineitem", "supplier"))).df)
 BOUND = f"WITH {A}, {Q}, L AS (SELECT i, count(*) AS n FROM Q GROUP BY 1), U AS (SELECT A.i, CAST(sum(n) AS BIGINT) AS bound FROM A JOIN L ON A.j = L.i GROUP BY 1)"
 query("spgemm_upper_bound", f"{BOUND} SELECT i, bound FROM U", lambda t: b2.spgemm_upper_bound(t.A, t.Q))
 query("spgemm_flops", f"{BOUND} SELECT CAST(2 * sum(bound) AS BIGINT) AS flops FROM U", lambda t: b2.spgemm_flops(t.A, t.Q))
 query("spgemm_bins", f"{BOUND}, H AS (SELECT CAST(CASE WHEN coalesce(bound, 0) < 122 THEN coalesce(bound, 0) WHEN bound <= 128 THEN 122 WHEN bound <= 256 THEN 123 WHEN bound <= 512 THEN 124 ELSE 127 END AS BIGINT) AS bin, coalesce(bound, 0) AS bound FROM (SELECT o_orderkey AS i FROM orders) LEFT JOIN U USING (i)) SELECT bin, count(*) AS rows, CAST(sum(bound) AS BIGINT) AS products, CAST(sum(count(*)) OVER (ORDER BY bin) - count(*) AS BIGINT) AS first FROM H GROUP BY 1", lambda t: b2.spgemm_bins(t.A, t.Q))
 query("matrix_add", f"WITH {A} SELECT i, j, 2 * v AS v FROM A", lambda t: b2.matrix_add(t.A, t.A).df)
+query("matrix_add_stored", ORACLES["matrix_add"], lambda t: b2.matrix_add(cv.store(t.A), cv.store(t.A)).df)
 query("transpose", f"WITH {A} SELECT j AS i, i AS j, v FROM A", lambda t: t.A.transpose().df)
 query("symmetrize", f"WITH {A}, S AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM A a JOIN A b USING (i) GROUP BY 1, 2) SELECT i, j, v FROM S UNION ALL SELECT j, i, v FROM S WHERE i <> j", lambda t: b2.spgemm(t.A.transpose(), t.A).symmetrize().df)
 GRAM = f"WITH {A}, D AS (SELECT j AS i, sum(v * v) AS v FROM A GROUP BY 1)"

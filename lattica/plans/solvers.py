@@ -1,9 +1,10 @@
 """Conjugate gradients and BiCGStab over one state frame.
 
 All vectors of an iteration are columns of one frame keyed by i, so updates are projections, dot products and norms
-are column aggregates, and only the products with A join and shuffle.  The state is written to the shared folder
-once for each product, which ends its lineage, and the one before it is deleted; the dot products of a fresh product
-are observed while it is written.  Scalars alone reach the driver.
+are column aggregates, and only the products with A join.  A is stored bucketed by column, the state by index with as
+many buckets, so a product reads both where they lie and shuffles only the sums of its rows.  The state is written to
+the shared folder once for each product, which ends its lineage, and the one before it is deleted; the dot products of
+a fresh product are observed while it is written.  Scalars alone reach the driver.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from lattica.conf import EngineConf, conf_of
 from lattica.errors import InvalidSystemSize, InvalidValue
-from lattica.operators.blas23 import diagonal, entries
+from lattica.operators.blas23 import diagonal
+from lattica.operators.convert import store
 from lattica.types import CooMatrix, CsrMatrix, Vector
 
 #: From a matrix to (i, d), the factors a residual is multiplied by; None multiplies by one.
@@ -77,27 +79,31 @@ def _start(a: CooMatrix | CsrMatrix, b: Vector, x0: Vector | None, control: Solv
 
 
 class _System:
-    """The matrix, dealt by column once, and products of it with columns of the state."""
+    """The matrix, stored by column once, and products of it with columns of the state."""
 
     def __init__(self, a: CooMatrix | CsrMatrix, conf: EngineConf):
         self.conf, self.held = conf, []
-        self.matrix = conf.checkpoint(entries(a).repartition("j"))
+        self.matrix, self.own = store(a, "j", conf).df, not (isinstance(a, CooMatrix) and a.by == "j")
+
+    def product(self, state: DataFrame, column: Column, name: str) -> DataFrame:
+        """The state with A times the column added."""
+        product = self.matrix.join(state.select(F.col("i").alias("j"), column.alias("_x")), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("_x")).alias("_y"))
+        return state.join(product, "i", "left").withColumn(name, F.coalesce("_y", F.lit(0.0))).drop("_y")
 
     def times(self, state: DataFrame, column: Column, name: str, *products: Column) -> tuple[DataFrame, list[float]]:
         """The state with A times the column added, cut from its lineage, and the sums of some columns of it."""
-        product = self.matrix.join(state.select(F.col("i").alias("j"), column.alias("_x")), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("_x")).alias("_y"))
-        out = state.join(product, "i", "left").withColumn(name, F.coalesce("_y", F.lit(0.0))).drop("_y")
-        seen = Observation()
+        out, seen = self.product(state, column, name), Observation()
         if products:
             out = out.observe(seen, *(F.coalesce(F.sum(p), F.lit(0.0)).alias(f"s{k}") for k, p in enumerate(products)))
-        out = self.conf.checkpoint(out)
+        out = self.conf.store(out, "state", "i")
         for table in self.held:  # what the new table was made from
             self.conf.free(table)
         self.held = [out]
         return out, [seen.get[f"s{k}"] for k in range(len(products))]
 
     def end(self) -> None:
-        self.conf.free(self.matrix)
+        if self.own:
+            self.conf.free(self.matrix)
 
 
 def _sums(state: DataFrame, *products: Column) -> list[float]:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Paths of the tables cut inside each open ``scratch``, innermost last.
 _scratch: list[list[str]] = []
 KEY = "spark.checkpoint.dir"
+#: Catalog names of bucketed tables by the path they lie under.
+_named: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
@@ -41,7 +43,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+    """The same rows as a table bucketed and sorted by ``keys``: joins and aggregations on them read it without an exchange.
+
+    Tables with equal numbers of buckets meet bucket by bucket.  The session's catalog knows the table until it is freed.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    if _scratch:
+        _scratch[-1].append(path)
+    _named[path] = "lattica_" + path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").option("path", path).saveAsTable(_named[path])
+    return spark.table(_named[path])
+
+
 def delete(spark: SparkSession, path: str) -> None:
+    if path in _named:
+        spark.sql(f"DROP TABLE IF EXISTS {_named.pop(path)}")
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -60,9 +77,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def free(df: DataFrame) -> None:
     """Delete the table that ``cut`` has written for this frame; frames that read other files stay as they are."""
     spark = df.sparkSession
+    plain = lambda path: path.replace("file:///", "file:/")
+    known = {plain(path): path for path in _named}
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path.startswith(f"{folder(spark)}/lattica/") or path.replace("file:///", "file:/").startswith(f"{folder(spark)}/lattica/".replace("file:///", "file:/")):
-            delete(spark, path)
+        if plain(path).startswith(plain(f"{folder(spark)}/lattica/")):
+            delete(spark, known.get(plain(path), path))
 
 
 def write_text(spark: SparkSession, path: str, content: str) -> None:

@@ -51,11 +51,12 @@ class Vector:
 
 @dataclass(frozen=True)
 class CooMatrix:
-    """(i bigint, j bigint, v) and its shape."""
+    """(i bigint, j bigint, v) and its shape; ``by`` names the coordinate that a stored matrix is bucketed by."""
 
     df: DataFrame
     m: int
     n: int
+    by: str | None = None
 
     @classmethod
     def from_entries(cls, df: DataFrame, i: str, j: str, v: Column | str, m: int, n: int, dup: str = "sum", kind: str = "double") -> CooMatrix:
@@ -65,7 +66,7 @@ class CooMatrix:
         return cls(own.groupBy("i", "j").agg(F.sum("v").cast(kind).alias("v")) if dup == "sum" else own, m, n)
 
     def transpose(self) -> CooMatrix:
-        return CooMatrix(self.df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), self.n, self.m)
+        return CooMatrix(self.df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), self.n, self.m, {"i": "j", "j": "i"}.get(self.by))
 
     def prune(self) -> CooMatrix:
         """Without entries that are zero."""
@@ -76,7 +77,7 @@ class CooMatrix:
         if self.m != self.n:
             raise InvalidSize("only a square matrix can be mirrored")
         mirror = self.df.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), (F.col("v") * sign).alias("v"))
-        return replace(self, df=self.df.unionAll(mirror))
+        return replace(self, df=self.df.unionAll(mirror), by=None)
 
 
 @dataclass(frozen=True)
@@ -88,6 +89,18 @@ class CsrMatrix:
     n: int
 
 
+@dataclass(frozen=True)
+class BlockedMatrix:
+    """(block, chunk, i, j, v), bucketed by block and chunk: whole short rows in a block of their own each, long rows in chunks.
+
+    Blocks of short rows are numbered from 0 and have chunk 0; a long row has a negative block and several chunks.
+    """
+
+    df: DataFrame
+    m: int
+    n: int
+
+
 @dataclass(frozen=True)
 class DenseMatrix:
     """(i, vals array<double>), every array of length n."""

@@ -11,6 +11,8 @@ from lattica.operators import blas1 as b1
 from lattica.operators import blas23 as b2
 from lattica.operators import convert as cv
 from lattica.operators import prims as pr
+from lattica.operators.convert import store
+from lattica.plans import solvers
 from lattica.plans.solvers import SolverControl, bicgstab, cg
 from lattica.types import CooMatrix, DenseMatrix, Vector
 
@@ -69,6 +71,131 @@ def test_accurate_sums(spark):
     assert accurate_sums(df, [], F.col("x")).first().v == pytest.approx(math.fsum(xs), rel=1e-15)
 
 
+def test_accurate_sums_are_exact(spark):
+    rng, groups = random.Random(3), {}
+    for k in range(40):
+        scale = rng.choice([0, 3, 50, 300, -300, -1060, 900, -1074])
+        xs = [rng.choice([-1, 1]) * rng.random() * 2.0 ** (rng.randint(-20, 20) + scale) for _ in range(rng.randrange(1, 40))]
+        groups[k] = xs + [-x for x in xs] + [5e-324, 1.5] if k % 7 == 0 else xs
+    groups |= {100: [1.7e308, -1.7e308, 1e308], 101: [0.0, -0.0], 102: [math.inf, 1.0], 103: [1.0, -1.0]}
+    df = spark.createDataFrame([(k, x) for k, xs in groups.items() for x in xs] + [(1, None)], "k int, x double")
+    got = {r.k: r.v for r in accurate_sums(df, ["k"], F.col("x")).collect()}
+    for k, xs in groups.items():
+        want = math.fsum(xs)
+        assert got[k] == want or abs(got[k] - want) <= math.ulp(want), k
+    for n in (1, 3, 11):  # equal bits however the rows are dealt
+        dealt = df.repartition(n, F.rand(n))
+        assert {r.k: r.v for r in accurate_sums(dealt, ["k"], F.col("x")).collect()} == got
+    mixed = {accurate_sums(df.where("k < 100").repartition(n, F.rand(n)), [], F.col("x")).first().v for n in (1, 4, 9)}
+    assert mixed == {math.fsum(x for k, xs in groups.items() if k < 100 for x in xs)}
+    odd = spark.createDataFrame([(1, math.inf), (1, -math.inf), (2, math.nan), (2, 1.0)], "k int, x double")
+    assert all(math.isnan(r.v) for r in accurate_sums(odd, ["k"], F.col("x")).collect())
+    assert plan_of(accurate_sums(df, ["k"], F.col("x"))).count("Scan ExistingRDD") == 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def exchanged(df, marker):
+    """How many exchanges of a plan have rows of a scan below them that no aggregation has added up."""
+    open_, found = [], 0
+    for line in plan_of(df).splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        open_ = [(d, kind) for d, kind in open_ if d < depth]
+        if "HashAggregate" in line or "SortAggregate" in line or "ObjectHashAggregate" in line:
+            open_.append((depth, "sum"))
+        elif "Exchange hashpartitioning" in line:
+            open_.append((depth, "exchange"))
+        elif marker in line and "FileScan" in line:
+            found += any(kind == "exchange" and not any(k == "sum" for e, k in open_ if e > d) for d, kind in open_)
+    return found
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_solvers_read_the_stored_matrix_where_it_lies(spark, no_broadcast):
+    n, conf = 60, EngineConf(spark)
+    a = coo(spark, [(i, j, 4.0 if i == j else -1.0) for i in range(n) for j in (i - 1, i, i + 1) if 0 <= j < n], n, n)
+    system = solvers._System(a, conf)
+    state = conf.store(vec(spark, [1.0] * n).df.select("i", F.col("v").alias("x")), "state", "i")
+    plan = system.product(state, F.col("x"), "y")
+    assert exchanged(plan, "lattica_matrix") == exchanged(plan, "lattica_state") == 0 and plan_of(plan).count("Exchange hash") == 1
+    plain = CooMatrix(conf.checkpoint(a.df), n, n)
+    loose = plain.df.join(state.select(F.col("i").alias("j"), "x"), "j")
+    assert exchanged(loose, "matrix") + exchanged(loose, "/state-") > 0  # what the check would find otherwise
+    out, (total,) = system.times(state, F.col("x"), "y", F.col("y"))
+    assert "SelectedBucketsCount" in plan_of(out.join(state.select("i"), "i")) and total == 2 * n + 2
+    stored = store(a, "j")
+    assert store(stored, "j") is stored and stored.transpose().by == "i" and stored.symmetrize().by is None
+    b = vec(spark, [float(k % 5) for k in range(n)])
+    got, want = cg(stored, b, control=SolverControl(rel_tol=1e-12, abs_tol=0)), cg(a, b, control=SolverControl(rel_tol=1e-12, abs_tol=0))
+    assert values(got.x) == pytest.approx(values(want.x)) and stored.df.count() == a.df.count()  # a matrix stored by its owner stays
+    names = {r.tableName for r in spark.sql("SHOW TABLES").collect() if r.tableName.startswith("lattica_")}
+    conf.free(stored.df)
+    assert len(names - {r.tableName for r in spark.sql("SHOW TABLES").collect()}) == 1
+    with pytest.raises(InvalidValue):
+        store(a, "v")
+
+
+def test_stored_matrices_add_up_without_an_exchange(spark, no_broadcast):
+    rng = random.Random(4)
+    cells = [{(rng.randrange(20), rng.randrange(20)): float(rng.randrange(1, 9)) for _ in range(90)} for _ in range(2)]
+    a, b = (store(coo(spark, [(i, j, v) for (i, j), v in c.items()], 20, 20)) for c in cells)
+    out = b2.matrix_add(a, b)
+    assert "Exchange" not in plan_of(out.df) and out.by == "i"
+    assert {(r.i, r.j): r.v for r in out.df.collect()} == {k: cells[0].get(k, 0) + cells[1].get(k, 0) for k in cells[0].keys() | cells[1].keys()}
+
+
+def test_adaptive_product_of_a_row_of_a_million(spark):
+    long, n = 1_000_000, 1_000_000
+    rows = spark.range(long).select(F.lit(3).cast("bigint").alias("i"), F.col("id").alias("j"), (F.col("id") % 7).cast("double").alias("v"))
+    short = spark.range(5000).select((5 + F.col("id") % 900).cast("bigint").alias("i"), (F.col("id") * 31 % n).alias("j"), F.lit(2.0).alias("v"))
+    a = CooMatrix(rows.unionAll(short), 1000, n)
+    blocked = cv.block_rows(a)
+    sizes = blocked.df.groupBy("block", "chunk").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("i").alias("rows")).collect()
+    assert {r.rows for r in sizes if r.block < 0} == {1} and len([r for r in sizes if r.block < 0]) == math.ceil(long / 3072)
+    assert max(r.n for r in sizes) < 4096 and sum(r.n for r in sizes) == long + 5000
+    x = Vector.of(spark.range(n), "id", F.col("id") % 5, n)
+    out = b2.csrmv_adaptive(1, blocked, x)
+    assert {r.i: r.v for r in out.df.collect()} == {r.i: r.v for r in b2.csrmv(1, a, x).df.collect()}
+    done = b2.spmv(blocked, x, EngineConf(spark, broadcast_bytes=n * 16))
+    assert exchanged(done.where("i >= 5"), "lattica_blocks") == 0  # short rows are summed where they lie
+    assert {r.i: r.v for r in done.where("i < 10").collect()} == {r.i: r.v for r in b2.spmv(a, x).where("i < 10").collect()}
+    assert {r.i: r.v for r in b2.spmv(blocked, x, EngineConf(spark, broadcast_bytes=0)).collect()} == {r.i: r.v for r in done.collect()}
+
+
+def test_balanced_product_deals_a_hot_index_evenly(spark):
+    conf = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        entries = lambda: spark.range(1500).select(F.col("id").alias("i"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 400).cast("bigint").alias("j"), (F.col("id") % 4 + 1).cast("double").alias("v"))
+        a, b = CooMatrix(entries(), 1500, 400), CooMatrix(entries(), 1500, 400).transpose()
+        made = b2.balanced_products(a, b).groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        sizes = sorted(r.n for r in made.collect())
+        assert len(sizes) == 8 and sizes[-1] <= 3 * sizes[4]
+        plain = a.df.join(b.df.select(F.col("i").alias("j"), F.col("j").alias("k")), "j").groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        skewed = sorted(r.n for r in plain.collect())
+        assert skewed[-1] > 20 * skewed[len(skewed) // 2] and sum(skewed) == sum(sizes)
+        key = lambda df: sorted(map(tuple, df.collect()))
+        assert key(b2.spgemm_balanced(a, b).df) == key(b2.spgemm(a, b).df)
+        nothing = CooMatrix(entries().where("i < 0"), 1500, 400)
+        assert b2.spgemm_balanced(nothing, b).df.count() == 0
+        with pytest.raises(InvalidSize):
+            b2.balanced_products(a, a)
+    finally:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("op,fold", [("sum", sum), ("min", min), ("max", max)])
 def test_scans_over_blocks(spark, op, fold):
     xs = [float((7 * k) % 11) for k in range(50)]
