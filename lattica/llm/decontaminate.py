@@ -7,8 +7,8 @@ marked, longest first, until none of ``min_match`` words is left.  Tiles may lie
 count.  The item is leaked when tiles cover at least ``coverage`` of its words.
 
 Items of fewer than ``min_match`` words are their own only seed.  The benchmark is broadcast whole when its size,
-counted first, is at most ``broadcast_bytes``, and beyond that in as many parts, each of which reads the documents
-once more: documents are never shuffled, and a seed that many documents and items share makes no task larger.
+counted first, is at most ``broadcast_bytes``, and beyond that in parts of at most that size (or of one larger item),
+each of which reads the documents once more: documents are never shuffled, and a seed that many documents and items share makes no task larger.
 
 Tiling lists no pairs of places: for each place of the item the next free place of the document with its hash is
 taken, so a round costs about the words of the document's parts that share seeds with the item.
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattica.llm.shared import cut
 from lattica.llm.tokens import U64, WINDOW_MULT, Words, mix, pieces, power_table, rolling, window_starts, words
 
 TILE = T.StructType([T.StructField(k, T.LongType()) for k in ("doc_word", "item_word", "n_words")])
@@ -200,10 +201,21 @@ class Decontaminator:
         """One row per document and item it leaks, with the tiles; see RESULT."""
         docs = docs.select(F.col(self.id_col).cast("long").alias("doc_id"), F.col(self.text_col).alias("text"))
         items = benchmark.select(F.col(self.item_col).cast("long").alias("item_id"), F.col(self.item_text_col).alias("text"))
-        size = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
-        parts = max(1, math.ceil(size / self.broadcast_bytes))
-        found = [self._broadcast(docs, items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(parts)) == k)) for k in range(parts)]
-        return reduce(DataFrame.unionByName, found)
+        return reduce(DataFrame.unionByName, [self._broadcast(docs, part) for part in self.parts(items)])
+
+    def parts(self, items: DataFrame) -> list[DataFrame]:
+        """The items in parts of at most ``broadcast_bytes``, or of a single item; equal rows are dealt by their place."""
+        bytes_of = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+        size = items.agg(F.sum(bytes_of)).first()[0] or 0
+        if size <= self.broadcast_bytes:
+            return [items]
+        placed, n = cut(items.withColumn("_place", F.monotonically_increasing_id()), "benchmark"), math.ceil(size / self.broadcast_bytes)
+        while True:
+            part = F.pmod(F.xxhash64("text", "item_id", "_place"), F.lit(n))
+            over = placed.groupBy(part.alias("part")).agg(F.sum(bytes_of).alias("size"), F.count(F.lit(1)).alias("n")).where((F.col("size") > self.broadcast_bytes) & (F.col("n") > 1))
+            if over.isEmpty():
+                return [placed.where(part == k).drop("_place") for k in range(n)]
+            n *= 2
 
     def _broadcast(self, docs: DataFrame, items: DataFrame) -> DataFrame:
         rows = sorted((r.item_id is None, r.item_id or 0, r.text or "", r.item_id) for r in items.collect())  # about broadcast_bytes

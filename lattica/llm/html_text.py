@@ -12,6 +12,14 @@ own parts template.  Nor do near copies of an article: one of the sketches of th
 five words, must take enough different values too, and at least a third as many as there are distinct texts, since
 texts that share most of their words mostly share their sketches.
 
+With ``slots`` the host decides what goes, and names no longer do.  Outside the content roots a part of the page is
+also told by its skeleton: its tags, its class, id and role names, and the skeletons of its children, without any
+text.  A menu, a footer or an advert differs from page to page in its words and keeps its skeleton; one that at least
+``slot_share`` of the host's distinct pages have is a slot of the template.  Pages without a content root have no slots,
+as their text may lie in any part.  What is boilerplate by its tag or name alone is added to the template only where
+neither its hash nor its skeleton recurs, as on hosts of a few pages.  The text is then what the template leaves; scripts
+and styles go as markup.
+
 Text: character references decoded, white space inside a block turned into one space, blocks trimmed and joined by
 newlines in page order, empty blocks left out, nothing cut short.  ``br`` is white space.
 
@@ -60,7 +68,9 @@ SKETCHES, UNLIKE = 4, 3
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _MARKED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORD = re.compile(r"[A-Za-z]+")
+_WORD, _DIGITS = re.compile(r"[A-Za-z]+"), re.compile(r"[0-9]+")
+#: Bytes of template rows that are broadcast at most, and of one row, about.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 128
 
 
 class Page:
@@ -168,8 +178,11 @@ class Page:
                 e = self.parent[e]
         return above
 
-    def _kept(self, drop: set[int], outside: bool) -> list[bool]:
-        """Of each element, whether its text is main text: that of the roots, and with ``outside`` of the whole body."""
+    def _kept(self, drop: set[int], outside: bool, names: bool = True) -> list[bool]:
+        """Of each element, whether its text is main text: that of the roots, and with ``outside`` of the whole body.
+
+        Without ``names`` nothing goes by its tag or name but markup that holds no text.
+        """
         roots, within = self.roots
         base, above = self.body(), self._above(roots)
         outside = outside or not roots
@@ -179,7 +192,7 @@ class Page:
             if e in above:
                 kept[e] = within[e] == e or outside and (e == base or kept[p])
             else:
-                kept[e] = kept[p] and e not in drop and not self._boilerplate(e, within[e])
+                kept[e] = kept[p] and e not in drop and not (self._boilerplate(e, within[e]) if names else self.tag[e] in RAW or self.tag[e] == "head")
         return kept
 
     @cached_property
@@ -204,6 +217,32 @@ class Page:
             out[e] = hashes[e]
         return out
 
+    def slots(self) -> dict[int, int]:
+        """Skeletons of the elements outside the content roots of a page that has any; content elements have none."""
+        roots, within = self.roots
+        above, skeletons = self._above(roots), self.skeletons
+        able = range(1, len(self.tag)) if roots else ()
+        return {e: skeletons[e] for e in able if not within[e] and e not in above and self.tag[e] not in CONTENT | RAW and "head" not in (self.tag[e], self.tag[self.parent[e]])}
+
+    def named(self) -> set[int]:
+        """Elements that are boilerplate by their tag or name and lie in no such one."""
+        _, within = self.roots
+        kept = self._whole
+        return {e for e in range(1, len(self.tag)) if not kept[e] and kept[self.parent[e]] and self.tag[e] not in RAW and self.tag[e] != "head"}
+
+    @cached_property
+    def skeletons(self) -> list[int]:
+        """A hash of each element without its text: tag, names without digits, and children's skeletons, repetitions of one collapsed."""
+        children: list[list[int]] = [[] for _ in self.tag]
+        out = [0] * len(self.tag)
+        for e in range(len(self.tag) - 1, -1, -1):  # children come after their parents, later ones first here
+            own = [x for k, x in enumerate(children[e]) if k == 0 or children[e][k - 1] != x]
+            names = sorted({_DIGITS.sub("", n) for m in _MARKED.finditer(self.attrs[e]) for n in _names(m)}) if "=" in self.attrs[e] else []
+            out[e] = _hash("\0".join(["#slot", self.tag[e], *names, *map(str, own)]))
+            if self.tag[e] not in INLINE | RAW:
+                children[self.parent[e]].append(out[e])
+        return out
+
     @cached_property
     def hashes(self) -> list[int]:
         """A hash of each element's subtree, from the leaves up: its tag, its own runs of text, and its children's hashes."""
@@ -236,14 +275,17 @@ class Page:
         own = {r: (_hash(x), _sketch(x)) for r, x in texts.items() if r and x}
         return page, {e: own.get(within[e], page) for e in found}
 
-    def text(self, template: set[int], outside: bool = False) -> str:
+    def text(self, template: set[int], outside: bool = False, names: bool = True) -> str:
         """The main text without template subtrees and boilerplate.
 
         ``outside`` tells that ``template`` is what recurs on the page's host, which then decides what goes of the
-        text outside the content roots.  A page read by itself has no host to tell, and keeps its roots only.
+        text outside the content roots.  A page read by itself has no host to tell, and keeps its roots only.  Without
+        ``names`` the template alone decides, by slots too.
         """
         drop = {e for e, h in self.subtrees().items() if h in template} if template else set()
-        kept = self._kept(drop, outside)
+        if template and not names:
+            drop |= {e for e, h in self.slots().items() if h in template}
+        kept = self._kept(drop, outside, names)
         blocks: list[tuple[int, list[str]]] = []
         # a block's text ends where another block begins or ends, so runs join while nothing but inline markup lies between
         edges = sorted({b for e in range(1, len(self.tag)) if self.tag[e] in BLOCK for b in (self.begin[e], self.end[e])})
@@ -320,56 +362,77 @@ def host_of(url: str):
 
 
 class TemplateRemoval:
-    """Main text of pages; a subtree is template from ``min_pages`` pages and ``min_share`` of its host's pages on."""
+    """Main text of pages; a subtree is template from ``min_pages`` pages and ``min_share`` of its host's pages on.
+
+    ``slots`` lets the host's template alone make the text, with slots from ``slot_share`` of the host's pages on.
+    """
 
-    def __init__(self, min_pages: int = 5, min_share: float = 0.02, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"):
-        if min_pages < 2 or not 0 <= min_share <= 1:
-            raise ValueError("min_pages is at least 2 and min_share lies in [0, 1]")
-        self.min_pages, self.min_share, self.id_col, self.url_col, self.html_col = min_pages, min_share, id_col, url_col, html_col
+    def __init__(self, min_pages: int = 5, min_share: float = 0.02, slots: bool = False, slot_share: float = 0.25, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"):
+        if min_pages < 2 or not 0 <= min_share <= 1 or not 0 <= slot_share <= 1:
+            raise ValueError("min_pages is at least 2, min_share and slot_share lie in [0, 1]")
+        self.slots, self.slot_share, self.min_pages, self.min_share, self.id_col, self.url_col, self.html_col = slots, slot_share, min_pages, min_share, id_col, url_col, html_col
 
     def _keyed(self, pages: DataFrame) -> DataFrame:
         own = pages.select(F.col(self.id_col).alias("page_id"), F.col(self.url_col).alias("url"), F.col(self.html_col).alias("html"))
         return own.withColumn("_key", F.xxhash64("page_id", "url", "html")).withColumn("_host", host_of("url"))
 
     def template(self, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(_key, _host, _content, _sketches, hash) of every candidate subtree, and the (_host, hash, n) that are template.
+        """(_key, _host, _content, _sketches, hash, kind) of every candidate, and the (_host, hash, n, kind) that are template.
 
-        ``_content`` is the text that a subtree is counted by; a row without a hash has that of the page.
+        ``_content`` is the text that a subtree is counted by; a row without a hash has that of the page.  Kinds:
+        ``subtree`` and ``slot``, which recur, and ``name``, whose row also tells the ``slot`` that might decide first.
         """
+        slots = self.slots
 
         def subtrees(batches):
             for b in batches:
-                keys, hosts, contents, sketches, hashes = [], [], [], [], []
+                keys, hosts, contents, sketches, hashes, kinds, places = [], [], [], [], [], [], []
                 for key, host, html in zip(b.column("_key").to_pylist(), b.column("_host").to_pylist(), b.column("html").to_pylist(), strict=True):
                     page = Page(html or "")
                     found = page.subtrees()
                     whole, by = page.contents(found)
-                    own = [(whole, None), *{(by[e], h) for e, h in found.items()}]
+                    own = [(whole, None, "page", None), *{(by[e], h, "subtree", None) for e, h in found.items()}]
+                    if slots:
+                        of = page.slots()
+                        own += {(whole, h, "slot", None) for h in of.values()}
+                        own += {(by[e], found[e], "name", of.get(e)) for e in page.named() & found.keys()}
                     keys += [key] * len(own)
                     hosts += [host] * len(own)
-                    contents += [c for (c, _), _ in own]
-                    sketches += [k for (_, k), _ in own]
-                    hashes += [h for _, h in own]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(hashes, pa.int64())], names=["_key", "_host", "_content", "_sketches", "hash"])
+                    contents += [c for (c, _), *_ in own]
+                    sketches += [k for (_, k), *_ in own]
+                    hashes += [h for _, h, *_ in own]
+                    kinds += [x for _, _, x, _ in own]
+                    places += [p for *_, p in own]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(hashes, pa.int64()), pa.array(kinds, pa.string()), pa.array(places, pa.int64())], names=["_key", "_host", "_content", "_sketches", "hash", "kind", "slot"])
 
         keyed = self._keyed(pages)
-        found = cut(keyed.select("_key", "_host", "html").mapInArrow(subtrees, "_key long, _host string, _content long, _sketches array<long>, hash long"), "subtrees")
-        distinct = found.select("_host", "_content", "_sketches", "hash").distinct()
-        kinds = distinct.where("hash IS NOT NULL").select("_host", "hash", F.posexplode("_sketches").alias("k", "sketch")).groupBy("_host", "hash", "k", "sketch").agg(F.count(F.lit(1)).alias("n"))
-        kinds = kinds.groupBy("_host", "hash", "k").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
-        counted = kinds.groupBy("_host", "hash").agg(F.max("n").alias("n"), F.max("kinds").alias("kinds")).where((F.col("kinds") >= self.min_pages) & (UNLIKE * F.col("kinds") >= F.col("n")))
+        found = cut(keyed.select("_key", "_host", "html").mapInArrow(subtrees, "_key long, _host string, _content long, _sketches array<long>, hash long, kind string, slot long"), "subtrees")
+        distinct = found.where("kind <> 'name'").select("_host", "_content", "_sketches", "hash", "kind").distinct()
+        kinds = distinct.where("hash IS NOT NULL").select("_host", "hash", "kind", F.posexplode("_sketches").alias("k", "sketch")).groupBy("_host", "hash", "kind", "k", "sketch").agg(F.count(F.lit(1)).alias("n"))
+        kinds = kinds.groupBy("_host", "hash", "kind", "k").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
+        counted = kinds.groupBy("_host", "hash", "kind").agg(F.max("n").alias("n"), F.max("kinds").alias("kinds")).where((F.col("kinds") >= self.min_pages) & (UNLIKE * F.col("kinds") >= F.col("n")))
         hosts = distinct.where("hash IS NULL").groupBy("_host").agg(F.count(F.lit(1)).alias("pages"))
-        return found, cut(counted.join(hosts, "_host").where(F.col("n") >= self.min_share * F.col("pages")).select("_host", "hash", "n"), "template")
+        least = F.when(F.col("kind") == "slot", F.lit(self.slot_share)).otherwise(F.lit(self.min_share))
+        recurs = cut(counted.join(hosts, "_host").where(F.col("n") >= least * F.col("pages")).select("_host", "hash", "n", "kind"), "template")
+        if not slots:
+            return found, recurs
+        named = found.where("kind = 'name'").groupBy("_host", "hash", "slot").agg(F.count(F.lit(1)).alias("n"))
+        seen = recurs.select("_host", "hash").distinct()
+        named = named.join(seen.withColumnRenamed("hash", "slot"), ["_host", "slot"], "left_anti").join(seen, ["_host", "hash"], "left_anti")
+        names = named.groupBy("_host", "hash").agg(F.sum("n").alias("n")).withColumn("kind", F.lit("name"))
+        return found, cut(recurs.unionByName(names), "template")
 
     def transform(self, pages: DataFrame) -> DataFrame:
         """(page_id, url, text, n_chars, n_template) of every row; n_template is the number of template subtrees on the page."""
         found, template = self.template(pages)
-        of_page = found.join(template.select("_host", "hash"), ["_host", "hash"]).groupBy("_key").agg(F.collect_set("hash").alias("_drop"))
+        known, slots = template.select("_host", "hash").distinct(), self.slots
+        known = F.broadcast(known) if template.count() * ROW_BYTES <= BROADCAST_BYTES else known
+        of_page = found.where("hash IS NOT NULL").join(known, ["_host", "hash"]).groupBy("_key").agg(F.collect_set("hash").alias("_drop"))
 
         def extract(batches):
             for b in batches:
                 drop = [set(x or ()) for x in b.column("_drop").to_pylist()]
-                texts = [Page(h).text(d, outside=True) if h else "" for h, d in zip(b.column("html").to_pylist(), drop, strict=True)]
+                texts = [Page(h).text(d, outside=True, names=not slots) if h else "" for h, d in zip(b.column("html").to_pylist(), drop, strict=True)]
                 sizes = [pa.array([len(x) for x in v], pa.int64()) for v in (texts, drop)]
                 yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), *sizes], names=["page_id", "url", "text", "n_chars", "n_template"])
 

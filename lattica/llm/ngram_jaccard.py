@@ -8,7 +8,8 @@ overlap at least t, the first ``n - t + l`` shingles of two linked documents sha
 That overlap follows from both sizes, so a pair of like sizes needs shorter prefixes than either alone.
 Each document chooses the l, up to ``levels``, of least estimated cost: the entries of the lists that its longer
 prefix opens to documents of its size, plus verification of at most ``entries / l`` candidates.  A pair must share ``min(l, l')`` shingles
-of the prefixes of that level.  Shingles no other document has are never listed: they cannot match.
+of the prefixes of that level, however it met, before its whole sets are compared.  Shingles no other document has
+are never listed: they cannot match.
 
 Lists are joined in three steps, so that a group of thousands of near copies costs links in proportion to its size:
 first every document of a list meets only two centres, the list's smallest id and one that a hash picks (a batch's
@@ -94,7 +95,7 @@ class NgramJaccardJoin:
         return docs.mapInArrow(sign, "doc_id long, n_shingles long, d1 long, d2 long, _batch long, _row int")
 
     def _listed(self, docs: DataFrame, how: X.Plan, reps: DataFrame) -> DataFrame:
-        """Rows of four kinds: P postings of prefixes, S whole sets of documents that have any, G a batch's centres of a list, L its pairs with them."""
+        """Rows of four kinds: P postings of prefixes, S whole sets of documents that have any with their prefixes, G a batch's centres of a list, L its pairs with them."""
         size, percent, levels, buckets = self.size, self.percent, self.levels, how.buckets
         dealt = X.dealt(docs, how, "text")
         reps = reps.select("_batch", "_row")
@@ -154,7 +155,8 @@ class NgramJaccardJoin:
                 best, chosen = np.where(better, cost, best), np.where(better, lv, chosen)
             keep = level <= chosen[doc]
             doc, keys, position = doc[keep], keys[keep], position[keep]
-            some = np.unique(doc)
+            some = np.unique(doc)  # postings are in order of documents
+            spans = list(zip(np.searchsorted(doc, some).tolist(), np.searchsorted(doc, some, side="right").tolist(), strict=True))
             order = np.lexsort((ids[doc], keys))
             b = _groups(keys[order]) if len(order) else np.zeros(1, np.int64)
             lo = ids[doc[order[b[:-1]]]] if len(order) else ids[:0]
@@ -173,21 +175,35 @@ class NgramJaccardJoin:
                 "b": column(pa.int64(), (2, other), (3, pairs[:, 1])),
                 "n": column(pa.int32(), (0, n[doc].astype(np.int32))),
                 "rest": column(pa.int32(), (0, (n[doc] - position).astype(np.int32))),
-                "chosen": column(pa.int32(), (0, chosen[doc].astype(np.int32))),
+                "chosen": column(pa.int32(), (0, chosen[doc].astype(np.int32)), (1, chosen[some].astype(np.int32))),
                 "hashes": column(pa.list_(pa.int64()), (1, [h[first[d] : first[d + 1]].view(np.int64) for d in some])),
+                "prefix": column(pa.list_(pa.int64()), (1, [keys[i:j].view(np.int64) for i, j in spans])),
+                "rests": column(pa.list_(pa.int32()), (1, [(n[doc[i:j]] - position[i:j]).astype(np.int32) for i, j in spans])),
             })
 
         reps = reps.repartition(how.batch_parts, "_batch")
         sent = dealt.groupBy("_batch").cogroup(reps.groupBy("_batch")).applyInArrow(send, "_bucket int, _batch long, keys binary, counts binary")
         shared = sent.repartition(how.bucket_parts, "_bucket").groupBy("_bucket").applyInArrow(count, "_batch long, keys binary, counts binary").repartition(how.batch_parts, "_batch")
         notes = reps.withColumns({"keys": F.lit(None).cast("binary"), "counts": F.lit(None).cast("binary")}).unionByName(shared.withColumn("_row", F.lit(None).cast("int")))
-        return dealt.groupBy("_batch").cogroup(notes.groupBy("_batch")).applyInArrow(prefixes, "kind string, key long, a long, b long, n int, rest int, chosen int, hashes array<long>")
+        return dealt.groupBy("_batch").cogroup(notes.groupBy("_batch")).applyInArrow(prefixes, "kind string, key long, a long, b long, n int, rest int, chosen int, hashes array<long>, prefix array<long>, rests array<int>")
+
+    @staticmethod
+    def _sets(listed: DataFrame) -> DataFrame:
+        return listed.where("kind = 'S'").select("a", "hashes", F.arrays_zip("prefix", "rests").alias("prefix"), "chosen")
+
+    def _candidates(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs (a, b) with their sets, the level they need, and how many shingles of the prefixes of that level they share."""
+        left, right = (sets.select(F.col("a").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("hashes", "prefix", "chosen"))) for k in "ab")
+        level, n = F.least("chosen_a", "chosen_b"), F.size("hashes_a") + F.size("hashes_b")
+        least = F.ceil(self.percent * n / (100 + self.percent)) - level + 1
+        of = lambda side: F.transform(F.filter(f"prefix_{side}", lambda x: x.rests >= least), lambda x: x.prefix)
+        return pairs.join(left, "a").join(right, "b").withColumns({"need": level, "shared": F.size(F.array_intersect(of("a"), of("b")))})
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose whole sets are similar enough."""
-        left, right = (sets.select(F.col("a").alias(k), F.col("hashes").alias(f"h{k}")) for k in "ab")
-        both = F.size(F.array_intersect("ha", "hb"))
-        return pairs.join(left, "a").join(right, "b").where(100 * both >= self.percent * (F.size("ha") + F.size("hb") - both)).select("a", "b")
+        """The pairs (a, b) that share shingles enough of their prefixes, and whose whole sets are similar enough."""
+        both = F.size(F.array_intersect("hashes_a", "hashes_b"))
+        similar = 100 * both >= self.percent * (F.size("hashes_a") + F.size("hashes_b") - both)
+        return self._candidates(pairs, sets).where(F.when(F.col("shared") >= F.col("need"), similar).otherwise(False)).select("a", "b")
 
     def _sides(self, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The postings that a larger partner may find, by their band, and those that look for smaller ones, by each band they reach.
@@ -221,7 +237,7 @@ class NgramJaccardJoin:
     def links(self, docs: DataFrame, how: X.Plan, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Verified links (a, b) between representatives that leave no component apart: first ones with their components, and more."""
         listed = cut(self._listed(docs, how, reps), "prefixes")
-        sets = listed.where("kind = 'S'").select("a", "hashes")
+        sets = self._sets(listed)
         centres = listed.where("kind = 'G'").select("key", "a", "b")
         drawn = F.greatest(*(F.struct(F.xxhash64("key", x).alias("h"), F.col(x).alias("x")) for x in "ab"))
         lists = centres.groupBy("key").agg(F.min("a").alias("lo"), F.max(F.greatest("a", "b")).alias("hi"), F.max(drawn).alias("p")).where("lo < hi")
@@ -281,7 +297,7 @@ class NgramJaccardJoin:
         """
         listed = cut(self._listed(docs, how, reps), "prefixes")
         postings = listed.where("kind = 'P'").select("key", F.col("a").alias("doc"), "n", "rest", "chosen")
-        return self._verified(cut(self._matches(postings, apart=False), "candidates"), listed.where("kind = 'S'").select("a", "hashes")).distinct()
+        return self._verified(cut(self._matches(postings, apart=False), "candidates"), self._sets(listed)).distinct()
 
     def _members(self, signed: DataFrame, reps: DataFrame) -> DataFrame:
         """(doc_id, n_shingles, rep) of every row: the smallest id with the same set; none for empty sets and null ids."""

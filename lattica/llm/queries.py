@@ -144,7 +144,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.html_text import TemplateRemoval
 
-    return TemplateRemoval().transform(table(spark, sf_dir, "pages"))
+    return TemplateRemoval(slots=True).transform(table(spark, sf_dir, "pages"))
 
 
 @query

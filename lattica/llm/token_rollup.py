@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 KEYS = ["source", "lang", "tokenizer"]
 SNAPSHOT = "snapshot"
+#: Where a store keeps its claims, and the mark that closes it.
+CLAIMS, CLOSED = "claims", "closed"
 DELTA = "source string, lang string, tokenizer string, docs long, tokens long"
 Counter = Callable[[Column], Column]
 
@@ -69,6 +71,10 @@ def bpe_tokens(spark: SparkSession, vocabulary: str, pattern: str) -> Counter:
     return lambda text: F.arrow_udf(count, "long")(text)
 
 
+class StoreClosed(Exception):
+    """The store is compacted into another one, which takes its batches from then on."""
+
+
 class TokenRollup:
     """A store of committed deltas in a folder that all executors share."""
 
@@ -98,9 +104,9 @@ class TokenRollup:
     def _name(self, batch_id: str) -> str:
         return self.spark._jvm.java.util.UUID.nameUUIDFromBytes(bytearray(batch_id.encode())).toString()
 
-    def _content(self, name: str) -> dict[str, str] | None:
+    def _content(self, name: str, folder: str = CLAIMS) -> dict[str, str] | None:
         """What a claim holds: nothing if it is not there, or was left half written."""
-        path = self._path(f"{self.path}/claims/{name}")
+        path = self._path(f"{self.path}/{folder}/{name}")
         if not self._fs.exists(path):
             return None
         stream = self._fs.open(path)
@@ -123,44 +129,62 @@ class TokenRollup:
                 continue
         return out
 
-    def _claim(self, name: str, content: dict[str, str]) -> bool:
+    def _claim(self, name: str, content: dict[str, str], folder: str = CLAIMS) -> bool:
         """Create a claim unless a whole one is there; False if it is."""
-        path, exists = self._path(f"{self.path}/claims/{name}"), "FileAlreadyExists"
+        path, exists = self._path(f"{self.path}/{folder}/{name}"), "FileAlreadyExists"
         try:
             stream = self._fs.create(path, False)
         except Exception as e:  # the store's own refusal decides, not a look beforehand
             if exists not in str(e):
                 raise
-            if self._content(name) is not None:
+            if self._content(name, folder) is not None:
                 return False
             stream = self._fs.create(path, True)
         stream.write(bytearray(json.dumps(content).encode()))
         stream.close()
         return True
 
+    def _refuse_closed(self) -> None:
+        told = self._content(CLOSED, CLOSED)
+        if told is not None:
+            raise StoreClosed(f"{self.path} is compacted into {told['next']}: apply the batch there, which takes it once")
+
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
-        """Commit a batch; False, and nothing changes, if its id has been committed before."""
+        """Commit a batch; False, and nothing changes, if its id has been committed before.
+
+        Raises ``StoreClosed`` if a compaction has begun before the batch was committed, or while it was.  The batch is
+        then to be applied to the store that the error names, which knows whether it has it already.
+        """
+        self._refuse_closed()
         if self._content(self._name(batch_id)) is not None or batch_id in (self._content(SNAPSHOT) or {}):
             return False
         place = f"deltas/{uuid.uuid4().hex}"
         added = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         added.where("docs <> 0 OR tokens <> 0").write.parquet(f"{self.path}/{place}")
-        return self._claim(self._name(batch_id), {batch_id: place})
+        done = self._claim(self._name(batch_id), {batch_id: place})
+        self._refuse_closed()  # a compaction may or may not have seen the claim
+        return done
 
-    def deltas(self) -> DataFrame:
-        """The rows of all committed batches."""
-        places = sorted({p for p in self._claims().values() if p})
+    def deltas(self, claims: dict[str, str] | None = None) -> DataFrame:
+        """The rows of all committed batches, or of those that ``claims`` names."""
+        places = sorted({p for p in (self._claims() if claims is None else claims).values() if p})
         reader = self.spark.read.schema(DELTA)
         return reader.parquet(*(f"{self.path}/{p}" for p in places)) if places else self.spark.createDataFrame([], DELTA)
 
-    def totals(self) -> DataFrame:
+    def totals(self, claims: dict[str, str] | None = None) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens) of the documents that remain."""
-        return self.deltas().groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
+        return self.deltas(claims).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
 
     def compact(self) -> TokenRollup:
-        """A store in a fresh folder whose one snapshot stands for all batches committed here, their ids kept."""
-        claims = self._claims()
-        new = TokenRollup(self.spark, f"{self.path}-{uuid.uuid4().hex[:8]}", self.counters)
-        self.totals().write.parquet(f"{new.path}/deltas/snapshot")
-        new._claim(SNAPSHOT, dict.fromkeys(claims, "deltas/snapshot"))
+        """A store in a fresh folder whose one snapshot stands for all batches committed here, their ids kept.
+
+        This store is closed first, so a batch whose commit meets the compaction is sent on to the new store.  Its
+        snapshot holds just the batches that it names.  A compaction that broke off is taken up by the next one.
+        """
+        self._claim(CLOSED, {"next": f"{self.path}-{uuid.uuid4().hex[:8]}"}, CLOSED)
+        new = TokenRollup(self.spark, self._content(CLOSED, CLOSED)["next"], self.counters)
+        if new._content(SNAPSHOT) is None:
+            claims, place = self._claims(), f"deltas/snapshot-{uuid.uuid4().hex[:8]}"
+            self.totals(claims).write.parquet(f"{new.path}/{place}")
+            new._claim(SNAPSHOT, dict.fromkeys(claims, place))
         return new

@@ -105,6 +105,22 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The non-negative risk of margins of positives and unlabelled rows, and the bracket that it cuts off at 0.
+
+    The loss of a margin z for a label y is the sigmoid of -y z.
+    """
+    mean = lambda x: float(x.mean()) if len(x) else 0.0
+    bracket = mean(_sigmoid(zu)) - prior * mean(_sigmoid(zp))
+    return prior * mean(_sigmoid(-zp)) + max(0.0, bracket), bracket
+
+
+def slopes(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives by the margins of what a step descends: the risk, or minus the bracket where that is negative."""
+    sp, su = prior * _sigmoid(zp) * _sigmoid(-zp) / max(len(zp), 1), _sigmoid(zu) * _sigmoid(-zu) / max(len(zu), 1)
+    return (-2 * sp, su) if risk(zp, zu, prior)[1] >= 0 else (sp, -su)
+
+
 def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, width: int, steps: int = 1500, rate: float = 0.02, batch: int = 2048, l2: float = 3e-5, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk, by Adam steps over mini-batches of feature lists."""
     rng = np.random.default_rng(seed)
@@ -122,9 +138,7 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, width:
             (rows_p, cols_p), (rows_u, cols_u) = stack([pos[i] for i in pi]), stack([unl[i] for i in ui])
             zp = np.bincount(rows_p, w[cols_p], minlength=len(pi)) + w[width]
             zu = np.bincount(rows_u, w[cols_u], minlength=len(ui)) + w[width]
-            bracket = (_sigmoid(zu).mean() if len(ui) else 0.0) - prior * _sigmoid(zp).mean()
-            slope_p, slope_u = prior * _sigmoid(zp) * _sigmoid(-zp) / len(pi), _sigmoid(zu) * _sigmoid(-zu) / max(len(ui), 1)
-            gp, gu = (-2 * slope_p, slope_u) if bracket >= 0 else (slope_p, -slope_u)
+            gp, gu = slopes(zp, zu, prior)
             g = np.bincount(cols_p, gp[rows_p], minlength=width + 1) + np.bincount(cols_u, gu[rows_u], minlength=width + 1) + l2 * w
             g[width] += gp.sum() + gu.sum() - l2 * w[width]
             t += 1

@@ -462,7 +462,10 @@ class PageArchive:
         own = own.withColumns({"payload_length": F.octet_length("html").cast("long"), "payload_digest": F.sha1("html")})
         place = F.struct("page_id", (-F.col("_place")).alias("p"))
         groups = own.where(F.col("payload_length") >= self.min_bytes).groupBy("payload_digest").agg(F.max(place).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1 AND top.page_id IS NOT NULL")
-        joined = own.join(cut(groups.select("payload_digest", F.col("top.page_id").alias("first"), (-F.col("top.p")).alias("first_place")), "payloads"), "payload_digest", "left")
+        # payloads stay where they are: digests meet their groups, and the places of the copies come back
+        of = cut(groups.select("payload_digest", F.col("top.page_id").alias("first"), (-F.col("top.p")).alias("first_place")), "payloads")
+        copies = own.where(F.col("payload_length") >= self.min_bytes).select("_place", "payload_digest").join(of, "payload_digest").select("_place", "first", "first_place")
+        joined = own.join(copies, "_place", "left")
         again = F.col("first").isNotNull() & (F.col("_place") != F.col("first_place"))
         urn = lambda c: F.concat(F.lit(f"<{self.URN}"), F.col(c).cast("string"), F.lit(">"))
         return joined.select(urn("page_id").alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), "target_uri", F.lit(self.date).alias("date"), "payload_digest", F.when(again, urn("first")).alias("refers_to"), "payload_length", F.when(~again, F.encode("html", "UTF-8")).alias("payload"))

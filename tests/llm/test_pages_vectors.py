@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -146,6 +147,39 @@ def test_template_against_brute_force(spark):
     assert sum(plain[k] != want[k][0] for k in pages) > 60  # removal makes the text
 
 
+def test_slots_of_a_host_make_the_text(spark):
+    rng = random.Random(8)
+    line = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    menu = lambda: f"<div class='top-{rng.randrange(99)} bar'><ul>{''.join(f'<li><a href=/{x}>{x}</a></li>' for x in line(rng.randrange(2, 7)).split())}</ul></div>"
+    rows, want = [], {}
+    for k in range(30):
+        own = line(30)
+        odd = f"<section class=intro>{line(5)}</section>" if k == 3 else f"<div class=cookie-banner>{line(4)}</div>" if k == 4 else ""
+        rows.append((k, f"http://big.example/{k}", f"<body>{menu()}<div class=slot>{line(6)}</div>{odd}<article><h1>{k}</h1><p>{own}</p><section><p>{k} more</p></section></article><div class=end>{line(3)} <b>x</b></div></body>"))
+        want[k] = "\n".join([*([odd[len("<section class=intro>") : -len("</section>")]] if k == 3 else []), str(k), own, f"{k} more"])
+    for k in range(30, 33):  # too few pages to tell: names do
+        rows.append((k, f"http://small{k}.example/", f"<body><nav>{line(3)}</nav><div class=ad>{line(5)}</div><article>text {k}</article><footer>{line(3)}</footer></body>"))
+        want[k] = f"text {k}"
+    for k in range(33, 45):  # no content root, no slots
+        rows.append((k, f"http://bare.example/{k}", f"<body><div class=page><p>{k} {line(3)}</p></div><footer>{line(2)}</footer></body>"))
+        want[k] = rows[-1][2].split("<p>")[1].split("</p>")[0]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    operator = TemplateRemoval(slots=True)
+    assert {r.page_id: r.text for r in operator.transform(frame).collect()} == want
+    _, template = operator.template(frame)
+    kinds = {r.kind: r.n for r in template.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert kinds["slot"] >= 3 and kinds["name"] >= 9
+    pages = {k: Page(h) for k, _, h in rows}
+    assert all(p.text(set(), outside=True, names=False) != want[k] for k, p in pages.items())  # without it every page has another text
+    slots = {r.hash for r in template.where("kind = 'slot'").collect()}
+    assert all(pages[k].text(slots, outside=True, names=False) == want[k] for k in range(30) if k != 4)  # and slots alone make it where the host has pages
+    by = Counter(h for k in range(30) for h in set(pages[k].slots().values()))
+    assert slots == {h for h, n in by.items() if n >= 0.25 * 30}
+    assert TemplateRemoval(slots=True).transform(frame.where("page_id < 0")).count() == 0
+    with pytest.raises(ValueError):
+        TemplateRemoval(slot_share=2)
+
+
 def test_hosts_decide_outside_articles(spark):
     side = "<div class=x><p>about us</p></div><p>write to us</p>"
     rows = [(k, f"http://a.example/{k}", f"<body>{side}<div><p>main {k} <b>and</b> more</p></div><article class=teaser>card</article></body>") for k in range(9)]
