@@ -1,7 +1,8 @@
 """A training corpus from raw documents: each stage works on all that the one before it kept.
 
 Within a stage rows are told apart by their place in the table that the stage reads, so rows that repeat an id, or
-have none, are judged each by itself.
+have none, are judged each by itself.  Columns of the input that bear the names of a stage's own columns stay as they
+are; only ``target`` and ``taken`` of the last stage replace such columns.
 """
 
 from __future__ import annotations
@@ -12,11 +13,21 @@ from pyspark.sql import functions as F
 REJECT_AT = 0.7
 
 
-def _placed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A name like this that no column has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _placed(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with their places, and the name of that column."""
     from lattica.ship import ship
 
     ship(spark)
-    return docs.withColumn("_row", F.monotonically_increasing_id())
+    row = _fresh(docs, "_row")
+    return docs.withColumn(row, F.monotonically_increasing_id()), row
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,18 +37,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ship(spark)
     model = PuToxicity().fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return model.transform(docs, "_score").where(F.col("_score") < REJECT_AT).drop("_score")
+    score = _fresh(docs, "_score")
+    return model.transform(docs, score).where(F.col(score) < REJECT_AT).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates; documents without words form no group."""
     from lattica.llm.ngram_jaccard import NgramJaccardJoin
 
-    docs = _placed(spark, docs)
-    classes = NgramJaccardJoin(size=5, percent=75, id_col="_row").classes(docs).select(F.col("doc_id").alias("_row"), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")
-    kept = docs.select("_row", "doc_id").join(classes, "_row").groupBy("component_id").agg(first).select("first._row")
-    return docs.join(kept, "_row", "left_semi").drop("_row")
+    docs, row = _placed(spark, docs)
+    classes = NgramJaccardJoin(size=5, percent=75, id_col=row).classes(docs).select(F.col("doc_id").alias(row), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col(row).alias("row"))).alias("first")
+    kept = docs.select(row, "doc_id").join(classes, row).groupBy("component_id").agg(first).select(F.col("first.row").alias(row))
+    return docs.join(kept, row, "left_semi").drop(row)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +67,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that leak no benchmark item."""
     from lattica.llm.decontaminate import Decontaminator
 
-    docs = _placed(spark, docs)
-    leaks = Decontaminator(min_match=5, coverage=0.5, id_col="_row").leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(leaks.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").drop("_row")
+    docs, row = _placed(spark, docs)
+    leaks = Decontaminator(min_match=5, coverage=0.5, id_col=row).leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(leaks.select(F.col("doc_id").alias(row)).distinct(), row, "left_anti").drop(row)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,9 +79,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     from lattica.llm.mix import SourceMix
 
-    docs = _placed(spark, docs)
-    taken = SourceMix().takes(docs.drop("_row")).where("taken > 0").select("_row", "target", "taken")
-    return docs.drop("target", "taken").join(taken, "_row").drop("_row")
+    placed, row = _placed(spark, docs)
+    taken = SourceMix().takes(docs).where("taken > 0").select(F.col("_row").alias(row), "target", "taken")
+    return placed.drop("target", "taken").join(taken, row).drop(row)
 
 
 STAGES = [("toxicity", toxicity), ("ngram_jaccard", near_duplicates), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("mixing", mixing)]
