@@ -12,7 +12,7 @@ Queries and groups meet as blocks: every pair of a query block and a candidate g
 query merges k rows a group.  A candidate is copied once for every ``query_block`` queries.
 
 Defined results: vectors null, empty, or holding null or non-finite components take no part on either side, nor do
-those with a component whose scaled size reaches the root of 2**62 / length, so that every score has 64 bits; vectors
+those with a component whose scaled size reaches the root of 2**62 / length less 1, so that scores have 64 bits; vectors
 of unlike lengths do not meet; a query's own id is no candidate of it; rows that repeat an id are separate
 candidates; query rows that repeat id and vector ask once, those that repeat an id with another vector ask each for
 itself; fewer candidates than k give fewer rows; an empty table gives an empty result; extra columns play no part.
@@ -135,8 +135,8 @@ class ExactTopK:
         """(id, v) with v the integer vector; rows that can't take part are left out."""
         x = F.col(self.vector_col).cast("array<double>")
         sound = F.size(x) > 0
-        most = F.sqrt(F.lit(2.0**62) / F.size(x))
-        finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(F.floor(e * float(self.scale))) < most) & (F.abs(e) < 2.0**62))
+        most = F.sqrt(F.lit(2.0**62) / F.size(x)) - 1
+        finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e * float(self.scale)) < most))
         rows = vectors.where(F.col(self.id_col).isNotNull() & F.col(self.vector_col).isNotNull()).where(sound & finite)
         return rows.select(F.col(self.id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e * self.scale)).alias("v"))
 
