@@ -19,7 +19,7 @@ from lattica.types import BlockedMatrix, CooMatrix, CsrMatrix, DenseMatrix, Vect
 
 Matrix = CooMatrix | CsrMatrix | BlockedMatrix
 
-#: Columns of a dense operand up to which products are kept as one aggregate each.
+#: Columns of a dense operand, or of a tile of a wider one, whose products are kept as one aggregate each.
 WIDE = 64
 PAIR_BYTES = 16
 #: Bounds below the first number are bins of their own; then the largest bound of a bin, and its number; then the last bin.
@@ -99,7 +99,7 @@ def csrmv_adaptive(alpha: float, a: BlockedMatrix, x: Vector, beta: float = 0.0,
 
 
 def csrmm(alpha: float, a: CooMatrix | CsrMatrix, b: DenseMatrix, beta: float = 0.0, c: DenseMatrix | None = None, conf: EngineConf | None = None) -> DenseMatrix:
-    """alpha A B + beta C for dense B and C, by row arrays."""
+    """alpha A B + beta C for dense B and C, by row arrays; wide rows meet A in tiles of ``WIDE`` columns, summed as such."""
     if a.n != b.m or beta != 0 and (c is None or (c.m, c.n) != (a.m, b.n)):
         raise InvalidSize("shapes of A, B and C do not fit")
     conf, n = conf_of(b.df, conf), b.n
@@ -108,13 +108,16 @@ def csrmm(alpha: float, a: CooMatrix | CsrMatrix, b: DenseMatrix, beta: float =
     if alpha == 0:
         product = every.select("i", F.lit(None).cast("array<double>").alias("_ab"))
     else:
-        joined = entries(a).join(_small(b.df.select(F.col("i").alias("j"), "vals"), b.m, conf, n), "j")
         if n <= WIDE:
+            joined = entries(a).join(_small(b.df.select(F.col("i").alias("j"), "vals"), b.m, conf, n), "j")
             sums = [F.sum(F.col("v") * F.get("vals", F.lit(k))).alias(f"_{k}") for k in range(n)]
             product = joined.groupBy("i").agg(*sums).select("i", F.array(*(f"_{k}" for k in range(n))).alias("_ab"))
         else:
-            cells = joined.select("i", "v", F.posexplode("vals").alias("k", "b")).groupBy("i", "k").agg(F.sum(F.col("v") * F.col("b")).alias("s"))
-            product = cells.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda e: e.s).alias("_ab"))
+            tiles = F.transform(F.sequence(F.lit(0), F.lit((n - 1) // WIDE)), lambda t: F.slice("vals", t * WIDE + 1, WIDE))
+            joined = entries(a).join(_small(b.df.select(F.col("i").alias("j"), F.posexplode(tiles).alias("tile", "part")), b.m, conf, n), "j")
+            per = joined.groupBy("i", "tile").agg(*(F.sum(F.col("v") * F.get("part", F.lit(k))).alias(f"_{k}") for k in range(WIDE)))
+            per = per.select("i", F.struct("tile", F.array(*(f"_{k}" for k in range(WIDE))).alias("part")).alias("t"))
+            product = per.groupBy("i").agg(F.slice(F.flatten(F.transform(F.array_sort(F.collect_list("t")), lambda e: e.part)), 1, n).alias("_ab"))
     base = every if beta == 0 else c.df
     term = F.transform(F.coalesce("_ab", zeros), lambda e: F.lit(float(alpha)) * e)
     out = base.join(product, "i", "left")

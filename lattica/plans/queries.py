@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lattica.conf import EngineConf, __version__
 from lattica.errors import EngineError
+from lattica.events import Queue, wait_all
 from lattica.functions.exprs import accurate_sums
 from lattica.operators import blas1 as b1
 from lattica.operators import blas23 as b2
@@ -21,7 +22,7 @@ from lattica.operators import convert as cv
 from lattica.operators import prims as pr
 from lattica.plans.solvers import SolverControl, bicgstab, cg
 from lattica.sources import mtx
-from lattica.streaming.accumulate import accumulate, accumulate_windows, latest, start
+from lattica.streaming.accumulate import accumulate, accumulate_windows, finals, latest, merged, start, start_final, start_merged
 from lattica.tables import new_path, write_text
 from lattica.types import CooMatrix, DenseMatrix, Vector
 
@@ -137,7 +138,7 @@ query("reduce_int", "SELECT CAST(sum(p_size) AS BIGINT) AS v FROM part", lambda
 query("reduce_float", "SELECT CAST(sum(p_size) AS FLOAT) AS v FROM part", lambda t: b1.reduce(Vector.of(t.table("part"), "p_partkey", "p_size", t.rows("part"), "float")))
 query("reduce_double", "SELECT sum(l_quantity) AS v FROM lineitem", lambda t: b1.reduce(Vector(t.table("lineitem").select(F.lit(0).alias("i"), F.col("l_quantity").alias("v")), t.rows("lineitem"))))
 query("vec_equal_copy", f"WITH {V} SELECT count(*) FILTER (2 * u IS DISTINCT FROM u + u) = 0 AS equal FROM V", lambda t: b1.equal(b1.scale(2, t.u), b1.add(t.u, t.u)))
-query("reduce_empty", f"WITH {V} SELECT coalesce(sum(u), 0) AS v FROM V WHERE u < 0", lambda t: b1.reduce(Vector.constant(t.spark, 0, 1.0)))
+query("reduce_empty", f"WITH {V} SELECT coalesce(sum(u), 0) AS v FROM V WHERE u < 0", lambda t: b1.reduce(Vector(t.u.df.where("v < 0"), t.u.n, dense=False)))
 query("nrm1", f"WITH {V} SELECT sum(abs(u - 3 * w)) AS v FROM V", lambda t: b1.nrm1(b1.axpy(3, t.w, t.u, minus=True)))
 query("nrm2", f"WITH {V} SELECT sqrt(sum(u * u)) AS v FROM V", lambda t: b1.nrm2(t.u))
 query("dot", f"WITH {V} SELECT sum(u * w) AS v FROM V", lambda t: b1.dot(t.u, t.w))
@@ -220,6 +221,30 @@ def cells(m: DenseMatrix) -> DataFrame:
 
 query("csrmm", f"{MM} SELECT O.i, coalesce(c0, 0) AS c0, coalesce(c1, 0) AS c1, coalesce(c2, 0) AS c2 FROM O LEFT JOIN S USING (i)", lambda t: cells(b2.csrmm(1, t.A, t.B)))
 query("csrmm_beta", f"{MM} SELECT O.i, 2 * coalesce(c0, 0) + 3e0 * (k % 7) AS c0, 2 * coalesce(c1, 0) + 3e0 * (k % 5) AS c1, 2 * coalesce(c2, 0) + 3e0 * (k % 3) AS c2 FROM O LEFT JOIN S USING (i)", lambda t: cells(b2.csrmm(2, t.A, t.B, 3, t.C)))
+
+
+def tiled(t: Tables, copies: int) -> DataFrame:
+    """(i, k, c): suppliers x vectors times vectors x components, the components ``copies`` times over, times 1, 2, and so on."""
+    n = t.rows("embeddings")
+    own = t.table("lineitem").select(F.col("l_suppkey").cast("bigint").alias("i"), (F.col("l_partkey") % n).cast("bigint").alias("j"), F.col("l_quantity").alias("v"))
+    times = lambda c: F.transform("embedding", lambda x: F.floor(x * 256.0) * F.lit(float(c)))
+    whole = F.flatten(F.array(*(times(c + 1) for c in range(copies))))
+    b = DenseMatrix(t.table("embeddings").select(F.col("vec_id").cast("bigint").alias("i"), whole.alias("vals")), n, 64 * copies)
+    out = b2.csrmm(1, CooMatrix.from_entries(own, "i", "j", "v", t.rows("supplier"), n), b)
+    return out.df.select("i", F.posexplode("vals").alias("k", "c")).select("i", F.col("k").cast("bigint").alias("k"), "c")
+
+
+def tiled_sql(copies: int) -> str:
+    return f"""WITH W AS (SELECT CAST(l_suppkey AS BIGINT) AS i, l_partkey % (SELECT count(*) FROM embeddings) AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
+        E AS (SELECT vec_id AS j, unnest(generate_series(0, 63)) AS k, floor(CAST(unnest(embedding) AS DOUBLE) * 256) AS b FROM embeddings),
+        S AS (SELECT i, k, sum(v * b) AS c FROM W JOIN E USING (j) GROUP BY 1, 2),
+        G AS (SELECT s_suppkey AS i, unnest(generate_series(0, 63)) AS k FROM supplier),
+        C AS (SELECT G.i, G.k, coalesce(c, 0) AS c, unnest(generate_series(0, {copies - 1})) AS m FROM G LEFT JOIN S USING (i, k))
+        SELECT CAST(i AS BIGINT) AS i, CAST(k + 64 * m AS BIGINT) AS k, c * (m + 1) AS c FROM C"""
+
+
+for _copies in (1, 4):
+    query(f"csrmm_wide_{64 * _copies}", tiled_sql(_copies), lambda t, c=_copies: tiled(t, c))
 query("spgemm_ata", f"WITH {A} SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM A a JOIN A b USING (i) GROUP BY 1, 2", lambda t: b2.spgemm(t.A.transpose(), t.A).df)
 query("spgemm_aq", f"WITH {A}, {Q} SELECT A.i, Q.j, sum(A.v * Q.v) AS v FROM A JOIN Q ON A.j = Q.i GROUP BY 1, 2", lambda t: b2.spgemm(t.A, t.Q).df)
 query("spgemm_balanced", ORACLES["spgemm_aq"], lambda t: b2.spgemm_balanced(t.A, t.Q).df)
@@ -288,44 +313,52 @@ query("solver_zero_rhs", "SELECT CAST(0 AS BIGINT) AS iterations, true AS conver
 query("solver_iteration_cap", "SELECT CAST(3 AS BIGINT) AS iterations, false AS converged", lambda t: summary(t, cg(t.poisson(), ones(t), control=SolverControl(max_iters=3, rel_tol=1e-12, abs_tol=0.0))))
 query("solver_diagonal_system", "SELECT CAST(p_partkey AS BIGINT) AS i, round((p_partkey % 11) / CAST(p_size AS DOUBLE), 9) AS v FROM part", lambda t: cg(CooMatrix(t.u.df.select("i", F.col("i").alias("j"), "v"), t.u.n, t.u.n), t.w, control=SolverControl("diagonal", 5, 1e-12, 0.0)).x.df.select("i", F.round("v", 9).alias("v")))
 
-# Matrix Market files: fixtures written to the shared folder, where driver and executors see them
-FIXTURES = {
-    "general": ("coordinate real general\n% c\n3 4 4\n1 1 1.5\n3 4 2\n1 3 -1\n3 1 0\n", "(0, 0, 1.5), (0, 2, -1), (2, 0, 0), (2, 3, 2)"),
-    "symmetric": ("coordinate real symmetric\n3 3 3\n1 1 2\n2 1 -1\n3 3 5\n", "(0, 0, 2), (0, 1, -1), (1, 0, -1), (2, 2, 5)"),
-    "integer": ("coordinate integer general\n2 2 2\n1 2 7\n2 1 3\n", "(0, 1, 7), (1, 0, 3)"),
-    "pattern": ("coordinate pattern general\n2 2 2\n1 1\n2 2\n", "(0, 0, 1), (1, 1, 1)"),
-    "skew": ("coordinate real skew-symmetric\n2 2 1\n2 1 3\n", "(1, 0, 3), (0, 1, -3)"),
-}
+# Matrix Market files: matrices of the tables written to the shared folder, where driver and executors see them, and read
+def saved(t: Tables, a: CooMatrix, name: str = "a", folder: str | None = None, **options) -> str:
+    path = f"{folder or new_path(t.spark, 'mtx')}/{name}.mtx"
+    mtx.save(a, path, **options)
+    return path
+
+
+def halved(a: CooMatrix) -> CooMatrix:
+    """The matrix with zeros for its even values."""
+    return CooMatrix(a.df.withColumn("v", F.when(F.col("v") % 2 == 0, 0.0).otherwise(F.col("v"))), a.m, a.n)
+
+
+def gram(t: Tables) -> CooMatrix:
+    return b2.spgemm(t.A.transpose(), t.A)
 
 
-def fixture(t: Tables, *names: str) -> str:
-    """The path of the file, or of the folder that holds the files."""
-    folder = new_path(t.spark, "mtx")
-    for name in names:
-        write_text(t.spark, f"{folder}/{name}.mtx", f"%%MatrixMarket matrix {FIXTURES[name][0]}")
-    return f"{folder}/{names[0]}.mtx" if len(names) == 1 else folder
+GRAM_ALL = f"WITH {A}, S AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM A a JOIN A b USING (i) GROUP BY 1, 2)"
+query("mtx_coo_general", f"WITH {A} SELECT * FROM A", lambda t: mtx.read_coo(t.spark, saved(t, t.A)).df)
+query("mtx_coo_symmetric", f"{GRAM_ALL} SELECT * FROM S", lambda t: mtx.read_coo(t.spark, saved(t, gram(t), symmetry="symmetric")).df)
+query("mtx_coo_integer", f"WITH {A} SELECT * FROM A", lambda t: mtx.read_coo(t.spark, saved(t, t.A, field="integer")).df)
+query("mtx_coo_pattern", f"WITH {A} SELECT i, j, 1e0 AS v FROM A", lambda t: mtx.read_coo(t.spark, saved(t, t.A, field="pattern")).df)
+query("mtx_coo_skew", f"{GRAM_ALL} SELECT i, j, CASE WHEN i > j THEN v ELSE -v END AS v FROM S WHERE i <> j", lambda t: mtx.read_coo(t.spark, saved(t, gram(t), symmetry="skew-symmetric")).df)
+query("mtx_coo_without_zeros", f"WITH {A} SELECT * FROM A WHERE v % 2 <> 0", lambda t: mtx.read_coo(t.spark, saved(t, halved(t.A)), zeros=False).df)
+query("mtx_filtered", f"WITH {A} SELECT * FROM A WHERE i < 500 AND j >= 20 AND v <= 30", lambda t: mtx.read_coo(t.spark, saved(t, t.A)).df.where("i < 500 AND j >= 20 AND v <= 30"))
+query("mtx_csr", f"{POINTER} SELECT i, CAST(sum(nnz) OVER (ORDER BY i) - nnz AS BIGINT) AS off, nnz FROM R", lambda t: mtx.read_csr(t.spark, saved(t, t.A)).df.select("i", "off", "nnz"))
 
 
-def literal(rows: str) -> str:
-    return f"SELECT CAST(a AS BIGINT) AS i, CAST(b AS BIGINT) AS j, CAST(c AS DOUBLE) AS v FROM (VALUES {rows}) AS t(a, b, c)"
+def header(t: Tables) -> DataFrame:
+    head = next(iter(mtx.list_matrices(saved(t, gram(t), symmetry="symmetric")).values()))
+    return t.spark.range(1).select(*(F.lit(getattr(head, k)).cast(c).alias(k) for k, c in (("m", "bigint"), ("n", "bigint"), ("nnz", "bigint"), ("symmetry", "string"))))
 
 
-for _name, (_, _rows) in FIXTURES.items():
-    query(f"mtx_coo_{_name}", literal(_rows), lambda t, n=_name: mtx.read_coo(t.spark, fixture(t, n)).df)
-query("mtx_coo_without_zeros", literal("(0, 0, 1.5), (0, 2, -1), (2, 3, 2)"), lambda t: mtx.read_coo(t.spark, fixture(t, "general"), zeros=False).df)
-query("mtx_csr", "SELECT CAST(a AS BIGINT) AS i, CAST(b AS BIGINT) AS off, CAST(c AS BIGINT) AS nnz FROM (VALUES (0, 0, 2), (1, 2, 0), (2, 2, 2)) AS t(a, b, c)", lambda t: mtx.read_csr(t.spark, fixture(t, "general")).df.select("i", "off", "nnz"))
-query("mtx_header", "SELECT CAST(3 AS BIGINT) AS m, CAST(3 AS BIGINT) AS n, CAST(6 AS BIGINT) AS nnz, 'symmetric' AS symmetry", lambda t: t.spark.range(1).select(*(F.lit(getattr(mtx.read_header(fixture(t, "symmetric")), k)).cast(c).alias(k) for k, c in (("m", "bigint"), ("n", "bigint"), ("nnz", "bigint"), ("symmetry", "string")))))
+query("mtx_header", f"{GRAM_ALL} SELECT (SELECT count(*) FROM part) AS m, (SELECT count(*) FROM part) AS n, CAST(2 * count(*) AS BIGINT) AS nnz, 'symmetric' AS symmetry FROM S WHERE i >= j", header)
 
 
 def folder_heads(t: Tables) -> DataFrame:
     """Every matrix of a folder with its shape, bound and the entries it really has."""
-    found = mtx.read_folder(t.spark, path := fixture(t, "general", "integer", "symmetric"))
+    path = new_path(t.spark, "mtx")
+    for name, a in (("a", t.A), ("q", t.Q)):
+        saved(t, a, name, path)
     heads = mtx.list_matrices(path)
-    rows = [a.df.agg(F.count(F.lit(1)).alias("entries")).select(F.lit(p.rsplit("/", 1)[-1]).alias("name"), F.lit(a.m).cast("bigint").alias("m"), F.lit(a.n).cast("bigint").alias("n"), F.lit(heads[p].nnz).cast("bigint").alias("nnz"), "entries") for p, a in found.items()]
+    rows = [a.df.agg(F.count(F.lit(1)).alias("entries")).select(F.lit(p.rsplit("/", 1)[-1]).alias("name"), F.lit(a.m).cast("bigint").alias("m"), F.lit(a.n).cast("bigint").alias("n"), F.lit(heads[p].nnz).cast("bigint").alias("nnz"), "entries") for p, a in mtx.read_folder(t.spark, path).items()]
     return reduce(DataFrame.unionByName, rows)
 
 
-query("mtx_folder", "SELECT a AS name, CAST(b AS BIGINT) AS m, CAST(c AS BIGINT) AS n, CAST(d AS BIGINT) AS nnz, CAST(e AS BIGINT) AS entries FROM (VALUES ('general.mtx', 3, 4, 4, 4), ('integer.mtx', 2, 2, 2, 2), ('symmetric.mtx', 3, 3, 6, 4)) AS t(a, b, c, d, e)", folder_heads)
+query("mtx_folder", f"WITH {A}, {Q} SELECT 'a.mtx' AS name, (SELECT count(*) FROM orders) AS m, (SELECT count(*) FROM part) AS n, count(*) AS nnz, count(*) AS entries FROM A UNION ALL SELECT 'q.mtx', (SELECT count(*) FROM part), (SELECT count(*) FROM supplier), count(*), count(*) FROM Q", folder_heads)
 
 
 def rejects(t: Tables) -> DataFrame:
@@ -348,6 +381,19 @@ def rejects(t: Tables) -> DataFrame:
 REJECTED = {"array.mtx": "InvalidFileFormat", "complex.mtx": "InvalidFileFormat", "short.mtx": "InvalidFileFormat", "name.txt": "InvalidFile", "missing.mtx": "InvalidFile", "shapes": "InvalidSize", "inner": "InvalidSize", "system": "InvalidSystemSize", "scan": "InvalidValue", "control": "InvalidValue"}
 query("rejects", f"SELECT a AS name, b AS error FROM (VALUES {', '.join(f"('{k}', '{v}')" for k, v in REJECTED.items())}) AS t(a, b)", rejects)
 query("csrmv_eager", ORACLES["csrmv_beta0"], lambda t: b2.csrmv(1, t.A, t.u, conf=EngineConf(t.spark, eager=True)).df)
+query("csrmv_checked", ORACLES["csrmv_beta0"], lambda t: b2.csrmv(1, t.A.checked(), t.u).df)
+
+
+def submitted(t: Tables) -> DataFrame:
+    """A u and A w side by side, each computed and written by jobs of its own."""
+    conf = EngineConf(t.spark, eager=True)
+    with Queue(t.spark) as queue:
+        works = [queue.submit(lambda x=x: b2.csrmv(1, t.A, x, conf=conf)) for x in (t.u, t.w)]
+        u, w = wait_all(*works)
+    return u.df.withColumnRenamed("v", "u").join(w.df.withColumnRenamed("v", "w"), "i")
+
+
+query("csrmv_submitted", f"WITH {A}, {V}, S AS (SELECT A.i, sum(A.v * V.u) AS u, sum(A.v * V.w) AS w FROM A JOIN V ON A.j = V.i GROUP BY 1) SELECT O.i, coalesce(u, 0) AS u, coalesce(w, 0) AS w FROM (SELECT CAST(o_orderkey AS BIGINT) AS i FROM orders) O LEFT JOIN S USING (i)", submitted)
 query("engine_version", "SELECT CAST(0 AS BIGINT) AS major, CAST(2 AS BIGINT) AS minor, CAST(0 AS BIGINT) AS patch, CAST(0 AS BIGINT) AS tweak", lambda t: t.spark.range(1).select(*(F.lit(v).cast("bigint").alias(k) for k, v in zip(("major", "minor", "patch", "tweak"), __version__, strict=True))))
 
 
@@ -364,4 +410,21 @@ def finished(t: Tables, matrix: DataFrame) -> DataFrame:
 
 
 query("stream_accumulate", "SELECT CAST(user_id AS BIGINT) AS i, CAST(user_id AS BIGINT) AS j, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY 1", lambda t: finished(t, accumulate(events(t), "user_id", "user_id", F.lit(1))))
+def merged_stream(t: Tables) -> DataFrame:
+    path = new_path(t.spark, "stream")
+    start_merged(accumulate(events(t), "user_id", "user_id", F.lit(1)), f"{path}/table", f"{path}/state").awaitTermination()
+    return merged(t.spark, f"{path}/table")
+
+
+def final_windows(t: Tables) -> DataFrame:
+    """Days that ended an hour before the last event."""
+    path, seconds = new_path(t.spark, "stream"), F.timestamp_seconds(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
+    own = events(t).select(seconds.alias("ts"), (F.col("user_id") % 10).alias("k"))
+    start_final(accumulate_windows(own, "ts", "1 day", "1 hour", "k", "k", F.lit(1)), f"{path}/table", f"{path}/state").awaitTermination()
+    return finals(t.spark, f"{path}/table").withColumn("begin", F.col("begin").cast("long"))
+
+
+query("stream_merged", ORACLES["stream_accumulate"], merged_stream)
+DAYS = "SELECT CAST(epoch(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS begin, CAST(user_id % 10 AS BIGINT) AS i, CAST(user_id % 10 AS BIGINT) AS j, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY 1, 2"
+query("stream_windows_final", f"SELECT * FROM ({DAYS}) WHERE begin + 86400 <= (SELECT floor(epoch(max(ts))) - 3600 FROM events)", final_windows)
 query("stream_windows", "SELECT CAST(epoch(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS begin, CAST(user_id % 10 AS BIGINT) AS i, CAST(user_id % 10 AS BIGINT) AS j, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY 1, 2", lambda t: finished(t, accumulate_windows(events(t).select(F.timestamp_seconds(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")).alias("ts"), (F.col("user_id") % 10).alias("k")), "ts", "1 day", "1 hour", "k", "k", F.lit(1))).withColumn("begin", F.col("begin").cast("timestamp").cast("long")))

@@ -3,13 +3,20 @@
 ``spark.dataSource.register(MtxDataSource)`` makes the format ``mtx``: (i, j, v), 0-based.  The driver reads the head
 of each file; partitions are byte ranges of the entry lines, each parsed at once into Arrow columns.  Symmetric files
 are expanded, with changed sign for skew-symmetric ones; explicit zeros are kept unless ``zeros=false``; pattern
-files hold ones, or seeded random values with ``pattern=rand``.
+files hold ones, or seeded random values with ``pattern=rand``.  Comparisons of i, j and v with numbers are pushed into
+the reader.
+
+Written matrices are folders named ``.mtx`` of files that each have a head of their own, with the whole shape and the
+file's own number of entries.  Tasks write beside the folder's files; the commit moves what they wrote, and deletes
+what other attempts have left.  Readers take such a folder for one matrix.
 """
 
 from __future__ import annotations
 
 import sys
-from dataclasses import dataclass
+import uuid
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
@@ -24,6 +31,8 @@ BANNER = "%%MatrixMarket"
 #: Words of the banner.
 FIELDS, SYMMETRIES = ("real", "integer", "pattern"), ("general", "symmetric", "skew-symmetric", "hermitian")
 RANGE_BYTES = 32 << 20
+#: Entries of a written file, at most, and where files lie until they are committed.
+FILE_ENTRIES, STAGED = 1 << 20, "_staged"
 
 
 @dataclass(frozen=True)
@@ -94,7 +103,18 @@ class MtxReader(D.DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.zeros = options["path"], options.get("zeros", "true").lower() != "false"
         self.pattern, self.seed = options.get("pattern", "one"), int(options.get("seed", 42))
-        self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
+        self.range_bytes, self.where = int(options.get("range_bytes", RANGE_BYTES)), []
+
+    def pushFilters(self, filters: list[D.Filter]) -> Iterable[D.Filter]:
+        """Comparisons with numbers are judged as entries are read; all others are left to Spark."""
+        kinds = {D.EqualTo: "equal", D.GreaterThan: "greater", D.GreaterThanOrEqual: "greater_equal", D.LessThan: "less", D.LessThanOrEqual: "less_equal"}
+        for f in filters:
+            name = kinds.get(type(f))
+            # NaN is the largest value to Spark and none to numpy, so conditions on v count as numpy has them only where NaN fails both
+            if name and len(f.attribute) == 1 and type(f.value) in (int, float) and (f.attribute[0] != "v" or name.startswith(("less", "equal")) and f.value == f.value):
+                self.where.append((f.attribute[0], name, f.value))
+            elif not (isinstance(f, D.IsNotNull) and len(f.attribute) == 1):  # no column holds nulls
+                yield f
 
     def partitions(self) -> list[Range]:
         from pyarrow import fs
@@ -102,7 +122,7 @@ class MtxReader(D.DataSourceReader):
         where, own = _store(self.path)
         info = where.get_file_info(own)
         if info.type == fs.FileType.Directory:
-            found = [i for i in where.get_file_info(fs.FileSelector(own, recursive=True)) if i.path.endswith(".mtx")]
+            found = _files(where, own)
         elif info.type == fs.FileType.File:
             found = [info]
         else:
@@ -147,9 +167,88 @@ class MtxReader(D.DataSourceReader):
         if head.sign:
             off = i != j
             i, j, v = np.concatenate((i, j[off])), np.concatenate((j, i[off])), np.concatenate((v, head.sign * v[off]))
+        if self.where:
+            columns = {"i": i, "j": j, "v": v}
+            ok = np.logical_and.reduce([getattr(np, name)(columns[c], x) for c, name, x in self.where])
+            i, j, v = i[ok], j[ok], v[ok]
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(v)], names=["i", "j", "v"])
 
 
+@dataclass
+class Written(D.WriterCommitMessage):
+    names: list[str]
+
+
+class MtxWriter(D.DataSourceArrowWriter):
+    """Options: ``m``, ``n``, ``field``, ``symmetry``, ``file_entries``."""
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.overwrite, self.attempt = options["path"].rstrip("/"), overwrite, uuid.uuid4().hex
+        self.m, self.n, self.field, self.symmetry = int(options["m"]), int(options["n"]), options.get("field", "real"), options.get("symmetry", "general")
+        self.file_entries = int(options.get("file_entries", FILE_ENTRIES))
+        if not self.path.endswith(".mtx"):
+            raise InvalidFile(f"{self.path}: not named .mtx")
+        if self.field not in FIELDS or self.symmetry not in SYMMETRIES:
+            raise InvalidFileFormat(f"{self.path}: {self.field} {self.symmetry} is not supported")
+
+    def write(self, iterator: Iterator) -> Written:
+        import pyarrow as pa
+
+        where, path = _store(self.path)
+        where.create_dir(f"{path}/{STAGED}-{self.attempt}", recursive=True)
+        names, held, n = [], [], 0
+        for batch in iterator:
+            for at in range(0, len(batch), self.file_entries):
+                piece = batch.slice(at, self.file_entries)
+                if n + len(piece) > self.file_entries:
+                    names.append(self._file(where, path, pa.Table.from_batches(held)))
+                    held, n = [], 0
+                held.append(piece)
+                n += len(piece)
+        if n:
+            names.append(self._file(where, path, pa.Table.from_batches(held)))
+        return Written(names)
+
+    def _head(self, entries: int) -> bytes:
+        return f"{BANNER} matrix coordinate {self.field} {self.symmetry}\n{self.m} {self.n} {entries}\n".encode()
+
+    def _file(self, where, path: str, table) -> str:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = table.combine_chunks()
+        text = lambda c: c.cast(pa.large_string())
+        columns = [text(pc.add(table.column(c).combine_chunks().cast(pa.int64()), 1)) for c in "ij"]
+        if self.field != "pattern":
+            v = table.column("v").combine_chunks()
+            columns.append(text(v.cast(pa.int64()) if self.field == "integer" else v.cast(pa.float64())))
+        lines = pc.binary_join_element_wise(*columns[:-1], pc.binary_join_element_wise(columns[-1], pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())), pa.scalar(" ", pa.large_string()))
+        name = f"part-{uuid.uuid4().hex}.mtx"
+        with where.open_output_stream(f"{path}/{STAGED}-{self.attempt}/{name}", compression=None) as f:
+            f.write(self._head(len(table)))
+            f.write(lines.buffers()[2] or b"")
+        return name
+
+    def commit(self, messages: list[Written | None]) -> None:
+        where, path = _store(self.path)
+        where.create_dir(f"{path}/{STAGED}-{self.attempt}", recursive=True)
+        names = [n for m in messages if m for n in m.names]
+        if not names:  # a matrix without entries has a head all the same
+            names = [f"part-{uuid.uuid4().hex}.mtx"]
+            with where.open_output_stream(f"{path}/{STAGED}-{self.attempt}/{names[0]}", compression=None) as f:
+                f.write(self._head(0))
+        before = [i.path for i in _files(where, path)] if self.overwrite else []
+        for name in names:
+            where.move(f"{path}/{STAGED}-{self.attempt}/{name}", f"{path}/{name}")
+        for name in before:
+            where.delete_file(name)
+        where.delete_dir(f"{path}/{STAGED}-{self.attempt}")
+
+    def abort(self, messages: list[Written | None]) -> None:
+        where, path = _store(self.path)
+        where.delete_dir(f"{path}/{STAGED}-{self.attempt}")
+
+
 class MtxDataSource(D.DataSource):
     """Matrix Market coordinate files."""
 
@@ -163,15 +262,31 @@ class MtxDataSource(D.DataSource):
     def reader(self, schema) -> MtxReader:
         return MtxReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> MtxWriter:
+        return MtxWriter(self.options, overwrite)
+
+
+def _files(where, folder: str) -> list:
+    """The committed files named .mtx in a folder and the folders below it."""
+    from pyarrow import fs
+
+    found = where.get_file_info(fs.FileSelector(folder, recursive=True))
+    return [i for i in found if i.type == fs.FileType.File and i.path.endswith(".mtx") and f"/{STAGED}-" not in i.path]
+
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for module in (sys.modules[__name__], sys.modules["lattica.errors"]):
         cloudpickle.register_pickle_by_value(module)
     spark.dataSource.register(MtxDataSource)
 
 
 def list_matrices(path: str) -> dict[str, MtxHeader]:
-    """The heads of a file, or of all files named .mtx in a folder and the folders below it, by path in name order."""
+    """The heads of a file, or of all matrices in a folder and the folders below it, by path in name order.
+
+    Files of a folder that is named .mtx itself are parts of one matrix, which has the folder's path and the sum of
+    their entries.
+    """
     from pyarrow import fs
 
     where, own = _store(path)
@@ -181,8 +296,15 @@ def list_matrices(path: str) -> dict[str, MtxHeader]:
     if kind != fs.FileType.Directory:
         raise InvalidFile(f"{path}: no such file")
     scheme = path[: path.index(own)] if own in path else "file://"
-    found = sorted(i.path for i in where.get_file_info(fs.FileSelector(own, recursive=True)) if i.type == fs.FileType.File and i.path.endswith(".mtx"))
-    return {p: read_header(p) for p in (f"{scheme}{x}" for x in found)}
+    out: dict[str, MtxHeader] = {}
+    for p in (f"{scheme}{i.path}" for i in sorted(_files(where, own), key=lambda i: i.path)):
+        head, folder = read_header(p), p.rsplit("/", 1)[0]
+        name = folder if folder.endswith(".mtx") else p
+        before = out.get(name)
+        if before and (before.m, before.n, before.field, before.symmetry) != (head.m, head.n, head.field, head.symmetry):
+            raise InvalidFileFormat(f"{p}: unlike the other parts of {name}")
+        out[name] = replace(head, nnz=head.nnz + (before.nnz if before else 0))
+    return out
 
 
 def read_folder(spark: SparkSession, path: str, zeros: bool = True, pattern: str = "one", seed: int = 42, dup: str = "keep") -> dict[str, CooMatrix]:
@@ -191,13 +313,40 @@ def read_folder(spark: SparkSession, path: str, zeros: bool = True, pattern: str
 
 
 def read_coo(spark: SparkSession, path: str, zeros: bool = True, pattern: str = "one", seed: int = 42, dup: str = "keep") -> CooMatrix:
-    """One file's entries; equal coordinates stay apart unless ``dup='sum'``."""
-    head = read_header(path)
+    """The entries of one file or written folder; equal coordinates stay apart unless ``dup='sum'``.
+
+    Spark 4.1 keeps the filters last pushed down with a loaded frame; the condition makes every query push its own.
+    """
+    head = _head_of(path)
     register(spark)
-    df = spark.read.format("mtx").options(zeros=str(zeros).lower(), pattern=pattern, seed=seed).load(path)
+    df = spark.read.format("mtx").options(zeros=str(zeros).lower(), pattern=pattern, seed=seed).load(path).where("i >= 0")
     return CooMatrix.from_entries(df, "i", "j", "v", head.m, head.n, dup)
 
 
+def _head_of(path: str) -> MtxHeader:
+    """The head of a file, or of the matrix that a written folder holds."""
+    from pyarrow import fs
+
+    where, own = _store(path.rstrip("/"))
+    if where.get_file_info(own).type != fs.FileType.Directory:
+        return read_header(path)
+    heads = list_matrices(path.rstrip("/"))
+    if len(heads) != 1:
+        raise InvalidFile(f"{path}: {len(heads)} matrices")
+    return next(iter(heads.values()))
+
+
+def save(a: CooMatrix, path: str, field: str = "real", symmetry: str = "general", mode: str = "append", **options) -> None:
+    """Write a matrix as a folder named .mtx that ``read_coo`` and ``read_folder`` take for one matrix.
+
+    Of a symmetric matrix the entries on and below the diagonal are written, of a skew-symmetric one those below it.
+    Integer fields cut values to whole numbers; patterns leave them out.
+    """
+    register(a.df.sparkSession)
+    own = {"general": "true", "skew-symmetric": "i > j"}.get(symmetry, "i >= j")
+    a.df.where(own).select("i", "j", "v").write.format("mtx").options(m=a.m, n=a.n, field=field, symmetry=symmetry, **options).mode(mode).save(path)
+
+
 def read_csr(spark: SparkSession, path: str, zeros: bool = True, pattern: str = "one", seed: int = 42) -> CsrMatrix:
     from lattica.operators.convert import coo2csr
 

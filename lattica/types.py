@@ -60,10 +60,28 @@ class CooMatrix:
 
     @classmethod
     def from_entries(cls, df: DataFrame, i: str, j: str, v: Column | str, m: int, n: int, dup: str = "sum", kind: str = "double") -> CooMatrix:
-        """Entries from any columns; equal coordinates are added, or kept apart with ``dup='keep'``.  ``kind``: double or float."""
+        """Entries from any columns; equal coordinates are added, kept apart with ``dup='keep'``, or refused with ``dup='error'``.
+
+        ``kind``: double or float.  What is refused raises while a plan that reads the matrix runs.
+        """
         value = F.col(v) if isinstance(v, str) else v
         own = df.select(F.col(i).cast("bigint").alias("i"), F.col(j).cast("bigint").alias("j"), value.cast(kind).alias("v"))
-        return cls(own.groupBy("i", "j").agg(F.sum("v").cast(kind).alias("v")) if dup == "sum" else own, m, n)
+        if dup == "keep":
+            return cls(own, m, n)
+        total = F.sum("v").cast(kind)
+        if dup == "error":
+            total = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.concat(F.lit("repeated coordinate "), _at()))).otherwise(total)
+        return cls(own.groupBy("i", "j").agg(total.alias("v")), m, n)
+
+    def checked(self) -> CooMatrix:
+        """The same entries; a coordinate or value that is null, or a coordinate out of range, raises while they are read.
+
+        The conditions are part of whatever plan reads the matrix, which needs no pass of its own for them.
+        """
+        inside = F.col("i").between(0, self.m - 1) & F.col("j").between(0, self.n - 1) & F.col("v").isNotNull()
+        refuse = F.raise_error(F.concat(F.lit(f"not an entry of a {self.m} x {self.n} matrix: "), _at()))
+        held = lambda c: F.when(F.coalesce(inside, F.lit(False)), F.col(c)).otherwise(refuse.cast("bigint")).alias(c)
+        return replace(self, df=self.df.select(held("i"), held("j"), "v"), by=None)
 
     def transpose(self) -> CooMatrix:
         return CooMatrix(self.df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), self.n, self.m, {"i": "j", "j": "i"}.get(self.by))
@@ -80,6 +98,10 @@ class CooMatrix:
         return replace(self, df=self.df.unionAll(mirror), by=None)
 
 
+def _at() -> Column:
+    return F.concat(*(F.coalesce(F.col(c).cast("string"), F.lit("null")) if c in "ij" else F.lit(c) for c in ("(", "i", ", ", "j", ")")))
+
+
 @dataclass(frozen=True)
 class CsrMatrix:
     """(i, off, nnz, cols, vals), a row for every matrix row, empty ones included."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lattica.conf import EngineConf
 from lattica.errors import InvalidSize, InvalidSystemSize, InvalidValue
+from lattica.events import Queue, wait_all
 from lattica.functions.exprs import accurate_sums, ieee_div
 from lattica.operators import blas1 as b1
 from lattica.operators import blas23 as b2
@@ -408,3 +409,69 @@ def test_scratch_tables_go(spark):
     assert spark.read.parquet(path).count() == 3
     with pytest.raises(Exception, match="(?i)not.*exist"):
         first.collect()
+
+
+@pytest.mark.parametrize("broadcast", [0, 64 << 20])
+def test_wide_operands_go_by_tiles(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(b2, "WIDE", 4)
+    rng = random.Random(2)
+    cells = {(rng.randrange(6), rng.randrange(5)): float(rng.randrange(1, 9)) for _ in range(14)}
+    dense = [[float(rng.randrange(9)) for _ in range(11)] for _ in range(5)]
+    b = DenseMatrix(spark.createDataFrame(list(enumerate(dense)), "i bigint, vals array<double>"), 5, 11)
+    out = b2.csrmm(2, coo(spark, [(i, j, v) for (i, j), v in cells.items()], 6, 5), b, conf=EngineConf(spark, broadcast_bytes=broadcast))
+    got = {r.i: list(r.vals) for r in out.df.collect()}
+    assert got == {i: [sum(2 * v * dense[j][k] for (r, j), v in cells.items() if r == i) for k in range(11)] for i in range(6)}
+    assert "posexplode(vals" not in plan_of(out.df)
+
+
+@pytest.mark.parametrize("entry", [(9, 0, 1.0), (0, -1, 1.0), (None, 0, 1.0), (0, None, 1.0), (1, 1, None)])
+def test_entries_that_do_not_belong_raise(spark, entry):
+    x = vec(spark, [1.0, 2.0])
+    good = coo(spark, [(0, 1, 3.0), (1, 0, 4.0)], 2, 2)
+    assert values(b2.csrmv(1, good.checked(), x)) == values(b2.csrmv(1, good, x))
+    bad = coo(spark, [(0, 1, 3.0), entry], 2, 2).checked()
+    with pytest.raises(Exception, match="not an entry of a 2 x 2 matrix"):
+        b2.csrmv(1, bad, x).df.collect()
+    assert plan_of(b2.csrmv(1, bad, x).df).count("Scan ExistingRDD") == 2  # A and x, once each
+
+
+def test_repeated_coordinates_raise_when_asked(spark):
+    df = spark.createDataFrame([(0, 1, 3.0), (0, 1, 4.0), (1, 1, 1.0)], "a bigint, b bigint, x double")
+    assert sorted(map(tuple, CooMatrix.from_entries(df, "a", "b", "x", 2, 2).df.collect())) == [(0, 1, 7.0), (1, 1, 1.0)]
+    with pytest.raises(Exception, match=r"repeated coordinate \(0, 1\)"):
+        CooMatrix.from_entries(df, "a", "b", "x", 2, 2, dup="error").df.collect()
+    assert CooMatrix.from_entries(df.where("x <> 4"), "a", "b", "x", 2, 2, dup="error").df.count() == 2
+
+
+def slow(spark, seconds, n=4):
+    import time
+
+    def wait(batches):
+        for b in batches:
+            time.sleep(seconds)
+            yield b
+
+    return spark.range(0, n, 1, n).mapInPandas(wait, "id long")
+
+
+def test_events_overlap_wait_and_cancel(spark):
+    import time
+
+    with Queue(spark, 2) as queue:
+        began = time.perf_counter()
+        one, two = (queue.submit(lambda n=n: slow(spark, 3, 2).count() + n) for n in (10, 20))
+        assert not one.done()
+        with pytest.raises(TimeoutError):
+            one.wait(0.01)
+        assert wait_all(one, two) == [12, 22] and one.done() and not one.cancel()
+        together = time.perf_counter() - began
+        long = queue.submit(lambda: slow(spark, 120, 2).count())
+        while not spark.sparkContext.statusTracker().getActiveJobsIds():
+            time.sleep(0.1)
+        assert long.cancel()
+        with pytest.raises(Exception, match="cancel"):
+            long.wait(60)
+        failing = queue.submit(lambda: 1 // 0)
+        with pytest.raises(ZeroDivisionError):
+            failing.wait()
+    assert together < 3 * 2 + 20 and time.perf_counter() - began < 100

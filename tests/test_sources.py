@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from lattica.errors import InvalidFile, InvalidFileFormat
 from lattica.sources import mtx
-from lattica.streaming.accumulate import accumulate, accumulate_windows, latest, start
+from lattica.streaming.accumulate import accumulate, accumulate_windows, compact, finals, latest, merged, start, start_final, start_merged
+from lattica.types import CooMatrix
 
 
 def write(folder, name, body):
@@ -94,3 +95,86 @@ def test_stream_of_windows(spark, tmp_path):
     start(accumulate_windows(stream, "ts", "5 minutes", "1 minute", "i", "i", F.lit(1)), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = sorted((r.begin.minute, r.i, r.v) for r in latest(spark, str(tmp_path / "out")).collect())
     assert got == [(0, 0, 3.0), (0, 1, 2.0), (5, 0, 2.0), (5, 1, 3.0)]
+
+
+def test_saved_matrices_read_back(spark, tmp_path):
+    want = [(k % 7, k, (k % 5 - 2) * 0.1 if k % 11 else 1e300) for k in range(400)] + [(6, 3, float("inf")), (0, 399, 5e-324)]
+    a = CooMatrix(spark.createDataFrame(want, "i bigint, j bigint, v double").repartition(5), 7, 400)
+    path = str(tmp_path / "folder" / "a.mtx")
+    mtx.save(a, path, file_entries=30)
+    names = [p.name for p in (tmp_path / "folder" / "a.mtx").iterdir()]
+    assert len(names) >= 14 and all(n.startswith("part-") and n.endswith(".mtx") for n in names)  # nothing staged is left
+    back = mtx.read_coo(spark, path)
+    assert (back.m, back.n, rows(back)) == (7, 400, sorted(want))
+    mtx.save(CooMatrix(a.df.where("i < 0"), 2, 3), f"file://{tmp_path}/folder/none.mtx")
+    found = mtx.read_folder(spark, str(tmp_path / "folder"))
+    assert {p.rsplit("/", 1)[1]: (x.m, x.n, x.df.count()) for p, x in found.items()} == {"a.mtx": (7, 400, 402), "none.mtx": (2, 3, 0)}
+    assert mtx.list_matrices(path)[path].nnz == 402
+    mtx.save(CooMatrix(a.df.where("j < 9"), 7, 400), path, mode="overwrite")
+    assert rows(mtx.read_coo(spark, path)) == sorted(r for r in want if r[1] < 9)
+    with pytest.raises(InvalidFile, match="2 matrices"):
+        mtx.read_coo(spark, str(tmp_path / "folder"))
+    (tmp_path / "folder" / "a.mtx" / "odd.mtx").write_text("%%MatrixMarket matrix coordinate real general\n9 9 0\n")
+    with pytest.raises(InvalidFileFormat):
+        mtx.read_coo(spark, path)
+
+
+@pytest.mark.parametrize(("field", "symmetry"), [("integer", "symmetric"), ("real", "skew-symmetric"), ("pattern", "general")])
+def test_saved_kinds(spark, tmp_path, field, symmetry):
+    sign = -1 if symmetry == "skew-symmetric" else 1
+    want = {(i, j): float(1 if field == "pattern" else (i + 2 * j + 1) * (sign if i < j else 1)) for i in range(9) for j in range(9) if symmetry == "general" or i > j or i == j and sign > 0}
+    if symmetry != "general":
+        want |= {(j, i): sign * v for (i, j), v in want.items() if i != j}
+    a = CooMatrix(spark.createDataFrame([(i, j, v) for (i, j), v in want.items()], "i bigint, j bigint, v double"), 9, 9)
+    mtx.save(a, str(tmp_path / "x.mtx"), field=field, symmetry=symmetry)
+    assert {(r.i, r.j): r.v for r in mtx.read_coo(spark, str(tmp_path / "x.mtx")).df.collect()} == want
+    with pytest.raises(Exception, match="not supported|not named"):
+        mtx.save(a, str(tmp_path / "x.txt"))
+
+
+def test_failed_writes_leave_nothing(spark, tmp_path):
+    good = CooMatrix(spark.createDataFrame([(0, 0, 1.0)], "i bigint, j bigint, v double"), 1, 1)
+    mtx.save(good, str(tmp_path / "a.mtx"))
+    bad = CooMatrix(spark.range(40).select(F.col("id").alias("i"), F.lit(0).cast("bigint").alias("j"), F.when(F.col("id") == 39, F.raise_error(F.lit("broken")).cast("double")).otherwise(1.0).alias("v")), 40, 1)
+    with pytest.raises(Exception, match="broken"):
+        mtx.save(bad, str(tmp_path / "a.mtx"), mode="overwrite", file_entries=3)
+    assert rows(mtx.read_coo(spark, str(tmp_path / "a.mtx"))) == [(0, 0, 1.0)] and len(list((tmp_path / "a.mtx").iterdir())) == 1
+
+
+def test_conditions_reach_the_reader(spark, tmp_path):
+    want = [(k % 50, k // 50, float(k % 13) - 4 if k % 9 else float("nan")) for k in range(1000)]
+    mtx.save(CooMatrix(spark.createDataFrame(want, "i bigint, j bigint, v double"), 50, 20), str(tmp_path / "a.mtx"))
+    for condition, test in (("i >= 10 AND i < 20 AND j = 3", lambda i, j, v: 10 <= i < 20 and j == 3), ("v < 0", lambda i, j, v: v < 0), ("v > 3", lambda i, j, v: v > 3 or v != v), ("v <> 2 AND j <= 1", lambda i, j, v: v != 2 and j <= 1), ("i + j > 60", lambda i, j, v: i + j > 60), ("v = 5", lambda i, j, v: v == 5)):
+        frame = mtx.read_coo(spark, str(tmp_path / "a.mtx")).df
+        assert sorted(map(str, frame.where(condition).collect())) == sorted(f"Row(i={i}, j={j}, v={v})" for i, j, v in want if test(i, j, v))
+    from pyspark.sql import datasource as D
+
+    reader = mtx.MtxReader({"path": "x"})
+    left = list(reader.pushFilters([D.GreaterThan(("i",), 4), D.IsNotNull(("j",)), D.GreaterThan(("v",), 1.0), D.LessThan(("v",), 9.0), D.EqualTo(("i",), True)]))
+    assert reader.where == [("i", "greater", 4), ("v", "less", 9.0)] and len(left) == 2
+
+
+def test_final_windows_leave_the_state(spark, tmp_path):
+    source, query = tmp_path / "in", None
+    for day in range(4):  # a batch for each day, five days apart
+        spark.createDataFrame([(day * 5 * 86400 + 60 * k, k % 2) for k in range(10)] + ([(0, 9)] if day == 3 else []), "t bigint, i bigint").select(F.timestamp_seconds("t").alias("ts"), "i").coalesce(1).write.mode("append").json(str(source))
+        stream = spark.readStream.schema("ts timestamp, i bigint").json(str(source))
+        query = start_final(accumulate_windows(stream, "ts", "1 day", "1 hour", "i", "i", F.lit(1)), str(tmp_path / "out"), str(tmp_path / "state"))
+        query.awaitTermination()
+        state = [p["stateOperators"][0] for p in query.recentProgress]
+        assert sum(s["numRowsRemoved"] for s in state) == (2 if day else 0) and state[-1]["numRowsTotal"] == 2
+    got = sorted((r.begin.timestamp() // 86400, r.i, r.v) for r in finals(spark, str(tmp_path / "out")).collect())
+    assert got == [(float(5 * d), i, 5.0) for d in range(3) for i in range(2)]  # the last day is open, and what came late is out
+
+
+def test_merged_streams_write_what_changes(spark, tmp_path):
+    source, out, sizes = tmp_path / "in", tmp_path / "out", []
+    for batch, entries in enumerate([[(k, 0) for k in range(20)], [(3, 0), (3, 0), (99, 1)], [(3, 0)]]):
+        spark.createDataFrame([(i, j, 1.0) for i, j in entries], "i bigint, j bigint, v double").coalesce(1).write.mode("append").json(str(source))
+        start_merged(accumulate(spark.readStream.schema("i bigint, j bigint, v double").json(str(source)), "i", "j", "v"), str(out), str(tmp_path / "state")).awaitTermination()
+        sizes.append(spark.read.parquet(f"{out}/{batch:012d}").count())
+    assert sizes == [20, 2, 1]
+    want = sorted([(k, 0, 4.0 if k == 3 else 1.0) for k in range(20)] + [(99, 1, 1.0)])
+    assert sorted(map(tuple, merged(spark, str(out)).collect())) == want
+    compact(spark, str(out))
+    assert len(list(out.iterdir())) == 1 and sorted(map(tuple, merged(spark, str(out)).collect())) == want
