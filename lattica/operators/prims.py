@@ -59,36 +59,38 @@ def scan(df: DataFrame, op: str = "sum", inclusive: bool = True, keys: list[str]
     return out.withColumn(name, merge(F.col("_before"), F.col("_inside"))).drop("_block", "_inside", "_before", "_total")
 
 
-def neighbour(df: DataFrame, column: str, name: str, step: int = -1, order: str = "i", block: int = BLOCK) -> DataFrame:
+def neighbour(df: DataFrame, column: str, name: str, step: int = -1, order: str = "i", block: int = BLOCK, levels: int = 2) -> DataFrame:
     """``column`` of the row before (step -1) or after (step 1) in the order; null at the end of the frame."""
     own = df.withColumn("_block", F.floor(F.col(order) / block))
     local = Window.partitionBy("_block").orderBy(order)
     beside = F.lag(column) if step < 0 else F.lead(column)
     edge = (F.max_by if step < 0 else F.min_by)(column, order)
-    blocks = Window.orderBy("_block")
     edges = own.groupBy("_block").agg(edge.alias("_edge"))
-    edges = edges.select("_block", (F.lag("_edge") if step < 0 else F.lead("_edge")).over(blocks).alias("_beyond"))
+    if levels > 2:
+        edges = neighbour(edges.withColumnRenamed("_block", "_number"), "_edge", "_further", step, "_number", block, levels - 1).select(F.col("_number").alias("_block"), F.col("_further").alias("_beyond"))
+    else:
+        edges = edges.select("_block", (F.lag("_edge") if step < 0 else F.lead("_edge")).over(Window.orderBy("_block")).alias("_beyond"))
     at_edge = beside.over(local).isNull() & ((F.row_number().over(local) == 1) if step < 0 else F.lead(order).over(local).isNull())
     out = own.withColumn("_beside", beside.over(local)).withColumn("_at_edge", at_edge).join(edges, "_block")
     return out.withColumn(name, F.when(F.col("_at_edge"), F.col("_beyond")).otherwise(F.col("_beside"))).drop("_block", "_beside", "_at_edge", "_beyond")
 
 
-def key_change_flags(df: DataFrame, key: str = "key", order: str = "i", block: int = BLOCK) -> DataFrame:
+def key_change_flags(df: DataFrame, key: str = "key", order: str = "i", block: int = BLOCK, levels: int = 2) -> DataFrame:
     """``flag`` 1 where the key differs from the one before it, 0 elsewhere and on the first row."""
-    out = neighbour(df.withColumn("_here", F.lit(1)), key, "_last", -1, order, block)
-    out = neighbour(out, "_here", "_had", -1, order, block)
+    out = neighbour(df.withColumn("_here", F.lit(1)), key, "_last", -1, order, block, levels)
+    out = neighbour(out, "_here", "_had", -1, order, block, levels)
     return out.withColumn("flag", F.when(F.col("_had").isNotNull() & ~F.col(key).eqNullSafe(F.col("_last")), 1).otherwise(0)).drop("_last", "_had", "_here")
 
 
-def run_index(df: DataFrame, key: str = "key", order: str = "i", block: int = BLOCK) -> DataFrame:
+def run_index(df: DataFrame, key: str = "key", order: str = "i", block: int = BLOCK, levels: int = 2) -> DataFrame:
     """``run``: number of the run of equal keys a row lies in, from 0."""
-    return scan(key_change_flags(df, key, order, block), "sum", True, None, order, "flag", block, "run").drop("flag")
+    return scan(key_change_flags(df, key, order, block, levels), "sum", True, None, order, "flag", block, "run", levels).drop("flag")
 
 
-def last_of_run(df: DataFrame, key: str = "key", order: str = "i", block: int = BLOCK) -> DataFrame:
+def last_of_run(df: DataFrame, key: str = "key", order: str = "i", block: int = BLOCK, levels: int = 2) -> DataFrame:
     """The last row of each run of equal keys."""
-    out = neighbour(df.withColumn("_here", F.lit(1)), key, "_next", 1, order, block)
-    out = neighbour(out, "_here", "_has", 1, order, block)
+    out = neighbour(df.withColumn("_here", F.lit(1)), key, "_next", 1, order, block, levels)
+    out = neighbour(out, "_here", "_has", 1, order, block, levels)
     return out.where(F.col("_has").isNull() | ~F.col(key).eqNullSafe(F.col("_next"))).drop("_next", "_has", "_here")
 
 
@@ -105,20 +107,22 @@ def levels_for(n: int, block: int = BLOCK) -> int:
     return levels
 
 
-def sort_by_key(df: DataFrame, key: str, tie: str, descending: bool = False, name: str = "pos", conf: EngineConf | None = None) -> DataFrame:
+def sort_by_key(df: DataFrame, key: str, tie: str, descending: bool = False, name: str = "pos", conf: EngineConf | None = None, ordered: bool = True) -> DataFrame:
     """The frame in key order, ties by ``tie``, with each row's place from 0.
 
-    Keys of any type that sorts, null keys last either way.  Rows are dealt by range of key and tie and written, so
-    that each range's place in the order holds, whatever is computed anew; a row's place is its range's plus its own
-    in the range.
+    Keys of any type that sorts, null keys last either way.  Rows are dealt by range of key and tie, sorted there,
+    numbered and written, so that places hold whatever is computed anew; a row's place is the rows of the ranges before
+    its own plus its number in it.  That takes one exchange of the rows; without ``ordered`` the result comes as it
+    lies, with its places, else sorted by them once more.
     """
     order = [F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last(), F.col(tie).asc_nulls_last()]
-    ranged = conf_of(df, conf).checkpoint(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    numbered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    ranged = conf_of(df, conf).checkpoint(numbered.withColumns({"_part": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id"))
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(*BEFORE)), F.lit(0))
-    placed = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    out = placed.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn(name, F.col("_before") + F.col("_place"))  # a row a range
-    return out.drop("_part", "_place", "_before").orderBy(name)
+    out = ranged.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn(name, F.col("_before") + F.col("_place"))  # a row a range
+    out = out.drop("_part", "_place", "_before")
+    return out.orderBy(name) if ordered else out
 
 
 def sort_coo(df: DataFrame) -> DataFrame:

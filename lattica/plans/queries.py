@@ -165,9 +165,9 @@ for _op in ("sum", "min", "max"):
     query(f"inclusive_scan_{_op}", f"WITH {V} SELECT i, {_op}(w) OVER (ORDER BY i) AS v FROM V", lambda t, o=_op: pr.scan(t.w.df, o))
 query("exclusive_scan", f"WITH {V} SELECT i, coalesce(sum(u) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS v FROM V", lambda t: pr.scan(t.u.df, "sum", inclusive=False))
 query("two_level_scan", f"WITH {V} SELECT i, sum(u) OVER (ORDER BY i) AS v FROM V", lambda t: pr.scan(t.u.df, "sum", block=128))
-query("sort_coo", f"WITH {A} SELECT i, j, v, row_number() OVER (ORDER BY i, j) - 1 AS pos FROM A", lambda t: pr.sort_by_key(t.A.df, "i", "j"))
-query("sort_by_key_asc", "SELECT p_size AS key, p_partkey AS i, row_number() OVER (ORDER BY p_size, p_partkey) - 1 AS pos FROM part", lambda t: pr.sort_by_key(t.table("part").select(F.col("p_size").alias("key"), F.col("p_partkey").alias("i")), "key", "i"))
-query("sort_by_key_desc", "SELECT p_size AS key, p_partkey AS i, row_number() OVER (ORDER BY p_size DESC, p_partkey) - 1 AS pos FROM part", lambda t: pr.sort_by_key(t.table("part").select(F.col("p_size").alias("key"), F.col("p_partkey").alias("i")), "key", "i", descending=True))
+query("sort_coo", f"WITH {A} SELECT i, j, v, row_number() OVER (ORDER BY i, j) - 1 AS pos FROM A", lambda t: pr.sort_by_key(t.A.df, "i", "j", ordered=False))
+query("sort_by_key_asc", "SELECT p_size AS key, p_partkey AS i, row_number() OVER (ORDER BY p_size, p_partkey) - 1 AS pos FROM part", lambda t: pr.sort_by_key(t.table("part").select(F.col("p_size").alias("key"), F.col("p_partkey").alias("i")), "key", "i", ordered=False))
+query("sort_by_key_desc", "SELECT p_size AS key, p_partkey AS i, row_number() OVER (ORDER BY p_size DESC, p_partkey) - 1 AS pos FROM part", lambda t: pr.sort_by_key(t.table("part").select(F.col("p_size").alias("key"), F.col("p_partkey").alias("i")), "key", "i", descending=True, ordered=False))
 
 # conversions
 POINTER = f"WITH {A}, R AS (SELECT Y.i, coalesce(n, 0) AS nnz FROM (SELECT CAST(o_orderkey AS BIGINT) AS i FROM orders) Y LEFT JOIN (SELECT i, count(*) AS n FROM A GROUP BY 1) USING (i))"
@@ -266,7 +266,7 @@ LINES = "WITH G AS (SELECT CAST(l_linenumber AS BIGINT) - 1 AS i, count(*) AS nn
 query("row_blocks_long", LINES, lambda t: cv.row_blocks(CooMatrix(t.table("lineitem").select((F.col("l_linenumber") - 1).cast("bigint").alias("i"), F.monotonically_increasing_id().alias("j"), F.col("l_quantity").alias("v")), t.table("lineitem").agg(F.max("l_linenumber")).first()[0], 1 << 62)))
 query("csrmv_float", f"WITH {A}, {V}, {AX} SELECT O.i, CAST(coalesce(s, 0) AS FLOAT) AS v FROM (SELECT CAST(o_orderkey AS BIGINT) AS i FROM orders) O LEFT JOIN AX USING (i)", lambda t: b2.csrmv(1, t.matrix("l_orderkey", "l_partkey", "orders", "part", "float"), Vector.of(t.table("part"), "p_partkey", "p_size", t.rows("part"), "float")).df)
 query("spgemm_float", f"WITH {A}, {Q} SELECT A.i, Q.j, CAST(sum(A.v * Q.v) AS FLOAT) AS v FROM A JOIN Q ON A.j = Q.i GROUP BY 1, 2", lambda t: b2.spgemm(t.matrix("l_orderkey", "l_partkey", "orders", "part", "float"), t.matrix("l_partkey", "l_suppkey", "part", "supplier", "float")).df)
-query("sort_by_double_key", "SELECT l_extendedprice AS key, row_number() OVER (ORDER BY l_extendedprice, l_orderkey * 100 + l_linenumber) - 1 AS pos FROM lineitem", lambda t: pr.sort_by_key(t.table("lineitem").select(F.col("l_extendedprice").alias("key"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("i")), "key", "i").drop("i"))
+query("sort_by_double_key", "SELECT l_extendedprice AS key, row_number() OVER (ORDER BY l_extendedprice, l_orderkey * 100 + l_linenumber) - 1 AS pos FROM lineitem", lambda t: pr.sort_by_key(t.table("lineitem").select(F.col("l_extendedprice").alias("key"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("i")), "key", "i", ordered=False).drop("i"))
 
 # solvers
 TIGHT = SolverControl(rel_tol=1e-12, abs_tol=0.0, max_iters=60)

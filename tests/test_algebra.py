@@ -475,3 +475,22 @@ def test_events_overlap_wait_and_cancel(spark):
         with pytest.raises(ZeroDivisionError):
             failing.wait()
     assert together < 3 * 2 + 20 and time.perf_counter() - began < 100
+
+
+def test_sorting_exchanges_rows_once(spark):
+    df = spark.range(500).select((F.col("id") * 7 % 50).alias("key"), "id")
+    out = pr.sort_by_key(df, "key", "id", ordered=False)
+    assert "Exchange hashpartitioning(key" not in plan_of(out) and "rangepartitioning" not in plan_of(out)
+    want = sorted(((k * 7 % 50, k) for k in range(500)))
+    assert sorted((r.pos, r.key, r.id) for r in out.collect()) == [(p, *w) for p, w in enumerate(want)]
+
+
+def test_neighbours_of_many_blocks(spark):
+    df = vec(spark, [float(k * k % 10) for k in range(60)]).df.where("i % 7 <> 3").select("i", F.col("v").alias("key"))
+    for step in (-1, 1):
+        plain, deep = ({r.i: r.b for r in pr.neighbour(df, "key", "b", step, block=3, levels=n).collect()} for n in (2, 4))
+        assert plain == deep
+    rows = [r.i for r in df.orderBy("i").collect()]
+    assert [deep[i] for i in rows[:-1]] == [float(j * j % 10) for j in rows[1:]] and deep[rows[-1]] is None
+    assert [r.run for r in pr.run_index(df, block=3, levels=4).orderBy("i").collect()] == [r.run for r in pr.run_index(df).orderBy("i").collect()]
+    assert sorted(r.i for r in pr.last_of_run(df, block=3, levels=4).collect()) == sorted(r.i for r in pr.last_of_run(df).collect())
