@@ -1,12 +1,15 @@
-"""Timing of repeated runs: mean, deviation, and runs that lie too far off left out."""
+"""Timing of repeated runs on the driver's clock, and what the executors have spent on a run."""
 
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from statistics import fmean, pstdev
 
+from pyspark.sql import SparkSession
+
 
 @dataclass
 class Timer:
@@ -36,3 +39,46 @@ class Timer:
         gone = len(self.seconds) - len(kept)
         self.seconds = kept or self.seconds
         return gone if kept else 0
+
+
+@dataclass(frozen=True)
+class Spent:
+    """What all tasks of a run took together, as the session's own metrics of its stages have it."""
+
+    stages: int = 0
+    tasks: int = 0
+    task_seconds: float = 0.0
+    cpu_seconds: float = 0.0
+    input_bytes: int = 0
+    shuffle_read: int = 0
+    shuffle_written: int = 0
+    spilled: int = 0
+
+
+def spent(spark: SparkSession, thing: Callable[[], object]) -> Spent:
+    """Run something and add up the metrics of the stages of all jobs that it started from this thread."""
+    sc, tag = spark.sparkContext, f"lattica-{uuid.uuid4().hex}"
+    sc.addJobTag(tag)
+    try:
+        thing()
+    finally:
+        sc.removeJobTag(tag)
+    context = sc._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    store = context.statusStore()
+    stages = set()
+    for job in context.statusTracker().getJobIdsForTag(tag):
+        ids = store.job(job).stageIds()
+        stages |= {ids.apply(k) for k in range(ids.size())}
+    ran = [s for s in (store.lastStageAttempt(k) for k in stages) if s.numCompleteTasks()]  # stages whose output was there already ran none
+    total = lambda of: sum(of(s) for s in ran)
+    return Spent(
+        len(ran),
+        total(lambda s: s.numCompleteTasks()),
+        total(lambda s: s.executorRunTime()) / 1e3,
+        total(lambda s: s.executorCpuTime()) / 1e9,
+        total(lambda s: s.inputBytes()),
+        total(lambda s: s.shuffleReadBytes()),
+        total(lambda s: s.shuffleWriteBytes()),
+        total(lambda s: s.diskBytesSpilled()),
+    )

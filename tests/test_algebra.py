@@ -494,3 +494,14 @@ def test_neighbours_of_many_blocks(spark):
     assert [deep[i] for i in rows[:-1]] == [float(j * j % 10) for j in rows[1:]] and deep[rows[-1]] is None
     assert [r.run for r in pr.run_index(df, block=3, levels=4).orderBy("i").collect()] == [r.run for r in pr.run_index(df).orderBy("i").collect()]
     assert sorted(r.i for r in pr.last_of_run(df, block=3, levels=4).collect()) == sorted(r.i for r in pr.last_of_run(df).collect())
+
+
+def test_metrics_of_a_run(spark):
+    from lattica.timing import spent
+
+    other = spent(spark, lambda: spark.range(10).count())
+    of = spent(spark, lambda: spark.range(0, 200_000, 1, 3).groupBy((F.col("id") % 1000).alias("k")).count().write.format("noop").mode("overwrite").save())
+    assert of.stages == 2 and of.tasks >= 4 and of.cpu_seconds > 0 and of.task_seconds > 0
+    assert of.shuffle_written == of.shuffle_read > 8000 > other.shuffle_written and of.spilled == 0
+    with pytest.raises(ZeroDivisionError):
+        spent(spark, lambda: 1 // 0)
