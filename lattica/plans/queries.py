@@ -336,7 +336,7 @@ query("mtx_coo_integer", f"WITH {A} SELECT * FROM A", lambda t: mtx.read_coo(t.s
 query("mtx_coo_pattern", f"WITH {A} SELECT i, j, 1e0 AS v FROM A", lambda t: mtx.read_coo(t.spark, saved(t, t.A, field="pattern")).df)
 query("mtx_coo_skew", f"{GRAM_ALL} SELECT i, j, CASE WHEN i > j THEN v ELSE -v END AS v FROM S WHERE i <> j", lambda t: mtx.read_coo(t.spark, saved(t, gram(t), symmetry="skew-symmetric")).df)
 query("mtx_coo_without_zeros", f"WITH {A} SELECT * FROM A WHERE v % 2 <> 0", lambda t: mtx.read_coo(t.spark, saved(t, halved(t.A)), zeros=False).df)
-query("mtx_filtered", f"WITH {A} SELECT * FROM A WHERE i < 500 AND j >= 20 AND v <= 30", lambda t: mtx.read_coo(t.spark, saved(t, t.A)).df.where("i < 500 AND j >= 20 AND v <= 30"))
+query("mtx_filtered", f"WITH {A} SELECT * FROM A WHERE i < 500 AND j >= 20 AND v <= 30", lambda t: mtx.read_coo(t.spark, saved(t, t.A, ranged=True, file_entries=1 << 12)).df.where("i < 500 AND j >= 20 AND v <= 30"))
 query("mtx_csr", f"{POINTER} SELECT i, CAST(sum(nnz) OVER (ORDER BY i) - nnz AS BIGINT) AS off, nnz FROM R", lambda t: mtx.read_csr(t.spark, saved(t, t.A)).df.select("i", "off", "nnz"))
 
 

@@ -8,7 +8,8 @@ the reader.
 
 Written matrices are folders named ``.mtx`` of files that each have a head of their own, with the whole shape and the
 file's own number of entries.  Tasks write beside the folder's files; the commit moves what they wrote, and deletes
-what other attempts have left.  Readers take such a folder for one matrix.
+what other attempts have left.  Readers take such a folder for one matrix.  A comment in each head tells the rows and
+columns its entries span, and files that a pushed condition excludes are not opened again.
 """
 
 from __future__ import annotations
@@ -33,11 +34,16 @@ FIELDS, SYMMETRIES = ("real", "integer", "pattern"), ("general", "symmetric", "s
 RANGE_BYTES = 32 << 20
 #: Entries of a written file, at most, and where files lie until they are committed.
 FILE_ENTRIES, STAGED = 1 << 20, "_staged"
+#: What a comment with the spans of a file's lines begins with; rows and columns in it count from 0.
+SPANS = b"%spans "
 
 
 @dataclass(frozen=True)
 class MtxHeader:
-    """Shape and kind of a file; ``nnz`` counts a symmetric file's entries twice, as the bound it is."""
+    """Shape and kind of a file; ``nnz`` counts a symmetric file's entries twice, as the bound it is.
+
+    ``spans`` are the first and last row and the first and last column of its lines, if a comment tells them.
+    """
 
     m: int
     n: int
@@ -45,6 +51,7 @@ class MtxHeader:
     field: str
     symmetry: str
     begin: int
+    spans: tuple[int, int, int, int] | None = None
 
     @property
     def sign(self) -> int:
@@ -91,7 +98,9 @@ def _header(f, path: str) -> MtxHeader:
     if len(numbers) != 3 or not all(x.isdigit() for x in numbers):
         raise InvalidFileFormat(f"{path}: no size line of three numbers")
     m, n, nnz = map(int, numbers)
-    return MtxHeader(m, n, nnz * (1 if symmetry == "general" else 2), field, symmetry, min(sum(len(x) + 1 for x in lines[: size + 1]), len(data)))
+    told = next((x[len(SPANS) :].split() for x in lines[1:size] if x.startswith(SPANS)), ())
+    spans = tuple(int(x) for x in told) if len(told) == 4 and all(x.isdigit() for x in told) else None
+    return MtxHeader(m, n, nnz * (1 if symmetry == "general" else 2), field, symmetry, min(sum(len(x) + 1 for x in lines[: size + 1]), len(data)), spans)
 
 
 class Range(D.InputPartition):
@@ -103,7 +112,7 @@ class MtxReader(D.DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.zeros = options["path"], options.get("zeros", "true").lower() != "false"
         self.pattern, self.seed = options.get("pattern", "one"), int(options.get("seed", 42))
-        self.range_bytes, self.where = int(options.get("range_bytes", RANGE_BYTES)), []
+        self.range_bytes, self.where, self.skipped = int(options.get("range_bytes", RANGE_BYTES)), [], 0
 
     def pushFilters(self, filters: list[D.Filter]) -> Iterable[D.Filter]:
         """Comparisons with numbers are judged as entries are read; all others are left to Spark."""
@@ -116,6 +125,15 @@ class MtxReader(D.DataSourceReader):
             elif not (isinstance(f, D.IsNotNull) and len(f.attribute) == 1):  # no column holds nulls
                 yield f
 
+    def _excluded(self, head: MtxHeader) -> bool:
+        """Whether no line of a file, nor its mirror image, can meet the conditions."""
+        if head.spans is None:
+            return False
+        i, j = head.spans[:2], head.spans[2:]
+        ways = [{"i": i, "j": j}] + ([{"i": j, "j": i}] if head.sign else [])
+        able = {"equal": lambda lo, hi, x: lo <= x <= hi, "greater": lambda lo, hi, x: hi > x, "greater_equal": lambda lo, hi, x: hi >= x, "less": lambda lo, hi, x: lo < x, "less_equal": lambda lo, hi, x: lo <= x}
+        return not any(all(able[name](*way[c], x) for c, name, x in self.where if c in way) for way in ways)
+
     def partitions(self) -> list[Range]:
         from pyarrow import fs
 
@@ -133,6 +151,9 @@ class MtxReader(D.DataSourceReader):
                 raise InvalidFile(f"{i.path}: not named .mtx")
             with where.open_input_file(i.path) as f:
                 head = _header(f, i.path)
+            if self._excluded(head):
+                self.skipped += 1
+                continue
             out += [Range(i.path, at, min(at + self.range_bytes, i.size), head) for at in range(head.begin, i.size, self.range_bytes)]
         return out or [Range("", 0, 0, MtxHeader(0, 0, 0, "real", "general", 0))]
 
@@ -209,8 +230,9 @@ class MtxWriter(D.DataSourceArrowWriter):
             names.append(self._file(where, path, pa.Table.from_batches(held)))
         return Written(names)
 
-    def _head(self, entries: int) -> bytes:
-        return f"{BANNER} matrix coordinate {self.field} {self.symmetry}\n{self.m} {self.n} {entries}\n".encode()
+    def _head(self, entries: int, spans: tuple[int, ...] = ()) -> bytes:
+        told = SPANS.decode() + " ".join(map(str, spans)) + "\n" if spans else ""
+        return f"{BANNER} matrix coordinate {self.field} {self.symmetry}\n{told}{self.m} {self.n} {entries}\n".encode()
 
     def _file(self, where, path: str, table) -> str:
         import pyarrow as pa
@@ -225,7 +247,7 @@ class MtxWriter(D.DataSourceArrowWriter):
         lines = pc.binary_join_element_wise(*columns[:-1], pc.binary_join_element_wise(columns[-1], pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())), pa.scalar(" ", pa.large_string()))
         name = f"part-{uuid.uuid4().hex}.mtx"
         with where.open_output_stream(f"{path}/{STAGED}-{self.attempt}/{name}", compression=None) as f:
-            f.write(self._head(len(table)))
+            f.write(self._head(len(table), tuple(x for c in "ij" for x in pc.min_max(table.column(c)).as_py().values())))
             f.write(lines.buffers()[2] or b"")
         return name
 
@@ -336,15 +358,19 @@ def _head_of(path: str) -> MtxHeader:
     return next(iter(heads.values()))
 
 
-def save(a: CooMatrix, path: str, field: str = "real", symmetry: str = "general", mode: str = "append", **options) -> None:
+def save(a: CooMatrix, path: str, field: str = "real", symmetry: str = "general", mode: str = "append", ranged: bool = False, **options) -> None:
     """Write a matrix as a folder named .mtx that ``read_coo`` and ``read_folder`` take for one matrix.
 
+    With ``ranged`` each file holds a range of rows, so that conditions on rows leave the other files unread.
+
     Of a symmetric matrix the entries on and below the diagonal are written, of a skew-symmetric one those below it.
     Integer fields cut values to whole numbers; patterns leave them out.
     """
     register(a.df.sparkSession)
     own = {"general": "true", "skew-symmetric": "i > j"}.get(symmetry, "i >= j")
-    a.df.where(own).select("i", "j", "v").write.format("mtx").options(m=a.m, n=a.n, field=field, symmetry=symmetry, **options).mode(mode).save(path)
+    held = a.df.where(own).select("i", "j", "v")
+    held = held.repartitionByRange("i", "j").sortWithinPartitions("i", "j") if ranged else held
+    held.write.format("mtx").options(m=a.m, n=a.n, field=field, symmetry=symmetry, **options).mode(mode).save(path)
 
 
 def read_csr(spark: SparkSession, path: str, zeros: bool = True, pattern: str = "one", seed: int = 42) -> CsrMatrix:

@@ -178,3 +178,24 @@ def test_merged_streams_write_what_changes(spark, tmp_path):
     assert sorted(map(tuple, merged(spark, str(out)).collect())) == want
     compact(spark, str(out))
     assert len(list(out.iterdir())) == 1 and sorted(map(tuple, merged(spark, str(out)).collect())) == want
+
+
+@pytest.mark.parametrize("symmetry", ["general", "symmetric"])
+def test_files_outside_the_conditions_are_skipped(spark, tmp_path, symmetry):
+    from pyspark.sql import datasource as D
+
+    want = {(i, j): float(i + j) for i in range(60) for j in range(60) if (i * j) % 7 < 3 and (symmetry == "general" or i >= j)}
+    mtx.save(CooMatrix(spark.createDataFrame([(i, j, v) for (i, j), v in want.items()], "i bigint, j bigint, v double"), 60, 60), str(tmp_path / "a.mtx"), symmetry=symmetry, ranged=True, file_entries=100)
+    if symmetry == "symmetric":
+        want |= {(j, i): v for (i, j), v in want.items()}
+    files = len(list((tmp_path / "a.mtx").iterdir()))
+    for condition, filters, test in (("i < 10", [D.LessThan(("i",), 10)], lambda i, j: i < 10), ("i = 30 AND j >= 50", [D.EqualTo(("i",), 30), D.GreaterThanOrEqual(("j",), 50)], lambda i, j: i == 30 and j >= 50), ("i > 59", [D.GreaterThan(("i",), 59)], lambda i, j: False)):
+        reader = mtx.MtxReader({"path": str(tmp_path / "a.mtx")})
+        assert not list(reader.pushFilters(filters))
+        read = {p.value[0] for p in reader.partitions() if p.value[0]}
+        assert reader.skipped + len(read) == files and (reader.skipped > 0) == (symmetry == "general" or condition != "i < 10")
+        got = mtx.read_coo(spark, str(tmp_path / "a.mtx")).df.where(condition).collect()
+        assert {(r.i, r.j): r.v for r in got} == {k: v for k, v in want.items() if test(*k)}
+    plain = mtx.MtxReader({"path": str(tmp_path / "a.mtx")})
+    plain.partitions()
+    assert plain.skipped == 0
