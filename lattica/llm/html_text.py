@@ -69,7 +69,7 @@ SKETCHES, UNLIKE = 4, 3
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _MARKED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD, _DIGITS = re.compile(r"[A-Za-z]+"), re.compile(r"[0-9]+")
-#: Bytes of template rows that are broadcast at most, and of one row, about.
+#: Bytes of template rows that are sent to every task at most, and of one row, about.
 BROADCAST_BYTES, ROW_BYTES = 32 << 20, 128
 
 
@@ -282,9 +282,16 @@ class Page:
         text outside the content roots.  A page read by itself has no host to tell, and keeps its roots only.  Without
         ``names`` the template alone decides, by slots too.
         """
-        drop = {e for e, h in self.subtrees().items() if h in template} if template else set()
-        if template and not names:
-            drop |= {e for e, h in self.slots().items() if h in template}
+        return self.without(self.found(template, set() if names else template)[0], outside, names)
+
+    def found(self, subtrees: set[int], slots: set[int]) -> tuple[set[int], int]:
+        """The elements that these subtrees and slots are, and how many different ones of them the page has."""
+        of = {e: h for e, h in self.subtrees().items() if h in subtrees} if subtrees else {}
+        more = {e: h for e, h in self.slots().items() if h in slots} if slots else {}
+        return of.keys() | more.keys(), len({*of.values(), *more.values()})
+
+    def without(self, drop: set[int], outside: bool, names: bool = True) -> str:
+        """``text`` without these elements."""
         kept = self._kept(drop, outside, names)
         blocks: list[tuple[int, list[str]]] = []
         # a block's text ends where another block begins or ends, so runs join while nothing but inline markup lies between
@@ -367,10 +374,10 @@ class TemplateRemoval:
     ``slots`` lets the host's template alone make the text, with slots from ``slot_share`` of the host's pages on.
     """
 
-    def __init__(self, min_pages: int = 5, min_share: float = 0.02, slots: bool = False, slot_share: float = 0.25, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"):
+    def __init__(self, min_pages: int = 5, min_share: float = 0.02, slots: bool = False, slot_share: float = 0.25, broadcast_bytes: int = BROADCAST_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"):
         if min_pages < 2 or not 0 <= min_share <= 1 or not 0 <= slot_share <= 1:
             raise ValueError("min_pages is at least 2, min_share and slot_share lie in [0, 1]")
-        self.slots, self.slot_share, self.min_pages, self.min_share, self.id_col, self.url_col, self.html_col = slots, slot_share, min_pages, min_share, id_col, url_col, html_col
+        self.broadcast_bytes, self.slots, self.slot_share, self.min_pages, self.min_share, self.id_col, self.url_col, self.html_col = broadcast_bytes, slots, slot_share, min_pages, min_share, id_col, url_col, html_col
 
     def _keyed(self, pages: DataFrame) -> DataFrame:
         own = pages.select(F.col(self.id_col).alias("page_id"), F.col(self.url_col).alias("url"), F.col(self.html_col).alias("html"))
@@ -425,8 +432,9 @@ class TemplateRemoval:
     def transform(self, pages: DataFrame) -> DataFrame:
         """(page_id, url, text, n_chars, n_template) of every row; n_template is the number of template subtrees on the page."""
         found, template = self.template(pages)
-        known, slots = template.select("_host", "hash").distinct(), self.slots
-        known = F.broadcast(known) if template.count() * ROW_BYTES <= BROADCAST_BYTES else known
+        if template.count() * ROW_BYTES <= self.broadcast_bytes:
+            return self._by_host(pages, template)
+        slots, known = self.slots, template.select("_host", "hash").distinct()
         of_page = found.where("hash IS NOT NULL").join(known, ["_host", "hash"]).groupBy("_key").agg(F.collect_set("hash").alias("_drop"))
 
         def extract(batches):
@@ -439,3 +447,23 @@ class TemplateRemoval:
         joined = self._keyed(pages).join(of_page, "_key", "left").select("page_id", "url", "html", "_drop")
         kind = joined.schema["page_id"].dataType.simpleString()
         return joined.mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long, n_template long")
+
+    def _by_host(self, pages: DataFrame, template: DataFrame) -> DataFrame:
+        """``transform`` with the template in every task, so that no page moves; for one of at most ``broadcast_bytes``."""
+        slot = F.col("kind") == "slot"
+        rows = template.groupBy("_host").agg(F.collect_set(F.when(~slot, F.col("hash"))).alias("subtrees"), F.collect_set(F.when(slot, F.col("hash"))).alias("slots")).collect()
+        held, names = pages.sparkSession.sparkContext.broadcast({r["_host"]: (set(r.subtrees), set(r.slots)) for r in rows}), not self.slots
+
+        def extract(batches):
+            for b in batches:
+                texts, found = [], []
+                for host, html in zip(b.column("_host").to_pylist(), b.column("html").to_pylist(), strict=True):
+                    page = Page(html or "")
+                    drop, n = page.found(*held.value.get(host, (set(), set())))
+                    texts.append(page.without(drop, True, names) if html else "")
+                    found.append(n)
+                sizes = [pa.array(v, pa.int64()) for v in ([len(x) for x in texts], found)]
+                yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), *sizes], names=["page_id", "url", "text", "n_chars", "n_template"])
+
+        own = self._keyed(pages).select("page_id", "url", "html", "_host")
+        return own.mapInArrow(extract, f"page_id {own.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long, n_template long")

@@ -165,7 +165,9 @@ def test_slots_of_a_host_make_the_text(spark):
         want[k] = rows[-1][2].split("<p>")[1].split("</p>")[0]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     operator = TemplateRemoval(slots=True)
-    assert {r.page_id: r.text for r in operator.transform(frame).collect()} == want
+    got = operator.transform(frame).collect()
+    assert {r.page_id: r.text for r in got} == want
+    assert sorted(got) == sorted(TemplateRemoval(slots=True, broadcast_bytes=0).transform(frame).collect())
     _, template = operator.template(frame)
     kinds = {r.kind: r.n for r in template.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     assert kinds["slot"] >= 3 and kinds["name"] >= 9
