@@ -8,6 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from statistics import fmean, pstdev
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -56,7 +57,10 @@ class Spent:
 
 
 def spent(spark: SparkSession, thing: Callable[[], object]) -> Spent:
-    """Run something and add up the metrics of the stages of all jobs that it started from this thread."""
+    """Run something and add up the metrics of the stages of all jobs that it started from this thread.
+
+    Stages that the session has forgotten by then (``spark.ui.retainedStages``) are not in the sums.
+    """
     sc, tag = spark.sparkContext, f"lattica-{uuid.uuid4().hex}"
     sc.addJobTag(tag)
     try:
@@ -66,11 +70,9 @@ def spent(spark: SparkSession, thing: Callable[[], object]) -> Spent:
     context = sc._jsc.sc()
     context.listenerBus().waitUntilEmpty()
     store = context.statusStore()
-    stages = set()
-    for job in context.statusTracker().getJobIdsForTag(tag):
-        ids = store.job(job).stageIds()
-        stages |= {ids.apply(k) for k in range(ids.size())}
-    ran = [s for s in (store.lastStageAttempt(k) for k in stages) if s.numCompleteTasks()]  # stages whose output was there already ran none
+    jobs = [j for j in (_known(store.job, k) for k in context.statusTracker().getJobIdsForTag(tag)) if j is not None]
+    stages = {j.stageIds().apply(k) for j in jobs for k in range(j.stageIds().size())}
+    ran = [s for s in (_known(store.lastStageAttempt, k) for k in stages) if s is not None and s.numCompleteTasks()]  # stages whose output was there already ran none
     total = lambda of: sum(of(s) for s in ran)
     return Spent(
         len(ran),
@@ -82,3 +84,13 @@ def spent(spark: SparkSession, thing: Callable[[], object]) -> Spent:
         total(lambda s: s.shuffleWriteBytes()),
         total(lambda s: s.diskBytesSpilled()),
     )
+
+
+def _known(of: Callable[[int], object], number: int) -> object | None:
+    """What the status store holds under a number, or None."""
+    try:
+        return of(number)
+    except Py4JJavaError as e:
+        if "NoSuchElement" not in str(e.java_exception):
+            raise
+        return None
