@@ -174,29 +174,29 @@ class NgramJaccardJoin:
                 "a": column(pa.int64(), (0, ids[doc]), (1, ids[some]), (2, lo), (3, pairs[:, 0])),
                 "b": column(pa.int64(), (2, other), (3, pairs[:, 1])),
                 "n": column(pa.int32(), (0, n[doc].astype(np.int32))),
-                "rest": column(pa.int32(), (0, (n[doc] - position).astype(np.int32))),
+                "rest": column(pa.int32(), (0, (n[doc] - position).astype(np.int32)), (1, (n[some] - alone[some]).astype(np.int32))),
                 "chosen": column(pa.int32(), (0, chosen[doc].astype(np.int32)), (1, chosen[some].astype(np.int32))),
                 "hashes": column(pa.list_(pa.int64()), (1, [h[first[d] : first[d + 1]].view(np.int64) for d in some])),
                 "prefix": column(pa.list_(pa.int64()), (1, [keys[i:j].view(np.int64) for i, j in spans])),
-                "rests": column(pa.list_(pa.int32()), (1, [(n[doc[i:j]] - position[i:j]).astype(np.int32) for i, j in spans])),
             })
 
         reps = reps.repartition(how.batch_parts, "_batch")
         sent = dealt.groupBy("_batch").cogroup(reps.groupBy("_batch")).applyInArrow(send, "_bucket int, _batch long, keys binary, counts binary")
         shared = sent.repartition(how.bucket_parts, "_bucket").groupBy("_bucket").applyInArrow(count, "_batch long, keys binary, counts binary").repartition(how.batch_parts, "_batch")
         notes = reps.withColumns({"keys": F.lit(None).cast("binary"), "counts": F.lit(None).cast("binary")}).unionByName(shared.withColumn("_row", F.lit(None).cast("int")))
-        return dealt.groupBy("_batch").cogroup(notes.groupBy("_batch")).applyInArrow(prefixes, "kind string, key long, a long, b long, n int, rest int, chosen int, hashes array<long>, prefix array<long>, rests array<int>")
+        return dealt.groupBy("_batch").cogroup(notes.groupBy("_batch")).applyInArrow(prefixes, "kind string, key long, a long, b long, n int, rest int, chosen int, hashes array<long>, prefix array<long>")
 
     @staticmethod
     def _sets(listed: DataFrame) -> DataFrame:
-        return listed.where("kind = 'S'").select("a", "hashes", F.arrays_zip("prefix", "rests").alias("prefix"), "chosen")
+        """Whole sets with their prefixes, rarest shingle first: ``rest`` shingles follow from the first one on, and one less from each next."""
+        return listed.where("kind = 'S'").select("a", "hashes", "prefix", "rest", "chosen")
 
     def _candidates(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) with their sets, the level they need, and how many shingles of the prefixes of that level they share."""
-        left, right = (sets.select(F.col("a").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("hashes", "prefix", "chosen"))) for k in "ab")
+        left, right = (sets.select(F.col("a").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("hashes", "prefix", "rest", "chosen"))) for k in "ab")
         level, n = F.least("chosen_a", "chosen_b"), F.size("hashes_a") + F.size("hashes_b")
         least = F.ceil(self.percent * n / (100 + self.percent)) - level + 1
-        of = lambda side: F.transform(F.filter(f"prefix_{side}", lambda x: x.rests >= least), lambda x: x.prefix)
+        of = lambda side: F.slice(f"prefix_{side}", F.lit(1), F.greatest(F.col(f"rest_{side}") - least + 1, F.lit(0)).cast("int"))
         return pairs.join(left, "a").join(right, "b").withColumns({"need": level, "shared": F.size(F.array_intersect(of("a"), of("b")))})
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def test_every_verified_pair_shares_prefixes(spark, monkeypatch):
     for r in seen:
         a, b, level = set(r.hashes_a), set(r.hashes_b), min(r.chosen_a, r.chosen_b)
         overlap = -(-75 * (len(a) + len(b)) // 175)
-        prefix = [{x.prefix for x in own if x.rests + level - 1 >= overlap} for own in (r.prefix_a, r.prefix_b)]
+        prefix = [{x for k, x in enumerate(own) if rest - k + level - 1 >= overlap} for own, rest in ((r.prefix_a, r.rest_a), (r.prefix_b, r.rest_b))]
         assert (r.need, r.shared) == (level, len(prefix[0] & prefix[1]))
         linked = 100 * len(a & b) >= 75 * len(a | b)
         assert not linked or r.shared >= r.need  # what shares too few can't link
@@ -133,3 +133,19 @@ def test_pipeline_keeps_columns_of_its_own_names(spark, tmp_path):
         assert {(r.doc_id, r["_row"], r["_score"]) for r in out.collect()} <= {(r[0], r[5], r[6]) for r in rows}
     got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", F.col("_row"), F.col("_score"))
     assert {tuple(r) for r in got.collect()} <= {(r[0], r[5], r[6]) for r in rows} and got.count() > 6
+
+
+def test_copies_meet_without_their_payloads(spark, tmp_path):
+    from lattica.llm import warc
+    from lattica.llm.shared import cut
+
+    rows = [(k, f"http://h/{k}", "x" * 1500 if k % 3 == 0 else "y" * (900 + k) + str(k % 5)) for k in range(40)] + [(39, "http://h/again", "x" * 1500), (None, None, "x" * 1500), (90, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = []
+    for most in (1 << 20, 0):
+        archive = warc.PageArchive(broadcast_bytes=most)
+        archive.write(pages, f"file://{tmp_path}/{most}", cut)
+        got.append(sorted(map(str, archive.read(spark, f"file://{tmp_path}/{most}").collect())))
+    assert got[0] == got[1] and sum("'revisit'" in r for r in got[0]) == 15
+    plan = warc.PageArchive(broadcast_bytes=0).records(pages, cut)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter, (_place" in plan
