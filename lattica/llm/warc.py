@@ -444,6 +444,10 @@ def load(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.format("warc").options(**options).load(path).where(F.col("record_type").isNotNull())
 
 
+#: Bytes of a group of equal payloads in a broadcast, about.
+GROUP_BYTES = 128
+
+
 class PageArchive:
     """Pages as WARC records; of equal payloads of at least ``min_bytes`` all but the largest id become revisits.
 
@@ -453,8 +457,8 @@ class PageArchive:
 
     URN = "urn:x-page:"
 
-    def __init__(self, min_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html"):
-        self.min_bytes, self.date, self.id_col, self.url_col, self.html_col = min_bytes, date, id_col, url_col, html_col
+    def __init__(self, min_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z", broadcast_bytes: int = 32 << 20, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"):
+        self.min_bytes, self.date, self.broadcast_bytes, self.id_col, self.url_col, self.html_col = min_bytes, date, broadcast_bytes, id_col, url_col, html_col
 
     def records(self, pages: DataFrame, cut) -> DataFrame:
         """The records to write; ``cut`` stores the small table of payload groups."""
@@ -462,10 +466,12 @@ class PageArchive:
         own = own.withColumns({"payload_length": F.octet_length("html").cast("long"), "payload_digest": F.sha1("html")})
         place = F.struct("page_id", (-F.col("_place")).alias("p"))
         groups = own.where(F.col("payload_length") >= self.min_bytes).groupBy("payload_digest").agg(F.max(place).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1 AND top.page_id IS NOT NULL")
-        # payloads stay where they are: digests meet their groups, and the places of the copies come back
         of = cut(groups.select("payload_digest", F.col("top.page_id").alias("first"), (-F.col("top.p")).alias("first_place")), "payloads")
-        copies = own.where(F.col("payload_length") >= self.min_bytes).select("_place", "payload_digest").join(of, "payload_digest").select("_place", "first", "first_place")
-        joined = own.join(copies, "_place", "left")
+        if of.count() * GROUP_BYTES <= self.broadcast_bytes:  # no payload moves
+            joined = own.join(F.broadcast(of), "payload_digest", "left")
+        else:  # digests meet their groups without payloads, which then meet the places of the copies, so no digest gathers them
+            copies = own.where(F.col("payload_length") >= self.min_bytes).select("_place", "payload_digest").join(of, "payload_digest").select("_place", "first", "first_place")
+            joined = own.join(copies, "_place", "left")
         again = F.col("first").isNotNull() & (F.col("_place") != F.col("first_place"))
         urn = lambda c: F.concat(F.lit(f"<{self.URN}"), F.col(c).cast("string"), F.lit(">"))
         return joined.select(urn("page_id").alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), "target_uri", F.lit(self.date).alias("date"), "payload_digest", F.when(again, urn("first")).alias("refers_to"), "payload_length", F.when(~again, F.encode("html", "UTF-8")).alias("payload"))
