@@ -57,3 +57,16 @@ def test_few_inner_indices_are_cut_both_ways():
     ranges, work = cells._ranges(25e9, 420_000, 420_000, 200)
     assert 8 <= ranges <= 128 and work <= cells.WORK  # a range each of its hundreds of cells would move B as often
     assert cells._ranges(1e9, 36_000_000, 36_000_000, 200)[0] == 200
+
+
+def test_symmetrize_reads_its_matrix_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    a = CooMatrix(spark.range(30).select((F.col("id") % 5).alias("i"), (F.col("id") % 6).alias("j"), F.lit(2.0).alias("v")).mapInArrow(count, "i bigint, j bigint, v double"), 6, 6)
+    assert a.symmetrize(-1).df.count() == 55 and seen.value == 30
+    assert sorted({tuple(r) for r in a.symmetrize(-1).df.where("i + j = 1").collect()}) == [(0, 1, -2.0), (0, 1, 2.0), (1, 0, -2.0), (1, 0, 2.0)]
