@@ -1,7 +1,7 @@
 """Matrix Market coordinate files as a Python data source.
 
 ``spark.dataSource.register(MtxDataSource)`` makes the format ``mtx``: (i, j, v), 0-based.  The driver reads the head
-of each file; partitions are byte ranges of the entry lines, each parsed at once into Arrow columns.  Symmetric files
+of each file; partitions are byte ranges of the entry lines, parsed in blocks of 1 MB into Arrow batches.  Symmetric files
 are expanded, with changed sign for skew-symmetric ones; explicit zeros are kept unless ``zeros=false``; pattern
 files hold ones, or seeded random values with ``pattern=rand``.  Comparisons of i, j and v with numbers are pushed into
 the reader.
@@ -32,6 +32,8 @@ BANNER = "%%MatrixMarket"
 #: Words of the banner.
 FIELDS, SYMMETRIES = ("real", "integer", "pattern"), ("general", "symmetric", "skew-symmetric", "hermitian")
 RANGE_BYTES = 32 << 20
+#: Bytes of a range that are parsed, and entries that are written, at once.
+BLOCK_BYTES, BLOCK_LINES = 1 << 20, 1 << 16
 #: Entries of a written file, at most, and where files lie until they are committed.
 FILE_ENTRIES, STAGED = 1 << 20, "_staged"
 #: What a comment with the spans of a file's lines begins with; rows and columns in it count from 0.
@@ -103,6 +105,29 @@ def _header(f, path: str) -> MtxHeader:
     return MtxHeader(m, n, nnz * (1 if symmetry == "general" else 2), field, symmetry, min(sum(len(x) + 1 for x in lines[: size + 1]), len(data)), spans)
 
 
+def _lines(f, begin: int, end: int, body: int) -> Iterator[bytes]:
+    """The lines that begin in a range of bytes, whole, in blocks; a line that began before belongs to the range before."""
+    at, rest, whole = max(begin - 1, 0), b"", begin == 0
+    f.seek(at)
+    while at < end and (data := f.read(min(BLOCK_BYTES, end - at))):
+        at += len(data)
+        rest += data
+        if not whole:
+            cut = rest.find(b"\n") if begin > body else 0
+            rest, whole = rest[cut + 1 :] if cut >= 0 else b"", cut >= 0
+        cut = rest.rfind(b"\n") + 1
+        if whole and cut:
+            yield rest[:cut]
+            rest = rest[cut:]
+    if whole and rest:
+        while more := f.read(4096):
+            cut = more.find(b"\n")
+            rest += more if cut < 0 else more[: cut + 1]
+            if cut >= 0:
+                break
+        yield rest
+
+
 class Range(D.InputPartition):
     def __init__(self, path: str, begin: int, end: int, header: MtxHeader):
         super().__init__((path, begin, end, header))
@@ -165,34 +190,26 @@ class MtxReader(D.DataSourceReader):
         if begin >= end:
             return
         where, _ = _store(self.path)
+        width, drawn = 2 if head.field == "pattern" else 3, np.random.default_rng((self.seed, begin))
         with where.open_input_file(path) as f:
-            f.seek(max(begin - 1, 0))
-            data = f.read(end - max(begin - 1, 0))
-            while not data.endswith(b"\n") and (more := f.read(4096)):
-                cut = more.find(b"\n")
-                data += more if cut < 0 else more[: cut + 1]
-        if begin > head.begin:  # a line that began before this range belongs to the one before
-            data = data[data.find(b"\n") + 1 :] if b"\n" in data else b""
-        elif begin:
-            data = data[1:]
-        lines = [x for x in data.split(b"\n") if x.strip() and not x.lstrip().startswith(b"%")]
-        width = 2 if head.field == "pattern" else 3
-        cells = np.array([x.split()[:width] for x in lines], dtype=np.bytes_).reshape(-1, width)
-        i, j = cells[:, 0].astype(np.int64) - 1, cells[:, 1].astype(np.int64) - 1
-        if width == 3:
-            v = cells[:, 2].astype(np.float64)
-        else:
-            v = np.ones(len(i)) if self.pattern == "one" else np.random.default_rng((self.seed, begin)).random(len(i))
-        keep = slice(None) if self.zeros else v != 0
-        i, j, v = i[keep], j[keep], v[keep]
-        if head.sign:
-            off = i != j
-            i, j, v = np.concatenate((i, j[off])), np.concatenate((j, i[off])), np.concatenate((v, head.sign * v[off]))
-        if self.where:
-            columns = {"i": i, "j": j, "v": v}
-            ok = np.logical_and.reduce([getattr(np, name)(columns[c], x) for c, name, x in self.where])
-            i, j, v = i[ok], j[ok], v[ok]
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(v)], names=["i", "j", "v"])
+            for data in _lines(f, begin, end, head.begin):
+                lines = [x for x in data.split(b"\n") if x.strip() and not x.lstrip().startswith(b"%")]
+                cells = np.array([x.split()[:width] for x in lines], dtype=np.bytes_).reshape(-1, width)
+                i, j = cells[:, 0].astype(np.int64) - 1, cells[:, 1].astype(np.int64) - 1
+                if width == 3:
+                    v = cells[:, 2].astype(np.float64)
+                else:
+                    v = np.ones(len(i)) if self.pattern == "one" else drawn.random(len(i))
+                keep = slice(None) if self.zeros else v != 0
+                i, j, v = i[keep], j[keep], v[keep]
+                if head.sign:
+                    off = i != j
+                    i, j, v = np.concatenate((i, j[off])), np.concatenate((j, i[off])), np.concatenate((v, head.sign * v[off]))
+                if self.where:
+                    columns = {"i": i, "j": j, "v": v}
+                    ok = np.logical_and.reduce([getattr(np, name)(columns[c], x) for c, name, x in self.where])
+                    i, j, v = i[ok], j[ok], v[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(v)], names=["i", "j", "v"])
 
 
 @dataclass
@@ -238,17 +255,18 @@ class MtxWriter(D.DataSourceArrowWriter):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        table = table.combine_chunks()
         text = lambda c: c.cast(pa.large_string())
-        columns = [text(pc.add(table.column(c).combine_chunks().cast(pa.int64()), 1)) for c in "ij"]
-        if self.field != "pattern":
-            v = table.column("v").combine_chunks()
-            columns.append(text(v.cast(pa.int64()) if self.field == "integer" else v.cast(pa.float64())))
-        lines = pc.binary_join_element_wise(*columns[:-1], pc.binary_join_element_wise(columns[-1], pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())), pa.scalar(" ", pa.large_string()))
         name = f"part-{uuid.uuid4().hex}.mtx"
         with where.open_output_stream(f"{path}/{STAGED}-{self.attempt}/{name}", compression=None) as f:
             f.write(self._head(len(table), tuple(x for c in "ij" for x in pc.min_max(table.column(c)).as_py().values())))
-            f.write(lines.buffers()[2] or b"")
+            for at in range(0, len(table), BLOCK_LINES):
+                piece = table.slice(at, BLOCK_LINES).combine_chunks()
+                columns = [text(pc.add(piece.column(c).combine_chunks().cast(pa.int64()), 1)) for c in "ij"]
+                if self.field != "pattern":
+                    v = piece.column("v").combine_chunks()
+                    columns.append(text(v.cast(pa.int64()) if self.field == "integer" else v.cast(pa.float64())))
+                lines = pc.binary_join_element_wise(*columns[:-1], pc.binary_join_element_wise(columns[-1], pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())), pa.scalar(" ", pa.large_string()))
+                f.write(lines.buffers()[2] or b"")
         return name
 
     def commit(self, messages: list[Written | None]) -> None:

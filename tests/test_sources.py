@@ -199,3 +199,21 @@ def test_files_outside_the_conditions_are_skipped(spark, tmp_path, symmetry):
     plain = mtx.MtxReader({"path": str(tmp_path / "a.mtx")})
     plain.partitions()
     assert plain.skipped == 0
+
+
+@pytest.mark.parametrize("symmetry", ["general", "skew-symmetric"])
+def test_ranges_are_parsed_in_blocks(tmp_path, monkeypatch, symmetry):
+    lines = [f"{k + 2} {k % (k + 1) + 1 if k % 3 else 1} {k}.5" + "\n% between\n" * (k % 11 == 0) for k in range(300)]
+    head, path = f"%%MatrixMarket matrix coordinate real {symmetry}\n400 400 300\n", tmp_path / "x.mtx"
+    for end in ("\n", ""):
+        path.write_text(head + "\n".join(lines) + end)
+        got = {}
+        for block in (1 << 20, 64, 7):
+            monkeypatch.setattr(mtx, "BLOCK_BYTES", block)
+            for size in (1 << 20, 100, 9):
+                reader = mtx.MtxReader({"path": str(path), "range_bytes": size})
+                batches = [b for p in reader.partitions() for b in reader.read(p)]
+                got[block, size] = sorted(tuple(r.values()) for b in batches for r in b.to_pylist())
+                assert block > 64 or size < 1 << 20 or max(b.num_rows for b in batches) <= 64
+        want = got[1 << 20, 1 << 20]
+        assert len(want) == 300 * (1 if symmetry == "general" else 2) and all(g == want for g in got.values())
