@@ -221,3 +221,14 @@ def diagonal(a: CooMatrix | CsrMatrix, inverse: bool = False) -> Vector:
 
     own = entries(a).where("i = j").groupBy("i").agg(F.sum("v").alias("v"))
     return Vector(own.select("i", (ieee_div(F.lit(1.0), F.col("v")) if inverse else F.col("v")).alias("v")), min(a.m, a.n), dense=False)
+
+
+def spgemm_diagonal(a: CooMatrix | CsrMatrix, b: CooMatrix | CsrMatrix, inverse: bool = False) -> Vector:
+    """``diagonal`` of A B from the entries that meet on it: no other entry of the product is made."""
+    if a.n != b.m:
+        raise InvalidSize(f"inner dimensions {a.n} and {b.m}")
+    kind = "float" if _single(entries(a), entries(b)) else "double"
+    double = lambda c: F.col(c).cast("double")
+    met = entries(a).join(entries(b).select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("v").alias("_b")), ["i", "j"])
+    own = met.groupBy("i").agg(F.sum(double("v") * double("_b")).cast(kind).alias("v"))
+    return diagonal(CooMatrix(own.select("i", F.col("i").alias("j"), "v"), a.m, b.n), inverse)

@@ -23,7 +23,7 @@ from lattica.operators import prims as pr
 from lattica.plans.solvers import SolverControl, bicgstab, cg
 from lattica.sources import mtx
 from lattica.streaming.accumulate import accumulate, accumulate_windows, finals, latest, merged, start, start_final, start_merged
-from lattica.tables import new_path, write_text
+from lattica.tables import cut, new_path, write_text
 from lattica.types import CooMatrix, DenseMatrix, Vector
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -257,9 +257,26 @@ query("matrix_add", f"WITH {A} SELECT i, j, 2 * v AS v FROM A", lambda t: b2.mat
 query("matrix_add_stored", ORACLES["matrix_add"], lambda t: b2.matrix_add(cv.store(t.A), cv.store(t.A)).df)
 query("transpose", f"WITH {A} SELECT j AS i, i AS j, v FROM A", lambda t: t.A.transpose().df)
 query("symmetrize", f"WITH {A}, S AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM A a JOIN A b USING (i) GROUP BY 1, 2) SELECT i, j, v FROM S UNION ALL SELECT j, i, v FROM S WHERE i <> j", lambda t: b2.spgemm(t.A.transpose(), t.A).symmetrize().df)
+
+
+def once(t: Tables) -> CooMatrix:
+    """A, added up once and written, for plans that read it twice."""
+    return CooMatrix(cut(t.A.df, "a"), t.rows("orders"), t.rows("part"))
+
+
+def gram(t: Tables) -> CooMatrix:
+    a = once(t)
+    return b2.spgemm(a.transpose(), a)
+
+
+def gram_diagonal(t: Tables, inverse: bool = False) -> DataFrame:
+    a = once(t)
+    return b2.spgemm_diagonal(a.transpose(), a, inverse).df
+
+
 GRAM = f"WITH {A}, D AS (SELECT j AS i, sum(v * v) AS v FROM A GROUP BY 1)"
-query("diagonal", f"{GRAM} SELECT i, v FROM D", lambda t: b2.diagonal(b2.spgemm(t.A.transpose(), t.A)).df)
-query("inv_diagonal", f"{GRAM} SELECT i, 1 / v AS v FROM D", lambda t: b2.diagonal(b2.spgemm(t.A.transpose(), t.A), inverse=True).df)
+query("diagonal", f"{GRAM} SELECT i, v FROM D", gram_diagonal)
+query("inv_diagonal", f"{GRAM} SELECT i, 1 / v AS v FROM D", lambda t: gram_diagonal(t, inverse=True))
 query("row_stats", f"WITH {A}, R AS (SELECT count(*) AS m FROM orders), N AS (SELECT i, count(*) AS n FROM A GROUP BY 1) SELECT m AS rows, CAST(sum(n) AS BIGINT) AS nnz, m - count(*) AS empty_rows, max(n) AS max_nnz, CAST(sum(n) // m AS BIGINT) AS nnz_per_row, round(sum(n) / m, 6) AS mean_nnz, round(sqrt(sum(n * n) / m - (sum(n) / m) * (sum(n) / m)), 6) AS deviation FROM N, R GROUP BY m", lambda t: cv.row_stats(t.A).withColumns({k: F.round(k, 6) for k in ("mean_nnz", "deviation")}))
 query("row_blocks", f"{POINTER}, B AS (SELECT i, nnz, sum(CASE WHEN nnz <= 1024 THEN nnz ELSE 0 END) OVER (ORDER BY i) - CASE WHEN nnz <= 1024 THEN nnz ELSE 0 END AS base FROM R) SELECT i, nnz, CAST(CASE WHEN nnz > 1024 THEN -1 ELSE base // 1024 END AS BIGINT) AS block, CAST(CASE WHEN nnz > 1024 THEN ceil(nnz / 3072) ELSE 1 END AS BIGINT) AS chunks FROM R JOIN B USING (i, nnz)", lambda t: cv.row_blocks(t.A))
 LINES = "WITH G AS (SELECT CAST(l_linenumber AS BIGINT) - 1 AS i, count(*) AS nnz FROM lineitem GROUP BY 1), S AS (SELECT *, CASE WHEN nnz <= 1024 THEN nnz ELSE 0 END AS short FROM G) SELECT i, nnz, CAST(CASE WHEN nnz > 1024 THEN -1 ELSE (sum(short) OVER (ORDER BY i) - short) // 1024 END AS BIGINT) AS block, CAST(CASE WHEN nnz > 1024 THEN ceil(nnz / 3072) ELSE 1 END AS BIGINT) AS chunks FROM S"
@@ -325,10 +342,6 @@ def halved(a: CooMatrix) -> CooMatrix:
     return CooMatrix(a.df.withColumn("v", F.when(F.col("v") % 2 == 0, 0.0).otherwise(F.col("v"))), a.m, a.n)
 
 
-def gram(t: Tables) -> CooMatrix:
-    return b2.spgemm(t.A.transpose(), t.A)
-
-
 GRAM_ALL = f"WITH {A}, S AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM A a JOIN A b USING (i) GROUP BY 1, 2)"
 query("mtx_coo_general", f"WITH {A} SELECT * FROM A", lambda t: mtx.read_coo(t.spark, saved(t, t.A)).df)
 query("mtx_coo_symmetric", f"{GRAM_ALL} SELECT * FROM S", lambda t: mtx.read_coo(t.spark, saved(t, gram(t), symmetry="symmetric")).df)

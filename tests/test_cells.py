@@ -90,3 +90,13 @@ def test_cells_are_sent_a_bounded_number_of_entries():
     total, entries = 1e7, 1 << 30
     _, work = cells._ranges(total, entries, 1 << 10, 4)
     assert round(total / work) >= entries // cells.SENT
+
+
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_the_diagonal_of_a_product_is_made_alone(spark, kind):
+    own = spark.range(600).select((F.col("id") * 13 % 40).alias("i"), (F.col("id") * 7 % 45).alias("j"), (F.col("id") % 7 + 0.5).cast(kind).alias("v"))
+    a = CooMatrix(own, 40, 45)  # coordinates repeat
+    for inverse in (False, True):
+        out = b2.spgemm_diagonal(a.transpose(), a, inverse)
+        assert out.n == 45 and "MapInArrow" not in out.df._jdf.queryExecution().toString()
+        assert sorted(out.df.collect()) == sorted(b2.diagonal(b2.spgemm(a.transpose(), a), inverse).df.collect())
