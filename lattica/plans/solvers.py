@@ -2,22 +2,24 @@
 
 All vectors of an iteration are columns of one frame keyed by i, so updates are projections, dot products and norms
 are column aggregates, and only the products with A join.  A is stored bucketed by column, the state by index with as
-many buckets, so a product reads both where they lie and shuffles only the sums of its rows.  The state is written to
-the shared folder once for each product, which ends its lineage, and the one before it is deleted; the dot products of
-a fresh product are observed while it is written.  Scalars alone reach the driver.
+many buckets, which grow in number with A's entries, so a product reads both where they lie and shuffles only the sums
+of its rows.  The state is written to the shared folder once for each product, which ends its lineage, and the one
+before it is deleted; the dot products of a fresh product are observed while it is written.  Scalars alone reach the
+driver.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lattica.conf import EngineConf, conf_of
 from lattica.errors import InvalidSystemSize, InvalidValue
-from lattica.operators.blas23 import diagonal
+from lattica.operators.blas23 import diagonal, entries
 from lattica.operators.convert import store
 from lattica.types import CooMatrix, CsrMatrix, Vector
 
@@ -33,6 +35,9 @@ def jacobi(a: CooMatrix | CsrMatrix) -> DataFrame:
     return d.select("i", (1 / F.col("v")).alias("d"))
 
 
+#: Entries of a matrix that are worth a bucket, and that a bucket has at most.
+BUCKET, LARGEST = 1 << 18, 1 << 22
+
 #: Preconditioners by name; a control may name any function of this kind instead.
 PRECONDITIONERS: dict[str, Preconditioner | None] = {"none": None, "diagonal": jacobi}
 
@@ -78,6 +83,11 @@ def _start(a: CooMatrix | CsrMatrix, b: Vector, x0: Vector | None, control: Solv
     return state.withColumn("d", F.lit(1.0)) if own is None else state.join(own(a).select("i", "d"), "i")
 
 
+def _buckets(entries: int, parts: int) -> int:
+    """Of a matrix and its states: every product starts a task and writes a file for each, so small systems have few."""
+    return max(min(parts, math.ceil(entries / BUCKET)), math.ceil(entries / LARGEST), 1)
+
+
 class _System:
     """The matrix, stored by column once, and products of it with columns of the state."""
 
@@ -85,6 +95,17 @@ class _System:
         self.conf, self.held = conf, []
         self.matrix, self.own = store(a, "j", conf).df, not (isinstance(a, CooMatrix) and a.by == "j")
 
+    @classmethod
+    def sized(cls, a: CooMatrix | CsrMatrix, conf: EngineConf) -> _System:
+        """With as many buckets as the matrix is worth, unless it is stored or the settings give a number."""
+        if conf.buckets or isinstance(a, CooMatrix) and a.by == "j":
+            return cls(a, conf)
+        written = conf.checkpoint(entries(a))
+        buckets = _buckets(written.count(), int(conf.spark.conf.get("spark.sql.shuffle.partitions")))
+        system = cls(CooMatrix(written, a.m, a.n), replace(conf, buckets=buckets))
+        conf.free(written)
+        return system
+
     def product(self, state: DataFrame, column: Column, name: str) -> DataFrame:
         """The state with A times the column added."""
         product = self.matrix.join(state.select(F.col("i").alias("j"), column.alias("_x")), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("_x")).alias("_y"))
@@ -118,7 +139,7 @@ def _prepare(a, b, x0, control, conf):
     norm = _sums(state, F.abs("b"))[0]
     if norm == 0:
         return None, None, 0.0, 0.0
-    system = _System(a, conf)
+    system = _System.sized(a, conf)
     state, (first,) = system.times(state, F.col("x"), "y", F.abs(F.col("b") - F.col("y")))
     return system, state.withColumn("r", F.col("b") - F.col("y")).drop("y", "b"), norm, first / norm
 

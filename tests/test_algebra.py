@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from lattica.operators import convert as cv
 from lattica.operators import prims as pr
 from lattica.operators.convert import store
 from lattica.plans import solvers
-from lattica.plans.solvers import SolverControl, bicgstab, cg
+from lattica.plans.solvers import SolverControl, _buckets, bicgstab, cg
+from lattica.timing import spent
 from lattica.types import CooMatrix, DenseMatrix, Vector
 
 
@@ -505,3 +507,20 @@ def test_metrics_of_a_run(spark):
     assert of.shuffle_written == of.shuffle_read > 8000 > other.shuffle_written and of.spilled == 0
     with pytest.raises(ZeroDivisionError):
         spent(spark, lambda: 1 // 0)
+
+
+@pytest.mark.parametrize("solve", [cg, bicgstab])
+def test_small_systems_have_few_tasks(spark, solve):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        a = coo(spark, [(i, j, 4.0 if i == j else -1.0) for i in range(30) for j in (i - 1, i, i + 1) if 0 <= j < 30], 30, 30)
+        out = []
+        used = spent(spark, lambda: out.append(solve(a, Vector.constant(spark, 30, 1.0), control=SolverControl(rel_tol=1e-8, abs_tol=0.0))))
+        assert out[0].converged and used.tasks < 20 * (out[0].iterations + 2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_buckets_grow_with_the_entries():
+    assert _buckets(75, 200) == 1 and _buckets(1 << 21, 200) == 8 and _buckets(1 << 26, 200) == 200 and _buckets(1 << 32, 200) == 1024
