@@ -17,7 +17,7 @@ from lattica.operators.convert import store
 from lattica.plans import solvers
 from lattica.plans.solvers import SolverControl, _buckets, bicgstab, cg
 from lattica.timing import spent
-from lattica.types import CooMatrix, DenseMatrix, Vector
+from lattica.types import CooMatrix, CsrMatrix, DenseMatrix, Vector
 
 
 def vec(spark, values, kind="double"):
@@ -509,6 +509,23 @@ def test_metrics_of_a_run(spark):
         spent(spark, lambda: 1 // 0)
 
 
+def test_dense_rows_take_time_linear_in_their_entries(spark):
+    n, k = 30_000, 60_000  # every column twice
+    row = spark.range(1).select(F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("off"), F.lit(k).cast("bigint").alias("nnz"), F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda e: (e % n).cast("bigint")).alias("cols"), F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda e: e.cast("double")).alias("vals"))
+    began = time.perf_counter()
+    got = cv.csr2dense(CsrMatrix(row, 1, n)).df.first()
+    assert time.perf_counter() - began < 20
+    assert got.vals == [float(2 * j + n) for j in range(n)]
+
+
+def test_dense_rows_stay_where_they_lie(spark):
+    dense = DenseMatrix(spark.range(3000).select(F.col("id").alias("i"), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda e: (e * F.col("id") % 5).cast("double")).alias("vals")), 3000, 32)
+    out = cv.csr2dense(cv.dense2csr(dense)).df
+    used = spent(spark, lambda: out.write.format("noop").mode("overwrite").save())
+    assert used.shuffle_written < 10_000
+    assert {r.i: r.vals for r in out.collect()} == {i: [float(j * i % 5) for j in range(32)] for i in range(3000)}
+
+
 @pytest.mark.parametrize("solve", [cg, bicgstab])
 def test_small_systems_have_few_tasks(spark, solve):
     before = spark.conf.get("spark.sql.shuffle.partitions")
