@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.operators import blas23 as b2
 from lattica.operators import cells
+from lattica.tables import SWEEP
 from lattica.timing import spent
 from lattica.types import CooMatrix
 
@@ -100,3 +101,48 @@ def test_the_diagonal_of_a_product_is_made_alone(spark, kind):
         out = b2.spgemm_diagonal(a.transpose(), a, inverse)
         assert out.n == 45 and "MapInArrow" not in out.df._jdf.queryExecution().toString()
         assert sorted(out.df.collect()) == sorted(b2.diagonal(b2.spgemm(a.transpose(), a), inverse).df.collect())
+
+
+def test_entries_travel_packed(spark, monkeypatch):
+    monkeypatch.setattr(cells, "SENT", 60_000)  # some twenty ranges, each sent nearly all of B
+    own = spark.range(200_000).select((F.col("id") / 4).cast("bigint").alias("i"), F.pmod(F.xxhash64("id"), F.lit(2000)).alias("j"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(50)) + 1.0).alias("v"))
+    other = spark.range(40_000).select((F.col("id") % 2000).alias("i"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1000)).alias("j"), (F.col("id") % 50 + 1.0).alias("v"))
+    out = b2.spgemm(CooMatrix(own, 50_000, 2000), CooMatrix(other, 2000, 1000)).df
+    used = spent(spark, lambda: noop(out))
+    assert used.shuffle_written < 1_500_000  # a row an entry: 3.8 MB
+
+
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (found.apply(k).getName() for k in range(found.size())) if n.startswith("shuffle_") and n.endswith(".data")}
+
+
+def test_planning_leaves_no_shuffles(spark):
+    own = spark.range(3000).select((F.col("id") % 300).alias("i"), (F.col("id") * 7 % 310).alias("j"), F.lit(1.0).alias("v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    a, there = CooMatrix(own, 300, 310), shuffle_files(spark)
+    setting = spark.conf.get(SWEEP, None)
+    out = b2.spgemm(a, a.transpose()).df
+    assert shuffle_files(spark) <= there and spark.conf.get(SWEEP, None) == setting
+    first = sorted(out.collect())
+    assert shuffle_files(spark) - there and sorted(out.collect()) == first  # a result's own shuffles stay, for other reads of it
+
+
+@pytest.mark.parametrize("x", [[0], [3, 3, 2**62, 2**62 + 1], [5, 1, 2**63 - 1, 0]])
+def test_packed_entries_come_back(x):
+    v = np.array([np.nan, -0.0, np.inf, 1e-320])[: len(x)]
+    own = np.array(x, np.int64), np.array(x[::-1], np.int64) - 4, v
+    back = cells.unpack(pa.scalar(cells.pack(*own), pa.binary()), len(x))
+    assert all(p.tobytes() == q.tobytes() for p, q in zip(own, back, strict=True))
+
+
+def test_blobs_keep_rows_in_order(monkeypatch):
+    monkeypatch.setattr(cells, "BLOB", 2)
+    a = [(0, 1, 0, 2.0), (0, 1, 1, 3.0), (0, 1, 2, 4.0), (0, 4, 0, 1.0), (0, 0, 1, 5.0), (1, 0, 0, 7.0)]  # a piece of range 0 read late
+    b = [(0, 2, 9, 1.0), (1, 0, 3, 1.0), (0, 0, 9, 2.0), (0, 1, 8, 1.0), (0, 0, 7, 3.0)]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["g", "x", "y", "v"])
+    blobs = [r for made in (cells.packed_rows([batch(a)]), cells.packed_cells([batch(b[:3]), batch(b[3:])])) for x in made for r in x.to_pylist()]
+    assert max(r["n"] for r in blobs) == 2
+    blobs.sort(key=lambda r: (r["cell"], r["side"], r["lo"], r["hi"]))
+    types = pa.schema([("cell", pa.int32()), ("side", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64()), ("n", pa.int32()), ("data", pa.binary())])
+    got = [tuple(x.values()) for out in cells.multiply(cells.unpacked([pa.RecordBatch.from_pylist(blobs, types)])) for x in out.to_pylist()]
+    assert sorted(got) == [(0, 3, 7.0), (0, 8, 5.0), (1, 7, 6.0), (1, 8, 3.0), (1, 9, 8.0), (4, 7, 3.0), (4, 9, 2.0)]
