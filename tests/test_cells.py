@@ -146,3 +146,12 @@ def test_blobs_keep_rows_in_order(monkeypatch):
     types = pa.schema([("cell", pa.int32()), ("side", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64()), ("n", pa.int32()), ("data", pa.binary())])
     got = [tuple(x.values()) for out in cells.multiply(cells.unpacked([pa.RecordBatch.from_pylist(blobs, types)])) for x in out.to_pylist()]
     assert sorted(got) == [(0, 3, 7.0), (0, 8, 5.0), (1, 7, 6.0), (1, 8, 3.0), (1, 9, 8.0), (4, 7, 3.0), (4, 9, 2.0)]
+
+
+def test_what_a_quadratic_product_moves_grows_with_its_factors():
+    def moved(n):  # seven inner indices, n rows and columns
+        ranges, work = cells._ranges(7.0 * n * n, 7 * n, 7 * n, 200)
+        count = round(7.0 * n * n / work)
+        return 7 * n * max(1, count / ranges) + min(ranges * 7 * n, 7.0 * n * n)
+
+    assert moved(360_000) < 400_000_000 and moved(720_000) < 2.1 * moved(360_000)
